@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from ._tables import table
 from .bpe import encode_documents
+from .collision_ann import approximate_neighbours
+from .exact_topk import exact_top_k
+from .lm_scoring import score_documents
+from .mixing import mix
 from .ngram_join import ngram_join
+from .quality import score_quality
+from .sharding import byte_shards
 from .substring_dedup import substring_dedup
+from .url_filter import filter_urls
 
 #: The vocabulary file; a parameter of the operator.
 VOCABULARY = "word_bpe_49k.json"
@@ -22,10 +29,41 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return approximate_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return score_quality(documents, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -36,7 +74,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ngram_jaccard_join, op9_bpe, op10_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_collision_ann,
+        op2_lm_scoring,
+        op3_ngram_jaccard_join,
+        op4_byte_sharding,
+        op5_source_mixing,
+        op6_url_filter,
+        op7_exact_top_k,
+        op8_quality_classifier,
+        op9_bpe,
+        op10_substring_dedup,
+    )
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -49,13 +99,22 @@ shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i+2], ' ') AS g FROM words, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i) WHERE len(w) >= 3
   UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 2),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-overlaps AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (
-  SELECT x, y FROM overlaps JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
 both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id""",
+    "op7_exact_top_k": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score
+  FROM vectors q JOIN vectors r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op10_substring_dedup": rf"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
 starts AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM words, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i) WHERE len(w) >= 13),
