@@ -150,36 +150,51 @@ def _deal(words: int, groups: int, frequent: list[np.ndarray]):
     return run
 
 
-def _subtree(table: pa.Table) -> pa.Table:
-    """Of one group: (doc_id, places) of the windows that a smaller document has too."""
-    out_doc, out_place, docs, places, windows = [], [], [], [], []
-    for kind, d, c, h, p in zip(*(table.column(x).to_pylist() for x in ("kind", "docs", "counts", "windows", "places")), strict=True):
-        n = np.frombuffer(c, np.uint32)
-        doc, place = np.repeat(np.frombuffer(d, np.int64), n), unpack_places(p, n)
-        if kind:
-            out_doc.append(doc)
-            out_place.append(place)
-        else:
-            wide = np.zeros((len(doc), 8), dtype=np.uint8)
-            wide[:, :7] = np.frombuffer(h, np.uint8).reshape(-1, 7)
-            docs.append(doc)
-            places.append(place)
-            windows.append(wide.view("<u8").ravel())
-    if docs:
-        doc, place, h = np.concatenate(docs), np.concatenate(places), np.concatenate(windows)
-        order = np.argsort(h, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-        least = np.minimum.reduceat(doc[order], heads)  # of each node of depth >= words
-        repeats = order[doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))]
-        out_doc.append(doc[repeats])
-        out_place.append(place[repeats])
-    doc, place = np.concatenate(out_doc), np.concatenate(out_place)
+def _subtree(groups: int):
+    """Of one group: the windows that a smaller document has too, packed by bucket of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out_doc, out_place, docs, places, windows = [], [], [], [], []
+        for kind, d, c, h, p in zip(*(table.column(x).to_pylist() for x in ("kind", "docs", "counts", "windows", "places")), strict=True):
+            n = np.frombuffer(c, np.uint32)
+            doc, place = np.repeat(np.frombuffer(d, np.int64), n), unpack_places(p, n)
+            if kind:
+                out_doc.append(doc)
+                out_place.append(place)
+            else:
+                wide = np.zeros((len(doc), 8), dtype=np.uint8)
+                wide[:, :7] = np.frombuffer(h, np.uint8).reshape(-1, 7)
+                docs.append(doc)
+                places.append(place)
+                windows.append(wide.view("<u8").ravel())
+        if docs:
+            doc, place, h = np.concatenate(docs), np.concatenate(places), np.concatenate(windows)
+            order = np.argsort(h, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+            least = np.minimum.reduceat(doc[order], heads)  # of each node of depth >= words
+            repeats = order[doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))]
+            out_doc.append(doc[repeats])
+            out_place.append(place[repeats])
+        doc, place = np.concatenate(out_doc), np.concatenate(out_place)
+        bucket = (_words.mix(doc.view(np.uint64), 7) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((place, doc, bucket))
+        doc, place, bucket = doc[order], place[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        out = [(int(bucket[x]), doc[x:y].tobytes(), place[x:y].astype("<u4").tobytes()) for x, y in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]]), strict=True) if y > x]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "docs", "places"])
+
+    return run
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """Of one bucket of documents: the places of each, from all groups."""
+    doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
+    place = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("places")])
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
-    heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.concatenate([heads[1:], [len(doc)]]).astype(np.int64)[: len(heads)]
-    packed = [place[a:b].astype("<u4").tobytes() for a, b in zip(heads, ends, strict=True)]
-    return pa.table([pa.array(doc[heads], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "places"])
+    heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    packed = [place[x:y].tobytes() for x, y in zip(heads, np.concatenate([heads[1:], [len(doc)]]), strict=True)]
+    return pa.table([pa.array(doc[heads]), pa.array(packed, pa.binary())], ["doc_id", "places"])
 
 
 def _cut(words: int, joined: bool):
@@ -194,11 +209,10 @@ def _cut(words: int, joined: bool):
                 for i in range(w.stop - w.first):
                     a, n = w.heads[i], w.counts[i]
                     gone = np.zeros(n + 1, dtype=np.int32)
-                    for p in places[w.first + i] or ():
-                        p = np.frombuffer(p, "<u4")
-                        p = p[p < n]
-                        np.add.at(gone, p, 1)
-                        np.add.at(gone, np.minimum(p + words, n), -1)
+                    p = np.frombuffer(places[w.first + i] or b"", "<u4").astype(np.int64)
+                    p = p[p < n]
+                    np.add.at(gone, p, 1)
+                    np.add.at(gone, np.minimum(p + words, n), -1)
                     gone = np.cumsum(gone)[:n] > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     spans.append([{"start": int(x), "words": int(y - x)} for x, y in edge.reshape(-1, 2)])
@@ -221,9 +235,8 @@ def _cut(words: int, joined: bool):
 
 
 def repeated_windows(documents: DataFrame, words: int = 13) -> DataFrame:
-    """(doc_id, places) rows: word numbers, packed as little-endian uint32, at which a window of
-    `words` words starts that also starts in a document with a smaller doc_id. A document can have
-    several rows."""
+    """(doc_id, places): word numbers, packed as little-endian uint32, at which a window of `words`
+    words starts that also starts in a document with a smaller doc_id; no row without any."""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.mapInArrow(_count(words), "n long").agg(F.sum("n")).first()[0] or 0
     groups = min(MAX_GROUPS, max(16, math.ceil(total / GROUP_SUFFIXES)))
@@ -233,7 +246,8 @@ def repeated_windows(documents: DataFrame, words: int = 13) -> DataFrame:
     often = counts.where(F.col("n") >= 3 * total / (4 * groups)).collect()
     frequent = [np.array([r.prefix for r in often if r.depth == d], dtype=np.int64).view(np.uint64) for d in range(1, min(MAX_PREFIX, words))]
     dealt = docs.mapInArrow(_deal(words, groups, frequent), _DEALT)
-    return dealt.groupBy("part").applyInArrow(_subtree, "doc_id long, places binary")
+    found = dealt.groupBy("part").applyInArrow(_subtree(groups), "bucket int, docs binary, places binary")
+    return found.groupBy("bucket").applyInArrow(_gathered, "doc_id long, places binary")
 
 
 def substring_dedup(documents: DataFrame, words: int = 13, joined: bool = True) -> DataFrame:
@@ -248,6 +262,5 @@ def substring_dedup(documents: DataFrame, words: int = 13, joined: bool = True)
     Other columns are ignored. Windows are told apart by a 56-bit hash within their group.
     """
     places = stored(repeated_windows(documents, words), "substring-places")
-    places = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places, "doc_id", "left")
     return docs.mapInArrow(_cut(words, joined), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,words:int>>")
