@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks between white space whose tokens a worker keeps, in each of two generations.
-CACHE = 200_000
+CACHE = 300_000
 #: Longer chunks aren't kept.
 CACHED_BYTES = 64
 #: The pattern of the vocabulary's pre-tokenizer.
@@ -68,12 +68,19 @@ class Merger:
     def merged(self, parts: list[str]) -> list[str]:
         if len(parts) > 40:
             return self._merged_long(parts)
-        rank = self.rank
-        while len(parts) > 1:
-            low, at = min((rank.get(pair, 1 << 30), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
-            if low == 1 << 30:
+        rank, none = self.rank.get, 1 << 30
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            low = min(ranks)
+            if low == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = ranks.index(low)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
     def _merged_long(self, parts: list[str]) -> list[str]:
@@ -133,10 +140,11 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.of_byte = byte_symbols()
+        self._symbols = dict(enumerate(self.of_byte))
         self.byte_of = {c: b for b, c in enumerate(self.of_byte)}
         self._split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._words = regex.compile(PATTERN)
-        self._new: dict[bytes, tuple[int, str, str]] = {}
+        self.kept: dict[bytes, tuple[int, str, str]] = {}
         self._old: dict[bytes, tuple[int, str, str]] = {}
 
     def encode(self, text: str) -> Iterator[int]:
@@ -145,25 +153,29 @@ class Tokenizer:
             if piece in self.special:
                 yield self.special[piece]
                 continue
-            # characters are lowered one by one: no final sigma
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            for m in self._words.finditer(piece):
-                data = m[0].encode()
-                for token in self.merger.tokens((self.of_byte[b] for b in data), len(data)):
+            if piece.isascii():
+                piece = piece.lower()
+                parts = (piece,) if piece.isalpha() else self._words.findall(piece)
+            else:  # characters are lowered one by one: no final sigma
+                parts = self._words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+            for part in parts:
+                symbols = part.encode().decode("latin-1").translate(self._symbols)
+                for token in self.merger.tokens(symbols, len(symbols)):
                     yield self.vocab[token]
 
     def chunk(self, data: bytes) -> tuple[int, str, str]:
         """Of a text without ASCII white space: the number of ids, the ids and their tokens."""
-        found = self._new.get(data)
+        found = self.kept.get(data)
         if found is None:
             found = self._old.pop(data, None)
             if found is None:
                 ids = list(self.encode(data.decode()))
                 found = len(ids), " ".join(map(str, ids)), self.joined(ids)
             if len(data) <= CACHED_BYTES:
-                if len(self._new) >= CACHE:
-                    self._old, self._new = self._new, {}
-                self._new[data] = found
+                if len(self.kept) >= CACHE:
+                    self._old = self.kept.copy()
+                    self.kept.clear()
+                self.kept[data] = found
         return found
 
     def joined(self, ids: Iterable[int]) -> str:
@@ -223,12 +235,15 @@ def _digests(definition: _Definition, with_ids: bool):
         for b in batches:
             n, ids, decoded, lists = [], [], [], []
             for text in b.column(1):
-                found = [tokenizer.chunk(c) for c in (text.as_py() or "").encode().split()]
-                found = [x for x in found if x[0]]
-                n.append(sum([x[0] for x in found]))
-                line = " ".join([x[1] for x in found])
+                kept = tokenizer.kept
+                found = [kept.get(c) or tokenizer.chunk(c) for c in (text.as_py() or "").encode().split()]
+                counts, parts, names = zip(*found, strict=True) if found else ((), (), ())
+                if 0 in counts:  # chunks without any token
+                    counts, parts, names = zip(*[x for x in found if x[0]] or [(0, "", "")], strict=True)
+                n.append(sum(counts))
+                line = " ".join(parts)
                 ids.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
                 if with_ids:
                     lists.append(list(map(int, line.split())))
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
