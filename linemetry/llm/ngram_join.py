@@ -78,6 +78,16 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def pack_planes(values: np.ndarray) -> bytes:
+    """Whole numbers as byte planes of their differences: small if they ascend or repeat."""
+    step = np.diff(values.astype(np.int64), prepend=0)
+    return np.ascontiguousarray(step.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
 _BLOCKED = "block int, kind int, docs binary, counts binary, grams binary"
 
 
@@ -95,11 +105,15 @@ def _deal(k: int, bits: int):
         for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(block)]]), strict=True):
             if b > a:
                 heads = np.concatenate([[a], np.flatnonzero(np.diff(ids[a:b])) + 1 + a])
-                n = np.diff(np.concatenate([heads, [b]])).astype(np.uint32)
-                yield int(block[a]), kind, ids[heads].tobytes(), n.tobytes(), pack(gram[a:b] & low)
+                n = np.diff(np.concatenate([heads, [b]]))
+                yield int(block[a]), kind, pack_planes(ids[heads]), pack_planes(n), pack(gram[a:b] & low)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         ids, first, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        # documents in order of their ids, which then pack well
+        by, start = np.argsort(ids, kind="stable"), np.cumsum(n) - n
+        ids, first, start, n = ids[by], first[by], start[by], n[by]
+        gram = gram[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(gram))]
         # of rows with equal sets in this flush, the one with the smallest id stands for all
         order = np.lexsort((ids, first))
         keep = order[np.concatenate([[True], np.diff(first[order]) != 0])]
@@ -139,25 +153,55 @@ def _deal(k: int, bits: int):
 
 def _shared(bits: int):
     """Of one column block, the entries whose column has several rows."""
-    shift = np.uint64(_words.GRAM_BITS - bits)
 
     def run(table: pa.Table) -> pa.Table:
         kinds, ids, grams = [], [], []
-        block = np.uint64(table.column("block")[0].as_py())
+        block = table.column("block")[0].as_py()
         for kind, docs, counts, packed in zip(*(table.column(c).to_pylist() for c in ("kind", "docs", "counts", "grams")), strict=True):
-            gram = unpack(packed)
-            ids.append(np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32)))
+            gram = _whole(packed, block, bits)
+            ids.append(np.repeat(unpack_planes(docs), unpack_planes(counts)))
             kinds.append(np.full(len(gram), kind, dtype=np.int8))
-            grams.append(gram & ((np.uint64(1) << shift) - np.uint64(1)) | block << shift)
+            grams.append(gram)
         kind, doc, gram = np.concatenate(kinds), np.concatenate(ids), np.concatenate(grams)
         order = np.argsort(gram, kind="stable")
         ordered = gram[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         keep = np.concatenate([~new[1:], [False]]) | ~new | (kind[order] > 0)
         doc, gram = doc[order][keep], ordered[keep]
-        order = np.argsort(doc, kind="stable")
+        bucket = (_words.mix(doc.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        doc, gram, bucket = doc[order], gram[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        out = []
+        for x, y in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]]), strict=True):
+            if y > x:
+                heads = np.concatenate([[x], np.flatnonzero(np.diff(doc[x:y])) + 1 + x])
+                n = np.diff(np.concatenate([heads, [y]]))
+                out.append((int(bucket[x]), int(block), pack_planes(doc[heads]), pack_planes(n), pack(gram[x:y] & np.uint64((1 << 48) - 1))))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["bucket", "block", "docs", "counts", "grams"])
+
+    return run
+
+
+def _whole(packed: bytes, block: int, bits: int) -> np.ndarray:
+    """Shingles' numbers from their low 48 bits and their block, which has the others."""
+    shift = np.uint64(_words.GRAM_BITS - bits)
+    return unpack(packed) & ((np.uint64(1) << shift) - np.uint64(1)) | np.uint64(block) << shift
+
+
+def _gathered(bits: int):
+    """Of one bucket of documents: the shared columns of each, from all blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, grams = [], []
+        for block, d, c, g in zip(*(table.column(x).to_pylist() for x in ("block", "docs", "counts", "grams")), strict=True):
+            docs.append(np.repeat(unpack_planes(d), unpack_planes(c)))
+            grams.append(_whole(g, block, bits))
+        doc, gram = np.concatenate(docs), np.concatenate(grams)
+        order = np.lexsort((gram, doc))
         doc, gram = doc[order], gram[order]
-        heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([heads, [len(doc)]]).astype(np.int32)), pa.array(gram.view(np.int64)))
         return pa.table([pa.array(doc[heads]), lists], ["doc_id", "grams"])
 
@@ -260,20 +304,14 @@ def _cells(percent: int):
 def _clusters(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of rows (doc_id, n, grams): those that may have a partner, with exact shared columns, and
     the cluster of each."""
-    entries = rows.select("doc_id", "n", F.explode("grams").alias("gram"))
+    entries = rows.select("doc_id", F.explode("grams").alias("gram"))
     often = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    entries = stored(entries.join(often, "gram"), "ngram-entries")
-    need = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("long")
-    kept = entries.groupBy("doc_id", "n").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list("gram")).alias("grams")).where(F.col("shared") >= need)
-    kept = stored(kept, "ngram-rows")
+    need = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
+    by_df = F.sort_array(F.collect_list(F.struct("df", "gram")))
+    kept = entries.join(often, "gram").groupBy("doc_id").agg(by_df["gram"].alias("grams"))
+    kept = stored(kept.join(rows.select("doc_id", "n"), "doc_id").where(F.size("grams") >= need), "ngram-rows")
     # the columns that a row has alone come first in the order, so they use up the prefix first
-    by_df = Window.partitionBy("doc_id").orderBy("df", "gram")
-    prefix = (
-        entries.join(kept.select("doc_id", "shared"), "doc_id")
-        .withColumn("at", F.row_number().over(by_df))
-        .where(F.col("at") <= F.col("shared") - need + 1)
-        .select("gram", "doc_id")
-    )
+    prefix = kept.select("doc_id", F.explode(F.slice("grams", F.lit(1), F.size("grams") - need + 1)).alias("gram"))
     pivot = prefix.groupBy("gram").agg(F.min("doc_id").alias("a"))
     edges = prefix.join(pivot, "gram").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     return kept, components(edges, "ngram-clusters")
@@ -359,12 +397,10 @@ def ngram_join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     total = sizes.agg(F.sum("n")).first()[0] or 0
     bits = min(16, max(4, math.ceil(math.log2(max(1, total / BLOCK_GRAMS)))))
     dealt = docs.mapInArrow(_deal(k, bits), _BLOCKED)
-    shared = dealt.groupBy("block").applyInArrow(_shared(bits), "doc_id long, grams array<long>")
-    shared = stored(shared, "ngram-shared")
-    enough = F.col("shared") >= F.ceil(F.col("n") * percent / F.lit(100.0))
+    shared = dealt.groupBy("block").applyInArrow(_shared(bits), "bucket int, block int, docs binary, counts binary, grams binary")
+    shared = shared.groupBy("bucket").applyInArrow(_gathered(bits), "doc_id long, grams array<long>")
     reps = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
-    able = shared.groupBy("doc_id").agg(F.sum(F.size("grams")).alias("shared")).join(reps, "doc_id").where(enough).select("doc_id", "n")
-    rows = shared.join(able, "doc_id").select("doc_id", "n", "grams")
+    rows = stored(shared.join(reps, "doc_id").where(F.size("grams") >= F.ceil(F.col("n") * percent / F.lit(100.0))).select("doc_id", "n", "grams"), "ngram-shared")
     kept, clusters = _clusters(rows, percent)
     roots = components(_links(kept, clusters, percent), "ngram-components")
     # a document is in the component of its class
