@@ -56,6 +56,19 @@ class Segmenter:
         return self.kept[name]
 
 
+def atoms(counts: dict[str, int]) -> dict[str, int]:
+    """The words that are not two or more other words of at least three letters in a row: a name
+    seen in a host must not hide the words that it is made of."""
+
+    def joined(w: str) -> bool:
+        reach = [True] + [False] * len(w)
+        for i in range(3, len(w) + 1):
+            reach[i] = any(reach[j] and i - j < len(w) and w[j:i] in counts for j in range(max(0, i - LONGEST_WORD), i - 2))
+        return reach[-1]
+
+    return {w: n for w, n in counts.items() if not joined(w)}
+
+
 _PIECE = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -98,7 +111,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     often = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
     counts = {r.word: r.n for r in often if len(r.word) <= LONGEST_WORD}
     typical = max(1, sum(counts.values()) // max(1, len(counts)))
-    counts |= {w: max(counts.get(w, 0), typical) for w in unwanted}
+    counts = atoms(counts | {w: max(counts.get(w, 0), typical) for w in unwanted})
     tokens = parts.mapInArrow(_tokens(spark.sparkContext.broadcast(counts)), "page_id long, host string, path string, tokens array<string>")
     bad = F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in unwanted]))
     # training counts over all distinct (host, words) with their rows; digits are one token
