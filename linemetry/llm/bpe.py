@@ -15,13 +15,16 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks between white space whose tokens a worker keeps, in each of two generations.
-CACHE = 300_000
+CACHE = 200_000
+#: Rows that are put out together.
+ROWS = 1000
 #: Longer chunks aren't kept.
 CACHED_BYTES = 64
 #: The pattern of the vocabulary's pre-tokenizer.
@@ -232,7 +235,7 @@ def _digests(definition: _Definition, with_ids: bool):
         import hashlib
 
         tokenizer = _shared_tokenizer(definition)
-        for b in batches:
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             n, ids, decoded, lists = [], [], [], []
             for text in b.column(1):
                 kept = tokenizer.kept
@@ -245,11 +248,12 @@ def _digests(definition: _Definition, with_ids: bool):
                 ids.append(hashlib.sha256(line.encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
                 if with_ids:
-                    lists.append(list(map(int, line.split())))
+                    lists.append(np.fromstring(line, dtype=np.int32, sep=" "))
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -32,7 +32,7 @@ from ._graph import components
 from ._tables import stored
 
 #: Shingles that are packed together before they are dealt to column blocks.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Shingles that a column block holds on average.
 BLOCK_GRAMS = 1 << 20
 #: Rows of a cell's side, and columns multiplied at once.

@@ -26,7 +26,7 @@ from . import _words
 from ._tables import stored
 
 #: Suffixes that are reduced together before they are dealt.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Suffixes of a group on average, groups at most, and words of a group's prefix at most.
 GROUP_SUFFIXES, MAX_GROUPS, MAX_PREFIX = 1 << 20, 1 << 16, 4
 _DEALT = "part int, kind int, docs binary, counts binary, windows binary, places binary"
