@@ -19,7 +19,7 @@ from linemetry.llm.mixing import mixed_documents
 from linemetry.llm.ngram_join import ngram_join
 from linemetry.llm.quality import score_quality
 from linemetry.llm.queries import vocabulary_path
-from linemetry.llm.substring_dedup import substring_dedup
+from linemetry.llm.substring_dedup import without_repeats
 
 #: Words and percent of a near duplicate's shingles; words of a repeated passage.
 NEAR_WORDS, NEAR_PERCENT, PASSAGE_WORDS = 5, 80, 50
@@ -38,10 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller doc_id has too."""
-    cut = substring_dedup(docs, PASSAGE_WORDS, joined=False).where("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    changed = F.col("kept").isNotNull()
-    text, n_chars = F.when(changed, F.col("kept")).otherwise(F.col("text")), F.when(changed, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return docs.join(cut, "doc_id", "left").withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+    return without_repeats(docs, PASSAGE_WORDS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,3 +264,26 @@ def substring_dedup(documents: DataFrame, words: int = 13, joined: bool = True)
     places = stored(repeated_windows(documents, words), "substring-places")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places, "doc_id", "left")
     return docs.mapInArrow(_cut(words, joined), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,words:int>>")
+
+
+def without_repeats(documents: DataFrame, words: int = 13) -> DataFrame:
+    """`documents` with the spans of `substring_dedup` (joined=False) cut out of the texts, and
+    n_chars of changed texts anew. Texts are shuffled once; other rows and columns stay as is."""
+    places = stored(repeated_windows(documents, words), "substring-places").withColumnRenamed("doc_id", "places_of")
+    cut = _cut(words, joined=False)
+    names = documents.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = pa.RecordBatch.from_arrays([b.column(0), b.column(at), b.column(len(names))], ["doc_id", "text", "places"])
+            out = pa.Table.from_batches(list(cut(iter([part])))) if b.num_rows else None
+            kept, gone = ([], []) if out is None else (out.column("kept").to_pylist(), out.column("n_removed").to_pylist())
+            text = [k if n else t for k, n, t in zip(kept, gone, b.column(at).to_pylist(), strict=True)]
+            changed = pa.array([bool(n) for n in gone], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[pa.array(text, pa.string()) if i == at else b.column(i) for i in range(len(names))], changed], [*names, "changed"])
+
+    joined = documents.join(places, F.col("doc_id").cast("long") == F.col("places_of"), "left").select(*names, "places")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", changed boolean"
+    out = joined.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.when(F.col("changed"), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)).select(*names)
