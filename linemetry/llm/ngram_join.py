@@ -110,6 +110,7 @@ def _deal(k: int, bits: int):
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         ids, first, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         # documents in order of their ids, which then pack well
         by, start = np.argsort(ids, kind="stable"), np.cumsum(n) - n
         ids, first, start, n = ids[by], first[by], start[by], n[by]
@@ -119,14 +120,16 @@ def _deal(k: int, bits: int):
         keep = order[np.concatenate([[True], np.diff(first[order]) != 0])]
         kept = np.zeros(len(ids), dtype=bool)
         kept[keep] = True
-        owner = np.repeat(np.arange(len(ids)), n)
+        owner = np.repeat(np.arange(len(ids), dtype=np.uint32), n)
         gram, owner = gram[kept[owner]], owner[kept[owner]]
         order = np.argsort(gram, kind="stable")
         ordered = gram[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        del ordered
         several = np.concatenate([~new[1:], [False]]) | ~new
         kind = np.zeros(len(gram), dtype=np.int8)
         kind[order] = np.where(several, np.where(new, 1, 2), 0)
+        del order
         out = [x for c in (0, 1, 2) for x in rows(c, ids[owner[kind == c]], gram[kind == c])]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "docs", "counts", "grams"])
@@ -144,7 +147,7 @@ def _deal(k: int, bits: int):
                 size += len(gram)
                 if size >= FLUSH:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush(held)
 

@@ -26,7 +26,7 @@ from . import _words
 from ._tables import stored
 
 #: Suffixes that are reduced together before they are dealt.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Suffixes of a group on average, groups at most, and words of a group's prefix at most.
 GROUP_SUFFIXES, MAX_GROUPS, MAX_PREFIX = 1 << 20, 1 << 16, 4
 _DEALT = "part int, kind int, docs binary, counts binary, windows binary, places binary"
@@ -81,7 +81,7 @@ def _count(words: int):
 
 def pack_places(doc: np.ndarray, place: np.ndarray) -> bytes:
     """Places, ascending within a document, as byte planes of their differences."""
-    step = np.diff(place, prepend=0)
+    step = np.diff(place.astype(np.int64), prepend=0)
     new = np.concatenate([[True], doc[1:] != doc[:-1]])
     step[new] = place[new]
     return np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -98,7 +98,7 @@ def _deal(words: int, groups: int, frequent: list[np.ndarray]):
     """kind 0: suffixes to be looked up in the tree; 1: windows that are known to repeat."""
 
     def rows(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None) -> Iterator[tuple]:
-        order = np.argsort(part.astype(np.uint16), kind="stable")
+        order = np.argsort(part, kind="stable")
         part, doc, place = part[order], doc[order], place[order]
         h = h[order] if h is not None else None
         cuts = np.flatnonzero(np.diff(part)) + 1
@@ -111,17 +111,19 @@ def _deal(words: int, groups: int, frequent: list[np.ndarray]):
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         doc, place, h, part = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.argsort(h, kind="stable")
-        new = np.concatenate([[True], np.diff(h[order]) != 0])
-        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        least = np.minimum.reduceat(doc[order], heads)
         known = np.zeros(len(h), dtype=bool)
-        known[order] = doc[order] > np.repeat(least, np.diff(np.concatenate([np.flatnonzero(new), [len(h)]])))
+        known[order] = doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))
+        del order, heads, least
         by = np.lexsort((place, doc))  # rows of a document may stand apart
         doc, place, h, part, known = doc[by], place[by], h[by], part[by], known[by]
         out = [*rows(0, part[~known], doc[~known], place[~known], h[~known])]
         if known.any():
             doc, place = doc[known], place[known]
-            out += rows(1, (_words.mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64), doc, place, None)
+            out += rows(1, (_words.mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.uint16), doc, place, None)
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
 
@@ -139,11 +141,11 @@ def _deal(words: int, groups: int, frequent: list[np.ndarray]):
                     if not deeper.any():
                         break
                     key[deeper] = _prefixes(w, at[deeper], depth + 1)
-                held.append((ids[w.first + w.doc[at]], at - w.heads[w.doc[at]], h, (_words.mix(key) % np.uint64(groups)).astype(np.int64)))
+                held.append((ids[w.first + w.doc[at]], (at - w.heads[w.doc[at]]).astype(np.uint32), h, (_words.mix(key) % np.uint64(groups)).astype(np.uint16)))
                 size += len(at)
                 if size >= FLUSH:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from flush(held)
 
