@@ -138,3 +138,23 @@ def skeletonise(mask: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mask.schema.fields)
     return mask.groupBy("image_id").applyInArrow(thin, schema)
+
+
+def area_and_length(mask: DataFrame) -> DataFrame:
+    """Per image: set pixels (area) and pixels of the skeleton (length)."""
+    areas = mask.groupBy("image_id").agg(F.count("*").alias("area"))
+    return areas.join(skeletonise(mask).groupBy("image_id").agg(F.count("*").alias("length")), "image_id", "left").fillna(0, ["length"])
+
+
+def annotation_widths(mask: DataFrame, min_area: int = 40, min_length: int = 5) -> DataFrame:
+    """Per image: mean width area / length; 0 below `min_area` pixels (no line), 999 where the
+    skeleton is too short to tell."""
+    width = F.when(F.col("area") < min_area, 0.0).when(F.col("length") < min_length, 999.0).otherwise(F.col("area") / F.col("length"))
+    return area_and_length(mask).withColumn("width_px", width)
+
+
+def width_bias(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per image of either mask: area per skeleton pixel of `pred` over that of `truth`; NaN where
+    one of them is empty."""
+    each = [area_and_length(m).where("length > 0").select("image_id", (F.col("area") / F.col("length")).alias(c)) for m, c in ((pred, "pred_px"), (truth, "truth_px"))]
+    return each[0].join(each[1], "image_id", "full").select("image_id", F.coalesce(F.col("pred_px") / F.col("truth_px"), F.lit(float("nan"))).alias("width_bias"))

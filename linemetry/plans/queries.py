@@ -245,3 +245,14 @@ def name_of(spark, d):
 def response_json(spark, d):
     widths = inst.width_summary(src.width_samples(spark, d))
     return rounded(widths, "width_mean_px", "width_p95_px", "width_max_mm").select("instance_id", F.to_json(F.struct(*[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("width_max_px", "width_mean_px", "width_p95_px", "width_max_mm", "length_px")], "severity")).alias("body"))
+
+
+@query()
+def annotation_widths(spark, d):
+    return rounded(ras.annotation_widths(mask(spark, d)), "width_px")
+
+
+@query()
+def width_bias(spark, d):
+    r = src.raster(spark, d)
+    return rounded(ras.width_bias(ras.threshold_mask(r, 0.7), ras.threshold_mask(r, 0.8)), "width_bias")

@@ -50,3 +50,12 @@ def test_scalars(spark):
     assert [tuple(r) for r in rows] == [("unknown", 0.0, "vertical"), ("fine", 1.0, "horizontal"), ("severe", 0.5, "vertical")]
     lidar = spark.range(1).select(*classify.lidar_scale(F.lit(500.0), F.lit(1000.0), F.lit(60.0))).first()
     assert abs(lidar[0] - 1.0) < 1e-9 and lidar[1] == 0.4
+
+
+def test_widths_of_bars(spark):
+    bar = lambda n: pixels(spark, [(y, x) for y in range(10, 10 + n) for x in range(5, 65)])
+    wide = raster.annotation_widths(bar(6)).first()
+    assert wide.area == 360 and abs(wide.width_px - 6) < 1
+    assert raster.annotation_widths(pixels(spark, [(0, x) for x in range(39)])).first().width_px == 0.0
+    assert 1.7 < raster.width_bias(bar(6), bar(3)).first().width_bias < 2.3
+    assert math.isnan(raster.width_bias(bar(3), bar(3).where("y < 0")).first().width_bias)
