@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import tidied
+
 #: Chunks between white space whose tokens a worker keeps, in each of two generations.
 CACHE = 200_000
 #: Rows that are put out together.
@@ -150,6 +152,11 @@ class Tokenizer:
         self.kept: dict[bytes, tuple[int, str, str]] = {}
         self._old: dict[bytes, tuple[int, str, str]] = {}
 
+    def forget(self) -> None:
+        """Empty the cache of chunks."""
+        self.kept.clear()
+        self._old.clear()
+
     def encode(self, text: str) -> Iterator[int]:
         """Ids of a text; specials are matched before it is normalised (NFC, lower case)."""
         for piece in self._split.split(text) if self._split and "<" in text else (text,):
@@ -256,6 +263,7 @@ def _digests(definition: _Definition, with_ids: bool):
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        tokenizer.forget()  # the worker goes on to other tasks
 
     return run
 
@@ -271,4 +279,4 @@ def encode_documents(documents: DataFrame, path: str, with_ids: bool = False) ->
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_digests(_Definition(documents.sparkSession, path), with_ids), schema)
+    return docs.mapInArrow(tidied(_digests(_Definition(documents.sparkSession, path), with_ids)), schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
+from ._memory import tidied
 from ._tables import stored
 
 #: Blocks of the whole mix, and output shards that have a quota each. Both are fixed, so the
@@ -231,4 +232,4 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1),
     place = placed.where("taken > 0").select(F.col("doc_id").alias("of_id"), "h", "copy", "start", "size")
     joined = keyed.join(place, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mix_h") == F.col("h")) & (F.col("mix_copy") == F.col("copy"))).select(*given, "start", "size")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return joined.mapInArrow(_parts(shared, made.block), schema)
+    return joined.mapInArrow(tidied(_parts(shared, made.block)), schema)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._graph import components
+from ._memory import tidied
 from ._tables import stored
 
 #: Shingles that are packed together before they are dealt to column blocks.
@@ -395,11 +396,11 @@ def ngram_join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     Shingles are told apart by a 52-bit hash.
     """
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = stored(docs.mapInArrow(_sizes(k), "doc_id long, n long, fp1 long, fp2 long"), "ngram-sizes")
+    sizes = stored(docs.mapInArrow(tidied(_sizes(k)), "doc_id long, n long, fp1 long, fp2 long"), "ngram-sizes")
     classes = sizes.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     bits = min(16, max(4, math.ceil(math.log2(max(1, total / BLOCK_GRAMS)))))
-    dealt = docs.mapInArrow(_deal(k, bits), _BLOCKED)
+    dealt = docs.mapInArrow(tidied(_deal(k, bits)), _BLOCKED)
     shared = dealt.groupBy("block").applyInArrow(_shared(bits), "bucket int, block int, docs binary, counts binary, grams binary")
     shared = shared.groupBy("bucket").applyInArrow(_gathered(bits), "doc_id long, grams array<long>")
     reps = classes.select(F.col("rep").alias("doc_id"), "n").distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
+from ._memory import tidied
 
 #: Word buckets, dimensions, and labelled rows to learn from at most (the smallest hashes).
 BUCKETS, DIMENSIONS, SAMPLE_ROWS = 1 << 13, 8, 8192
@@ -196,7 +197,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, label: str = "quality
     given = documents.columns
     cast = documents.withColumn("n_chars", F.col("n_chars").cast("double"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cast.schema.fields if f.name != "label")
-    out = cast.mapInArrow(_scores(machine), f"{types}, score double")
+    out = cast.mapInArrow(tidied(_scores(machine)), f"{types}, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % folds == 0, F.lit(False))
     out = out.withColumn("n_chars", F.col("n_chars").cast(documents.schema["n_chars"].dataType))
     return out.select(*[c for c in given if c in out.columns], held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

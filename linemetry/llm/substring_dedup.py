@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
+from ._memory import tidied
 from ._tables import stored
 
 #: Suffixes that are reduced together before they are dealt.
@@ -244,10 +245,10 @@ def repeated_windows(documents: DataFrame, words: int = 13) -> DataFrame:
     groups = min(MAX_GROUPS, max(16, math.ceil(total / GROUP_SUFFIXES)))
     # reported counts are too small by at most a quarter of a group's share; at most 4/3 of a
     # prefix for each group can reach the bound, so what is collected has a proven size
-    counts = docs.mapInArrow(_frequent_prefixes(words, 1 / (4 * groups)), "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(tidied(_frequent_prefixes(words, 1 / (4 * groups))), "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n"))
     often = counts.where(F.col("n") >= 3 * total / (4 * groups)).collect()
     frequent = [np.array([r.prefix for r in often if r.depth == d], dtype=np.int64).view(np.uint64) for d in range(1, min(MAX_PREFIX, words))]
-    dealt = docs.mapInArrow(_deal(words, groups, frequent), _DEALT)
+    dealt = docs.mapInArrow(tidied(_deal(words, groups, frequent)), _DEALT)
     found = dealt.groupBy("part").applyInArrow(_subtree(groups), "bucket int, docs binary, places binary")
     return found.groupBy("bucket").applyInArrow(_gathered, "doc_id long, places binary")
 
@@ -265,7 +266,7 @@ def substring_dedup(documents: DataFrame, words: int = 13, joined: bool = True)
     """
     places = stored(repeated_windows(documents, words), "substring-places")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places, "doc_id", "left")
-    return docs.mapInArrow(_cut(words, joined), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,words:int>>")
+    return docs.mapInArrow(tidied(_cut(words, joined)), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,words:int>>")
 
 
 def without_repeats(documents: DataFrame, words: int = 13) -> DataFrame:
@@ -287,5 +288,5 @@ def without_repeats(documents: DataFrame, words: int = 13) -> DataFrame:
 
     joined = documents.join(places, F.col("doc_id").cast("long") == F.col("places_of"), "left").select(*names, "places")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", changed boolean"
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(tidied(run), schema)
     return out.withColumn("n_chars", F.when(F.col("changed"), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)).select(*names)
