@@ -17,8 +17,10 @@ from ._memory import tidied
 from ._tables import stored
 
 #: Blocks of the whole mix, and output shards that have a quota each. Both are fixed, so the
-#: tables that the driver makes have a fixed size; a block grows with the data.
+#: tables that the driver makes don't grow with the data; a block does.
 BLOCKS, SHARDS = 8192, 64
+#: Blocks for each source of a level, and the least that a source's target has in its level.
+LEVEL_BLOCKS, LEAST_BLOCKS = 256, 64
 #: Runs of a source's seeded order that are summed apart.
 RUNS = 1024
 
@@ -74,14 +76,29 @@ def shard_quotas(shares: list[float], seats: int, shards: int) -> list[list[int]
     return out
 
 
+def levels(target: dict[str | None, float], names: list[str | None]) -> list[tuple[int, list[str | None]]]:
+    """Words of a block and the sources of each level. A source whose target is less than
+    LEAST_BLOCKS blocks is left to the next level, whose blocks are of its own sources' targets:
+    each level shares at most a quarter of the words of the one before."""
+    found: list[tuple[int, list[str | None]]] = []
+    left, blocks = names, BLOCKS
+    while left:
+        total = sum(target[s] for s in left)
+        block = max(1, int(total // max(blocks, LEVEL_BLOCKS * len(left))))
+        small = [s for s in left if 0 < target[s] < LEAST_BLOCKS * block] if block > 1 else []
+        found.append((block, [s for s in left if s not in small]))
+        left, blocks = small, 0
+    return found
+
+
 @dataclass
 class Plan:
-    """A mix: sources' sizes and targets, the words of a block and the chosen blocks."""
+    """A mix: sources' sizes and targets, the words of their blocks and the chosen blocks."""
 
     sizes: dict[str | None, int]
     target: dict[str | None, float]
-    block: int
-    quotas: list[list[int]]
+    block: dict[str | None, int]
+    quotas: list[dict[str | None, int]]  # of each shard, in blocks of the source
     chosen: DataFrame  # source, pass, block, picked, before: blocks picked before it
     sources: DataFrame
 
@@ -89,13 +106,18 @@ class Plan:
 def plan(spark: SparkSession, per_source: dict[str | None, int], weights: tuple[int, ...], share: float, most: float, seed: int) -> Plan:
     names = sorted(per_source, key=lambda s: (s is None, s or ""))
     target = targets(per_source, weights, share, most)
-    total = sum(target.values())
-    block = max(1, int(total // max(BLOCKS, 64 * len(names))))
-    quotas = shard_quotas([target[s] for s in names], round(total / block) if total else 0, SHARDS)
+    length: dict[str | None, int] = {}
+    quotas: list[dict[str | None, int]] = [{} for _ in range(SHARDS)]
+    for block, own in levels(target, names):
+        shares = [target[s] for s in own]
+        for all_, these in zip(quotas, shard_quotas(shares, round(sum(shares) / block), SHARDS), strict=True):
+            all_.update(zip(own, these, strict=True))
+        length |= dict.fromkeys(own, block)
     rng = np.random.default_rng(seed)
     rows = []
-    for i, s in enumerate(names):
-        blocks, quota = -(-per_source[s] // block), sum(q[i] for q in quotas)
+    for s in names:
+        block = length[s]
+        blocks, quota = -(-per_source[s] // block), sum(q[s] for q in quotas)
         order = rng.permutation(blocks)
         # the last block of a source is short: what is missing is made up for by one more
         for p in (0, 1):
@@ -112,8 +134,8 @@ def plan(spark: SparkSession, per_source: dict[str | None, int], weights: tuple[
             before = np.cumsum(picked) - picked
             rows += [(s, p, b, bool(x), int(y)) for b, (x, y) in enumerate(zip(picked, before, strict=True))]
     schema = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("pass", T.IntegerType()), ("block", T.LongType()), ("picked", T.BooleanType()), ("before", T.LongType()))])
-    sources = spark.createDataFrame([(s, per_source[s], float(target[s])) for s in names], "source string, source_size long, target double")
-    return Plan(per_source, target, block, quotas, spark.createDataFrame(rows, schema), sources)
+    sources = spark.createDataFrame([(s, per_source[s], float(target[s]), length[s]) for s in names], "source string, source_size long, target double, block_words long")
+    return Plan(per_source, target, length, quotas, spark.createDataFrame(rows, schema), sources)
 
 
 def word_count(text: str = "text"):
@@ -127,7 +149,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     row of `documents` (doc_id, text, source).
 
     A source's documents stand in a seeded order on a line of words, cut into blocks of equal
-    words. The mix takes each source's quota of blocks, picked in a seeded order: from one pass
+    words; sources with small targets share smaller blocks of their own (`levels`). The mix takes each source's quota of blocks, picked in a seeded order: from one pass
     over the line, or all of it and blocks of a second pass where the target exceeds the source.
     taken counts a document's words in picked blocks of both passes, so it never exceeds `most`
     (2) times its size; a source's sum is within about a block of its target. A null source is a
@@ -135,8 +157,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     null doc_id or repeated rows are ordered by text. An empty table gives an empty result.
 
     Sources are summed by one aggregation; prefix sums run within RUNS hash runs of a source, so
-    no source is ordered in one task. The block table has at most 2 * (8192 + 65 * sources)
-    rows, so it is broadcast.
+    no source is ordered in one task. The block table doesn't grow with the words, only with
+    the sources and how far apart their weights are, so it is broadcast.
     """
     return _mixed(documents, weights, share, most, seed)[1].drop("h", "copy")
 
@@ -163,7 +185,8 @@ def _mixed(documents: DataFrame, weights: tuple[int, ...], share: float, most: f
         .select("doc_id", "h", "copy", "source", "size", (F.col("run_start") + F.col("in_run")).alias("start"))
     )
     placed = placed.withColumn("end", F.col("start") + F.col("size"))
-    length = F.lit(made.block).cast("long")
+    placed = placed.join(F.broadcast(made.sources.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    length = F.col("block_words")
     # words picked before a place: whole blocks before it and a part of its own
     steps = made.chosen.groupBy("source", "block").pivot("pass", [0, 1]).agg(F.first("picked").alias("picked"), F.first("before").alias("before"))
     for edge in ("start", "end"):
@@ -175,13 +198,10 @@ def _mixed(documents: DataFrame, weights: tuple[int, ...], share: float, most: f
         placed = placed.drop("at", "of", "of_block", "picked_0", "picked_1", "before_0", "before_1")
     # the last block of a line is short, which the places before its end don't need to know
     first, second = (F.when(F.col("size") > 0, F.col(f"end_{p}") - F.col(f"start_{p}")).otherwise(0).cast("long") for p in (0, 1))
-    return made, (
-        placed.join(F.broadcast(made.sources.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
-        .select("doc_id", "h", "copy", "source", "size", "source_size", "target", (first + second).alias("taken"), first.alias("first_taken"), second.alias("second_taken"), "start", length.alias("block_words"))
-    )
+    return made, placed.select("doc_id", "h", "copy", "source", "size", "source_size", "target", (first + second).alias("taken"), first.alias("first_taken"), second.alias("second_taken"), "start", "block_words")
 
 
-def _parts(picks, block: int):
+def _parts(picks, length: dict[str | None, int]):
     """The taken words of each row (.., text, start, size) in one pass, as texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +216,7 @@ def _parts(picks, block: int):
                     source, start, size = (columns[c][i] for c in ("source", "start", "size"))
                     if not size:
                         continue
+                    block = length[source]
                     at, first = w.heads[i - w.first], start // block
                     for p in (0, 1):
                         own = picked[source, p][first : (start + size - 1) // block + 1]

@@ -193,6 +193,18 @@ def test_mix(spark):
     assert mixing.mix(odd).count() == len(rows) and mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_of_small_sources(spark):
+    rows = [(i, "w " * 20_000, "large") for i in range(200)] + [(900, "a b c", "small"), (901, "d", "small"), (902, "e f", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    assert [taken[i] for i in (900, 901, 902)] == [6, 2, 4]
+    assert abs(sum(taken[i] for i in range(200)) - 6_000_000) < 3000
+    assert sorted(r.text for r in mixing.mixed_documents(df).where("doc_id >= 900").collect()) == ["a b c", "a b c", "d", "d", "e f", "e f"]
+    target = {"a": 5e9, "b": 3e9, "c": 356_000.0, "d": 3.0, "e": 0.0}
+    of = {s: block for block, own in mixing.levels(target, list(target)) for s in own}
+    assert set(of) == set(target) and all(64 * of[s] <= target[s] or of[s] == 1 for s in "abcd")
+
+
 def test_apportionment():
     assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2]
     quotas = mixing.shard_quotas([5, 2, 1], 100, 7)
