@@ -105,8 +105,8 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").select("page_id", host.alias("host"), path.alias("path"))
-    # unigram counts over all rows; names are pre-aggregated, so a frequent host is one row
-    names = parts.groupBy("host").agg(F.count("*").alias("n"))
+    # unigram counts over all rows; names are pre-aggregated, so a frequent host or path is one row
+    names = parts.groupBy("host").agg(F.count("*").alias("n")).unionAll(parts.groupBy(F.lower("path")).agg(F.count("*").alias("n")))
     words = names.select(F.explode(F.split("host", r"[^\p{L}]+")).alias("word"), "n").where("length(word) > 0")
     often = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
     counts = {r.word: r.n for r in often if len(r.word) <= LONGEST_WORD}

@@ -221,6 +221,13 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_words_of_paths(spark):
+    urls = ["http://casinovelvet.net/p"] * 3 + ["http://fine.net/velvet/p"] * 6
+    out = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert all(r.tokens[:2] == ["casino", "velvet"] and r.verdict == "block" for r in out if r.page_id < 3)
+    assert all(r.verdict == "allow" for r in out if r.page_id >= 3)
+
+
 def test_language_model(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = score_documents(df).toPandas()
