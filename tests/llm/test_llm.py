@@ -28,6 +28,10 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def letters(i):
+    return "".join(chr(97 + i // 26**p % 26) for p in range(4))
+
+
 def awkward(spark):
     """Nulls, empties, repeats, a long text, near copies and a passage; a clashing extra column."""
     rng = random.Random(7)
@@ -228,6 +232,23 @@ def test_urls_words_of_paths(spark):
     assert all(r.verdict == "allow" for r in out if r.page_id >= 3)
 
 
+def test_urls_keep_all_words(spark):
+    # 60,000 path words occur twice, so these, which occur once, are past the 50,000 most frequent
+    often = [f"http://fine.net/{'/'.join(f'{letters(i)}k' for i in range(x, x + 500))}" for x in range(0, 60_000, 500)] * 2
+    rows = [f"http://casino.net/{letters(i)}z" for i in range(50)] + [f"http://quiet.net/{'/'.join(f'{letters(i)}z' for i in range(50))}"]
+    df = spark.createDataFrame(list(enumerate(rows + often)), "page_id long, url string")
+    out = {r.page_id: r for r in url_filter.filter_urls(df).where("page_id <= 50").collect()}
+    of = Counter(), Counter()
+    for x in url_filter.filter_urls(df).select("host", "tokens").collect():
+        of[x.host == "casino.net"].update(x.tokens)
+    v = len(of[0] | of[1])
+    good, bad = sum(of[0].values()) + v + 1, sum(of[1].values()) + v + 1
+    start = math.log(51 / (len(often) + 2))
+    for r in out.values():
+        assert abs(r.log_odds - start - sum(math.log((of[1][t] + 1) / bad) - math.log((of[0][t] + 1) / good) for t in r.tokens)) < 1e-6
+    assert out[50].log_odds > 0 and out[50].verdict == "block"
+
+
 def test_language_model(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = score_documents(df).toPandas()
