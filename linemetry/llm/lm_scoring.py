@@ -40,8 +40,9 @@ def cluster(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLUSTERS
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[bytes]]]:
-    """(doc_id, in training, lower-cased words) of each row."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(doc_id, 1 in training or 0, lower-cased words) of each row. Rows without a doc_id are in
+    training; they have a number of their own and 3."""
     for b in batches:
         for i, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             # bytes.lower() changes A-Z only; bytes.split() splits at 0x20 and 0x09-0x0D only
@@ -262,7 +263,7 @@ def _score(lexicon, trained, blocks: int):
                 lp[s] = ((model["r1"][one[s]] + model["r2"][two[s]]) * model["q"][unit[s]]).sum(axis=1) + model["b"][unit[s]]
             lp = (lp - log_z) / LN10 + within
             of = lambda x: np.bincount(doc, weights=x, minlength=len(n))
-            sums = np.stack([ids.astype(np.float64).view(np.float64), n, of(known), of(log_count), of(lp)])
+            sums = np.stack([ids.astype(np.float64).view(np.float64), n, of(known), of(log_count), of(lp), train >> 1])
             sums[0] = ids.astype(np.int64).view(np.float64)
             out = [(int(zlib.crc32(str(ids[0]).encode()) % blocks), b"", b"", b"", b"", b"", b"", sums.tobytes())]
             at = code > lex.end
@@ -303,7 +304,7 @@ def _score(lexicon, trained, blocks: int):
     return run
 
 
-_SUMS = "doc_id long, n_tokens long, n_known long, log_counts double, log_model double"
+_SUMS = "doc_id long, n_tokens long, n_known long, log_counts double, log_model double, unnamed boolean"
 
 
 def _rare(table: pa.Table) -> pa.Table:
@@ -312,20 +313,22 @@ def _rare(table: pa.Table) -> pa.Table:
     number: dict[bytes, int] = {}
     for ids, train, counts, names, words, times, sums in zip(*(table.column(c).to_pylist() for c in ("docs", "train", "counts", "names", "words", "times", "sums")), strict=True):
         if sums:
-            x = np.frombuffer(sums, np.float64).reshape(5, -1)
-            out.append((x[0].view(np.int64), x[1].astype(np.int64), x[2].astype(np.int64), x[3], x[4]))
+            x = np.frombuffer(sums, np.float64).reshape(6, -1)
+            out.append((x[0].view(np.int64), x[1].astype(np.int64), x[2].astype(np.int64), x[3], x[4], x[5] > 0))
             continue
         n = np.frombuffer(counts, "<u4")
         wide = np.array([number.setdefault(w, len(number)) for w in names.split(b" ")])
         docs.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(np.frombuffer(train, np.uint8), n), wide[np.frombuffer(words, "<u4")], np.frombuffer(times, "<u4").astype(np.float64)))
     if docs:
         doc, train, word, times = (np.concatenate(x) for x in zip(*docs, strict=True))
-        count = np.bincount(word, weights=times * train, minlength=len(number))
+        count = np.bincount(word, weights=times * (train & 1), minlength=len(number))
         known, log_count = times * (count[word] > 0), times * np.log10(count[word] + 0.1)
-        ids, at = np.unique(doc, return_inverse=True)
-        logs = np.bincount(at, weights=log_count)
-        out.append((ids, np.zeros(len(ids), np.int64), np.bincount(at, weights=known).astype(np.int64), logs, logs))
-    return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "n_tokens", "n_known", "log_counts", "log_model"])
+        for unnamed in (False, True):
+            own = (train > 1) == unnamed
+            ids, at = np.unique(doc[own], return_inverse=True)
+            logs = np.bincount(at, weights=log_count[own])
+            out.append((ids, np.zeros(len(ids), np.int64), np.bincount(at, weights=known[own]).astype(np.int64), logs, logs, np.full(len(ids), unnamed)))
+    return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "n_tokens", "n_known", "log_counts", "log_model", "unnamed"])
 
 
 def score_documents(documents: DataFrame, folds: int = 10) -> DataFrame:
@@ -336,13 +339,15 @@ def score_documents(documents: DataFrame, folds: int = 10) -> DataFrame:
     lower-cased (A-Z) and split at white space; each has one end more, counted as a token; null,
     empty and blank texts have the end only. base_score: sum of log10((c + 0.1) / (N + 0.1 * (V +
     1))); score: the model's log10 probability. doc_id is the key: rows that repeat one are summed
-    as one document; rows without one are left out. With no training rows all counts are 0. An
+    as one document; rows without one are a document each, in training and not held out. With no training rows all counts are 0. An
     empty table gives an empty result. Other columns are ignored.
     """
     spark = documents.sparkSession
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % folds != 0).alias("train"), "text")
-    vocabulary = stored(docs.where("train").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-vocabulary")
-    ends = docs.where("train").count()
+    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    train = F.when(F.col("doc_id").isNull(), 3).otherwise((F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0).cast("int"))
+    docs = named.select(F.coalesce("doc_id", F.monotonically_increasing_id()).alias("doc_id"), train.alias("train"), "text")
+    vocabulary = stored(docs.where("train > 0").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-vocabulary")
+    ends = docs.where("train > 0").count()
     whole = vocabulary.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     total, distinct = (whole.n or 0) + ends, whole.v + (ends > 0)
     top = vocabulary.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
@@ -355,17 +360,17 @@ def score_documents(documents: DataFrame, folds: int = 10) -> DataFrame:
     lexicon = Lexicon([(bytes(r.word), r.n) for r in top], ends, tokens, words)
     shared = spark.sparkContext.broadcast(lexicon)
     model = lexicon.pack(lexicon.begin())
-    third = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(3)) == 0
+    third = F.pmod(F.when(F.col("train") == 3, F.xxhash64("text", F.lit(SEED))).otherwise(F.xxhash64("doc_id", F.lit(SEED))), F.lit(3)) == 0
     for wave in (third, ~third):
-        made = docs.where("train").where(wave).mapInArrow(_train(shared, spark.sparkContext.broadcast(model)), "n long, model binary")
+        made = docs.where("train > 0").where(wave).mapInArrow(_train(shared, spark.sparkContext.broadcast(model)), "n long, model binary")
         model = _averaged(made) or model
     blocks = max(16, math.ceil(total / 2 / BLOCK_PAIRS))
     dealt = docs.mapInArrow(_score(shared, spark.sparkContext.broadcast(model), blocks), _DEALT)
     sums = dealt.groupBy("block").applyInArrow(_rare, _SUMS)
-    out = sums.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log_counts", "log_model")])
+    out = sums.groupBy("doc_id", "unnamed").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log_counts", "log_model")])
     return out.select(
-        "doc_id",
-        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0).alias("held_out"),
+        F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"),
+        (~F.col("unnamed") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0)).alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(total).cast("long").alias("train_tokens"),

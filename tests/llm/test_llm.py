@@ -265,6 +265,16 @@ def test_language_model(spark):
     assert score_documents(odd).count() == len(rows) and score_documents(empty(spark)).count() == 0
 
 
+def test_language_model_keeps_rows_without_id(spark):
+    rows = [(None, "a b rare"), (None, "a b"), (0, "a zero"), (1, "b rare"), (None, None)]
+    out = score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in out) == [(-1, 1), (-1, 3), (-1, 4), (0, 3), (1, 3)]
+    held = {i for i in (0, 1) if zlib.crc32(str(i).encode()) % 10 == 0}
+    assert {r.doc_id for r in out if r.held_out} == held
+    assert all(r.train_tokens == 8 + 3 * (2 - len(held)) for r in out)
+    assert all(r.n_known == r.n_tokens and r.score < 0 for r in out if r.doc_id is None)
+
+
 def test_quality(spark):
     out = queries.op8_quality_classifier(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas().merge(out, on="doc_id")
