@@ -1,36 +1,71 @@
 """BPE encoding as a bounded-lookahead streaming transducer, and incremental decoding.
 
-The transducer reads the symbols of a pre-token into a window and merges there. Symbols after a
-token can change it only through a chain of overlapping merges of falling priority; the longest
-such chain of the merge list is its sufficient lookahead (`sufficient_lookahead`). Tokens that
-end at least that far before the window's end are stable and are emitted; at the end of the
-pre-token all are. So memory depends on the merge list, not on the text.
+The transducer reads the symbols of a pre-token one by one. For each place it knows the last token
+of the text up to there: the only token that ends there and whose concatenation with the last
+token of the place where it begins merges back into these two. So the encodings of all beginnings
+form a tree. A later token can begin only at a live place, from which the symbols read so far are
+the beginning of some token; tokens on the path that all live places share are stable and are
+emitted at once, and what lies before is forgotten. What is held is bounded by the merge list's
+sufficient lookahead (`sufficient_lookahead`), not by the text; ids and decoded text go to their
+digests piece by piece.
 """
 
 from __future__ import annotations
 
 import codecs
-import heapq
+import contextlib
+import hashlib
+import itertools
 import json
+import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._memory import tidied
 
-#: Chunks between white space whose tokens a worker keeps, in each of two generations.
-CACHE = 200_000
+#: Chunks between white space whose tokens a worker keeps, in each of two generations; pairs of
+#: tokens whose fit it keeps.
+CACHE, PAIRS = 100_000, 1 << 18
 #: Rows that are put out together.
 ROWS = 1000
 #: Longer chunks aren't kept.
 CACHED_BYTES = 64
-#: The pattern of the vocabulary's pre-tokenizer.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: Bytes of a text, and ids of a chunk, that are encoded before they go to the digests.
+PIECE_BYTES, PIECE_IDS = 1 << 18, 1 << 14
+#: Symbols between two looks for stable tokens.
+STRIDE = 8
+#: The contractions and classes of the vocabulary's pre-tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+"
+#: Letters and numbers of Unicode 16.0, and lower cases of 16.0 and 17.0, which are newer than Python's tables.
+LETTERS_16 = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+LOWER_16 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+#: Marks (and one vowel sign) that the library's older normaliser leaves where they are and doesn't compose.
+LATER_RANGES = ((0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF), (0x11930, 0x11930))
+LATER_MARKS = frozenset(chr(c) for a, b in LATER_RANGES for c in range(a, b + 1))
+_LATER = re.compile("([" + "".join(sorted(LATER_MARKS)) + "])")
+
+
+def word_pattern() -> re.Pattern[str]:
+    """The pre-tokenizer's pattern, with the classes of Python's Unicode tables and the newer letters and numbers."""
+    found: dict[str, list[list[int]]] = {"L": [list(r) for r in LETTERS_16], "N": [list(r) for r in NUMBERS_16], "S": []}
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        kind = "S" if chr(c).isspace() and not 0x1C <= c <= 0x1F else kind
+        if kind in ("L", "N", "S") and (kind != "S" or chr(c).isspace()):
+            ranges = found[kind]
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    text = {k: "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in v) for k, v in found.items()}
+    return re.compile(PATTERN.format(letters=text["L"], numbers=text["N"], spaces=text["S"]))
 
 
 def byte_symbols() -> list[str]:
@@ -66,72 +101,164 @@ class Merger:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "</w>") -> None:
         self.vocab, self.suffix = vocab, suffix
         self.rank = {(a, b): r for r, (a, b) in enumerate(merges)}
+        made = {a + b for a, b in merges}
+        #: of each token that can come out: the rank of its last merge (-1: a symbol) and its parts
+        self.made: dict[str, tuple[int, str, str]] = {t: (-1, "", "") for t in vocab if t not in made}
+        for r, (a, b) in enumerate(merges):
+            if any(x in made and x not in self.made for x in (a, b)) and not self._known(a, b, made, r):
+                raise ValueError("a merge comes before those that make its parts")
+            if a in self.made and b in self.made and a + b not in self.made and self._meet(a, b) == r:
+                self.made[a + b] = (r, a, b)
+        # the end is part of the last symbol: names without it, for tokens inside and at the end
+        self.final = {t.removesuffix(suffix): vocab[t] for t in self.made if t.endswith(suffix)}
+        inner = {t for t in self.made if not t.endswith(suffix)}
+        begins = {t[:i] for t in inner | self.final.keys() for i in range(1, len(t))}
+        #: of a token inside or the beginning of a token: twice (id + 1), 0 if no token; one more if a beginning
+        self.inner = {t: (2 * (vocab[t] + 1) if t in inner else 0) + (t in begins) for t in inner | begins}
+        self.names = {i: t for t, i in vocab.items()}
         symbols = lambda s: s.removesuffix(suffix) + ("\0" if s.endswith(suffix) else "")  # noqa: E731  the suffix counts as a symbol
         self.lookahead = sufficient_lookahead([symbols(a + b) for a, b in merges])
-        self.window = 2 * self.lookahead + 2 * max(len(symbols(a + b)) for a, b in merges)
-
-    def merged(self, parts: list[str]) -> list[str]:
-        if len(parts) > 40:
-            return self._merged_long(parts)
-        rank, none = self.rank.get, 1 << 30
-        ranks = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
-            i = ranks.index(low)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
-        return parts
-
-    def _merged_long(self, parts: list[str]) -> list[str]:
-        """The same with a heap and a linked list, for long windows."""
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or parts[i] != a or parts[j] != b:
-                continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.rank.get((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return [p for p, ok in zip(parts, alive, strict=True) if ok]
-
-    def tokens(self, symbols: Iterable[str], length: int) -> Iterator[str]:
-        """Tokens of a pre-token of `length` symbols, emitted once stable."""
-        if length <= self.window:
-            parts = list(symbols)
-            parts[-1] += self.suffix
-            yield from self.merged(parts)
+        self._fits: dict[int, bool] = {}
+        self.early, self.most_held = 0, 0  # times that tokens were emitted before their pre-token was read; symbols held at most
+
+    def _known(self, a: str, b: str, made: set[str], r: int) -> bool:
+        """Whether the parts of merge r are made by earlier merges, if not as tokens of their own."""
+        return all(x not in made or any(self.rank.get((x[:i], x[i:]), r) < r for i in range(1, len(x))) for x in (a, b))
+
+    def _meet(self, a: str, b: str) -> int | None:
+        """The rank of the first merge across the border of two tokens, None without any.
+
+        Going back in time, the later merge of the two is undone; the parts at the border can
+        merge only before that (at the same rank: only to the left of it)."""
+        made, rank = self.made, self.rank
+        (ra, _, right), (rb, left, _) = made[a], made[b]
+        limit, found = len(rank), None
+        while True:
+            r = rank.get((a, b))
+            if r is not None and r < limit:
+                found = r
+            if ra < 0 and rb < 0:
+                return found
+            if rb >= ra:
+                limit, b = rb + 1, left
+                rb, left, _ = made[b]
+            else:
+                limit, a = ra, right
+                ra, _, right = made[a]
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the symbols of two tokens (ids) merge back into just these two."""
+        found = self._fits.get(left << 24 | right)
+        if found is None:
+            if len(self._fits) >= PAIRS:
+                self._fits.clear()
+            found = self._fits[left << 24 | right] = self._meet(self.names[left], self.names[right]) is None
+        return found
+
+    def tokens(self, text: str, emit: Callable[[Iterable[int]], None]) -> None:
+        """Give `emit` the ids of the tokens of one pre-token (at least one symbol), once stable.
+
+        For the places from `start`, up to which tokens have been emitted, last has the token that
+        ends there and size its symbols; live are the places from which a token may go on."""
+        whole = self.final.get(text)
+        if whole is not None:  # a token merges back into itself
+            emit((whole,))
             return
-        read, held = iter(symbols), []
-        left = length
-        while left:
-            while left and len(held) < self.window:
-                held.append(next(read))
-                left -= 1
-            if not left:
-                held[-1] += self.suffix
-                yield from self.merged(held)
+        inner, known, fits = self.inner.get, self._fits.get, self.fits
+        start, last, size, live, n = 0, [-1], [0], [], len(text)
+        for end in range(1, n):
+            live.append(end - 1)
+            token, on = -1, []
+            for i in live:
+                found = inner(text[i:end])
+                if found:
+                    if found & 1:
+                        on.append(i)
+                    if token < 0 and found > 1:
+                        found = (found >> 1) - 1
+                        before = last[i - start]
+                        fit = known(before << 24 | found) if before >= 0 else True
+                        if fit or (fit is None and fits(before, found)):
+                            token, begin = found, i
+            live = on
+            last.append(token)
+            size.append(end - begin)
+            if end - start >= STRIDE:
+                paths = [*live, end]
+                while len(paths) > 1:  # the deepest goes back by its last token until all have met
+                    deepest = paths.pop()
+                    to = deepest - size[deepest - start]
+                    if to not in paths:
+                        paths.append(to)
+                        if len(paths) > 1 and to < paths[-2]:
+                            paths.sort()
+                if end - start > self.most_held:
+                    self.most_held = end - start
+                if paths[0] > start:
+                    self.early += 1
+                    shared = paths[0] - start
+                    emit(self._path(last, size, shared))
+                    start, last, size = paths[0], last[shared:], size[shared:]
+        live.append(n - 1)
+        for i in live:
+            token = self.final.get(text[i:])
+            if token is not None and (last[i - start] < 0 or fits(last[i - start], token)):
+                emit([*self._path(last, size, i - start), token])
                 return
-            end = 0
-            for token in self.merged(held[:]):
-                if end + len(token) > len(held) - self.lookahead:
-                    break
-                yield token
-                end += len(token)
-            held = held[end:]
+        raise ValueError(f"no token ends {text!r}")
+
+    @staticmethod
+    def _path(last: list[int], size: list[int], end: int) -> list[int]:
+        """Tokens that end at `end` places after the start, but for the one emitted before."""
+        found = []
+        while end:
+            found.append(last[end])
+            end -= size[end]
+        return found[::-1]
+
+
+class Decoder:
+    """Ids to text, piece by piece. The machine's state is whether a token has come before, and
+    the bytes of an unfinished character; so its memory is constant.
+
+    feed gives what the library's decode adds for ids: the tokens' names, each after a space if it
+    isn't the first (the vocabulary has no decoder of its own). plain gives readable text: bytes
+    pass an incremental UTF-8 state machine, and word ends become spaces. Wrong bytes: U+FFFD."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.of, self.begun, self.open = tokenizer, False, False
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        names = self.of.names
+        piece = " ".join([names[i] for i in ids])
+        if self.begun and ids:
+            piece = " " + piece
+        self.begun = self.begun or bool(ids)
+        return piece
+
+    def plain(self, ids: list[int]) -> str:
+        if not self.open:
+            of = self.of.whole  # of tokens that hold whole characters only
+            parts = [of[i] for i in ids]
+            if None not in parts:
+                return "".join(parts)
+        bytes_of, decode, found, held = self.of.bytes_of, self.machine.decode, [], []
+        for i in ids:
+            part, ends = bytes_of[i]
+            held.append(part)
+            if ends:  # of a word, or a special: an unfinished character is wrong there
+                found.append(decode(b"".join(held), True))
+                found.append(" " if part else self.of.names[i])
+                held = []
+        if held:
+            found.append(decode(b"".join(held)))
+        self.open = bool(self.machine.getstate()[0])
+        return "".join(found)
+
+    def rest(self) -> str:
+        """What an unfinished character at the end gives."""
+        return self.machine.decode(b"", True)
 
 
 class Tokenizer:
@@ -144,75 +271,103 @@ class Tokenizer:
         self.merger = Merger(self.vocab, [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.of_byte = byte_symbols()
-        self._symbols = dict(enumerate(self.of_byte))
-        self.byte_of = {c: b for b, c in enumerate(self.of_byte)}
-        self._split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._words = regex.compile(PATTERN)
-        self.kept: dict[bytes, tuple[int, str, str]] = {}
-        self._old: dict[bytes, tuple[int, str, str]] = {}
-
-    def forget(self) -> None:
-        """Empty the cache of chunks."""
-        self.kept.clear()
-        self._old.clear()
-
-    def encode(self, text: str) -> Iterator[int]:
-        """Ids of a text; specials are matched before it is normalised (NFC, lower case)."""
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        self.numbers = [str(i) for i in range(max(self.names) + 1)]
+        suffix = self.merger.suffix
+        self.bytes_of = {i: (bytes([byte_of[c] for c in t.removesuffix(suffix)]), t.endswith(suffix)) for t, i in self.vocab.items()}
+        self.bytes_of |= {i: (b"", True) for i in self.special.values()}
+        self.whole: list[str | None] = [None] * (max(self.names) + 1)
+        for i, (part, ends) in self.bytes_of.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                self.whole[i] = part.decode() + (" " if ends else "") if part else self.names[i]
+        self._symbols = dict(enumerate(byte_symbols()))
+        self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self._ascii, self._words = re.compile(PATTERN.format(letters="a-z", numbers="0-9", spaces=r"\x09-\x0d\x20")), None
+        self.kept: dict[bytes, tuple[int, ...]] = {}
+        self._old: dict[bytes, tuple[int, ...]] = {}
+        self._parts: dict[str, list[int]] = {}
+
+    def encode(self, text: str, emit: Callable[[Iterable[int]], None]) -> None:
+        """Give `emit` the ids of a text; specials are matched before it is normalised (NFC, lower case)."""
         for piece in self._split.split(text) if self._split and "<" in text else (text,):
             if piece in self.special:
-                yield self.special[piece]
+                emit((self.special[piece],))
                 continue
             if piece.isascii():
                 piece = piece.lower()
-                parts = (piece,) if piece.isalpha() else self._words.findall(piece)
+                parts = (piece,) if piece.isalpha() else (m[0] for m in self._ascii.finditer(piece))
             else:  # characters are lowered one by one: no final sigma
-                parts = self._words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+                self._words = self._words or word_pattern()
+                piece = "".join([x if x in LATER_MARKS else unicodedata.normalize("NFC", x) for x in _LATER.split(piece)])
+                piece = piece.replace("Σ", "σ").lower().translate(LOWER_16)
+                parts = (m[0] for m in self._words.finditer(piece))
             for part in parts:
-                symbols = part.encode().decode("latin-1").translate(self._symbols)
-                for token in self.merger.tokens(symbols, len(symbols)):
-                    yield self.vocab[token]
-
-    def chunk(self, data: bytes) -> tuple[int, str, str]:
-        """Of a text without ASCII white space: the number of ids, the ids and their tokens."""
+                found = self._parts.get(part)
+                if found is not None:
+                    emit(found)
+                    continue
+                symbols = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self._symbols)
+                if len(part) > CACHED_BYTES:
+                    self.merger.tokens(symbols, emit)
+                    continue
+                found = []
+                self.merger.tokens(symbols, found.extend)
+                if len(self._parts) >= CACHE:
+                    self._parts.clear()
+                self._parts[part] = found
+                emit(found)
+
+    def chunk(self, data: bytes) -> tuple[int, ...]:
+        """Ids of a text without ASCII white space."""
         found = self.kept.get(data)
         if found is None:
             found = self._old.pop(data, None)
             if found is None:
-                ids = list(self.encode(data.decode()))
-                found = len(ids), " ".join(map(str, ids)), self.joined(ids)
+                ids: list[int] = []
+                self.encode(data.decode(), ids.extend)
+                found = tuple(ids)
             if len(data) <= CACHED_BYTES:
                 if len(self.kept) >= CACHE:
-                    self._old = self.kept.copy()
-                    self.kept.clear()
+                    self._old, self.kept = self.kept, {}
                 self.kept[data] = found
         return found
 
-    def joined(self, ids: Iterable[int]) -> str:
-        """The tokens' strings, with a space between: what a vocabulary without a decoder gives."""
-        return " ".join([self.names[i] for i in ids])
+    def pieces(self, data: bytes, put: Callable[[list[int]], None]) -> None:
+        """Give `put` the ids of a text, piece by piece."""
+        begin = 0
+        while begin < len(data):
+            end = len(data)
+            if end - begin > PIECE_BYTES:  # a piece ends at white space
+                cut = _SPACES.search(data, begin + PIECE_BYTES)
+                end = cut.start() if cut else end
+            part = data[begin:end].strip()
+            begin = end
+            if len(part) > PIECE_BYTES and not _SPACES.search(part):  # one chunk
+                held: list[int] = []
+
+                def take(ids: Iterable[int], held: list[int] = held) -> None:
+                    held.extend(ids)
+                    if len(held) >= PIECE_IDS:
+                        put(held[:])
+                        held.clear()
+
+                self.encode(part.decode(), take)
+                put(held)
+                continue
+            chunk = self.chunk
+            put(list(itertools.chain.from_iterable([chunk(c) for c in part.split()])))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Plain text, piece by piece: bytes go through an incremental UTF-8 state machine, which
-        holds back an unfinished character only; word ends become spaces. Wrong bytes: U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        suffix = self.merger.suffix
-        for i in ids:
-            name = self.names[i]
-            if name in self.special:
-                yield machine.decode(b"", True) + name
-                machine.reset()
-                continue
-            piece = machine.decode(bytes(self.byte_of[c] for c in name.removesuffix(suffix)), name.endswith(suffix))
-            if name.endswith(suffix):
-                machine.reset()
-                piece += " "
-            if piece:
-                yield piece
-        if rest := machine.decode(b"", True):
+        """Plain text of ids, piece by piece."""
+        machine = Decoder(self)
+        yield from filter(None, (machine.plain([i]) for i in ids))
+        if rest := machine.rest():
             yield rest
 
 
+_SPACES = re.compile(rb"[\x09-\x0d\x20]")
+
+
 _tokenizers: dict[int, Tokenizer] = {}
 
 
@@ -239,44 +394,51 @@ class _Definition:
 
 def _digests(definition: _Definition, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         tokenizer = _shared_tokenizer(definition)
+        numbers = tokenizer.numbers
         for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
-            n, ids, decoded, lists = [], [], [], []
+            counts, digests, lists = [], ([], [], []), []
             for text in b.column(1):
-                kept = tokenizer.kept
-                found = [kept.get(c) or tokenizer.chunk(c) for c in (text.as_py() or "").encode().split()]
-                counts, parts, names = zip(*found, strict=True) if found else ((), (), ())
-                if 0 in counts:  # chunks without any token
-                    counts, parts, names = zip(*[x for x in found if x[0]] or [(0, "", "")], strict=True)
-                n.append(sum(counts))
-                line = " ".join(parts)
-                ids.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
-                if with_ids:
-                    lists.append(np.fromstring(line, dtype=np.int32, sep=" "))
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                decoder, of, own, sizes = Decoder(tokenizer), [hashlib.sha256() for _ in digests], [np.zeros(0, np.int32)], []
+
+                def put(ids: list[int], decoder=decoder, of=of, own=own, sizes=sizes) -> None:
+                    line = " ".join([numbers[i] for i in ids])
+                    of[0].update(f" {line}".encode() if sizes and ids else line.encode())
+                    of[1].update(decoder.feed(ids).encode())
+                    of[2].update(decoder.plain(ids).encode())
+                    if with_ids:
+                        own.append(np.array(ids, dtype=np.int32))
+                    if ids:
+                        sizes.append(len(ids))
+
+                tokenizer.pieces((text.as_py() or "").encode(), put)
+                of[2].update(decoder.rest().encode())
+                counts.append(sum(sizes))
+                for to, digest in zip(digests, of, strict=True):
+                    to.append(digest.hexdigest())
+                lists.append(np.concatenate(own) if with_ids else own[0])
+            columns = [b.column(0), pa.array(counts, pa.int64()), *[pa.array(x, pa.string()) for x in digests]]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"]
             if with_ids:
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        tokenizer.forget()  # the worker goes on to other tasks
 
     return run
 
 
 def encode_documents(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) for every row of (doc_id, text).
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256 (and ids) for every row of (doc_id, text).
 
     path: a vocabulary file of word-end BPE, read by the driver and broadcast (its size doesn't
-    depend on the data). ids_sha256 is of the decimal ids joined by one space, decoded_sha256 of
-    the tokens' strings joined by one space, both in UTF-8. Null, empty and blank texts have no
-    tokens. A null doc_id stays null; repeated rows give a row each. Other columns are ignored.
-    Nothing is shuffled; a row needs memory for its own text and ids only.
+    depend on the data). Digests are of UTF-8: ids_sha256 of the decimal ids joined by one space;
+    decoded_sha256 of what `Decoder.feed` makes of the ids, which for a vocabulary without a
+    decoder are the tokens' names joined by one space; text_sha256 of the plain text of
+    `Decoder.plain`. Null, empty and blank texts have no tokens. A null doc_id stays null;
+    repeated rows give a row each. Other columns, whatever their names, are ignored. Nothing is
+    shuffled. Beside the row itself, memory holds a piece of its tokens (with_ids: all its ids).
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string" + (", ids array<int>" if with_ids else "")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(tidied(_digests(_Definition(documents.sparkSession, path), with_ids)), schema)

@@ -137,15 +137,54 @@ def test_bpe_equals_the_library(spark, tokenizer):
         assert out[i].ids == ids and out[i].n_tokens == len(ids)
         assert out[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert out[i].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+        plain = "".join(tokenizer.decode(ids))
+        assert out[i].text_sha256 == hashlib.sha256(plain.encode()).hexdigest()
     assert "".join(tokenizer.decode(library.encode("naïve 日本").ids)) == "naïve 日本 "
+    assert "".join(tokenizer.decode([tokenizer.vocab["ð"], 49407, tokenizer.vocab["a</w>"]])) == "\ufffd<|endoftext|>a "
 
 
-def test_stream_is_stable_with_a_small_window(tokenizer, monkeypatch):
-    text = "".join(random.Random(2).choice("inthaerso") for _ in range(3000))
-    whole = list(tokenizer.encode(text))
-    monkeypatch.setattr(tokenizer.merger, "window", 80)
-    monkeypatch.setattr(tokenizer.merger, "lookahead", 32)
-    assert list(tokenizer.encode(text)) == whole
+def own_ids(tokenizer, text):
+    ids = []
+    tokenizer.pieces(text.encode(), ids.extend)
+    return ids
+
+
+def test_bpe_streams_real_documents(spark, tokenizer):
+    """Every document of sf0.01 as the library encodes it; tokens leave before their word is read,
+    and few symbols are held."""
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(queries.vocabulary_path())
+    tokenizer.merger.early = tokenizer.merger.most_held = 0
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, whole in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own_ids(tokenizer, text) == whole.ids
+    assert tokenizer.merger.early > 10_000 and tokenizer.merger.most_held <= 32 < tokenizer.merger.lookahead
+
+
+def test_bpe_random_strings(tokenizer):
+    import tokenizers
+
+    library, rng = tokenizers.Tokenizer.from_file(queries.vocabulary_path()), random.Random(9)
+    points = [lambda: rng.randrange(0x110000), lambda: rng.randrange(0x3000), lambda: rng.randrange(128), lambda: rng.randrange(0x1C00, 0x1D00), lambda: rng.randrange(0x10000, 0x17000)]
+    for _ in range(2000):
+        text = "".join(chr(c) for c in (rng.choice(points)() for _ in range(20)) if not 0xD800 <= c < 0xE000)
+        assert own_ids(tokenizer, text) == library.encode(text, add_special_tokens=False).ids
+    for text in ("".join(rng.choice("inthaersoxq'") for _ in range(5000)), "inthaer" * 9000, "a" * 400_000, "x1!" * 100_000):
+        assert own_ids(tokenizer, text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_pieces_change_nothing(tokenizer, monkeypatch):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("inthaersoé") for _ in range(rng.choice([3, 9, 200]))) for _ in range(300))
+    whole = own_ids(tokenizer, text)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 50)
+    monkeypatch.setattr(bpe, "PIECE_IDS", 3)
+    held = []
+    tokenizer.pieces(text.encode(), held.append)
+    assert [i for ids in held for i in ids] == whole and len(held) > 100
+    machine = bpe.Decoder(tokenizer)
+    assert "".join(machine.plain([i]) for i in whole) + machine.rest() == bpe.Decoder(tokenizer).plain(whole)
 
 
 def test_vectors(spark):
