@@ -1,15 +1,19 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 A suffix of a document's words goes to a group by its prefix. Prefixes have variable length: a
-prefix that holds more suffixes than a group should is extended by a word, up to MAX_PREFIX
-words, so groups fit in memory. Each group builds the part of the generalised suffix tree below
-its prefixes as deep as it matters: suffixes sorted by their first `words` words, where each run
-of equal ones is an internal node of at least that depth. A node's occurrences outside the
-smallest document under it repeat; runs of such windows are a document's maximal repeats.
+prefix that holds more suffixes than a group should is extended by a word, as often as needed
+(up to `words` words), so groups fit in memory. A group builds the part of the generalised suffix
+tree below its prefixes as deep as it matters, as a suffix array: its suffixes in the order of
+their keys, with the depth at which neighbours part. A key has codes of the suffix's beginnings
+at LEVELS depths, then the hash of its first `words` words, so neighbours share as many words as
+the codes say. Runs whose neighbours part no sooner than `words` are the internal nodes of at
+least that depth. A node's occurrences outside the smallest document under it repeat; runs of
+such windows are a document's maximal repeats.
 
 Before suffixes are dealt, equal windows of one flush are reduced to those of their smallest
 document; the others are known to repeat already. So a passage that very many documents share
-reaches its group once for each flush.
+reaches its group once for each flush. Beyond GROUPS groups the suffixes go there in two hops:
+first to GROUPS parts, where they are reduced again and dealt on by their whole window.
 """
 
 from __future__ import annotations
@@ -28,58 +32,93 @@ from ._tables import stored
 
 #: Suffixes that are reduced together before they are dealt.
 FLUSH = 1 << 19
-#: Suffixes of a group on average, groups at most, and words of a group's prefix at most.
-GROUP_SUFFIXES, MAX_GROUPS, MAX_PREFIX = 1 << 20, 1 << 16, 4
+#: Suffixes of a group on average, and groups that one hop deals to.
+GROUP_SUFFIXES, GROUPS = 1 << 20, 4096
+#: Codes of a key, of four bits each.
+LEVELS = 8
 _DEALT = "part int, kind int, docs binary, counts binary, windows binary, places binary"
-
-
-def _prefixes(w: _words.Words, at: np.ndarray, depth: int) -> np.ndarray:
+_KINDS = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+
+
+def levels(words: int) -> list[int]:
+    """The depths at which a key has codes: LEVELS at most, between 1 and `words` - 1."""
+    return sorted({d for i in range(1, LEVELS + 1) if 0 < (d := round(words * i / (LEVELS + 1))) < words})
+
+
+def keys(w: _words.Words, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the suffixes of at least `words` words: window hash, codes, number of the first word."""
+    m = len(w.hash) - words + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    at = np.flatnonzero(w.doc[:m] == w.doc[words - 1 :])
+    h, code, depths = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=np.uint32), set(levels(words))
+    for j in range(words):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w.hash[j : m + j]
+        if j + 1 in depths:
+            code = code << np.uint32(4) | (h >> np.uint64(60)).astype(np.uint32)
+    return _words.mix(h[at], words), code[at], at
+
+
+def suffix_order(h: np.ndarray, code: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order of their keys, and how many words each shares with the one before it
+    (0 for the first; below `words`, the greatest level whose codes agree)."""
+    order = np.lexsort((h, code))
+    depth = np.zeros(len(order), dtype=np.int64)
+    if len(order) > 1:
+        depths = levels(words)
+        apart = code[order][1:] ^ code[order][:-1]
+        agree = sum(((apart >> np.uint32(4 * i)) == 0).astype(np.int64) for i in range(len(depths)))
+        depth[1:] = np.array([0, *depths])[agree]
+        depth[1:][(apart == 0) & (h[order][1:] == h[order][:-1])] = words
+    return order, depth
+
+
+def _prefixes(hashes: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Hash of the first `depth` words of the suffixes that start at words `at`."""
     h = np.zeros(len(at), dtype=np.uint64)
     for j in range(depth):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w.hash[at + j]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j]
     return _words.mix(h, 50 + depth)
 
 
 def _frequent_prefixes(words: int, share: float):
-    """(depth, prefix, n) where a prefix has at least `share` of a flush's suffixes."""
-
-    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for depth, parts in enumerate(held, 1):
-            prefix, n = np.unique(np.concatenate(parts), return_counts=True)
-            keep = n >= share * n.sum()
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), depth, np.int32)), pa.array(prefix[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["depth", "prefix", "n"])
+    """(depth, prefix, n) where a prefix has at least `share` of a flush's suffixes; depth 0: all."""
+
+    def rows(depth: int, prefix: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), depth, np.int32)), pa.array(prefix.view(np.int64)), pa.array(n.astype(np.int64))], ["depth", "prefix", "n"])
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        hashes, parts = zip(*held, strict=True)
+        before = np.cumsum([0, *map(len, hashes)])[:-1]
+        hashes, at = np.concatenate(hashes), np.concatenate([x + y for x, y in zip(parts, before, strict=True)])
+        size = len(at)
+        yield rows(0, np.zeros(1, np.uint64), np.array([size]))
+        for depth in range(1, words):
+            prefix = _prefixes(hashes, at, depth)
+            found, n = np.unique(prefix, return_counts=True)
+            keep = n >= share * size
+            if not keep.any():
+                break
+            yield rows(depth, found[keep], n[keep])
+            at = at[np.isin(prefix, found[keep])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        depths = range(1, min(MAX_PREFIX, words))
-        held, size = [[] for _ in depths], 0
+        held, size = [], 0
         for b in batches:
             for w in _words.slices(b.column(1), lower=False):
-                _, at = _words.windows(w, words)
-                for d in depths:
-                    held[d - 1].append(_prefixes(w, at, d))
+                m = len(w.hash) - words + 1
+                at = np.flatnonzero(w.doc[:m] == w.doc[words - 1 :]) if m > 0 else np.zeros(0, np.int64)
+                held.append((w.hash, at))
                 size += len(at)
                 if size >= FLUSH:
                     yield from flush(held)
-                    held, size = [[] for _ in depths], 0
+                    held, size = [], 0
         if size:
             yield from flush(held)
 
     return run
 
 
-def _count(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for b in batches:
-            for w in _words.slices(b.column(1), lower=False, hashed=False):
-                n += int(np.maximum(w.counts - words + 1, 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return run
-
-
 def pack_places(doc: np.ndarray, place: np.ndarray) -> bytes:
     """Places, ascending within a document, as byte planes of their differences."""
     step = np.diff(place.astype(np.int64), prepend=0)
@@ -95,91 +134,128 @@ def unpack_places(data: bytes, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[heads] - step[heads], counts)
 
 
-def _deal(words: int, groups: int, frequent: list[np.ndarray]):
-    """kind 0: suffixes to be looked up in the tree; 1: windows that are known to repeat."""
-
-    def rows(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None) -> Iterator[tuple]:
-        order = np.argsort(part, kind="stable")
-        part, doc, place = part[order], doc[order], place[order]
-        h = h[order] if h is not None else None
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(part)]]), strict=True):
-            if b > a:
-                heads = np.concatenate([[0], np.flatnonzero(np.diff(doc[a:b])) + 1])
-                n = np.diff(np.concatenate([heads, [b - a]])).astype(np.uint32)
-                packed = np.ascontiguousarray(h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes() if h is not None else b""
-                yield int(part[a]), kind, doc[a:b][heads].tobytes(), n.tobytes(), packed, pack_places(doc[a:b], place[a:b])
-
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        doc, place, h, part = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(h, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-        least = np.minimum.reduceat(doc[order], heads)
-        known = np.zeros(len(h), dtype=bool)
-        known[order] = doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))
-        del order, heads, least
-        by = np.lexsort((place, doc))  # rows of a document may stand apart
-        doc, place, h, part, known = doc[by], place[by], h[by], part[by], known[by]
-        out = [*rows(0, part[~known], doc[~known], place[~known], h[~known])]
-        if known.any():
-            doc, place = doc[known], place[known]
-            out += rows(1, (_words.mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.uint16), doc, place, None)
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
-
+def _rows(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None, code: np.ndarray | None) -> Iterator[tuple]:
+    """Suffixes in order of document and place, packed by part."""
+    order = np.argsort(part, kind="stable")
+    part, doc, place = part[order], doc[order], place[order]
+    if h is not None:
+        wide = np.empty((len(order), 11), dtype=np.uint8)
+        wide[:, :7] = h[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+        wide[:, 7:] = code[order].astype("<u4").view(np.uint8).reshape(-1, 4)
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(part)]]), strict=True):
+        if b > a:
+            heads = np.concatenate([[0], np.flatnonzero(np.diff(doc[a:b])) + 1])
+            n = np.diff(np.concatenate([heads, [b - a]])).astype(np.uint32)
+            yield int(part[a]), kind, doc[a:b][heads].tobytes(), n.tobytes(), wide[a:b].tobytes() if h is not None else b"", pack_places(doc[a:b], place[a:b])
+
+
+def _unpacked(docs: bytes, counts: bytes, windows: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = np.frombuffer(counts, np.uint32)
+    wide = np.frombuffer(windows, np.uint8).reshape(-1, 11)
+    h = np.zeros((len(wide), 8), dtype=np.uint8)
+    h[:, :7] = wide[:, :7]
+    return np.repeat(np.frombuffer(docs, np.int64), n), unpack_places(places, n), h.view("<u8").ravel(), np.ascontiguousarray(wide[:, 7:]).view("<u4").ravel()
+
+
+def _reduced(doc: np.ndarray, place: np.ndarray, h: np.ndarray, code: np.ndarray, part: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """kind 0: suffixes to be looked up in the tree; 1: windows that are known to repeat, since a
+    smaller document of the same flush has them, dealt by their documents."""
+    order = np.argsort(h, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    least = np.minimum.reduceat(doc[order], heads)
+    known = np.zeros(len(h), dtype=bool)
+    known[order] = doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))
+    del order, heads, least
+    by = np.lexsort((place, doc))  # rows of a document may stand apart
+    doc, place, h, code, part, known = doc[by], place[by], h[by], code[by], part[by], known[by]
+    out = [*_rows(0, part[~known], doc[~known], place[~known], h[~known], code[~known])]
+    if known.any():
+        doc, place = doc[known], place[known]
+        out += _rows(1, (_words.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc, place, None, None)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _KINDS, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
+
+
+def _deal(words: int, groups: int, buckets: int, frequent: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for w in _words.slices(b.column(1), lower=False):
-                h, at = _words.windows(w, words)
+                h, code, at = keys(w, words)
                 if not len(at):
                     continue
-                key = _prefixes(w, at, 1)
+                key, open_ = _prefixes(w.hash, at, 1), np.arange(len(at))
                 for depth, often in enumerate(frequent, 1):
-                    deeper = np.isin(key, often)
-                    if not deeper.any():
+                    open_ = open_[np.isin(key[open_], often)]
+                    if not len(open_):
                         break
-                    key[deeper] = _prefixes(w, at[deeper], depth + 1)
-                held.append((ids[w.first + w.doc[at]], (at - w.heads[w.doc[at]]).astype(np.uint32), h, (_words.mix(key) % np.uint64(groups)).astype(np.uint16)))
+                    key[open_] = _prefixes(w.hash, at[open_], depth + 1)
+                held.append((ids[w.first + w.doc[at]], (at - w.heads[w.doc[at]]).astype(np.uint32), h, code, (_words.mix(key) % np.uint64(groups)).astype(np.int32)))
                 size += len(at)
                 if size >= FLUSH:
-                    yield from flush(held)
-                    size = 0
+                    arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held, size = [], 0
+                    yield _reduced(*arrays, buckets)
         if size:
-            yield from flush(held)
+            yield _reduced(*[np.concatenate(x) for x in zip(*held, strict=True)], buckets)
+
+    return run
+
+
+def _deal_on(fine: int, buckets: int):
+    """Of rows of _DEALT that stand together by part: each part's suffixes reduced and dealt to
+    `fine` groups by their whole window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, of = [], 0, -1
+
+        def flush() -> pa.RecordBatch:
+            doc, place, h, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return _reduced(doc, place.astype(np.uint32), h, code, (of * fine + (_words.mix(h, 3) % np.uint64(fine)).astype(np.int64)).astype(np.int32), buckets)
+
+        for b in batches:
+            kinds = b.column("kind").to_numpy()
+            if (kinds == 1).any():
+                yield b.filter(pa.array(kinds == 1))
+            rows = b.filter(pa.array(kinds == 0))
+            for part, *packed in zip(*(rows.column(c).to_pylist() for c in ("part", "docs", "counts", "windows", "places")), strict=True):
+                if held and (part != of or size >= FLUSH):
+                    yield flush()
+                    size = 0
+                of = part
+                held.append(_unpacked(*packed))
+                size += len(held[-1][0])
+        if held:
+            yield flush()
 
     return run
 
 
-def _subtree(groups: int):
+def _subtree(words: int, buckets: int):
     """Of one group: the windows that a smaller document has too, packed by bucket of documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        out_doc, out_place, docs, places, windows = [], [], [], [], []
+        out_doc, out_place, held = [], [], []
         for kind, d, c, h, p in zip(*(table.column(x).to_pylist() for x in ("kind", "docs", "counts", "windows", "places")), strict=True):
-            n = np.frombuffer(c, np.uint32)
-            doc, place = np.repeat(np.frombuffer(d, np.int64), n), unpack_places(p, n)
             if kind:
-                out_doc.append(doc)
-                out_place.append(place)
+                n = np.frombuffer(c, np.uint32)
+                out_doc.append(np.repeat(np.frombuffer(d, np.int64), n))
+                out_place.append(unpack_places(p, n))
             else:
-                wide = np.zeros((len(doc), 8), dtype=np.uint8)
-                wide[:, :7] = np.frombuffer(h, np.uint8).reshape(-1, 7)
-                docs.append(doc)
-                places.append(place)
-                windows.append(wide.view("<u8").ravel())
-        if docs:
-            doc, place, h = np.concatenate(docs), np.concatenate(places), np.concatenate(windows)
-            order = np.argsort(h, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-            least = np.minimum.reduceat(doc[order], heads)  # of each node of depth >= words
-            repeats = order[doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))]
+                held.append(_unpacked(d, c, h, p))
+        if held:
+            doc, place, h, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order, depth = suffix_order(h, code, words)
+            nodes = np.flatnonzero(depth < words)  # where each node of depth >= words, or lone leaf, begins
+            least = np.minimum.reduceat(doc[order], nodes)
+            repeats = order[doc[order] > np.repeat(least, np.diff(np.concatenate([nodes, [len(h)]])))]
             out_doc.append(doc[repeats])
             out_place.append(place[repeats])
         doc, place = np.concatenate(out_doc), np.concatenate(out_place)
-        bucket = (_words.mix(doc.view(np.uint64), 7) % np.uint64(groups)).astype(np.int64)
+        bucket = (_words.mix(doc.view(np.uint64), 7) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((place, doc, bucket))
         doc, place, bucket = doc[order], place[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -241,15 +317,21 @@ def repeated_windows(documents: DataFrame, words: int = 13) -> DataFrame:
     """(doc_id, places): word numbers, packed as little-endian uint32, at which a window of `words`
     words starts that also starts in a document with a smaller doc_id; no row without any."""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = docs.mapInArrow(_count(words), "n long").agg(F.sum("n")).first()[0] or 0
-    groups = min(MAX_GROUPS, max(16, math.ceil(total / GROUP_SUFFIXES)))
-    # reported counts are too small by at most a quarter of a group's share; at most 4/3 of a
-    # prefix for each group can reach the bound, so what is collected has a proven size
-    counts = docs.mapInArrow(tidied(_frequent_prefixes(words, 1 / (4 * groups))), "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("n") >= 3 * total / (4 * groups)).collect()
-    frequent = [np.array([r.prefix for r in often if r.depth == d], dtype=np.int64).view(np.uint64) for d in range(1, min(MAX_PREFIX, words))]
-    dealt = docs.mapInArrow(tidied(_deal(words, groups, frequent)), _DEALT)
-    found = dealt.groupBy("part").applyInArrow(_subtree(groups), "bucket int, docs binary, places binary")
+    # reported counts are too small by at most a quarter of a part's share
+    counts = stored(docs.mapInArrow(tidied(_frequent_prefixes(words, 1 / (4 * GROUPS))), "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n")), "substring-prefixes")
+    whole = counts.where("depth = 0").first()
+    total = whole.n if whole else 0
+    groups = max(16, math.ceil(total / GROUP_SUFFIXES))
+    parts = min(GROUPS, groups)
+    fine = math.ceil(groups / parts)
+    # of each depth at most 4/3 prefixes for each part reach the bound, so what is collected has a
+    # proven size
+    often = counts.where((F.col("depth") > 0) & (F.col("n") >= 3 * total / (4 * parts))).collect()
+    frequent = [np.sort(np.array([r.prefix for r in often if r.depth == d], dtype=np.int64).view(np.uint64)) for d in range(1, words)]
+    dealt = docs.mapInArrow(tidied(_deal(words, parts, parts * fine, frequent)), _DEALT)
+    if fine > 1:
+        dealt = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(_deal_on(fine, parts * fine)), _DEALT)
+    found = dealt.groupBy("part").applyInArrow(_subtree(words, parts * fine), "bucket int, docs binary, places binary")
     return found.groupBy("bucket").applyInArrow(_gathered, "doc_id long, places binary")
 
 
@@ -262,7 +344,8 @@ def substring_dedup(documents: DataFrame, words: int = 13, joined: bool = True)
     the maximal runs of removed words (start, words). Null, empty and blank texts have no words
     and keep an empty (joined=False: their own) text. Rows with a null doc_id lose nothing and
     take nothing from others. doc_id is the key: rows that repeat it never count as smaller.
-    Other columns are ignored. Windows are told apart by a 56-bit hash within their group.
+    Other columns, whatever their names, are ignored. Windows are told apart by 88 bits
+    of their keys.
     """
     places = stored(repeated_windows(documents, words), "substring-places")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places, "doc_id", "left")
@@ -271,22 +354,30 @@ def substring_dedup(documents: DataFrame, words: int = 13, joined: bool = True)
 
 def without_repeats(documents: DataFrame, words: int = 13) -> DataFrame:
     """`documents` with the spans of `substring_dedup` (joined=False) cut out of the texts, and
-    n_chars of changed texts anew. Texts are shuffled once; other rows and columns stay as is."""
-    places = stored(repeated_windows(documents, words), "substring-places").withColumnRenamed("doc_id", "places_of")
-    cut = _cut(words, joined=False)
-    names = documents.columns
-    at = names.index("text")
+    n_chars (if there is such a column) of changed texts anew. Texts are shuffled once. Other rows
+    and columns stay as they are, whatever their names; null and empty texts and rows with a null
+    doc_id too. Rows that repeat a doc_id give a row each; an empty table gives an empty result."""
+    places = stored(repeated_windows(documents, words), "substring-places")
+    cut, fields = _cut(words, joined=False), documents.schema.fields
+    names = [f.name for f in fields]
+    at, sized = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part = pa.RecordBatch.from_arrays([b.column(0), b.column(at), b.column(len(names))], ["doc_id", "text", "places"])
-            out = pa.Table.from_batches(list(cut(iter([part])))) if b.num_rows else None
-            kept, gone = ([], []) if out is None else (out.column("kept").to_pylist(), out.column("n_removed").to_pylist())
-            text = [k if n else t for k, n, t in zip(kept, gone, b.column(at).to_pylist(), strict=True)]
-            changed = pa.array([bool(n) for n in gone], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[pa.array(text, pa.string()) if i == at else b.column(i) for i in range(len(names))], changed], [*names, "changed"])
-
-    joined = documents.join(places, F.col("doc_id").cast("long") == F.col("places_of"), "left").select(*names, "places")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", changed boolean"
-    out = joined.mapInArrow(tidied(run), schema)
-    return out.withColumn("n_chars", F.when(F.col("changed"), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)).select(*names)
+            columns = b.column(0).flatten()
+            text = columns[at].to_pylist()
+            part = pa.RecordBatch.from_arrays([columns[names.index("doc_id")], columns[at], b.column(1)], ["doc_id", "text", "places"])
+            for out in cut(iter([part])) if b.num_rows else ():
+                begin = b.num_rows - len(text)
+                kept, gone = out.column("kept").to_pylist(), out.column("n_removed").to_pylist()
+                now = [k if n else t for k, n, t in zip(kept, gone, text, strict=False)]
+                text = text[len(kept) :]
+                own = [c.slice(begin, len(kept)) for c in columns]
+                own[at] = pa.array(now, columns[at].type)
+                if sized >= 0:
+                    own[sized] = pa.array([len(t) if n else old for t, n, old in zip(now, gone, own[sized].to_pylist(), strict=True)], columns[sized].type)
+                yield pa.RecordBatch.from_arrays(own, names)
+
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = rows.join(places, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left").select("row", "places")
+    return joined.mapInArrow(tidied(run), documents.schema)

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from linemetry.llm import bpe, mixing, ngram_join, queries, url_filter
+from linemetry.llm import substring_dedup as substring
 from linemetry.llm.collision_ann import approximate_neighbours
 from linemetry.llm.exact_topk import exact_top_k
 from linemetry.llm.lm_scoring import score_documents
@@ -106,6 +107,63 @@ def test_substring_dedup(spark):
     assert all(whole[i] == (t or "") for i, t, *_ in rows if i <= 25)
 
 
+def removed_by_force(rows, k):
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for j in range(len(w) - k + 1):
+            g = tuple(w[j : j + k])
+            first[g] = min(first.get(g, i), i)
+    return {i: len({p for j in range(len(words(t)) - k + 1) if first[tuple(words(t)[j : j + k])] < i for p in range(j, j + k)}) for i, t in rows}
+
+
+def test_substring_dedup_splits_a_hot_prefix(spark, monkeypatch):
+    """Every suffix begins with the same four words somewhere; groups stay bounded, in two hops too."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"of the hot line w{rng.randrange(50)}" for _ in range(80))) for i in range(30)]
+    rows += [(100 + i, rows[i][1]) for i in range(3)] + [(200, "of the hot line " * 30)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = removed_by_force(rows, 13)
+    monkeypatch.setattr(substring, "FLUSH", 2000)
+    sizes = []
+    for size, at_once in ((1 << 20, 4096), (500, 4096), (200, 20)):
+        monkeypatch.setattr(substring, "GROUP_SUFFIXES", size)
+        monkeypatch.setattr(substring, "GROUPS", at_once)
+        assert {r.doc_id: r.n_removed for r in substring.substring_dedup(df).collect()} == expected
+    frequent = [[np.zeros(0, np.uint64)] * 12, None]
+    counts = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(substring._frequent_prefixes(13, 1 / 64), "depth int, prefix long, n long").groupBy("depth", "prefix").sum("n").collect()
+    total = next(r[2] for r in counts if r.depth == 0)
+    frequent[1] = [np.array([r.prefix for r in counts if r.depth == d and r[2] >= total / 32], dtype=np.int64).view(np.uint64) for d in range(1, 13)]
+    for often in frequent:
+        dealt = df.mapInArrow(substring._deal(13, 64, 64, often), substring._DEALT).where("kind = 0").select("part", "counts").collect()
+        of = Counter()
+        for r in dealt:
+            of[r.part] += int(np.frombuffer(r.counts, np.uint32).sum())
+        sizes.append(max(of.values()))
+    assert sizes[1] < sizes[0] / 2 and sizes[1] < total / 10
+
+
+def test_suffix_order():
+    """Neighbours share the words that the depths say: at least those of the level, and fewer than the next."""
+    import pyarrow as pa
+
+    from linemetry.llm import _words
+
+    rng = random.Random(3)
+    text = [rng.choice("abc") for _ in range(400)]
+    w = next(_words.slices(pa.array([" ".join(text)]), lower=False))
+    h, code, at = substring.keys(w, 13)
+    order, depth = substring.suffix_order(h, code, 13)
+    windows = [tuple(text[i : i + 13]) for i in at[order]]
+    wrong = 0
+    for x, y, d in zip(windows, windows[1:], depth[1:].tolist(), strict=False):
+        shared = next((i for i in range(13) if x[i] != y[i]), 13)
+        level = max([0, *(v for v in (*substring.levels(13), 13) if v <= shared)])
+        assert d >= level and (d == 13) == (shared == 13)
+        wrong += d != level  # codes have four bits, so one in sixteen may agree by chance
+    assert wrong < 0.2 * len(windows) and len(set(windows)) == (depth < 13).sum()
+
+
 @pytest.mark.parametrize("name", ["op3_ngram_jaccard_join", "op7_exact_top_k", "op10_substring_dedup"])
 def test_sql(spark, name):
     con = duckdb.connect()
