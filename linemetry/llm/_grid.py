@@ -9,9 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows and queries of a cell at most on average, and row blocks at least (for parallel work).
-BLOCK_ROWS, BLOCK_QUERIES, LEAST_BLOCKS = 8192, 2048, 16
-
 
 def matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
     lists = column.combine_chunks()
@@ -26,39 +23,40 @@ def finite(vector: str):
     return F.coalesce((F.size(vector) > 0) & ~wrong, F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, kernel: Callable, value: str) -> DataFrame:
-    """query_id, rank, vec_id, score from `vectors` and `queries` (vec_id, embedding).
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, kernel: Callable, ascending: bool, block_rows: int, block_queries: int, least_cells: int) -> DataFrame:
+    """query_id, rank, vec_id, value from `vectors` and `queries` (vec_id, embedding).
 
-    Rows and queries are cut into blocks by hash; a cell is one block of each, and `kernel(query
-    ids, query vectors, row ids, row vectors)` returns its best k for each query: arrays of query
-    id, row id, score. A query meets each row in one cell; vectors of another length than the
-    query's never meet it (blocks hold one length). Cells keep k rows for each query, and the
-    ranking reduces them before its shuffle (window group limit).
+    Rows and queries are cut into blocks by hash, of about `block_rows` and `block_queries`; a
+    cell is one block of each. `kernel(query numbers, query ids, query vectors, row ids, row
+    vectors)` returns its best k for each query: arrays of query number, row id, value. A query
+    meets each row in one cell; vectors of another length than the query's never meet it (blocks
+    hold one length). Small tables are cut by their queries, to have `least_cells`. Cells keep k
+    rows for each query, and the ranking reduces them before its shuffle (window group limit).
+    Queries are numbered, so those with equal ids are ranked apart.
     """
+    queries = queries.withColumn("number", F.monotonically_increasing_id())
     lengths = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("rows"))
     asked = queries.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("asked"))
-    plan = lengths.join(asked, "dim").select(
-        "dim",
-        F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("row_blocks"),
-        F.ceil(F.col("asked") / BLOCK_QUERIES).cast("int").alias("query_blocks"),
-    )
+    row_blocks = F.ceil(F.col("rows") / block_rows)
+    plan = lengths.join(asked, "dim").select("dim", row_blocks.cast("int").alias("row_blocks"), F.greatest(F.ceil(F.col("asked") / block_queries), F.least(F.ceil(least_cells / row_blocks), F.col("asked"))).cast("int").alias("query_blocks"))
 
     def side(df: DataFrame, own: str, other: str) -> DataFrame:
         df = df.withColumn("dim", F.size("embedding")).join(plan, "dim").withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(f"{own}s")).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).select("dim", "row_block", "query_block", "vec_id", "embedding")
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop("row_blocks", "query_blocks")
 
     keys = ("dim", "row_block", "query_block")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            q, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
+            n, q, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)
         else:
-            ids = right.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            q, v, s = kernel(left.column("vec_id").to_numpy(), np.stack(matrix(left.column("embedding"))), ids[order], np.stack(matrix(right.column("embedding")))[order])
-        return pa.table([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "value"])
-
-    found = side(queries, "query_block", "row_block").groupBy(*keys).cogroup(side(vectors, "row_block", "query_block").groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, value double")
-    direction = F.asc("value") if value == "distance" else F.desc("value")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(direction, "vec_id"))
+            ids, numbers, asked = right.column("vec_id").to_numpy(), left.column("number").to_numpy(), left.column("vec_id").to_numpy()
+            order, by = np.argsort(ids, kind="stable"), np.argsort(numbers)
+            n, v, s = kernel(numbers[by], asked[by], np.stack(matrix(left.column("embedding")))[by], ids[order], np.stack(matrix(right.column("embedding")))[order])
+            q = asked[by][np.searchsorted(numbers[by], n)]
+        return pa.table([pa.array(n, pa.int64()), pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["number", "query_id", "vec_id", "value"])
+
+    found = side(queries, "query_block", "row_block").groupBy(*keys).cogroup(side(vectors, "row_block", "query_block").groupBy(*keys)).applyInArrow(cell, "number long, query_id long, vec_id long, value double")
+    direction = F.asc("value") if ascending else F.desc("value")
+    rank = F.row_number().over(Window.partitionBy("query_id", "number").orderBy(direction, "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "value")

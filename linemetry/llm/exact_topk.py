@@ -16,6 +16,10 @@ from ._grid import finite, nearest
 
 #: Queries whose score arrays are filled together, and rows of an array: both stay in cache.
 BATCH, STRIPE = 32, 2048
+#: Below any score's key; its negative is a number too.
+LOWEST = np.iinfo(np.int64).min // 2
+#: Rows and queries of a cell on average, and cells at least (for parallel work).
+BLOCK_ROWS, BLOCK_QUERIES, LEAST_CELLS = 8192, 2048, 24
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -44,26 +48,26 @@ def _wide(queries: np.ndarray, rows: np.ndarray) -> bool:
 
 
 def _kernel(k: int):
-    def run(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(numbers: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out_q, out_v, out_s = [], [], []
         for a in range(0, len(queries), BATCH):
-            of, batch = query_ids[a : a + BATCH], queries[a : a + BATCH]
+            number, of, batch = numbers[a : a + BATCH], query_ids[a : a + BATCH], queries[a : a + BATCH]
             held_v, held_s = [], []
             for b in range(0, len(rows), STRIPE):
                 own = ids[b : b + STRIPE]
                 scores = accumulate(batch, rows[b : b + STRIPE]).astype(np.int64)
                 # rows stand by id: one key orders by score, then by smaller id; a query's own row goes last
                 key = scores * len(own) + np.arange(len(own) - 1, -1, -1)
-                key[of[:, None] == own[None, :]] = np.iinfo(np.int64).min
+                key[of[:, None] == own[None, :]] = LOWEST
                 top = np.argpartition(-key, k - 1, axis=1)[:, :k] if k < len(own) else np.broadcast_to(np.arange(len(own)), key.shape)
-                taken = np.take_along_axis(key, top, axis=1) > np.iinfo(np.int64).min
+                taken = np.take_along_axis(key, top, axis=1) > LOWEST
                 held_v.append(np.where(taken, own[top], -1))
-                held_s.append(np.where(taken, np.take_along_axis(scores, top, axis=1), np.iinfo(np.int64).min))
+                held_s.append(np.where(taken, np.take_along_axis(scores, top, axis=1), LOWEST))
             value, found = np.concatenate(held_s, axis=1), np.concatenate(held_v, axis=1)
             order = np.lexsort((found, -value), axis=1)[:, :k]
             value, found = np.take_along_axis(value, order, axis=1), np.take_along_axis(found, order, axis=1)
-            real = value > np.iinfo(np.int64).min
-            out_q.append(np.broadcast_to(of[:, None], value.shape)[real])
+            real = value > LOWEST
+            out_q.append(np.broadcast_to(number[:, None], value.shape)[real])
             out_v.append(found[real])
             out_s.append(value[real])
         return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
@@ -83,8 +87,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
 
     `vectors` and `queries` are (vec_id, embedding). Vectors that are null, empty or hold a null
     or non-finite component take no part; zero vectors do. Vectors of another length than a
-    query's aren't its candidates; a query is never its own. Scores are exact below 2**53.
-    Other columns are ignored; without queries the result is empty.
+    query's aren't its candidates, nor are rows with its vec_id. Every row of `queries` is a query
+    of its own, so a repeated vec_id gives its ranks once for each; rows of `vectors` that repeat
+    a vec_id are a candidate each. Rows with a null vec_id take no part. Scores are exact below
+    2**53. Other columns, whatever their names, are ignored; without queries or vectors the result is empty.
     """
-    out = nearest(quantised(vectors, scale), quantised(queries, scale), k, _kernel(k), "product")
+    out = nearest(quantised(vectors, scale), quantised(queries, scale), k, _kernel(k), False, BLOCK_ROWS, BLOCK_QUERIES, LEAST_CELLS)
     return out.select("query_id", "rank", "vec_id", F.col("value").cast("long").alias("score"))

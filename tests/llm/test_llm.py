@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from linemetry.llm import bpe, mixing, ngram_join, queries, url_filter
 from linemetry.llm import substring_dedup as substring
@@ -81,6 +82,15 @@ def test_ngram_join(spark, k, percent, monkeypatch):
     assert join_ngrams(empty(spark), k, percent).count() == 0
 
 
+def test_ngram_join_in_two_hops(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 40)
+    monkeypatch.setattr(ngram_join, "HOP_BITS", 4)
+    monkeypatch.setattr(ngram_join, "FLUSH", 1000)
+    df, rows = awkward(spark)
+    rows = [r for r in rows if len(words(r[1])) < 10_000]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in join_ngrams(df.where("doc_id < 55"), 3, 90).collect()} == components_by_force(rows, 3, 90)
+
+
 def test_product_is_exact():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(40)]
@@ -267,6 +277,38 @@ def test_vectors(spark):
     assert approximate_neighbours(df.limit(0), asked.limit(0), 5).count() == 0
 
 
+def test_vectors_with_repeated_ids_and_clashing_names(spark):
+    rows = [(i % 30, [float(i % 7), float(i), 1.0], i, i) for i in range(40)]  # ids 0..9 twice
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, number long, query_id long").withColumn("rank", F.lit(1)).withColumn("dim", F.lit(1)).withColumn("value", F.lit(1)).withColumn("row_block", F.lit(1))
+    asked = df.where("vec_id = 0")
+    near = sorted((r.score, r.vec_id, r.rank) for r in approximate_neighbours(df, asked, 4).collect())
+    top = sorted((-r.score, r.vec_id, r.rank) for r in exact_top_k(df, asked, 4, 1).collect())
+    expected_near, expected_top = [], []
+    for q in (rows[0], rows[30]):
+        a, others = np.array(q[1]), [r for r in rows if r[0] != 0]
+        expected_near += [(d, i, n) for n, (d, i) in enumerate(sorted((float(np.sqrt(((a - np.array(v)) ** 2).sum())), i) for i, v, *_ in others)[:4], 1)]
+        expected_top += [(s, i, n) for n, (s, i) in enumerate(sorted((-int(a @ np.array(v)), i) for i, v, *_ in others)[:4], 1)]
+    assert top == sorted(expected_top)
+    assert len(near) == 8 and sorted(n for *_, n in near) == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert all(abs(a[0] - b[0]) < 1e-9 for a, b in zip(near, sorted(expected_near), strict=True))
+
+
+def test_collision_counting_verifies_few(spark):
+    """On the real table: recall of at least 0.9, with fewer than a tenth of the candidates verified."""
+    from linemetry.llm import collision_ann
+
+    found = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    rows, ids = np.stack(found.embedding).astype(float), found.vec_id.to_numpy()
+    index, hits, asked = collision_ann.Index(ids, rows, collision_ann.DIRECTIONS, collision_ann.SEED), 0, np.flatnonzero(ids % 100 == 0)
+    for i in asked:
+        distance = np.sqrt(((rows - rows[i]) ** 2).sum(axis=1))
+        distance[i] = np.inf
+        near, scores = index.search(ids[i], rows[i], 10)
+        hits += len(set(near) & set(ids[np.lexsort((ids, distance))[:10]]))
+        assert np.allclose(scores, distance[np.searchsorted(ids, near)], rtol=0, atol=1e-12)
+    assert hits >= 0.9 * 10 * len(asked) and index.verified < 0.1 * len(asked) * len(ids)
+
+
 def test_shards(spark):
     df, rows = awkward(spark)
     out = {r.doc_id: r for r in byte_shards(df, 4).collect()}
