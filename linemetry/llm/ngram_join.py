@@ -6,7 +6,10 @@ Its product with its own transpose holds the overlaps of all pairs. Three steps
 1. Column blocks. Every shingle goes, six bytes packed, to the block of columns its number
    falls in; a block tells which of its columns have more than one row. Only such columns add
    to an overlap, so a row whose shared columns are fewer than the least overlap its size
-   demands can't have a partner and is dropped.
+   demands can't have a partner and is dropped. Columns that several rows of one flush have are
+   known to be shared: one entry of each goes to the block, the others straight to their
+   documents, so a column that very many rows have isn't gathered. Blocks are in proportion to
+   the data; beyond 2**HOP_BITS of them entries go there in two hops, and are reduced in each.
 2. Row blocks. The remaining columns are ordered by their number of rows; two rows that reach
    the bound share a column among the first `size - need + 1` of each (prefix bound). Rows
    connected by such columns form a cluster, cut into blocks in order of size.
@@ -30,12 +33,13 @@ from pyspark.sql import functions as F
 from . import _words
 from ._graph import components
 from ._memory import tidied
+from ._skew import join_hot
 from ._tables import stored
 
 #: Shingles that are packed together before they are dealt to column blocks.
 FLUSH = 1 << 20
-#: Shingles that a column block holds on average.
-BLOCK_GRAMS = 1 << 20
+#: Shingles that a column block holds on average, and bits of the blocks that one hop deals to (four at least).
+BLOCK_GRAMS, HOP_BITS = 1 << 20, 12
 #: Rows of a cell's side, and columns multiplied at once.
 CELL_ROWS, CELL_COLUMNS = 512, 4096
 #: Small clusters are put together in groups of about this many rows.
@@ -67,15 +71,15 @@ def _per_doc(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (total[ends] - total[ends - n]).view(np.int64)
 
 
-def pack(gram: np.ndarray) -> bytes:
-    """The low 48 bits of each number."""
-    return np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack(gram: np.ndarray, size: int = 6) -> bytes:
+    """The low 8 * `size` bits of each number."""
+    return np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    part = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+def unpack(data: bytes, size: int = 6) -> np.ndarray:
+    part = np.frombuffer(data, dtype=np.uint8).reshape(-1, size)
     out = np.zeros((len(part), 8), dtype=np.uint8)
-    out[:, :6] = part
+    out[:, :size] = part
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -90,24 +94,48 @@ def unpack_planes(data: bytes) -> np.ndarray:
 
 
 _BLOCKED = "block int, kind int, docs binary, counts binary, grams binary"
+_BLOCKED_TYPES = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
+
+
+def _packed(number: np.ndarray, ids: np.ndarray, gram: np.ndarray, size: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Entries packed by `number`, in the order they have: number, documents, counts, grams."""
+    order = np.argsort(number, kind="stable")
+    number, ids, gram = number[order], ids[order], gram[order]
+    cuts = np.flatnonzero(np.diff(number)) + 1
+    for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(number)]]), strict=True):
+        if b > a:
+            heads = np.concatenate([[a], np.flatnonzero(np.diff(ids[a:b])) + 1 + a])
+            yield int(number[a]), pack_planes(ids[heads]), pack_planes(np.diff(np.concatenate([heads, [b]]))), pack(gram[a:b], size)
+
+
+def _bucket(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (_words.mix(ids.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _reduced(ids: np.ndarray, gram: np.ndarray, counted: np.ndarray, bits: int, bucket_bits: int) -> pa.RecordBatch:
+    """Entries, ascending by document, as rows of _BLOCKED for 2**bits blocks. kind 0: an entry to
+    be counted; 1: the one entry of a column that is known to be shared (as `counted` ones are);
+    2: its other entries, dealt by their documents."""
+    order = np.argsort(gram, kind="stable")
+    ordered = gram[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    heads = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate([heads, [len(gram)]]))
+    shared = np.repeat((sizes > 1) | np.logical_or.reduceat(counted[order], heads), sizes)
+    kind = np.zeros(len(gram), dtype=np.int8)
+    kind[order] = np.where(shared, np.where(new, 1, 2), 0)
+    shift = np.uint64(_words.GRAM_BITS - bits)
+    out = []
+    for c in (0, 1):
+        of = kind == c
+        out += [(block, c, *rest) for block, *rest in _packed((gram[of] >> shift).astype(np.int64), ids[of], gram[of], 6)]
+    of = kind == 2
+    out += [(bucket, 2, *rest) for bucket, *rest in _packed(_bucket(ids[of], bucket_bits), ids[of], gram[of], 7)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _BLOCKED_TYPES, strict=True)], [x.split()[0] for x in _BLOCKED.split(", ")])
 
 
-def _deal(k: int, bits: int):
-    """Deal shingles to 2**bits column blocks. kind 0: entries to be counted; 1: entries of a
-    column that another row of the same flush has too, one for each column; 2: such entries
-    that need no count."""
-    shift, low = np.uint64(_words.GRAM_BITS - bits), np.uint64((1 << 48) - 1)
-
-    def rows(kind: int, ids: np.ndarray, gram: np.ndarray) -> Iterator[tuple]:
-        block = (gram >> shift).astype(np.uint16)
-        order = np.argsort(block, kind="stable")
-        block, ids, gram = block[order], ids[order], gram[order]
-        cuts = np.flatnonzero(np.diff(block)) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(block)]]), strict=True):
-            if b > a:
-                heads = np.concatenate([[a], np.flatnonzero(np.diff(ids[a:b])) + 1 + a])
-                n = np.diff(np.concatenate([heads, [b]]))
-                yield int(block[a]), kind, pack_planes(ids[heads]), pack_planes(n), pack(gram[a:b] & low)
+def _deal(k: int, bits: int, bucket_bits: int):
+    """Deal shingles to 2**bits column blocks."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         ids, first, gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -123,17 +151,8 @@ def _deal(k: int, bits: int):
         kept[keep] = True
         owner = np.repeat(np.arange(len(ids), dtype=np.uint32), n)
         gram, owner = gram[kept[owner]], owner[kept[owner]]
-        order = np.argsort(gram, kind="stable")
-        ordered = gram[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        del ordered
-        several = np.concatenate([~new[1:], [False]]) | ~new
-        kind = np.zeros(len(gram), dtype=np.int8)
-        kind[order] = np.where(several, np.where(new, 1, 2), 0)
-        del order
-        out = [x for c in (0, 1, 2) for x in rows(c, ids[owner[kind == c]], gram[kind == c])]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "docs", "counts", "grams"])
+        if len(gram):
+            yield _reduced(ids[owner], gram, np.zeros(len(gram), dtype=bool), bits, bucket_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -155,14 +174,45 @@ def _deal(k: int, bits: int):
     return run
 
 
+def _deal_on(hop_bits: int, bits: int):
+    """Of rows of _BLOCKED that stand together by block of `hop_bits`: the entries reduced again
+    and dealt to blocks of `bits`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, of = [], 0, -1
+
+        def flush() -> pa.RecordBatch:
+            ids, gram, counted = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(ids, kind="stable")
+            return _reduced(ids[order], gram[order], counted[order], bits, bits)
+
+        for b in batches:
+            kinds = b.column("kind").to_numpy()
+            if (kinds == 2).any():
+                yield b.filter(pa.array(kinds == 2))
+            rows = b.filter(pa.array(kinds < 2))
+            for block, kind, docs, counts, grams in zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "docs", "counts", "grams")), strict=True):
+                if held and (block != of or size >= FLUSH):
+                    yield flush()
+                    size = 0
+                of = block
+                ids = np.repeat(unpack_planes(docs), unpack_planes(counts))
+                held.append((ids, _whole(grams, block, hop_bits), np.full(len(ids), kind == 1)))
+                size += len(ids)
+        if held:
+            yield flush()
+
+    return run
+
+
 def _shared(bits: int):
-    """Of one column block, the entries whose column has several rows."""
+    """Of one column block, the entries whose column has several rows, packed by bucket of documents."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, ids, grams = [], [], []
-        block = table.column("block")[0].as_py()
-        for kind, docs, counts, packed in zip(*(table.column(c).to_pylist() for c in ("kind", "docs", "counts", "grams")), strict=True):
-            gram = _whole(packed, block, bits)
+        for block, kind, docs, counts, packed in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "docs", "counts", "grams")), strict=True):
+            gram = unpack(packed, 7) if kind == 2 else _whole(packed, block, bits)
             ids.append(np.repeat(unpack_planes(docs), unpack_planes(counts)))
             kinds.append(np.full(len(gram), kind, dtype=np.int8))
             grams.append(gram)
@@ -172,18 +222,11 @@ def _shared(bits: int):
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         keep = np.concatenate([~new[1:], [False]]) | ~new | (kind[order] > 0)
         doc, gram = doc[order][keep], ordered[keep]
-        bucket = (_words.mix(doc.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        order = np.lexsort((doc, bucket))
-        doc, gram, bucket = doc[order], gram[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        out = []
-        for x, y in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]]), strict=True):
-            if y > x:
-                heads = np.concatenate([[x], np.flatnonzero(np.diff(doc[x:y])) + 1 + x])
-                n = np.diff(np.concatenate([heads, [y]]))
-                out.append((int(bucket[x]), int(block), pack_planes(doc[heads]), pack_planes(n), pack(gram[x:y] & np.uint64((1 << 48) - 1))))
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 3)
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["bucket", "block", "docs", "counts", "grams"])
+        order = np.argsort(doc, kind="stable")
+        doc, gram = doc[order], gram[order]
+        out = list(_packed(_bucket(doc, bits), doc, gram, 7))
+        kinds = (pa.int32(), *[pa.binary()] * 3)
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["bucket", "docs", "counts", "grams"])
 
     return run
 
@@ -194,22 +237,18 @@ def _whole(packed: bytes, block: int, bits: int) -> np.ndarray:
     return unpack(packed) & ((np.uint64(1) << shift) - np.uint64(1)) | np.uint64(block) << shift
 
 
-def _gathered(bits: int):
+def _gathered(table: pa.Table) -> pa.Table:
     """Of one bucket of documents: the shared columns of each, from all blocks."""
-
-    def run(table: pa.Table) -> pa.Table:
-        docs, grams = [], []
-        for block, d, c, g in zip(*(table.column(x).to_pylist() for x in ("block", "docs", "counts", "grams")), strict=True):
-            docs.append(np.repeat(unpack_planes(d), unpack_planes(c)))
-            grams.append(_whole(g, block, bits))
-        doc, gram = np.concatenate(docs), np.concatenate(grams)
-        order = np.lexsort((gram, doc))
-        doc, gram = doc[order], gram[order]
-        heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([heads, [len(doc)]]).astype(np.int32)), pa.array(gram.view(np.int64)))
-        return pa.table([pa.array(doc[heads]), lists], ["doc_id", "grams"])
-
-    return run
+    docs, grams = [], []
+    for d, c, g in zip(*(table.column(x).to_pylist() for x in ("docs", "counts", "grams")), strict=True):
+        docs.append(np.repeat(unpack_planes(d), unpack_planes(c)))
+        grams.append(unpack(g, 7))
+    doc, gram = np.concatenate(docs), np.concatenate(grams)
+    order = np.lexsort((gram, doc))
+    doc, gram = doc[order], gram[order]
+    heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([heads, [len(doc)]]).astype(np.int32)), pa.array(gram.view(np.int64)))
+    return pa.table([pa.array(doc[heads]), lists], ["doc_id", "grams"])
 
 
 class Forest:
@@ -309,23 +348,27 @@ def _clusters(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of rows (doc_id, n, grams): those that may have a partner, with exact shared columns, and
     the cluster of each."""
     entries = rows.select("doc_id", F.explode("grams").alias("gram"))
-    often = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    often = stored(entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "ngram-columns")
     need = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
     by_df = F.sort_array(F.collect_list(F.struct("df", "gram")))
-    kept = entries.join(often, "gram").groupBy("doc_id").agg(by_df["gram"].alias("grams"))
+    kept = join_hot(entries, often, ["gram"], "df").groupBy("doc_id").agg(by_df["gram"].alias("grams"))
     kept = stored(kept.join(rows.select("doc_id", "n"), "doc_id").where(F.size("grams") >= need), "ngram-rows")
     # the columns that a row has alone come first in the order, so they use up the prefix first
     prefix = kept.select("doc_id", F.explode(F.slice("grams", F.lit(1), F.size("grams") - need + 1)).alias("gram"))
-    pivot = prefix.groupBy("gram").agg(F.min("doc_id").alias("a"))
-    edges = prefix.join(pivot, "gram").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    pivot = stored(prefix.groupBy("gram").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows")), "ngram-pivots")
+    edges = join_hot(prefix, pivot, ["gram"], "rows").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     return kept, components(edges, "ngram-clusters")
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    return stored(rows.groupBy("cluster").agg(F.count("*").alias("members")), "ngram-members")
+
+
 def _links(kept: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of a spanning forest of every component."""
     schema = "a long, b long"
     rows = kept.join(clusters.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "cluster"), "doc_id")
-    rows = rows.join(rows.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
+    rows = join_hot(rows, _members(rows), ["cluster"], "members")
     small = rows.where(F.col("members") <= CELL_ROWS).select(
         F.xxhash64("cluster").alias("group"), F.col("cluster").alias("cell"), F.lit(2).alias("side"), "doc_id", "n", F.col("doc_id").alias("root"), "grams", "members"
     )
@@ -355,11 +398,10 @@ def _links(kept: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     roots = components(step, "ngram-step")
     rooted = large.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = rooted.groupBy("cluster", "root").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("cluster").agg(F.max(F.struct("size", F.col("root").alias("main"))).alias("most")).select("cluster", "most.main")
-    rooted = stored(rooted.join(most, "cluster"), "ngram-rooted")
-    minor = _blocked(rooted.where("root <> main").drop("block", "members", "main").join(
-        rooted.where("root <> main").groupBy("cluster").agg(F.count("*").alias("members")), "cluster"))
-    minor = stored(minor, "ngram-minor")
+    most = sizes.groupBy("cluster").agg(F.max(F.struct("size", F.col("root").alias("main"))).alias("most"), F.sum("size").alias("rows")).select("cluster", "most.main", "rows")
+    rooted = stored(join_hot(rooted, stored(most, "ngram-mains"), ["cluster"], "rows").drop("rows"), "ngram-rooted")
+    minor = rooted.where("root <> main").drop("block", "members", "main")
+    minor = stored(_blocked(join_hot(minor, _members(minor), ["cluster"], "members")), "ngram-minor")
     # cells only where sizes allow a link
     bounds = lambda df, p: df.groupBy("cluster", F.col("block").alias(p)).agg(F.min("n").alias(f"{p}_min"), F.max("n").alias(f"{p}_max"))
     cells = bounds(minor, "i").join(bounds(rooted, "j"), "cluster").where((F.col("i_max") * 100 >= F.col("j_min") * percent) & (F.col("j_max") * 100 >= F.col("i_min") * percent)).select("cluster", "i", "j", F.xxhash64("cluster", "i", "j").alias("group"))
@@ -376,10 +418,10 @@ def _blocked(rows: DataFrame) -> DataFrame:
     sort of the whole cluster in one task: sizes are grouped first, large groups are cut by hash."""
     by_size = rows.groupBy("cluster", "members", "n").agg(F.count("*").alias("of_size"))
     before = F.sum("of_size").over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    by_size = by_size.withColumn("before", F.coalesce(before, F.lit(0)))
+    by_size = stored(by_size.withColumn("before", F.coalesce(before, F.lit(0))).select("cluster", "n", "of_size", "before"), "ngram-sizes-of")
     place = F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("of_size"))
     return (
-        rows.drop("block").join(by_size.select("cluster", "n", "of_size", "before"), ["cluster", "n"])
+        join_hot(rows.drop("block"), by_size, ["cluster", "n"], "of_size")
         .withColumn("block", F.floor(place / CELL_ROWS).cast("int"))
         .drop("of_size", "before")
     )
@@ -392,17 +434,21 @@ def ngram_join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     has its whole sequence as one shingle; null, empty and blank texts have an empty set, which
     is linked with nothing. Documents link when 100 * overlap >= percent * union. component_id
     is the smallest doc_id reachable by links, the document itself included. Rows with a null
-    doc_id are left out; rows that repeat a doc_id give a row each. Other columns are ignored.
-    Shingles are told apart by a 52-bit hash.
+    doc_id are left out; rows that repeat a doc_id give a row each, with the size of their own text. An
+    empty table gives an empty result. Other columns, whatever their names, are ignored.
+    Shingles are told apart by a 52-bit hash, equal sets of one flush by 64 bits, of all by 128.
     """
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = stored(docs.mapInArrow(tidied(_sizes(k)), "doc_id long, n long, fp1 long, fp2 long"), "ngram-sizes")
     classes = sizes.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    bits = min(16, max(4, math.ceil(math.log2(max(1, total / BLOCK_GRAMS)))))
-    dealt = docs.mapInArrow(tidied(_deal(k, bits)), _BLOCKED)
-    shared = dealt.groupBy("block").applyInArrow(_shared(bits), "bucket int, block int, docs binary, counts binary, grams binary")
-    shared = shared.groupBy("bucket").applyInArrow(_gathered(bits), "doc_id long, grams array<long>")
+    bits = max(4, math.ceil(math.log2(max(1, total / BLOCK_GRAMS))))
+    hop_bits = min(HOP_BITS, bits)
+    dealt = docs.mapInArrow(tidied(_deal(k, hop_bits, bits)), _BLOCKED)
+    if bits > hop_bits:
+        dealt = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(_deal_on(hop_bits, bits)), _BLOCKED)
+    shared = dealt.groupBy("block").applyInArrow(_shared(bits), "bucket int, docs binary, counts binary, grams binary")
+    shared = shared.groupBy("bucket").applyInArrow(_gathered, "doc_id long, grams array<long>")
     reps = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
     rows = stored(shared.join(reps, "doc_id").where(F.size("grams") >= F.ceil(F.col("n") * percent / F.lit(100.0))).select("doc_id", "n", "grams"), "ngram-shared")
     kept, clusters = _clusters(rows, percent)
