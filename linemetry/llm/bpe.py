@@ -30,7 +30,7 @@ from ._memory import tidied
 
 #: Chunks between white space whose tokens a worker keeps, in each of two generations; pairs of
 #: tokens whose fit it keeps.
-CACHE, PAIRS = 100_000, 1 << 18
+CACHE, PAIRS = 250_000, 1 << 18
 #: Rows that are put out together.
 ROWS = 1000
 #: Longer chunks aren't kept.
@@ -96,116 +96,126 @@ def sufficient_lookahead(strings: list[str]) -> int:
 
 
 class Merger:
-    """Streams the symbols of one pre-token at a time to tokens."""
+    """Streams the bytes of one pre-token at a time to token ids."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "</w>") -> None:
-        self.vocab, self.suffix = vocab, suffix
-        self.rank = {(a, b): r for r, (a, b) in enumerate(merges)}
-        made = {a + b for a, b in merges}
+        self.suffix = suffix
+        made, order = {a + b for a, b in merges}, {pair: r for r, pair in enumerate(merges)}
+        size = max(vocab.values()) + 1
+        self.rank = {vocab[a] << 24 | vocab[b]: r for r, (a, b) in enumerate(merges)}
         #: of each token that can come out: the rank of its last merge (-1: a symbol) and its parts
-        self.made: dict[str, tuple[int, str, str]] = {t: (-1, "", "") for t in vocab if t not in made}
+        self.last_rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
+        out = {t for t in vocab if t not in made}
         for r, (a, b) in enumerate(merges):
-            if any(x in made and x not in self.made for x in (a, b)) and not self._known(a, b, made, r):
-                raise ValueError("a merge comes before those that make its parts")
-            if a in self.made and b in self.made and a + b not in self.made and self._meet(a, b) == r:
-                self.made[a + b] = (r, a, b)
-        # the end is part of the last symbol: names without it, for tokens inside and at the end
-        self.final = {t.removesuffix(suffix): vocab[t] for t in self.made if t.endswith(suffix)}
-        inner = {t for t in self.made if not t.endswith(suffix)}
-        begins = {t[:i] for t in inner | self.final.keys() for i in range(1, len(t))}
-        #: of a token inside or the beginning of a token: twice (id + 1), 0 if no token; one more if a beginning
-        self.inner = {t: (2 * (vocab[t] + 1) if t in inner else 0) + (t in begins) for t in inner | begins}
-        self.names = {i: t for t, i in vocab.items()}
+            for x in (a, b):
+                if x in made and x not in out and all(order.get((x[:i], x[i:]), r) >= r for i in range(1, len(x))):
+                    raise ValueError("a merge comes before those that make its parts")
+            if a in out and b in out and a + b not in out and self._meet(vocab[a], vocab[b]) == r:
+                out.add(a + b)
+                i = vocab[a + b]
+                self.last_rank[i], self.left[i], self.right[i] = r, vocab[a], vocab[b]
+        # a trie of their bytes; the end of a word is part of its last byte. Nodes that go on come first
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        inner, final = {}, {}
+        for t in out:
+            (final if t.endswith(suffix) else inner)[bytes([byte_of[c] for c in t.removesuffix(suffix)])] = vocab[t]
+        begins = sorted({t[:i] for t in (*inner, *final) for i in range(1, len(t))})
+        leaves = sorted((inner.keys() | final.keys()) - set(begins))
+        number = {t: n for n, t in enumerate([b"", *begins, *leaves])}
+        self.going = 1 + len(begins)
+        self.steps = {number[t[:-1]] << 8 | t[-1]: n for t, n in number.items() if t}
+        self.inner, self.final = [inner.get(t, -1) for t in number], [final.get(t, -1) for t in number]
+        self.words = final
         symbols = lambda s: s.removesuffix(suffix) + ("\0" if s.endswith(suffix) else "")  # noqa: E731  the suffix counts as a symbol
         self.lookahead = sufficient_lookahead([symbols(a + b) for a, b in merges])
         self._fits: dict[int, bool] = {}
-        self.early, self.most_held = 0, 0  # times that tokens were emitted before their pre-token was read; symbols held at most
-
-    def _known(self, a: str, b: str, made: set[str], r: int) -> bool:
-        """Whether the parts of merge r are made by earlier merges, if not as tokens of their own."""
-        return all(x not in made or any(self.rank.get((x[:i], x[i:]), r) < r for i in range(1, len(x))) for x in (a, b))
+        self.early, self.most_held = 0, 0  # times that tokens were emitted before their pre-token was read; bytes held at most
 
-    def _meet(self, a: str, b: str) -> int | None:
+    def _meet(self, a: int, b: int) -> int | None:
         """The rank of the first merge across the border of two tokens, None without any.
 
         Going back in time, the later merge of the two is undone; the parts at the border can
         merge only before that (at the same rank: only to the left of it)."""
-        made, rank = self.made, self.rank
-        (ra, _, right), (rb, left, _) = made[a], made[b]
-        limit, found = len(rank), None
+        last, rank, found, limit = self.last_rank, self.rank.get, None, 1 << 30
+        ra, rb = last[a], last[b]
         while True:
-            r = rank.get((a, b))
+            r = rank(a << 24 | b)
             if r is not None and r < limit:
                 found = r
-            if ra < 0 and rb < 0:
-                return found
             if rb >= ra:
-                limit, b = rb + 1, left
-                rb, left, _ = made[b]
+                if rb < 0:
+                    return found
+                limit, b = rb + 1, self.left[b]
+                rb = last[b]
             else:
-                limit, a = ra, right
-                ra, _, right = made[a]
+                limit, a = ra, self.right[a]
+                ra = last[a]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the symbols of two tokens (ids) merge back into just these two."""
+        """Whether the bytes of two tokens merge back into just these two."""
         found = self._fits.get(left << 24 | right)
         if found is None:
             if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            found = self._fits[left << 24 | right] = self._meet(self.names[left], self.names[right]) is None
+            found = self._fits[left << 24 | right] = self._meet(left, right) is None
         return found
 
-    def tokens(self, text: str, emit: Callable[[Iterable[int]], None]) -> None:
-        """Give `emit` the ids of the tokens of one pre-token (at least one symbol), once stable.
+    def tokens(self, data: bytes, emit: Callable[[Iterable[int]], None]) -> None:
+        """Give `emit` the ids of the tokens of one pre-token (at least one byte), once stable.
 
         For the places from `start`, up to which tokens have been emitted, last has the token that
-        ends there and size its symbols; live are the places from which a token may go on."""
-        whole = self.final.get(text)
+        ends there and size its bytes; live are the places from which a token may go on, with the
+        node that the bytes from there have reached."""
+        whole = self.words.get(data)
         if whole is not None:  # a token merges back into itself
             emit((whole,))
             return
-        inner, known, fits = self.inner.get, self._fits.get, self.fits
-        start, last, size, live, n = 0, [-1], [0], [], len(text)
-        for end in range(1, n):
-            live.append(end - 1)
+        step, inner, known, fits, going = self.steps.get, self.inner, self._fits.get, self.fits, self.going
+        start, last, size, live, end, stop = 0, [-1], [0], [], 0, len(data) - 1
+        for byte in data[:stop]:
+            live.append((end, 0))
+            end += 1
             token, on = -1, []
-            for i in live:
-                found = inner(text[i:end])
-                if found:
-                    if found & 1:
-                        on.append(i)
-                    if token < 0 and found > 1:
-                        found = (found >> 1) - 1
-                        before = last[i - start]
-                        fit = known(before << 24 | found) if before >= 0 else True
-                        if fit or (fit is None and fits(before, found)):
-                            token, begin = found, i
+            for i, node in live:
+                node = step(node << 8 | byte)
+                if node is not None:
+                    if node < going:
+                        on.append((i, node))
+                    if token < 0:
+                        found = inner[node]
+                        if found >= 0:
+                            before = last[i - start]
+                            if before < 0 or (fit := known(before << 24 | found)) or (fit is None and fits(before, found)):
+                                token, begin = found, i
             live = on
             last.append(token)
             size.append(end - begin)
             if end - start >= STRIDE:
-                paths = [*live, end]
+                paths = [i for i, _ in live]
+                paths.append(end)
                 while len(paths) > 1:  # the deepest goes back by its last token until all have met
                     deepest = paths.pop()
                     to = deepest - size[deepest - start]
                     if to not in paths:
                         paths.append(to)
-                        if len(paths) > 1 and to < paths[-2]:
+                        if to < paths[-2]:
                             paths.sort()
                 if end - start > self.most_held:
                     self.most_held = end - start
-                if paths[0] > start:
+                shared = paths[0] - start
+                if shared:
                     self.early += 1
-                    shared = paths[0] - start
                     emit(self._path(last, size, shared))
                     start, last, size = paths[0], last[shared:], size[shared:]
-        live.append(n - 1)
-        for i in live:
-            token = self.final.get(text[i:])
-            if token is not None and (last[i - start] < 0 or fits(last[i - start], token)):
-                emit([*self._path(last, size, i - start), token])
-                return
-        raise ValueError(f"no token ends {text!r}")
+        live.append((stop, 0))
+        for i, node in live:
+            node = step(node << 8 | data[stop])
+            if node is not None:
+                token, before = self.final[node], last[i - start]
+                if token >= 0 and (before < 0 or fits(before, token)):
+                    emit([*self._path(last, size, i - start), token])
+                    return
+        raise ValueError(f"no token ends {data!r}")
 
     @staticmethod
     def _path(last: list[int], size: list[int], end: int) -> list[int]:
@@ -280,12 +290,11 @@ class Tokenizer:
         for i, (part, ends) in self.bytes_of.items():
             with contextlib.suppress(UnicodeDecodeError):
                 self.whole[i] = part.decode() + (" " if ends else "") if part else self.names[i]
-        self._symbols = dict(enumerate(byte_symbols()))
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._ascii, self._words = re.compile(PATTERN.format(letters="a-z", numbers="0-9", spaces=r"\x09-\x0d\x20")), None
         self.kept: dict[bytes, tuple[int, ...]] = {}
         self._old: dict[bytes, tuple[int, ...]] = {}
-        self._parts: dict[str, list[int]] = {}
+        self._parts: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str, emit: Callable[[Iterable[int]], None]) -> None:
         """Give `emit` the ids of a text; specials are matched before it is normalised (NFC, lower case)."""
@@ -306,12 +315,13 @@ class Tokenizer:
                 if found is not None:
                     emit(found)
                     continue
-                symbols = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self._symbols)
+                data = part.encode()
                 if len(part) > CACHED_BYTES:
-                    self.merger.tokens(symbols, emit)
+                    self.merger.tokens(data, emit)
                     continue
-                found = []
-                self.merger.tokens(symbols, found.extend)
+                ids: list[int] = []
+                self.merger.tokens(data, ids.extend)
+                found = tuple(ids)  # which the garbage collector needn't visit
                 if len(self._parts) >= CACHE:
                     self._parts.clear()
                 self._parts[part] = found
