@@ -1,16 +1,20 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-A token's unit is the word itself for the UNIT_WORDS most frequent words and the end of a text,
-else one of CLUSTERS clusters, given by the word's last two bytes. The model predicts a unit from
-the two units before it: score = (R1[u-1] + R2[u-2]) . Q[u] + b[u]. A word of a cluster then has
-probability (c + 0.1) / (C + 0.1 * (W + 1)) in it, with c the word's training count and C, W the
-training tokens and words of the cluster; each cluster so has a slot for unknown words, and all
-probabilities after a context add up to 1. Both tables' sizes are fixed.
-
-Training is distributed: every task runs noise-contrastive estimation in numpy over its own
-tokens, starting from the same parameters, and the results are averaged by tokens, in groups. A
-third of the documents (by hash) gives the first average, from which the others go on. Every
-training token is used once. Counts are of all training documents.
+The TOP_WORDS most frequent words and the end of a text have vectors of their own; every other
+word shares those of its cluster, given by the word's last two bytes. The model is factored: from
+the two tokens before it, it predicts a class, and inside the class the token. The CLASS_WORDS most
+frequent words and the end are classes by themselves, every cluster is one. Both factors are
+log-bilinear, score = (R1[u-1] + R2[u-2]) . Q[u] + b[u], with their own Q and b, and are normalised
+by batched matrix products. A word without vectors then has probability (c + 0.1) / (C + 0.1 * (W +
+1)) in the rest of its cluster, with c its training count and C, W the training tokens and words
+of that rest; so each cluster has a slot for unknown words, and all probabilities after a context
+add up to 1. The model's size is bounded by parameters; counts are of all training documents.
+
+Texts are tokenised twice: once to count words, once to numbers that are stored. Training is
+distributed: tokens are dealt to parts by hashes of their documents, about PART_TOKENS each; every
+part runs noise-contrastive estimation in numpy, from the same parameters, and the results are
+averaged by tokens, in groups. A third of the parts gives the first average, from which the others
+go on. Every training token is used once. Seeds and orders come from the data, not from tasks.
 """
 
 from __future__ import annotations
@@ -25,14 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import tidied
 from ._tables import stored
 
-#: Sizes of the model: none depends on the data.
-TOP_WORDS, UNIT_WORDS, CLUSTERS, DIMENSIONS = 65_536, 512, 256, 16
-#: Training: tokens of a step, noise words of a step, step size, seed.
-STEP, NOISE, RATE, SEED = 2048, 64, 0.15, 20240607
+#: Sizes of the model: words with own vectors (at most), of these with own classes, clusters, dimensions.
+TOP_WORDS, CLASS_WORDS, CLUSTERS, DIMENSIONS = 16_384, 256, 256, 16
+#: Training: tokens of a step, noise classes of a step, noise words of a token, step size, seed.
+STEP, NOISE, INNER_NOISE, RATE, SEED = 4096, 64, 4, 0.15, 20240607
+#: Tokens of a part on average, and models averaged together.
+PART_TOKENS, MODELS = 1 << 22, 16
 #: Tokens that are counted or scored together, and rare (document, word) pairs of a block.
 FLUSH, BLOCK_PAIRS = 1 << 21, 1 << 20
+#: Frequencies are told apart in steps of 1 / LOG_STEPS of their natural logarithm to find the most frequent words.
+LOG_STEPS = 32
 LN10 = math.log(10)
 
 
@@ -40,13 +49,9 @@ def cluster(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLUSTERS
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(doc_id, 1 in training or 0, lower-cased words) of each row. Rows without a doc_id are in
-    training; they have a number of their own and 3."""
-    for b in batches:
-        for i, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            # bytes.lower() changes A-Z only; bytes.split() splits at 0x20 and 0x09-0x0D only
-            yield i, train, (text.as_py() or "").encode().lower().split()
+def _words(text: pa.Scalar) -> list[bytes]:
+    # bytes.lower() changes A-Z only; bytes.split() splits at 0x20 and 0x09-0x0D only
+    return (text.as_py() or "").encode().lower().split()
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +60,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     seen: Counter[bytes] = Counter()
     size = 0
-    for _, train, words in _texts(batches):
-        if train:
+    for b in batches:
+        for text in b.column(0):
+            words = _words(text)
             seen.update(words)
             size += len(words)
             if size >= FLUSH:
@@ -68,32 +74,43 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """Codes of words: 0.. for the top words, then the end, then words met in a flush."""
+    """Numbers of tokens: the top words by frequency, the end, then the rest of each cluster; the
+    text's begin is one more, as context only."""
 
-    def __init__(self, top: list[tuple[bytes, int]], ends: int, cluster_tokens: np.ndarray, cluster_words: np.ndarray) -> None:
+    def __init__(self, top: list[tuple[bytes, int]], ends: int, rest_tokens: np.ndarray, rest_words: np.ndarray) -> None:
         self.code = {w: i for i, (w, _) in enumerate(top)}
-        self.end = len(top)
-        units = min(UNIT_WORDS, len(top))
-        self.end_unit, self.first_cluster = units, units + 1
-        self.units = units + 1 + CLUSTERS  # the text's begin is one more, as context only
+        self.end, self.first_rest = len(top), len(top) + 1
+        self.begin = self.first_rest + CLUSTERS
+        own = min(CLASS_WORDS, len(top))
+        self.classes = own + 1 + CLUSTERS
+        group = np.array([cluster(w) for w, _ in top[own:]], dtype=np.int64)
+        rest = np.arange(CLUSTERS)
+        self.class_of = np.concatenate([np.arange(own), own + 1 + group, [own], own + 1 + rest]).astype(np.int32)
         count = np.array([n for _, n in top] + [ends], dtype=np.float64)
-        self.log_count = np.log10(count + 0.1)
-        self.known = count > 0
-        self.unit = np.array([i if i < units else self.first_cluster + cluster(w) for i, (w, _) in enumerate(top)] + [self.end_unit], dtype=np.int32)
-        self.log_mass = np.log10(cluster_tokens + 0.1 * (cluster_words + 1))
-        own = np.concatenate([np.arange(len(top)) < units, [True]])
-        self.within = np.where(own, 0.0, self.log_count - self.log_mass[np.maximum(self.unit - self.first_cluster, 0)])
-        unit_count = np.bincount(self.unit[own], weights=count[own], minlength=self.units)
-        unit_count[self.first_cluster :] = cluster_tokens
-        self.noise = (unit_count + 0.1) / (unit_count + 0.1).sum()
-
-    def begin(self) -> dict[str, np.ndarray]:
-        rng = np.random.default_rng(SEED)
-        small = lambda n: rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
-        return {"r1": small(self.units + 1), "r2": small(self.units + 1), "q": small(self.units), "b": np.log(self.noise).astype(np.float32)}
+        self.log_count, self.known = np.log10(count + 0.1), count > 0
+        rest_mass = rest_tokens + 0.1 * (rest_words + 1)
+        self.log_rest = np.log10(rest_mass)
+        # inside the clusters: words in order of their cluster, then its rest
+        of = np.concatenate([group, rest])
+        mass = np.concatenate([count[own:-1] + 0.1, rest_mass])
+        order = np.argsort(of, kind="stable")
+        self.inner = np.full(self.begin, -1, dtype=np.int32)
+        self.inner[np.concatenate([np.arange(own, len(top)), self.first_rest + rest])[order]] = np.arange(len(of))
+        self.bounds = np.searchsorted(of[order], np.arange(CLUSTERS + 1))
+        self.first_cluster = own + 1
+        whole = np.bincount(of, weights=mass, minlength=CLUSTERS)
+        self.share = mass[order] / whole[of[order]]
+        class_mass = np.concatenate([count[:own] + 0.1, count[-1:] + 0.1, whole])
+        self.noise = class_mass / class_mass.sum()
 
     def shapes(self) -> list[tuple[str, tuple[int, ...]]]:
-        return [("r1", (self.units + 1, DIMENSIONS)), ("r2", (self.units + 1, DIMENSIONS)), ("q", (self.units, DIMENSIONS)), ("b", (self.units,))]
+        n = len(self.share)
+        return [("r1", (self.begin + 1, DIMENSIONS)), ("r2", (self.begin + 1, DIMENSIONS)), ("q", (self.classes, DIMENSIONS)), ("b", (self.classes,)), ("qi", (n, DIMENSIONS)), ("bi", (n,))]
+
+    def start(self) -> dict[str, np.ndarray]:
+        rng = np.random.default_rng(SEED)
+        first = {"b": np.log(self.noise), "bi": np.log(self.share)}
+        return {k: (first[k] if k in first else rng.normal(0, 0.1, shape)).astype(np.float32) for k, shape in self.shapes()}
 
     def pack(self, model: dict[str, np.ndarray]) -> bytes:
         return np.concatenate([model[k].ravel() for k, _ in self.shapes()]).astype("<f4").tobytes()
@@ -107,13 +124,13 @@ class Lexicon:
         return out
 
 
-def contexts(unit: np.ndarray, doc: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
-    """The units one and two places before each token of the same document, else `begin`."""
-    one, two = np.full(len(unit), begin, dtype=np.int32), np.full(len(unit), begin, dtype=np.int32)
+def contexts(code: np.ndarray, doc: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens one and two places before each token of the same document, else `begin`."""
+    one, two = np.full(len(code), begin, dtype=np.int32), np.full(len(code), begin, dtype=np.int32)
     same = doc[1:] == doc[:-1]
-    one[1:][same] = unit[:-1][same]
+    one[1:][same] = code[:-1][same]
     same = doc[2:] == doc[:-2]
-    two[2:][same] = unit[:-2][same]
+    two[2:][same] = code[:-2][same]
     return one, two
 
 
@@ -129,248 +146,312 @@ def _scatter(table: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.nd
 
 
 class Trainer:
-    """Noise-contrastive estimation, a step at a time; noise words are shared by a step's tokens."""
+    """Noise-contrastive estimation, a step at a time. Noise classes are shared by a step's tokens;
+    inside a cluster each token has noise words of its own."""
 
     def __init__(self, lexicon: Lexicon, model: dict[str, np.ndarray], seed: int) -> None:
-        self.model, self.squares = model, {k: np.full_like(v, 1e-2) for k, v in model.items()}
+        self.of, self.model, self.squares = lexicon, model, {k: np.full_like(v, 1e-2) for k, v in model.items()}
         self.log_noise = np.log(NOISE * lexicon.noise).astype(np.float32)
+        self.log_inner = np.log(INNER_NOISE * lexicon.share).astype(np.float32)
         self.rng = np.random.default_rng(seed)
-        self.cum = np.cumsum(lexicon.noise)
-        self.top = lexicon.units - 1
+        self.cum, self.inner_cum = np.cumsum(lexicon.noise), np.cumsum(lexicon.share)
 
-    def step(self, unit: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        m, s = self.model, self.squares
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), self.top)
+    def step(self, code: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        m, s, of = self.model, self.squares, self.of
         h = m["r1"][one] + m["r2"][two]
-        q, qn = m["q"][unit], m["q"][noise]
-        data = 1 / (1 + np.exp((h * q).sum(axis=1) + m["b"][unit] - self.log_noise[unit]))
+        # the class
+        of_class = of.class_of[code]
+        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), of.classes - 1)
+        q, qn = m["q"][of_class], m["q"][noise]
+        data = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, q) + m["b"][of_class] - self.log_noise[of_class]))
         fake = -1 / (1 + np.exp(-(h @ qn.T + m["b"][noise] - self.log_noise[noise])))
         grad_h = data[:, None] * q + fake @ qn
-        at = np.concatenate([unit, noise])
-        _scatter(m["b"], s["b"], at, np.concatenate([data, fake.sum(axis=0)]), RATE)
-        _scatter(m["q"], s["q"], at, np.concatenate([data[:, None] * h, fake.T @ h]), RATE)
-        _scatter(m["r1"], s["r1"], one, grad_h, RATE)
-        _scatter(m["r2"], s["r2"], two, grad_h, RATE)
-
-
-def _units(lexicon: Lexicon, words: list[bytes], met: dict[bytes, int]) -> list[int]:
-    """Units of a text's words, then the end."""
-    get, unit, first = lexicon.code.get, lexicon.unit_list, lexicon.first_cluster
-    out = []
-    for w in words:
-        c = get(w)
-        if c is not None:
-            out.append(unit[c])
-        else:
-            out.append(first + zlib.crc32(w[-2:]) % CLUSTERS)
-    out.append(lexicon.end_unit)
+        at = np.concatenate([of_class, noise])
+        grads = [("b", at, np.concatenate([data, fake.sum(axis=0)])), ("q", at, np.concatenate([data[:, None] * h, fake.T @ h]))]
+        # the word in its cluster
+        inside = np.flatnonzero(of.inner[code] >= 0)
+        if len(inside):
+            word, hi = of.inner[code[inside]], h[inside]
+            first = of.bounds[of_class[inside] - of.first_cluster]
+            before = np.where(first > 0, self.inner_cum[first - 1], 0.0)
+            # a cluster's shares add up to 1, so its words lie in [before, before + 1)
+            drawn = np.searchsorted(self.inner_cum, before[:, None] + self.rng.random((len(word), INNER_NOISE)))
+            drawn = np.minimum(drawn, (of.bounds[of_class[inside] - of.first_cluster + 1] - 1)[:, None])
+            both = np.concatenate([word[:, None], drawn], axis=1)
+            qb = m["qi"][both]
+            score = np.einsum("ij,ikj->ik", hi, qb) + m["bi"][both] - self.log_inner[both]
+            error = -1 / (1 + np.exp(-score))
+            error[:, 0] += 1
+            grad_h[inside] += np.einsum("ik,ikj->ij", error, qb)
+            grads += [("bi", both.ravel(), error.ravel()), ("qi", both.ravel(), (error[:, :, None] * hi[:, None, :]).reshape(-1, DIMENSIONS))]
+        for k, at, grad in (*grads, ("r1", one, grad_h), ("r2", two, grad_h)):
+            _scatter(m[k], s[k], at, grad, RATE)
+
+
+def log10_probabilities(lex: Lexicon, model: dict[str, np.ndarray], code: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log10 of the model's probability of each token after two others; a cluster's rest as one token."""
+    pair, back = np.unique(one.astype(np.int64) * (lex.begin + 1) + two, return_inverse=True)
+    of_class = lex.class_of[code]
+    lp = -_log_sums(model, pair // (lex.begin + 1), pair % (lex.begin + 1), model["q"], model["b"])[back]
+    for a in range(0, len(code), 1 << 16):
+        s = slice(a, a + (1 << 16))
+        lp[s] += np.einsum("ij,ij->i", model["r1"][one[s]] + model["r2"][two[s]], model["q"][of_class[s]]) + model["b"][of_class[s]]
+    inside = np.flatnonzero(lex.inner[code] >= 0)
+    inside = inside[np.argsort(of_class[inside], kind="stable")]
+    group = of_class[inside] - lex.first_cluster
+    cuts = np.searchsorted(group, np.arange(CLUSTERS + 1))
+    for c in np.unique(group):
+        at = inside[cuts[c] : cuts[c + 1]]
+        own = slice(lex.bounds[c], lex.bounds[c + 1])
+        word = lex.inner[code[at]]
+        lp[at] -= _log_sums(model, one[at], two[at], model["qi"][own], model["bi"][own])
+        lp[at] += np.einsum("ij,ij->i", model["r1"][one[at]] + model["r2"][two[at]], model["qi"][word]) + model["bi"][word]
+    return lp / LN10
+
+
+def _log_sums(model: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log of the sum over q's rows of exp(score), by batched matrix products."""
+    out, qt = np.empty(len(one), dtype=np.float64), np.ascontiguousarray(q.T)
+    for a in range(0, len(one), 1024):
+        s = (model["r1"][one[a : a + 1024]] + model["r2"][two[a : a + 1024]]) @ qt + b
+        top = s.max(axis=1)
+        out[a : a + 1024] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
     return out
 
 
-def _train(lexicon, start):
+_NUMBERED = "row long, doc_id long, train boolean, held_out boolean, n long, codes binary, rare binary"
+
+
+def _numbered(lexicon):
+    """Of rows (row, doc_id, train, held_out, text): tokens as numbers, and the words without vectors."""
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
-        lex.unit_list = lex.unit.tolist()
-        trainer, seen, seed = None, 0, SEED
-        held, docs = [], []
-
-        def steps(last: bool):
-            nonlocal held, docs, seen
-            unit, doc = np.array(held, dtype=np.int32), np.repeat(np.arange(len(docs)), docs)
-            one, two = contexts(unit, doc, lex.units)
-            order = trainer.rng.permutation(len(unit))
+        get, first, end, group_of = lex.code.get, lex.first_rest, lex.end, {}
+
+        def rest(w: bytes) -> int:
+            found = group_of.get(w[-2:])
+            if found is None:
+                found = group_of[w[-2:]] = first + cluster(w)
+            return found
+
+        for b in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
+            n, codes, rare = [], [], []
+            for text in b.column(4):
+                words = _words(text)
+                code = [get(w) for w in words]
+                without = []
+                if None in code:
+                    for i, c in enumerate(code):
+                        if c is None:
+                            without.append(words[i])
+                            code[i] = rest(words[i])
+                code.append(end)
+                n.append(len(code))
+                codes.append(np.array(code, dtype="<u2").tobytes())
+                rare.append(b" ".join(without))
+            columns = [*b.columns[:4], pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _NUMBERED.split(", ")])
+
+    return run
+
+
+def _train(lexicon, start):
+    """The model that one part's tokens make of `start`."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lex: Lexicon = lexicon.value
+        table = table.sort_by([("order", "ascending")])
+        part = table.column("part")[0].as_py()
+        trainer, seen, held, size = Trainer(lex, lex.unpack(start.value), SEED + part), 0, [], 0
+
+        def steps() -> None:
+            nonlocal seen
+            code = np.concatenate(held).astype(np.int32)
+            one, two = contexts(code, np.repeat(np.arange(len(held)), [len(x) for x in held]), lex.begin)
+            order = trainer.rng.permutation(len(code))
             for a in range(0, len(order), STEP):
                 at = order[a : a + STEP]
-                trainer.step(unit[at], one[at], two[at])
-            seen += len(unit)
-            held, docs = [], []
-
-        for i, train, words in _texts(batches):
-            if not train:
-                continue
-            if trainer is None:
-                trainer = Trainer(lex, lex.unpack(start.value), SEED + i % 1_000_003)
-            held += _units(lex, words, {})
-            docs.append(len(words) + 1)
-            if len(held) >= FLUSH // 8:
-                steps(False)
+                trainer.step(code[at], one[at], two[at])
+            seen += len(code)
+
+        for codes in table.column("codes"):
+            held.append(np.frombuffer(codes.as_py(), "<u2"))
+            size += len(held[-1])
+            if size >= FLUSH // 8:
+                steps()
+                held, size = [], 0
         if held:
-            steps(True)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([lex.pack(trainer.model)], pa.binary())], ["n", "model"])
+            steps()
+        return pa.table([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([lex.pack(trainer.model)], pa.binary())], ["part", "n", "model"])
 
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("part", "ascending")])
     n = table.column("n").to_numpy().astype(np.float64)
     total = sum(np.frombuffer(m.as_py(), "<f4").astype(np.float64) * x for m, x in zip(table.column("model"), n, strict=True))
-    return pa.table([pa.array([int(n.sum())], pa.int64()), pa.array([(total / n.sum()).astype("<f4").tobytes()], pa.binary())], ["n", "model"])
+    part = table.column("part")[0].as_py() // MODELS
+    return pa.table([pa.array([part], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([(total / n.sum()).astype("<f4").tobytes()], pa.binary())], ["part", "n", "model"])
 
 
 def _averaged(models: DataFrame) -> bytes | None:
-    """The models' average by tokens, 32 at a time, so neither a task nor the driver gets all."""
-    models = stored(models.withColumn("part", F.monotonically_increasing_id()), "lm-models")
-    left = models.count()
-    while left > 1:
-        left = -(-left // 32)
-        models = models.groupBy(F.pmod(F.xxhash64("part"), F.lit(left)).alias("at")).applyInArrow(_average, "n long, model binary")
-        models = stored(models.withColumn("part", F.monotonically_increasing_id()), "lm-models")
-        left = models.count()
+    """The models' average by tokens, MODELS at a time, so neither a task nor the driver gets all."""
+    models = stored(models, "lm-models")
+    while models.count() > 1:
+        models = stored(models.groupBy(F.floor(F.col("part") / MODELS)).applyInArrow(_average, "part long, n long, model binary"), "lm-models")
     found = models.first()
     return bytes(found.model) if found else None
 
 
-def log_normaliser(model: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """log of the sum over all units of exp(score), by batched matrix products."""
-    out = np.empty(len(one), dtype=np.float64)
-    qt = np.ascontiguousarray(model["q"].T)
-    for a in range(0, len(one), 1024):
-        s = (model["r1"][one[a : a + 1024]] + model["r2"][two[a : a + 1024]]) @ qt + model["b"]
-        top = s.max(axis=1)
-        out[a : a + 1024] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-    return out
-
-
 _DEALT = "block int, docs binary, train binary, counts binary, names binary, words binary, times binary, sums binary"
 
 
 def _score(lexicon, trained, blocks: int):
-    """Partial sums of each document (block rows with `sums`), and its rare words dealt to blocks."""
+    """Of rows of _NUMBERED: partial sums of each (block rows with `sums`), and the words without
+    vectors dealt to blocks."""
     names = [x.split()[0] for x in _DEALT.split(", ")]
     kinds = (pa.int32(), *[pa.binary()] * 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
         model = lex.unpack(trained.value)
+        log_count = np.concatenate([lex.log_count, np.zeros(CLUSTERS)])
+        known_code = np.concatenate([lex.known, np.zeros(CLUSTERS, dtype=bool)])
+        within = np.concatenate([np.zeros(lex.first_rest), -lex.log_rest])
 
         def flush() -> pa.RecordBatch:
-            code = np.array(held, dtype=np.int32)
-            ids, train, n = (np.array(x) for x in zip(*docs, strict=True))
-            doc = np.repeat(np.arange(len(n)), n)
-            rare = list(met)
-            rare_cluster = np.array([cluster(w) for w in rare], dtype=np.int32)
-            unit = np.concatenate([lex.unit, lex.first_cluster + rare_cluster])[code]
-            within = np.concatenate([lex.within, -lex.log_mass[rare_cluster]])[code]
-            log_count = np.concatenate([lex.log_count, np.zeros(len(rare))])[code]
-            known = np.concatenate([lex.known, np.zeros(len(rare), dtype=bool)])[code]
-            one, two = contexts(unit, doc, lex.units)
-            pair, back = np.unique(one.astype(np.int64) * (lex.units + 1) + two, return_inverse=True)
-            log_z = log_normaliser(model, pair // (lex.units + 1), pair % (lex.units + 1))[back]
-            lp = np.empty(len(unit))
-            for a in range(0, len(unit), 1 << 16):
-                s = slice(a, a + (1 << 16))
-                lp[s] = ((model["r1"][one[s]] + model["r2"][two[s]]) * model["q"][unit[s]]).sum(axis=1) + model["b"][unit[s]]
-            lp = (lp - log_z) / LN10 + within
+            rows, ids, held_out, train, codes, rare = zip(*held, strict=True)
+            n = np.array([len(c) for c in codes])
+            code, doc = np.concatenate(codes).astype(np.int32), np.repeat(np.arange(len(n)), n)
+            one, two = contexts(code, doc, lex.begin)
+            lp = log10_probabilities(lex, model, code, one, two) + within[code]
             of = lambda x: np.bincount(doc, weights=x, minlength=len(n))
-            sums = np.stack([ids.astype(np.float64).view(np.float64), n, of(known), of(log_count), of(lp), train >> 1])
-            sums[0] = ids.astype(np.int64).view(np.float64)
-            out = [(int(zlib.crc32(str(ids[0]).encode()) % blocks), b"", b"", b"", b"", b"", b"", sums.tobytes())]
-            at = code > lex.end
-            if at.any():
-                pair, times = np.unique(doc[at].astype(np.int64) * len(rare) + (code[at] - lex.end - 1), return_counts=True)
-                d, w = pair // len(rare), pair % len(rare)
-                block_of = np.array([zlib.crc32(x) % blocks for x in rare], dtype=np.int64)
+            rows = np.array(rows, dtype=np.int64)
+            named = np.array([i is not None for i in ids])
+            ids = np.array([i or 0 for i in ids], dtype=np.int64)
+            sums = np.stack([rows.view(np.float64), ids.view(np.float64), n, of(known_code[code]), of(log_count[code]), of(lp), named + 2 * np.array(held_out)])
+            out = [(int(zlib.crc32(str(rows[0]).encode()) % blocks), b"", b"", b"", b"", b"", b"", sums.tobytes())]
+            number: dict[bytes, int] = {}
+            words = [np.array([number.setdefault(w, len(number)) for w in r.split()], dtype=np.int64) for r in rare]
+            if number:
+                d = np.repeat(np.arange(len(words)), [len(w) for w in words])
+                pair, times = np.unique(d * len(number) + np.concatenate(words), return_counts=True)
+                d, w, spelt = pair // len(number), pair % len(number), list(number)
+                block_of = np.array([zlib.crc32(x) % blocks for x in spelt], dtype=np.int64)
                 order = np.argsort(block_of[w], kind="stable")
                 d, w, times = d[order], w[order], times[order]
                 b = block_of[w]
                 cuts = np.flatnonzero(np.diff(b)) + 1
+                trained_on = np.array(train, dtype=np.uint8)
                 for x, y in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(b)]]), strict=True):
                     heads = np.concatenate([[0], np.flatnonzero(np.diff(d[x:y])) + 1])
                     runs = np.diff(np.concatenate([heads, [y - x]])).astype("<u4")
                     own, local = np.unique(w[x:y], return_inverse=True)
                     of_doc = d[x:y][heads]
-                    out.append((int(b[x]), ids[of_doc].astype("<i8").tobytes(), train[of_doc].astype(np.uint8).tobytes(), runs.tobytes(), b" ".join([rare[i] for i in own]), local.astype("<u4").tobytes(), times[x:y].astype("<u4").tobytes(), b""))
+                    out.append((int(b[x]), rows[of_doc].astype("<i8").tobytes(), trained_on[of_doc].tobytes(), runs.tobytes(), b" ".join([spelt[i] for i in own]), local.astype("<u4").tobytes(), times[x:y].astype("<u4").tobytes(), b""))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        get, end = lex.code.get, lex.end
-        held, docs, met = [], [], {}
-        for i, train, words in _texts(batches):
-            for w in words:
-                c = get(w)
-                if c is None:
-                    c = met.get(w)
-                    if c is None:
-                        c = met[w] = end + 1 + len(met)
-                held.append(c)
-            held.append(end)
-            docs.append((i, train, len(words) + 1))
-            if len(held) >= FLUSH // 2:
-                yield flush()
-                held, docs, met = [], [], {}
-        if docs:
+        held, size = [], 0
+        for b in batches:
+            for row, i, train, held_out, n, codes, rare in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "train", "held_out", "n", "codes", "rare")), strict=True):
+                held.append((row, i, held_out, train, np.frombuffer(codes, "<u2"), rare))
+                size += n
+                if size >= FLUSH // 2:
+                    yield flush()
+                    held, size = [], 0
+        if held:
             yield flush()
 
     return run
 
 
-_SUMS = "doc_id long, n_tokens long, n_known long, log_counts double, log_model double, unnamed boolean"
+_SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, log_model double"
 
 
 def _rare(table: pa.Table) -> pa.Table:
-    """Of a block of rare words: their training counts, and what they add to each document."""
+    """Of a block of words without vectors: their training counts, and what they add to each row."""
     docs, out = [], []
     number: dict[bytes, int] = {}
     for ids, train, counts, names, words, times, sums in zip(*(table.column(c).to_pylist() for c in ("docs", "train", "counts", "names", "words", "times", "sums")), strict=True):
         if sums:
-            x = np.frombuffer(sums, np.float64).reshape(6, -1)
-            out.append((x[0].view(np.int64), x[1].astype(np.int64), x[2].astype(np.int64), x[3], x[4], x[5] > 0))
+            x = np.frombuffer(sums, np.float64).reshape(7, -1)
+            flags = x[6].astype(np.int64)
+            doc_id = pa.array(x[1].view(np.int64), mask=flags % 2 == 0)
+            out.append((pa.array(x[0].view(np.int64)), doc_id, pa.array(flags > 1), pa.array(x[2].astype(np.int64)), pa.array(x[3].astype(np.int64)), pa.array(x[4]), pa.array(x[5])))
             continue
         n = np.frombuffer(counts, "<u4")
         wide = np.array([number.setdefault(w, len(number)) for w in names.split(b" ")])
         docs.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(np.frombuffer(train, np.uint8), n), wide[np.frombuffer(words, "<u4")], np.frombuffer(times, "<u4").astype(np.float64)))
     if docs:
         doc, train, word, times = (np.concatenate(x) for x in zip(*docs, strict=True))
-        count = np.bincount(word, weights=times * (train & 1), minlength=len(number))
-        known, log_count = times * (count[word] > 0), times * np.log10(count[word] + 0.1)
-        for unnamed in (False, True):
-            own = (train > 1) == unnamed
-            ids, at = np.unique(doc[own], return_inverse=True)
-            logs = np.bincount(at, weights=log_count[own])
-            out.append((ids, np.zeros(len(ids), np.int64), np.bincount(at, weights=known[own]).astype(np.int64), logs, logs, np.full(len(ids), unnamed)))
-    return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "n_tokens", "n_known", "log_counts", "log_model", "unnamed"])
+        count = np.bincount(word, weights=times * train, minlength=len(number))
+        rows, at = np.unique(doc, return_inverse=True)
+        known = np.bincount(at, weights=times * (count[word] > 0)).astype(np.int64)
+        logs = np.bincount(at, weights=times * np.log10(count[word] + 0.1))
+        out.append((pa.array(rows), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.bool_()), pa.array(np.zeros(len(rows), np.int64)), pa.array(known), pa.array(logs), pa.array(logs)))
+    return pa.table([pa.concat_arrays(x) for x in zip(*out, strict=True)], [x.split()[0] for x in _SUMS.split(", ")])
+
+
+def _top(vocabulary: DataFrame) -> tuple[list[tuple[bytes, int]], DataFrame]:
+    """The most frequent words, at most TOP_WORDS of them, and the vocabulary without them. Words
+    of about equal frequency share their fate, so only a histogram and the words are collected."""
+    level = F.floor(F.log(F.col("n").cast("double")) * LOG_STEPS).cast("int")
+    histogram, least, words = vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), None, 0
+    for r in sorted(histogram, key=lambda r: -r.level):
+        words += r.words
+        if words > TOP_WORDS:
+            break
+        least = r.level
+    if least is None:
+        return [], vocabulary
+    top = [(bytes(r.word), r.n) for r in vocabulary.where(level >= least).collect()]
+    return sorted(top, key=lambda x: (-x[1], x[0])), vocabulary.where(level < least)
 
 
 def score_documents(documents: DataFrame, folds: int = 10) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every doc_id of
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of
     `documents` (doc_id, text).
 
-    The model learns from rows whose crc32(doc_id as text) mod `folds` is not 0. Texts are
-    lower-cased (A-Z) and split at white space; each has one end more, counted as a token; null,
-    empty and blank texts have the end only. base_score: sum of log10((c + 0.1) / (N + 0.1 * (V +
-    1))); score: the model's log10 probability. doc_id is the key: rows that repeat one are summed
-    as one document; rows without one are a document each, in training and not held out. With no training rows all counts are 0. An
-    empty table gives an empty result. Other columns are ignored.
+    The model learns from rows whose crc32(doc_id as text) mod `folds` is not 0, and from those
+    without a doc_id, which are never held out. Texts are lower-cased (A-Z) and split at white
+    space; each has one end more, counted as a token; null, empty and blank texts have the end
+    only. base_score: sum of log10((c + 0.1) / (N + 0.1 * (V + 1))); score: the model's log10
+    probability. Rows that repeat a doc_id, or everything, are a document each. With no training rows all counts are
+    0. An empty table gives an empty result. Other columns, whatever their names, are ignored.
+    Scores don't depend on how rows are dealt to files or tasks, but for rounding.
     """
     spark = documents.sparkSession
-    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = F.when(F.col("doc_id").isNull(), 3).otherwise((F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0).cast("int"))
-    docs = named.select(F.coalesce("doc_id", F.monotonically_increasing_id()).alias("doc_id"), train.alias("train"), "text")
-    vocabulary = stored(docs.where("train > 0").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-vocabulary")
-    ends = docs.where("train > 0").count()
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % folds == 0, F.lit(False))
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (~held).alias("train"), held.alias("held_out"), "text")
+    vocabulary = stored(docs.where("train").select("text").mapInArrow(tidied(_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-vocabulary")
     whole = vocabulary.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    total, distinct = (whole.n or 0) + ends, whole.v + (ends > 0)
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
-    units = spark.createDataFrame([(r.word,) for r in top[:UNIT_WORDS]], "word binary")  # a fixed number of words
+    top, others = _top(vocabulary)
     of = F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(CLUSTERS))
-    clusters = vocabulary.join(F.broadcast(units), "word", "left_anti").groupBy(of.cast("int").alias("cluster")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     tokens, words = np.zeros(CLUSTERS), np.zeros(CLUSTERS)
-    for r in clusters:
+    for r in others.groupBy(of.cast("int").alias("cluster")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tokens[r.cluster], words[r.cluster] = r.n, r.v
-    lexicon = Lexicon([(bytes(r.word), r.n) for r in top], ends, tokens, words)
-    shared = spark.sparkContext.broadcast(lexicon)
-    model = lexicon.pack(lexicon.begin())
-    third = F.pmod(F.when(F.col("train") == 3, F.xxhash64("text", F.lit(SEED))).otherwise(F.xxhash64("doc_id", F.lit(SEED))), F.lit(3)) == 0
-    for wave in (third, ~third):
-        made = docs.where("train > 0").where(wave).mapInArrow(_train(shared, spark.sparkContext.broadcast(model)), "n long, model binary")
+    ends = docs.where("train").count()
+    total, distinct = (whole.n or 0) + ends, whole.v + (ends > 0)
+    lexicon = Lexicon(top, ends, tokens, words)
+    shared = spark.sparkContext.broadcast(lexicon)  # bounded by TOP_WORDS
+    numbered = stored(docs.mapInArrow(tidied(_numbered(shared)), _NUMBERED), "lm-tokens")
+    model, parts = lexicon.pack(lexicon.start()), max(1, math.ceil(total / PART_TOKENS))
+    # rows that are equal in everything but have no doc_id are told apart by where they stand
+    order = F.xxhash64("doc_id", "codes", F.when(F.col("doc_id").isNull(), F.col("row")), F.lit(SEED))
+    dealt = numbered.where("train").select(F.pmod(order, F.lit(parts)).alias("part"), order.alias("order"), "codes")
+    for wave in (F.col("part") % 3 == 0, F.col("part") % 3 > 0):
+        made = dealt.where(wave).groupBy("part").applyInArrow(_train(shared, spark.sparkContext.broadcast(model)), "part long, n long, model binary")
         model = _averaged(made) or model
     blocks = max(16, math.ceil(total / 2 / BLOCK_PAIRS))
-    dealt = docs.mapInArrow(_score(shared, spark.sparkContext.broadcast(model), blocks), _DEALT)
-    sums = dealt.groupBy("block").applyInArrow(_rare, _SUMS)
-    out = sums.groupBy("doc_id", "unnamed").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log_counts", "log_model")])
+    scored = numbered.mapInArrow(tidied(_score(shared, spark.sparkContext.broadcast(model), blocks)), _DEALT)
+    sums = scored.groupBy("block").applyInArrow(_rare, _SUMS)
+    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log_counts", "log_model")])
     return out.select(
-        F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"),
-        (~F.col("unnamed") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0)).alias("held_out"),
+        "doc_id",
+        "held_out",
         "n_tokens",
         "n_known",
         F.lit(total).cast("long").alias("train_tokens"),

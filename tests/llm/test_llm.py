@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linemetry.llm import bpe, mixing, ngram_join, queries, url_filter
+from linemetry.llm import bpe, lm_scoring, mixing, ngram_join, queries, url_filter
 from linemetry.llm import substring_dedup as substring
 from linemetry.llm.collision_ann import approximate_neighbours
 from linemetry.llm.exact_topk import exact_top_k
@@ -398,22 +398,64 @@ def test_language_model(spark):
         own = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[w] > 0 for w in own), n)
         assert abs(r.base_score - sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)) < 1e-6 * abs(r.base_score)
-    held = out[out.held_out]
-    assert held.score.sum() > held.base_score.sum() and (out.score < 0).all()
+    assert (out.score < 0).all()
+    # an unknown word has a slot for itself in its cluster, so documents of known words are compared
+    held = out[out.held_out & (out.n_known == out.n_tokens)]
+    assert len(held) >= 10 and held.score.sum() > held.base_score.sum() and (held.score > held.base_score).mean() > 0.8
+    again = score_documents(df.repartition(5)).toPandas().set_index("doc_id").score
+    assert np.allclose(again, out.set_index("doc_id").score.loc[again.index], rtol=1e-3)
     odd, rows = awkward(spark)
     assert score_documents(odd).count() == len(rows) and score_documents(empty(spark)).count() == 0
 
 
-def test_language_model_keeps_rows_without_id(spark):
-    rows = [(None, "a b rare"), (None, "a b"), (0, "a zero"), (1, "b rare"), (None, None)]
-    out = score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in out) == [(-1, 1), (-1, 3), (-1, 4), (0, 3), (1, 3)]
+def test_language_model_adds_up_to_one():
+    """After any context the probabilities of all classes, words, rests and unknown words add up to 1."""
+    rng, words = np.random.default_rng(1), random.Random(1)
+    top = [(bytes(words.choice(b"abcdefgh") for _ in range(4)) + b"%d" % i, 1000 - i) for i in range(900)]
+    lex = lm_scoring.Lexicon(top, 50, rng.integers(0, 9, lm_scoring.CLUSTERS).astype(float), rng.integers(0, 5, lm_scoring.CLUSTERS).astype(float))
+    model = lex.start()
+    trainer = lm_scoring.Trainer(lex, model, 1)
+    for _ in range(20):
+        trainer.step(*(rng.integers(0, lex.begin, 500).astype(np.int32) for _ in range(3)))
+    code = np.arange(lex.begin, dtype=np.int32)
+    for one, two in ((lex.begin, lex.begin), (3, 700), (899, lex.end)):
+        lp = lm_scoring.log10_probabilities(lex, model, code, np.full(len(code), one, np.int32), np.full(len(code), two, np.int32))
+        assert abs((10**lp).sum() - 1) < 1e-4
+    # by hand: one token's class, then the word among its cluster's
+    h = model["r1"][3] + model["r2"][700]
+    for c in (5, 600, lex.first_rest + 9):
+        own = lex.class_of[c]
+        p = np.exp(model["q"] @ h + model["b"])
+        p = p[own] / p.sum()
+        if lex.inner[c] >= 0:
+            members = [x for x in code if lex.class_of[x] == own]
+            w = {x: np.exp(model["qi"][lex.inner[x]] @ h + model["bi"][lex.inner[x]]) for x in members}
+            p *= w[c] / sum(w.values())
+        lp = lm_scoring.log10_probabilities(lex, model, np.array([c], np.int32), np.array([3], np.int32), np.array([700], np.int32))
+        assert abs(lp[0] - math.log10(p)) < 1e-4
+    # the words of a rest, and one slot for all unknown ones
+    tokens, distinct = 12.0, 3
+    shares = [(n + 0.1) / (tokens + 0.1 * (distinct + 1)) for n in (6, 5, 1)] + [0.1 / (tokens + 0.1 * (distinct + 1))]
+    assert abs(sum(shares) - 1) < 1e-12
+
+
+def test_language_model_keeps_all_rows(spark):
+    rows = [(None, "a b rare"), (None, "a b"), (0, "a zero"), (1, "b rare"), (1, "b rare"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("train", F.lit(1)).withColumn("codes", F.lit(1))
+    out = score_documents(df).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in out) == [(-1, 1), (-1, 3), (-1, 4), (0, 3), (1, 3), (1, 3)]
     held = {i for i in (0, 1) if zlib.crc32(str(i).encode()) % 10 == 0}
     assert {r.doc_id for r in out if r.held_out} == held
-    assert all(r.train_tokens == 8 + 3 * (2 - len(held)) for r in out)
+    assert all(r.train_tokens == 8 + 3 * (0 not in held) + 6 * (1 not in held) for r in out)
     assert all(r.n_known == r.n_tokens and r.score < 0 for r in out if r.doc_id is None)
 
 
+def test_most_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TOP_WORDS", 3)
+    top, others = lm_scoring._top(spark.createDataFrame([(b"a", 1000), (b"b", 100), (b"c", 10), (b"d", 10)], "word binary, n long"))
+    assert top == [(b"a", 1000), (b"b", 100)] and sorted(bytes(r.word) for r in others.collect()) == [b"c", b"d"]
+
+
 def test_quality(spark):
     out = queries.op8_quality_classifier(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas().merge(out, on="doc_id")
