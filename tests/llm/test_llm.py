@@ -348,6 +348,48 @@ def test_mix_of_small_sources(spark):
     assert set(of) == set(target) and all(64 * of[s] <= target[s] or of[s] == 1 for s in "abcd")
 
 
+def test_mix_replayed(spark):
+    """taken, quotas and texts against a replay of the picked blocks, word by word."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(rng.choice([1, 3, 40, 300]))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(150)]
+    rows += [(7, rows[7][1], rows[7][2])] * 2 + [(None, "no id here", "a"), (500, None, "b"), (501, " ", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("start", F.lit(1)).withColumn("size", F.lit("x")).withColumn("h", F.lit(2)).withColumn("picks", F.lit(3)).withColumn("row", F.lit(4))
+    chosen, placed = mixing._mixed(df, (5, 2, 1), 1.5, 2.0, 1)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    plan = {r.source: r for r in mixing.plan(spark, sizes, (5, 2, 1), 1.5, 2.0).collect()}
+    picked = {}
+    for r in chosen.collect():
+        for p in (0, 1):
+            if r[f"picked_{p}"]:
+                picked[r.source, p, r.block] = r[f"shard_{p}"]
+    for s, r in plan.items():  # each shard has its quota of blocks
+        quotas = np.diff([0, *r.quotas])
+        have = Counter(shard for (source, *_), shard in picked.items() if source == s)
+        assert all(have[j] <= quotas[j] for j in range(mixing.SHARDS - 1)) and abs(sum(have.values()) - quotas.sum()) <= 1
+        assert all(have[j] == quotas[j] for j in range(max(have)))
+    lines = {s: [] for s in plan}
+    expected = []
+    for r in sorted(placed.collect(), key=lambda r: r.start):
+        n = sum((r.source, p, x // r.block_words) in picked for x in range(r.start, r.start + r.size) for p in (0, 1))
+        assert r.taken == n and len(lines[r.source]) == r.start
+        lines[r.source] += [r.doc_id] * r.size
+        expected.append(n)
+    assert all(len(lines[s]) == sizes[s] for s in plan)
+    parts = mixing.mixed_documents(df, seed=1, by_shard=True).collect()
+    assert sum(len(words(r.text)) for r in parts) == sum(expected)
+    of_shard, blocks = Counter(), Counter()
+    for r in parts:
+        of_shard[r.source, r.shard] += len(words(r.text))
+    for (s, _, block), shard in picked.items():
+        blocks[s, shard] += min(plan[s].block_words, sizes[s] - block * plan[s].block_words)
+    assert of_shard == blocks and {r.size for r in parts} == {"x"} and {r.picks for r in parts} == {3}
+    whole = mixing.mixed_documents(df, seed=1).collect()
+    assert sorted(w for r in whole for w in words(r.text)) == sorted(w for r in parts for w in words(r.text))
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_apportionment():
     assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2]
     quotas = mixing.shard_quotas([5, 2, 1], 100, 7)
