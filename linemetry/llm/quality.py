@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _words
 from ._memory import tidied
@@ -143,13 +144,14 @@ def _chars(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of labelled rows, packed: buckets in two bytes, values in four."""
     for b in batches:
         labels = b.column("label").to_pylist()
         for f in features(b.column("text"), _chars(b)):
             ends = np.searchsorted(f.doc, np.arange(f.stop - f.first + 1))
-            parts = [(f.bucket[x:y].tolist(), f.value[x:y].tolist()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            parts = [(f.bucket[x:y].astype("<u2").tobytes(), f.value[x:y].astype("<f4").tobytes()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in parts], pa.list_(pa.int32())), pa.array([p[1] for p in parts], pa.list_(pa.float64())), pa.array(f.statistics.tolist(), pa.list_(pa.float64())), pa.array(labels[f.first : f.stop], pa.int32())],
+                [pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary()), pa.array([x.tobytes() for x in f.statistics.astype("<f8")], pa.binary()), pa.array(labels[f.first : f.stop], pa.int32())],
                 ["buckets", "amounts", "statistics", "label"],
             )
 
@@ -162,22 +164,27 @@ def _scores(machine):
             for f in features(b.column("text"), _chars(b)):
                 margin, _ = m.margin(*m.terms(f), f.stop - f.first)
                 out.append(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
-            keep = [c for c in range(b.num_columns) if b.schema.names[c] != "label"]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.concatenate(out))], [*[b.schema.names[c] for c in keep], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out))], [*b.schema.names, "score"])
 
     return run
 
 
 def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on at most `sample_rows` labelled rows: those with the smallest hashes among the rows
-    whose crc32(doc_id as text) mod `folds` is not 0. Only their features reach the driver."""
+    whose crc32(doc_id as text) mod `folds` is not 0. Only their features reach the driver: at most
+    six bytes for each of BUCKETS buckets a row."""
     fold = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % folds
     sample = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    sample = sample.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample_rows)
+    sample = sample.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit(SEED)))
+    many = sample.count()
+    if many > sample_rows:  # hashes below a bound, a few more than needed, so tasks send on few rows
+        share = min(1.0, (sample_rows + 6 * sample_rows**0.5) / many)
+        sample = sample.where(F.col("draw") <= min(2**63 - 1, int(-(2**63) + 2**64 * share)))
+    sample = sample.orderBy("draw", "doc_id").limit(sample_rows).drop("draw")
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(sample), "doc_id")
-    found = chosen.select("text", "n_chars", "label").mapInArrow(_rows, "buckets array<int>, amounts array<double>, statistics array<double>, label int").toArrow()
+    found = chosen.select("text", "n_chars", "label").mapInArrow(tidied(_rows), "buckets binary, amounts binary, statistics binary, label int").toArrow()
     lists = zip(*(found.column(c).to_pylist() for c in ("buckets", "amounts", "statistics")), strict=True)
-    rows = [(np.array(b, dtype=np.int64), np.array(v), np.array(s)) for b, v, s in lists]
+    rows = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64), np.frombuffer(s, "<f8")) for b, v, s in lists]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i][0]), rows[i][1].sum() if len(rows[i][1]) else 0.0, rows[i][2].sum()))  # whatever order tasks end in
     return fit([rows[i] for i in order], np.array(found.column("label").to_pylist(), dtype=np.float64)[order] if rows else np.zeros(0))
 
@@ -190,14 +197,13 @@ def score_quality(documents: DataFrame, labels: DataFrame, label: str = "quality
     `folds` is 0 (a null doc_id: false). score is in 0..1; null, empty and blank texts are scored
     by their statistics. predicted: 1 if score >= threshold. Without labels, or with one class
     only, every row has that class's rate. Columns named held_out, score or predicted are
-    replaced. Repeated rows give a row each; nothing is shuffled but the labels.
+    replaced, all others kept. Repeated rows give a row each; nothing is shuffled but the labels.
     """
     documents = documents.drop("held_out", "score", "predicted")
     machine = documents.sparkSession.sparkContext.broadcast(learn(documents, labels, label, folds, sample_rows))
     given = documents.columns
     cast = documents.withColumn("n_chars", F.col("n_chars").cast("double"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cast.schema.fields if f.name != "label")
-    out = cast.mapInArrow(tidied(_scores(machine)), f"{types}, score double")
+    out = cast.mapInArrow(tidied(_scores(machine)), T.StructType([*cast.schema.fields, T.StructField("score", T.DoubleType())]))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % folds == 0, F.lit(False))
     out = out.withColumn("n_chars", F.col("n_chars").cast(documents.schema["n_chars"].dataType))
-    return out.select(*[c for c in given if c in out.columns], held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(*[F.col(f"`{c}`") for c in given], held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ LONGEST_WORD = 24
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or without ://."""
-    rest = F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
+    rest = F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, url.substr(F.instr(url, "://") + 3, F.length(url))).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
@@ -164,17 +164,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([out if c == "words" else b.column(c) for c in b.schema.names], ["tokens" if c == "words" else c for c in b.schema.names])
 
 
-def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, unwanted: tuple[str, ...] = UNWANTED) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, unwanted: tuple[str, ...] = UNWANTED, labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, log_odds, tokens for every row of `pages` (page_id, url).
 
     The longest rule that fits decides: its host is the url's or a parent domain, and the path
     starts with its path. Else the method does: naive Bayes over the words of the segmented host
     and of the path. The dictionary is the words (up to 24 letters) of all hosts and paths,
-    and `unwanted`; a page is first labelled by whether its segmented words have an unwanted one, and
-    counts of all pages then train the classifier, so words that go along with unwanted ones
-    count too. Both tables are of all words, and are joined, so neither has a greatest size. Urls that are null or have no :// have empty parts and no tokens: the priors
-    decide, floored so that they allow. Rows with a null page_id and repeated rows give a row
-    each; an empty table gives an empty result; other columns (html too) are never read.
+    and `unwanted`. The classifier learns from all pages: from `labels` (page_id, unwanted boolean;
+    true wins where a page has several) for pages that are there, and for others from weak labels,
+    by whether the segmented words of the host have an unwanted one; so words that go along with
+    unwanted ones count too. Both tables are of all words, and are joined, so neither has a greatest size. Urls that are null or have no :// have empty parts and no tokens: the priors
+    decide, floored so that they allow; so they do for all urls where all pages are of one class. Rows with a null page_id and repeated rows give a row
+    each; an empty table gives an empty result; other columns (html too), whatever their names, are never read.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
@@ -197,15 +198,20 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     # tokens of paths begin with /, so a page is as unwanted as its host
     bad = F.coalesce(F.arrays_overlap("words", F.array(*[F.lit(w) for w in unwanted])), F.lit(False))
     hosts = stored(hosts.withColumn("bad", bad), "url-hosts")
-    prior = hosts.agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n")).first()
-    hot = F.col("n") * HOT >= (prior.n or 0)
+    hot = F.col("n") * HOT >= (hosts.agg(F.sum("n")).first()[0] or 0)
     often = hosts.where(hot).drop("n")
     rows = parts.join(F.broadcast(often), "host").unionByName(parts.join(F.broadcast(often.select("host")), "host", "left_anti").join(hosts.where(~hot).drop("n"), "host"))
+    if labels is not None:
+        known = labels.where("page_id is not null and unwanted is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("unwanted").alias("label"))
+        rows = rows.join(known, "page_id", "left").withColumn("bad", F.coalesce("label", "bad")).drop("label")
     tokens = stored(rows.select("id", "page_id", "host", "path", "words", "bad").mapInArrow(_tokens, "id long, page_id long, host string, path string, tokens array<string>, bad boolean"), "url-tokens")
+    prior = tokens.agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n")).first()
     per_word = stored(tokens.select("tokens", "bad").mapInArrow(_token_counts, _COUNTED).groupBy("token").agg(F.sum("good_n").alias("good_n"), F.sum("bad_n").alias("bad_n")), "url-odds")
     seen = per_word.agg(F.sum("good_n").alias("good"), F.sum("bad_n").alias("bad"), F.count("*").alias("v")).first()
     bad_total, good_total = (seen.bad or 0) + seen.v + 1, (seen.good or 0) + seen.v + 1
-    odds = per_word.select("token", (F.log((F.col("bad_n") + 1) / bad_total) - F.log((F.col("good_n") + 1) / good_total)).alias("odds"), ((F.col("good_n") + F.col("bad_n")) * HOT >= (seen.good or 0) + (seen.bad or 0)).alias("hot"))
+    # of one class alone nothing can be learnt
+    learnt = F.log((F.col("bad_n") + 1) / bad_total) - F.log((F.col("good_n") + 1) / good_total) if 0 < (prior.bad or 0) < prior.n else F.lit(0.0)
+    odds = per_word.select("token", learnt.alias("odds"), ((F.col("good_n") + F.col("bad_n")) * HOT >= (seen.good or 0) + (seen.bad or 0)).alias("hot"))
     of = {r.token: r.odds for r in odds.where("hot").collect()}
     start = min(math.log(((prior.bad or 0) + 1) / ((prior.n or 0) - (prior.bad or 0) + 1)), -1e-9)
     scored = tokens.drop("bad").mapInArrow(_scores(spark.sparkContext.broadcast(of), start), "id long, page_id long, host string, path string, tokens array<string>, log_odds double, rest array<string>")

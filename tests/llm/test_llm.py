@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linemetry.llm import bpe, lm_scoring, mixing, ngram_join, queries, url_filter
+from linemetry.llm import bpe, lm_scoring, mixing, ngram_join, quality, queries, url_filter
 from linemetry.llm import substring_dedup as substring
 from linemetry.llm.collision_ann import approximate_neighbours
 from linemetry.llm.exact_topk import exact_top_k
@@ -406,6 +406,39 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_split_against_all_splits():
+    rng = random.Random(8)
+    for _ in range(200):
+        counts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))): rng.randrange(1, 50) for _ in range(8)}
+        name, total = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 10))), 1 + sum(counts.values())
+
+        def value(parts, counts=counts, total=total):
+            return sum(math.log(counts[w] / total) if w in counts else math.log(1 / total) - 3.0 * len(w) for w in parts)
+
+        every = []
+        for cuts in range(1 << (len(name) - 1)):
+            at = [0, *(i + 1 for i in range(len(name) - 1) if cuts >> i & 1), len(name)]
+            every.append([name[x:y] for x, y in zip(at, at[1:], strict=False)])
+        assert abs(value(url_filter.split(name, counts, total)) - max(map(value, every))) < 1e-9
+
+
+def test_urls_awkward(spark):
+    urls = [None, "", "://", "http://a.net/x", "http://a.net/x", "http://" + "b" * 5000 + ".net/" + "c" * 5000, "http://é.net/ü"]
+    rows = [(None if i == 4 else 1, u, "h", 1, "w", 2) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, id int, words string, bad int").withColumn("path", F.lit(1)).withColumn("n", F.lit(1))
+    out = url_filter.filter_urls(df).collect()
+    assert len(out) == len(urls) and sum(r.page_id is None for r in out) == 1 and all(r.verdict == "allow" for r in out)
+    assert sorted(r.host for r in out)[:3] == ["", "", ""] and ("é.net", "/ü") in {(r.host, r.path) for r in out}
+
+
+def test_urls_learn_from_labels(spark):
+    rows = [(i, f"http://{'quiet' if i % 2 else 'noisy'}.net/p{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(12)] + [(3, None), (None, True)], "page_id long, unwanted boolean")
+    out = url_filter.filter_urls(df, labels=labels).collect()
+    assert {r.page_id for r in out if r.verdict == "block"} == {i for i in range(20) if i % 2 == 0}
+
+
 def test_urls_words_of_paths(spark):
     urls = ["http://casinovelvet.net/p"] * 3 + ["http://fine.net/velvet/p"] * 6
     out = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
@@ -509,6 +542,64 @@ def test_quality(spark):
     assert score_quality(odd, none).count() == len(rows) and score_quality(empty(spark), none).count() == 0
 
 
+def test_factorisation_machine_equals_pairs(spark):
+    """The linear-time margin is the sum over all pairs of features."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = pa.array(["one two three", "", "Two  two! X\n#$ 12 ünï", "a " * 50])
+    n = quality.BUCKETS + len(quality.STATISTICS)
+    machine = quality.Machine(0.3, rng.normal(size=n), rng.normal(size=(n, quality.DIMENSIONS)), rng.normal(size=len(quality.STATISTICS)), np.ones(len(quality.STATISTICS)))
+    f = next(quality.features(texts, np.array([13.0, 0, 23, 100])))
+    doc, feature, value = machine.terms(f)
+    margin, _ = machine.margin(doc, feature, value, 4)
+    for d in range(4):
+        own, x = feature[doc == d], value[doc == d]
+        pairs = sum(machine.factor[a] @ machine.factor[b] * x[i] * x[j] for i, a in enumerate(own) for j, b in enumerate(own) if i < j)
+        assert abs(margin[d] - (0.3 + machine.weight[own] @ x + pairs)) < 1e-9
+
+
+def test_quality_keeps_columns(spark):
+    odd, rows = awkward(spark)
+    labels = spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(rows)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    out = score_quality(odd.withColumn("label", F.lit(7)).withColumn("buckets", F.lit("b")), labels, sample_rows=9)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", "buckets", "held_out", "score", "predicted"]
+    assert {(r.label, r.buckets) for r in out.collect()} == {(7, "b")} and out.count() == len(rows)
+
+
+def test_stages_on_awkward_tables(spark):
+    """Every stage on nulls, empties, repeats, long texts, ties, clashing names and empty tables."""
+    import corpus_pipeline
+
+    odd, rows = awkward(spark)
+    odd = odd.unionByName(odd.limit(3)).unionByName(odd.where("doc_id = 28").withColumn("doc_id", F.lit(None).cast("long")))
+    for name in ("size", "start", "h", "places", "changed", "copy", "of_id", "mix_h", "places_of", "row", "label", "picks", "n", "gram", "component_id"):
+        odd = odd.withColumn(name, F.lit(name))
+    seen = odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, DATA)
+        kept = out.collect()
+        assert name in ("source_mix", "tokens") or len(kept) <= seen
+        if name != "tokens":
+            assert out.columns == odd.columns and all(r.places == "places" and r.size == "size" for r in kept)
+        else:
+            assert len(kept) == seen
+        if name == "repeated_passages":
+            assert len(kept) == seen and sum(r.doc_id is None for r in kept) == 1
+        assert stage(spark, odd.limit(0), DATA).count() == 0
+
+
+def test_stored_tables_can_be_dropped(spark):
+    import os
+
+    from linemetry.llm import _tables
+
+    df = _tables.stored(spark.range(3).toDF("x"), "test")
+    where = df.inputFiles()[0].removeprefix("file:")
+    where = where[where.rindex("//") + 1 :] if "//" in where else where
+    assert os.path.exists(where) and _tables.drop_stored(spark) > 0 and not os.path.exists(where) and _tables.drop_stored(spark) == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
