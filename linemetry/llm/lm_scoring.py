@@ -33,11 +33,11 @@ from ._memory import tidied
 from ._tables import stored
 
 #: Sizes of the model: words with own vectors (at most), of these with own classes, clusters, dimensions.
-TOP_WORDS, CLASS_WORDS, CLUSTERS, DIMENSIONS = 16_384, 256, 256, 16
+TOP_WORDS, CLASS_WORDS, CLUSTERS, DIMENSIONS = 16_384, 128, 128, 16
 #: Training: tokens of a step, noise classes of a step, noise words of a token, step size, seed.
-STEP, NOISE, INNER_NOISE, RATE, SEED = 4096, 64, 4, 0.15, 20240607
+STEP, NOISE, INNER_NOISE, RATE, SEED = 8192, 32, 2, 0.15, 20240607
 #: Tokens of a part on average, and models averaged together.
-PART_TOKENS, MODELS = 1 << 22, 16
+PART_TOKENS, MODELS = 1 << 21, 16
 #: Tokens that are counted or scored together, and rare (document, word) pairs of a block.
 FLUSH, BLOCK_PAIRS = 1 << 21, 1 << 20
 #: Frequencies are told apart in steps of 1 / LOG_STEPS of their natural logarithm to find the most frequent words.
@@ -135,7 +135,8 @@ def contexts(code: np.ndarray, doc: np.ndarray, begin: int) -> tuple[np.ndarray,
 
 
 def _scatter(table: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """An AdaGrad step on the rows `at`; rows may repeat."""
+    """An AdaGrad step on the rows `at`, which may repeat; numbers below 65,536, which are sorted by their bytes."""
+    at = at.astype(np.uint16)
     order = np.argsort(at, kind="stable")
     rows = at[order]
     heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
