@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def by_path():
     return Window.partitionBy("path_id").orderBy("i")
 
@@ -43,12 +46,67 @@ def resample_uniform(points: DataFrame, step: float) -> DataFrame:
 
 
 def tangents(points: DataFrame) -> DataFrame:
-    """Unit vectors (ty, tx) from two points before to two points after, clipped at the ends."""
-    whole = Window.partitionBy("path_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    k = 2
-    d = {c: F.coalesce(F.lead(c, k).over(by_path()), F.last(c).over(whole)) - F.coalesce(F.lag(c, k).over(by_path()), F.first(c).over(whole)) for c in ("y", "x")}
-    norm = F.hypot(F.col("dy"), F.col("dx"))
-    return points.select("path_id", "i", d["y"].alias("dy"), d["x"].alias("dx")).select("path_id", "i", F.when(norm > 0, F.try_divide("dy", norm)).otherwise(F.col("dy")).alias("ty"), F.when(norm > 0, F.try_divide("dx", norm)).otherwise(F.col("dx")).alias("tx"))
+    """Unit vectors (ty, tx) from k points before to k points after, clipped at the ends; k is 2, on
+    paths of two or three points 1. Where these two meet, from one before to one after. A single
+    point has (0, 1); where all meet it is (0, 0)."""
+    whole = Window.partitionBy("path_id")
+    ordered = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.count("*").over(whole)
+
+    def span(c: str, k: int) -> Column:
+        return F.coalesce(F.lead(c, k).over(by_path()), F.last(c).over(ordered)) - F.coalesce(F.lag(c, k).over(by_path()), F.first(c).over(ordered))
+
+    p = points.select("path_id", "i", n.alias("n"), *[span(c, k).alias(f"{c}{k}") for c in ("y", "x") for k in (1, 2)])
+    wide = (F.col("n") >= 4) & (F.hypot("y2", "x2") >= 1e-9)
+    p = p.select("path_id", "i", "n", *[F.when(wide, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(c) for c in ("y", "x")])
+    norm = F.hypot("y", "x")
+    norm = F.when(norm < 1e-9, 1.0).otherwise(norm)
+    return p.select("path_id", "i", F.when(F.col("n") == 1, 0.0).otherwise(F.col("y") / norm).alias("ty"), F.when(F.col("n") == 1, 1.0).otherwise(F.col("x") / norm).alias("tx"))
+
+
+def resample_cap(points: DataFrame, most: int) -> DataFrame:
+    """At most `most` points of each path: those nearest (half to even) to equal steps of i, which
+    counts from 0; the ends stay."""
+    n = F.count("*").over(Window.partitionBy("path_id"))
+    kept = F.transform(F.sequence(F.lit(0), F.lit(max(0, most - 1))), lambda k: F.rint(k * (F.col("n") - 1) / F.lit(max(1, most - 1))).cast("long"))
+    return points.withColumn("n", n).where((F.col("n") <= most) | F.array_contains(kept, F.col("i").cast("long"))).drop("n")
+
+
+def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of one path the Ramer-Douglas-Peucker rule keeps: a point stays if it is the
+    farthest (the first of equals) from the chord of its stretch, and farther than the tolerance."""
+    keep = np.zeros(len(points), dtype=bool)
+    keep[[0, -1]] = True
+    stretches = [(0, len(points) - 1)]
+    while stretches:
+        a, b = stretches.pop()
+        if b - a < 2:
+            continue
+        chord, rel = points[b] - points[a], points[a + 1 : b] - points[a]
+        length = np.hypot(*chord)
+        off = np.abs(chord[1] * rel[:, 0] - chord[0] * rel[:, 1]) / length if length > 1e-12 else np.hypot(rel[:, 0], rel[:, 1])
+        m = int(off.argmax())
+        if off[m] > tolerance:
+            keep[a + 1 + m] = True
+            stretches += [(a, a + 1 + m), (a + 1 + m, b)]
+    return keep
+
+
+def simplify_rdp(points: DataFrame, tolerance: float) -> DataFrame:
+    """`points` that Ramer-Douglas-Peucker keeps, one path a group; paths of up to two points stay."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("i", "ascending")])
+        flat = np.stack([table.column(c).to_numpy().astype(float) for c in ("y", "x")], axis=1)
+        return table.filter(pa.array(simplified(flat, tolerance)))
+
+    return points.groupBy("path_id").applyInArrow(run, points.schema)
+
+
+def to_original(points: DataFrame, factor: str = "factor") -> DataFrame:
+    """Points of a crop (at y0, x0) of a downscaled image, in pixels of the original one; widths too."""
+    moved = {c: (F.col(c) + F.col(f"{c}0")) * F.col(factor) for c in ("y", "x")}
+    return points.withColumns(moved | ({"width_px": F.col("width_px") * F.col(factor)} if "width_px" in points.columns else {}))
 
 
 def length_mm(points: DataFrame, scale: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("image_id", "y", "x")
@@ -43,9 +43,13 @@ def close3x3(mask: DataFrame, extent: DataFrame) -> DataFrame:
     return grown.join(dilate(holes, square), list(KEY), "left_anti")
 
 
-def label_components(mask: DataFrame) -> DataFrame:
-    """Adds comp_id: the smallest y * 65536 + x of the pixel's 8-connected component. An image is
-    one group (its size is bounded by the image source); images are spread over tasks."""
+#: Steps to half of a pixel's neighbours, for 8- and 4-connected components.
+HALF = {8: ((0, 1), (1, -1), (1, 0), (1, 1)), 4: ((0, 1), (1, 0))}
+
+
+def label_components(mask: DataFrame, connected: int = 8) -> DataFrame:
+    """Adds comp_id: the smallest y * 65536 + x of the pixel's 8- or 4-connected component. An image
+    is one group (its size is bounded by the image source); images are spread over tasks."""
 
     def label(table: pa.Table) -> pa.Table:
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
@@ -54,7 +58,7 @@ def label_components(mask: DataFrame) -> DataFrame:
         root = key[order].copy()
         sorted_key = key[order]
         links = []
-        for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        for dy, dx in HALF[connected]:
             other = sorted_key + dy * 65536 + dx
             at = np.minimum(np.searchsorted(sorted_key, other), len(key) - 1)
             hit = sorted_key[at] == other
@@ -85,14 +89,68 @@ def components(labelled: DataFrame, min_area: int = 40, max_instances: int | Non
     return out.where(F.col("rank") <= max_instances) if max_instances is not None else out
 
 
+def fill_holes(mask: DataFrame, extent: DataFrame, most: int) -> DataFrame:
+    """`mask` with the 4-connected holes of at most `most` pixels filled; extent has all pixels."""
+    outside = label_components(extent.select(*KEY).join(mask.select(*KEY), list(KEY), "left_anti"), 4)
+    small = outside.groupBy("image_id", "comp_id").agg(F.count("*").alias("size")).where(F.col("size") <= most)
+    return mask.select(*KEY).unionByName(outside.join(small, ["image_id", "comp_id"], "left_semi").select(*KEY))
+
+
+def clean_mask(mask: DataFrame, extent: DataFrame, min_area: int = 40) -> DataFrame:
+    """Small holes filled (if min_area is above 1), then closed by 3x3. Specks stay: `components` drops them."""
+    filled = fill_holes(mask, extent, max(4, min_area // 4)) if min_area > 1 else mask
+    return close3x3(filled, extent)
+
+
+def tile_starts(place: Column, length: int, tile: int, overlap: int) -> Column:
+    """The starts of the tiles that cover a place on an axis. Tiles follow each other by tile -
+    overlap as long as they fit; if they don't reach the end, one more is set there."""
+    step, last = max(1, tile - overlap), max(0, length - tile)
+    fit = last // step  # number of the last one that fits
+    low = F.greatest(F.lit(0), F.ceil((place - (tile - 1)) / step)).cast("long")
+    high = F.least(F.lit(fit), F.floor(place / step)).cast("long")
+    regular = F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda k: k * step)).otherwise(F.array().cast("array<long>"))
+    if last == fit * step:
+        return regular
+    return F.when(place >= last, F.concat(regular, F.array(F.lit(last).cast("long")))).otherwise(regular)
+
+
 def tile_blend(pixels: DataFrame, tile: int, overlap: int, height: int, width: int) -> DataFrame:
-    """Overlapping tiles with raised-cosine weights, blended back: sum(p w) / sum(w)."""
-    starts = lambda n: sorted({*range(0, max(1, n - tile + 1), max(1, tile - overlap)), max(0, n - tile)})
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("ty"), F.lit(b).alias("tx")) for a in starts(height) for b in starts(width)])).alias("t")
-    inside = pixels.select("*", grid).where("y >= t.ty and y < t.ty + {0} and x >= t.tx and x < t.tx + {0}".format(tile))
-    hann = lambda c: 0.5 - 0.5 * F.cos(2 * np.pi * (c + 1) / (tile + 1))
-    weight = F.greatest(F.lit(1e-3), hann(F.col("y") - F.col("t.ty")) * hann(F.col("x") - F.col("t.tx")))
-    return inside.withColumn("w", weight).groupBy(*KEY).agg((F.sum(F.col("p") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("p"), F.count("*").alias("tiles"))
+    """Overlapping tiles with raised-cosine weights, blended back: sum(p w) / sum(w). A pixel meets
+    only the tiles that cover it."""
+    covered = pixels.withColumn("ty", F.explode(tile_starts(F.col("y"), height, tile, overlap))).withColumn("tx", F.explode(tile_starts(F.col("x"), width, tile, overlap)))
+    bell = lambda c: 0.5 - 0.5 * F.cos(2 * np.pi * (c + 1) / (tile + 1))
+    weight = F.greatest(F.lit(1e-3), bell(F.col("y") - F.col("ty")) * bell(F.col("x") - F.col("tx")))
+    return covered.withColumn("w", weight).groupBy(*KEY).agg((F.sum(F.col("p") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("p"), F.count("*").alias("tiles"))
+
+
+def blank_quad(pixels: DataFrame, quads: DataFrame, margin: float = 1.15) -> DataFrame:
+    """`pixels` with p 0 inside the quadrilateral of their image, widened about its centre. quads:
+    (image_id, corners: four structs y, x in order), at most one an image. Edges belong to it."""
+    wide = F.transform("corners", lambda c: F.struct((F.col("cy") + (c.y - F.col("cy")) * margin).alias("y"), (F.col("cx") + (c.x - F.col("cx")) * margin).alias("x")))
+    mean = lambda f: F.aggregate("corners", F.lit(0.0), lambda a, c: a + c[f]) / 4
+    quads = quads.select("image_id", "corners", mean("y").alias("cy"), mean("x").alias("cx")).select("image_id", wide.alias("q"))
+    sides = []
+    for i in range(4):
+        a, b = F.col("q")[i], F.col("q")[(i + 1) % 4]
+        sides.append((b.x - a.x) * (F.col("y") - a.y) - (b.y - a.y) * (F.col("x") - a.x))
+    inside = (sides[0] >= 0) & (sides[1] >= 0) & (sides[2] >= 0) & (sides[3] >= 0) | (sides[0] <= 0) & (sides[1] <= 0) & (sides[2] <= 0) & (sides[3] <= 0)
+    joined = pixels.join(quads, "image_id", "left")
+    return joined.withColumn("p", F.when(inside, 0.0).otherwise(F.col("p"))).select(*pixels.columns)
+
+
+def ridge_normalise(pixels: DataFrame) -> DataFrame:
+    """A filter's answers p as probabilities: from the 60th to the 99.5th percentile of each image to
+    0..1; 0 where the greatest or the range is below 1e-9."""
+    of = pixels.groupBy("image_id").agg(F.percentile("p", F.lit(0.6)).alias("low"), F.percentile("p", F.lit(0.995)).alias("high"), F.max("p").alias("most"))
+    j = pixels.join(of, "image_id")
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col("p") - F.col("low"), F.col("high") - F.col("low"))))
+    return j.withColumn("p", F.when((F.col("most") <= 1e-9) | (F.col("high") - F.col("low") < 1e-9), 0.0).otherwise(part)).select(*pixels.columns)
+
+
+def downscale(pixels: DataFrame, factor: int) -> DataFrame:
+    """Means of squares of `factor` pixels a side."""
+    return pixels.groupBy("image_id", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg("p").alias("p"))
 
 
 def confusion(pixels: DataFrame, truth: float, thresholds: tuple[float, ...]) -> DataFrame:
@@ -112,7 +170,7 @@ def tolerant_f1(pred: DataFrame, truth: DataFrame) -> DataFrame:
     n = pred.groupBy("image_id").agg(F.count("*").alias("pred_n")).join(truth.groupBy("image_id").agg(F.count("*").alias("truth_n")), "image_id", "full")
     n = n.join(near_truth, "image_id", "left").join(near_pred, "image_id", "left").na.fill(0)
     p, r = F.col("pred_hit") / (F.col("pred_n") + 1e-7), F.col("truth_hit") / (F.col("truth_n") + 1e-7)
-    return n.select("image_id", p.alias("precision"), r.alias("recall"), F.when(p + r < 1e-7, 0.0).otherwise(2 * p * r / (p + r + 1e-7)).alias("tolerant_f1"))
+    return n.select("image_id", p.alias("precision"), r.alias("recall"), F.when(p + r < 1e-7, 0.0).otherwise(2 * p * r / (p + r)).alias("tolerant_f1"))
 
 
 def skeletonise(mask: DataFrame) -> DataFrame:

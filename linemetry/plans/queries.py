@@ -12,6 +12,7 @@ from ..operators import instances as inst
 from ..operators import polyline as line
 from ..operators import raster as ras
 from ..sources import adapters as src
+from ..sources import images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,8 +23,11 @@ POINTS = "points AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY
 SEGMENTS = f"{POINTS}, seg0 AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM points WINDOW w AS (PARTITION BY path_id ORDER BY i)), segs AS (SELECT *, coalesce(sqrt((x - x0) ** 2 + (y - y0) ** 2), 0) AS seg FROM seg0), s AS (SELECT *, sum(seg) OVER (PARTITION BY path_id ORDER BY i) AS s FROM segs)"
 SEVERITY = "CASE WHEN {0} IS NULL OR {0} < 0 THEN 'unknown' WHEN {0} < 0.1 THEN 'hairline' WHEN {0} < 0.2 THEN 'fine' WHEN {0} < 0.3 THEN 'moderate' WHEN {0} < 0.5 THEN 'wide' ELSE 'severe' END"
 SAMPLES = "samples AS (SELECT l_orderkey AS instance_id, l_linenumber AS sample_id, l_quantity AS width_px, (l_discount + 0.0) * 0.2 AS mm_per_px, l_returnflag = 'R' AS at_junction FROM lineitem)"
-WIDTHS = f"""{SAMPLES}, used AS (SELECT *, CASE WHEN mm_per_px > 0 THEN width_px * mm_per_px END AS width_mm, NOT at_junction OR count(*) FILTER (WHERE NOT at_junction) OVER (PARTITION BY instance_id) = 0 AS used FROM samples),
-summary AS (SELECT instance_id, max(width_px) FILTER (WHERE used) AS width_max_px, avg(width_px) FILTER (WHERE used) AS width_mean_px, quantile_cont(width_px, 0.95) FILTER (WHERE used) AS width_p95_px, max(width_mm) FILTER (WHERE used) AS width_max_mm, sum(width_px) AS length_px, count(*) FILTER (WHERE at_junction) AS excluded FROM used GROUP BY instance_id)"""
+KNOWN_PX, KNOWN_MM = "FILTER (WHERE used AND width_px >= 0)", "FILTER (WHERE used AND width_mm >= 0)"
+WIDTHS = f"""{SAMPLES}, used AS (SELECT *, CASE WHEN mm_per_px > 0 THEN width_px * mm_per_px ELSE -1 END AS width_mm, NOT at_junction OR count(*) FILTER (WHERE NOT at_junction) OVER (PARTITION BY instance_id) = 0 AS used FROM samples),
+summary AS (SELECT instance_id, coalesce(max(width_px) {KNOWN_PX}, -1) AS width_max_px, coalesce(avg(width_px) {KNOWN_PX}, -1) AS width_mean_px, coalesce(quantile_cont(width_px, 0.95) {KNOWN_PX}, -1) AS width_p95_px, coalesce(max(width_mm) {KNOWN_MM}, -1) AS width_max_mm, coalesce(avg(width_mm) {KNOWN_MM}, -1) AS width_mean_mm, coalesce(quantile_cont(width_mm, 0.95) {KNOWN_MM}, -1) AS width_p95_mm, count(*) FILTER (WHERE at_junction) AS excluded FROM used GROUP BY instance_id)"""
+PATHS = "paths AS (SELECT l_orderkey AS instance_id, l_linenumber AS path_id, l_extendedprice AS length, CASE WHEN l_tax = 0 THEN -1 ELSE l_extendedprice * l_tax END AS length_mm, l_quantity - 25 AS orientation, 1 + l_discount + 0.0 AS tortuosity FROM lineitem)"
+TOTALS = f"{PATHS}, longest AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY length DESC, path_id) AS place FROM paths), totals AS (SELECT instance_id, count(*) AS paths, sum(length) AS length_px, CASE WHEN min(length_mm) >= 0 THEN sum(length_mm) ELSE -1 END AS length_mm, max(orientation) FILTER (WHERE place = 1) AS orientation, max(tortuosity) FILTER (WHERE place = 1) AS tortuosity FROM longest GROUP BY 1)"
 
 
 def query(sql: str | None = None):
@@ -94,21 +98,12 @@ def threshold_sweep(spark, d):
     return rounded(ras.confusion(src.raster(spark, d), 0.7, (0.5, 0.6, 0.7, 0.8, 0.9)), "iou", "f1")
 
 
-@query(f"""WITH {RASTER}, n AS (SELECT threshold::DOUBLE AS threshold, count(*) FILTER (WHERE p >= threshold AND p >= 0.7) AS tp, count(*) FILTER (WHERE p >= threshold AND p < 0.7) AS fp, count(*) FILTER (WHERE p < threshold AND p >= 0.7) AS fn FROM raster, (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]) AS threshold) GROUP BY ALL),
-f AS (SELECT threshold, 2 * tp / (2 * tp + fp + fn + 1e-7) AS f1, (tp + fp) / (tp + fn + 1e-7) AS bias FROM n), b AS (SELECT *, max(f1) OVER () AS best FROM f)
-SELECT threshold, round(f1, 6) AS f1, round(bias, 6) AS bias FROM b WHERE f1 >= best - 0.02 ORDER BY abs(bias - 1), threshold LIMIT 1""")
-def choose_threshold(spark, d):
-    sweep = ras.confusion(src.raster(spark, d), 0.7, (0.5, 0.6, 0.7, 0.8, 0.9))
-    sweep = sweep.select("threshold", "f1", ((F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fn") + 1e-7)).alias("bias"))
-    return rounded(inst.choose_threshold(sweep), "f1", "bias")
-
-
 @query(f"""WITH {RASTER}, o AS (SELECT a, b FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS a), (SELECT unnest([-2, -1, 0, 1, 2]) AS b) WHERE abs(a) < 2 OR b = 0),
 pred AS (SELECT image_id, y, x FROM raster WHERE p >= 0.7), truth AS (SELECT image_id, y, x FROM raster WHERE p >= 0.8),
 ph AS (SELECT p.image_id, count(*) AS n FROM pred p WHERE EXISTS (SELECT 1 FROM truth t, o WHERE t.image_id = p.image_id AND t.y + a = p.y AND t.x + b = p.x) GROUP BY 1),
 th AS (SELECT t.image_id, count(*) AS n FROM truth t WHERE EXISTS (SELECT 1 FROM pred p, o WHERE p.image_id = t.image_id AND p.y + a = t.y AND p.x + b = t.x) GROUP BY 1),
 r AS (SELECT i.image_id, coalesce(ph.n, 0) / (coalesce(pn, 0) + 1e-7) AS p, coalesce(th.n, 0) / (coalesce(tn, 0) + 1e-7) AS r FROM (SELECT image_id, count(*) AS pn FROM pred GROUP BY 1) i LEFT JOIN (SELECT image_id, count(*) AS tn FROM truth GROUP BY 1) USING (image_id) LEFT JOIN ph USING (image_id) LEFT JOIN th USING (image_id))
-SELECT image_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r < 1e-7 THEN 0 ELSE 2 * p * r / (p + r + 1e-7) END, 6) AS tolerant_f1 FROM r""")
+SELECT image_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r < 1e-7 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS tolerant_f1 FROM r""")
 def tolerant_f1(spark, d):
     r = src.raster(spark, d)
     return rounded(ras.tolerant_f1(ras.threshold_mask(r, 0.7), ras.threshold_mask(r, 0.8)), "precision", "recall", "tolerant_f1")
@@ -134,11 +129,16 @@ def resample_uniform(spark, d):
     return line.resample_uniform(src.polylines(spark, d), 50.0).select("path_id", "j", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query(f"""WITH {POINTS}, t AS (SELECT path_id, i, coalesce(lead(y, 2) OVER w, last(y) OVER a) - coalesce(lag(y, 2) OVER w, first(y) OVER a) AS dy, coalesce(lead(x, 2) OVER w, last(x) OVER a) - coalesce(lag(x, 2) OVER w, first(x) OVER a) AS dx FROM points
-WINDOW w AS (PARTITION BY path_id ORDER BY i), a AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT path_id, i, round(dy / sqrt(dx * dx + dy * dy), 6) AS ty, round(dx / sqrt(dx * dx + dy * dy), 6) AS tx FROM t""")
+TANGENTS = """e AS (SELECT path_id, i, y, x, count(*) OVER (PARTITION BY path_id) AS n, least(2, greatest(1, count(*) OVER (PARTITION BY path_id) // 2)) AS k, row_number() OVER (PARTITION BY path_id ORDER BY i) - 1 AS place FROM points),
+t0 AS (SELECT e.path_id, e.i, e.n, h.y - l.y AS dy, h.x - l.x AS dx, h1.y - l1.y AS dy1, h1.x - l1.x AS dx1 FROM e JOIN e l ON l.path_id = e.path_id AND l.place = greatest(e.place - e.k, 0) JOIN e h ON h.path_id = e.path_id AND h.place = least(e.place + e.k, e.n - 1)
+  JOIN e l1 ON l1.path_id = e.path_id AND l1.place = greatest(e.place - 1, 0) JOIN e h1 ON h1.path_id = e.path_id AND h1.place = least(e.place + 1, e.n - 1)),
+t1 AS (SELECT path_id, i, n, CASE WHEN sqrt(dy * dy + dx * dx) < 1e-9 THEN dy1 ELSE dy END AS dy, CASE WHEN sqrt(dy * dy + dx * dx) < 1e-9 THEN dx1 ELSE dx END AS dx FROM t0),
+tangents AS (SELECT path_id, i, CASE WHEN n = 1 THEN 0 ELSE dy / CASE WHEN sqrt(dy * dy + dx * dx) < 1e-9 THEN 1 ELSE sqrt(dy * dy + dx * dx) END END AS ty, CASE WHEN n = 1 THEN 1 ELSE dx / CASE WHEN sqrt(dy * dy + dx * dx) < 1e-9 THEN 1 ELSE sqrt(dy * dy + dx * dx) END END AS tx FROM t1)"""
+
+
+@query(f"WITH {POINTS}, {TANGENTS} SELECT path_id, i, round(ty, 6) + 0.0 AS ty, round(tx, 6) + 0.0 AS tx FROM tangents")
 def tangents(spark, d):
-    return rounded(line.tangents(src.polylines(spark, d)), "ty", "tx")
+    return rounded(line.tangents(src.polylines(spark, d)), "ty", "tx").withColumns({c: F.col(c) + 0.0 for c in ("ty", "tx")})
 
 
 @query(f"""WITH {SEGMENTS}, m AS (SELECT *, (i % 7 + 1) * 0.1 AS scale FROM s), l AS (SELECT *, seg * (scale + lag(scale) OVER (PARTITION BY path_id ORDER BY i)) / 2 AS mm FROM m)
@@ -155,35 +155,52 @@ def junction_mask(spark, d):
     return line.junction_mask(points.withColumn("width", (F.col("i") % 20).cast("double")), junctions)
 
 
-@query(f"WITH {WIDTHS} SELECT instance_id, width_max_px, round(width_mean_px, 6) AS width_mean_px, round(width_p95_px, 6) AS width_p95_px, round(width_max_mm, 6) AS width_max_mm, length_px, excluded, {SEVERITY.format('width_max_mm')} AS severity FROM summary")
+@query(f"WITH {WIDTHS} SELECT instance_id, {', '.join(f'round(width_{n}_{u}, 6) AS width_{n}_{u}' for n in ('max', 'mean', 'p95') for u in ('px', 'mm'))}, excluded, {SEVERITY.format('width_max_mm')} AS severity FROM summary")
 def width_summary(spark, d):
-    return rounded(inst.width_summary(src.width_samples(spark, d)), "width_mean_px", "width_p95_px", "width_max_mm")
+    return rounded(inst.width_summary(src.width_samples(spark, d)), *[f"width_{n}_{u}" for n in ("max", "mean", "p95") for u in ("px", "mm")])
+
+
+@query(f"WITH {TOTALS} SELECT instance_id, paths, round(length_px, 4) AS length_px, round(length_mm, 4) AS length_mm, orientation, tortuosity FROM totals")
+def instance_totals(spark, d):
+    return inst.instance_totals(src.paths(spark, d)).withColumns({c: F.round(c, 4) for c in ("length_px", "length_mm")})
+
+
+def instances(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, instance_id, ..): every order is an instance in the image of its customer."""
+    o = src.read(spark, d, "orders")
+    key, y0, x0 = F.col("o_orderkey"), F.col("o_orderkey") % 8, F.col("o_orderkey") % 9 + 1
+    box = classify.touches_border(y0, x0, y0 + 50 + F.col("o_custkey") % 10, x0 + 40, 64, 64)
+    named = o.select(key.alias("instance_id"), F.col("o_custkey").alias("image_id"), box.alias("touches_border"))
+    return inst.width_summary(src.width_samples(spark, d)).join(inst.instance_totals(src.paths(spark, d)), "instance_id").join(named, "instance_id")
 
 
-@query(f"WITH {WIDTHS} SELECT s.instance_id, o_custkey AS image_id, row_number() OVER (PARTITION BY o_custkey ORDER BY width_max_px DESC, length_px DESC, s.instance_id) - 1 AS rank FROM summary s JOIN orders ON o_orderkey = s.instance_id")
+INSTANCES = f"{WIDTHS}, {TOTALS}, instances AS (SELECT *, o_custkey AS image_id, o_orderkey % 8 = 0 OR o_orderkey % 8 + 50 + o_custkey % 10 >= 64 OR o_orderkey % 9 + 1 + 40 >= 64 AS touches_border FROM summary JOIN totals USING (instance_id) JOIN orders ON o_orderkey = instance_id)"
+
+
+@query(f"WITH {INSTANCES} SELECT instance_id, image_id, row_number() OVER (PARTITION BY image_id ORDER BY width_max_px DESC, length_px DESC, instance_id) - 1 AS rank FROM instances")
 def instance_rank(spark, d):
-    orders = src.read(spark, d, "orders").select(F.col("o_orderkey").alias("instance_id"), F.col("o_custkey").alias("image_id"))
-    return inst.ranked(inst.width_summary(src.width_samples(spark, d)).join(orders, "instance_id"), "image_id").select("instance_id", "image_id", F.col("rank").cast("long").alias("rank"))
+    return inst.ranked(instances(spark, d), "image_id").select("instance_id", "image_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {WIDTHS}, n AS (SELECT o_custkey AS image_id, count(*) AS count, max(width_max_px) AS px, max(width_max_mm) AS mm, sum(length_px) AS total FROM summary s JOIN orders ON o_orderkey = s.instance_id GROUP BY 1)
-SELECT c_custkey AS image_id, coalesce(count, 0) AS count, coalesce(px, -1) AS width_max_px, round(coalesce(mm, -1), 6) AS width_max_mm, coalesce(total, 0) AS total_px, CASE WHEN count IS NULL THEN 'none' ELSE {SEVERITY.format('mm')} END AS severity FROM customer LEFT JOIN n ON image_id = c_custkey""")
+@query(f"""WITH {INSTANCES}, n AS (SELECT image_id, count(*) AS count, max(width_max_px) AS px, max(width_max_mm) FILTER (WHERE width_max_mm >= 0) AS mm, sum(length_px) AS total, CASE WHEN min(length_mm) >= 0 THEN sum(length_mm) ELSE -1 END AS total_mm, count(*) FILTER (WHERE touches_border) AS at_border FROM instances GROUP BY 1)
+SELECT c_custkey AS image_id, coalesce(count, 0) AS count, coalesce(px, -1) AS width_max_px, round(coalesce(mm, -1), 6) AS width_max_mm, round(coalesce(total, 0), 4) AS total_px, round(CASE WHEN count IS NULL THEN 0 ELSE total_mm END, 4) AS total_mm, coalesce(at_border, 0) AS at_border, CASE WHEN count IS NULL THEN 'none' ELSE {SEVERITY.format('mm')} END AS severity FROM customer LEFT JOIN n ON image_id = c_custkey""")
 def image_summary(spark, d):
-    orders = src.read(spark, d, "orders").select(F.col("o_orderkey").alias("instance_id"), F.col("o_custkey").alias("image_id"))
     images = src.read(spark, d, "customer").select(F.col("c_custkey").alias("image_id"))
-    return rounded(inst.image_summary(images, inst.width_summary(src.width_samples(spark, d)).join(orders, "instance_id")), "width_max_mm")
-
-
-@query("""WITH o AS (SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 7 = 0 AND 5 + o_custkey % 100 >= 12 THEN 60.0::DOUBLE / (5 + o_custkey % 100) END AS aruco, CASE WHEN o_orderkey % 3 = 0 AND o_totalprice > 0 THEN o_totalprice / 1e6 END AS explicit,
-  CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_custkey % 90 END AS tilt, o_orderkey % 2 = 0 AND o_totalprice > 0 AS lid, o_totalprice / 100 / 1000 AS base FROM orders),
-l AS (SELECT *, CASE WHEN lid AND tilt < 75 THEN CASE WHEN tilt >= 0 THEN base / greatest(cos(radians(tilt)), 1e-3) ELSE base END END AS lidar, CASE WHEN tilt < 0 THEN 0.6 WHEN tilt >= 45 THEN 0.4 ELSE 0.7 END AS sure FROM o),
-c AS (SELECT *, coalesce(aruco, explicit, lidar) AS chosen FROM l)
-SELECT image_id, CASE WHEN aruco IS NOT NULL THEN 'aruco' WHEN explicit IS NOT NULL THEN 'explicit' WHEN lidar IS NOT NULL THEN 'lidar' ELSE 'none' END AS source, round(coalesce(chosen, -1), 9) AS mm_per_px,
-  CASE WHEN coalesce(aruco, explicit) IS NOT NULL THEN 1.0::DOUBLE WHEN lidar IS NOT NULL THEN sure::DOUBLE ELSE 0.0::DOUBLE END AS confidence, ((aruco IS NOT NULL)::INT + (explicit IS NOT NULL)::INT + (lidar IS NOT NULL)::INT) AS offers,
-  coalesce(aruco / chosen > 1.15 OR aruco / chosen < 0.87, false) OR coalesce(explicit / chosen > 1.15 OR explicit / chosen < 0.87, false) OR coalesce(lidar / chosen > 1.15 OR lidar / chosen < 0.87, false) AS disagree FROM c""")
+    return rounded(inst.image_summary(images, instances(spark, d)), "width_max_mm").withColumns({c: F.round(c, 4) for c in ("total_px", "total_mm")})
+
+
+@query("""WITH o AS (SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 7 = 0 THEN 5 + o_custkey % 100 END AS marker, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 1e6 END AS given, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_custkey % 90 END AS tilt, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 100 END AS depth FROM orders),
+s AS (SELECT *, CASE WHEN marker >= 12 THEN 60.0::DOUBLE / marker END AS aruco, CASE WHEN given > 0 THEN given END AS explicit,
+  CASE WHEN depth > 0 AND tilt >= 75 THEN NULL WHEN depth > 0 AND tilt >= 0 THEN depth / 1000 / greatest(cos(radians(tilt)), 1e-3) WHEN depth > 0 THEN depth / 1000 END AS lidar, CASE WHEN tilt >= 45 THEN 0.4 WHEN tilt >= 0 THEN 0.7 ELSE 0.6 END AS sure FROM o),
+c AS (SELECT *, coalesce(aruco, explicit, lidar) AS chosen, CASE WHEN aruco IS NOT NULL THEN 'aruco' WHEN explicit IS NOT NULL THEN 'explicit' WHEN lidar IS NOT NULL THEN 'lidar' ELSE 'none' END AS source, (aruco IS NOT NULL)::INT + (explicit IS NOT NULL)::INT + (lidar IS NOT NULL)::INT AS offers FROM s),
+r AS (SELECT *, source <> 'explicit' AND explicit IS NOT NULL AND (chosen / greatest(explicit, 1e-9) > 1.15 OR chosen / greatest(explicit, 1e-9) < 0.87) AS e_off, source <> 'lidar' AND lidar IS NOT NULL AND (chosen / greatest(lidar, 1e-9) > 1.15 OR chosen / greatest(lidar, 1e-9) < 0.87) AS l_off FROM c)
+SELECT image_id, source, round(coalesce(chosen, -1), 9) AS mm_per_px, CASE source WHEN 'none' THEN 0 WHEN 'lidar' THEN sure ELSE 1 END::DOUBLE AS confidence, offers, e_off OR l_off AS disagree,
+  concat_ws('; ', CASE WHEN marker < 12 THEN 'marker of ' || marker || ' px is too small' END, CASE WHEN depth > 0 AND tilt >= 75 THEN 'tilt of ' || tilt || ' degrees is too steep' END,
+    CASE WHEN offers > 1 THEN 'several scales offered (' || concat_ws(', ', CASE WHEN aruco IS NOT NULL THEN 'aruco' END, CASE WHEN explicit IS NOT NULL THEN 'explicit' END, CASE WHEN lidar IS NOT NULL THEN 'lidar' END) || '); ' || source || ' is used' END,
+    CASE WHEN e_off THEN printf('explicit differs by %.0f percent', abs(1 - chosen / explicit) * 100) END, CASE WHEN l_off THEN printf('lidar differs by %.0f percent', abs(1 - chosen / lidar) * 100) END) AS warnings FROM r""")
 def scale_priority(spark, d):
     # nine places: prices have ties at six
-    return inst.resolve_scale(src.scale_offers(spark, d)).withColumn("mm_per_px", F.round("mm_per_px", 9))
+    return inst.resolve_scale(src.scale_offers(spark, d)).withColumn("mm_per_px", F.round("mm_per_px", 9)).withColumn("warnings", F.array_join("warnings", "; "))
 
 
 @query(f"""WITH {POINTS}, j AS (SELECT path_id, i, 1 + 0.0001 * x + 0.0002 * y AS w, (1.2 * x + 0.1 * y + 3) / (1 + 0.0001 * x + 0.0002 * y) AS u, (0.2 * x + 0.9 * y - 2) / (1 + 0.0001 * x + 0.0002 * y) AS v FROM points)
@@ -220,31 +237,25 @@ def filter_linear(spark, d):
     return inst.filter_linear(names, widths, 20.0).select(F.col("p_name").alias("name"), F.col("name").alias("p_partkey"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+@query("SELECT o_orderkey AS stem FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def semi_pairs(spark, d):
-    masks = src.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return src.read(spark, d, "orders").select("o_orderkey").join(masks, "o_orderkey", "left_semi")
+    masks = src.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("stem"))
+    return images.paired(src.read(spark, d, "orders").select(F.col("o_orderkey").alias("stem")), masks)
 
 
-@query("SELECT doc_id, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too large' WHEN n_chars < 32 THEN 'too small' END AS reject_reason FROM documents")
+@query("""SELECT doc_id, CASE WHEN coalesce(n_chars, 0) = 0 THEN 'empty' WHEN n_chars > 5000 THEN 'too many bytes' WHEN n_chars % 13 = 0 THEN 'not an image' WHEN (n_chars % 100) * (n_chars % 77) > 5000 THEN 'too many pixels' WHEN n_chars % 100 < 32 OR n_chars % 77 < 32 THEN 'too small' END AS reject_reason FROM documents""")
 def decode_rules(spark, d):
-    n = F.coalesce("n_chars", F.lit(0))
-    return src.read(spark, d, "documents").select("doc_id", F.when(n == 0, "empty").when(n > 5000, "too large").when(n < 32, "too small").alias("reject_reason"))
+    n = F.col("n_chars")
+    reason = images.reject_reason(n, F.when(n % 13 > 0, n % 100), n % 77, 5000, 5000)
+    taken, rejected = images.split_rejected(src.read(spark, d, "documents"), reason)
+    return taken.select("doc_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(rejected.select("doc_id", "reject_reason"))
 
 
-@query("""WITH n AS (SELECT page_id, html, regexp_replace(regexp_extract(url, '[^/]*$'), '[^A-Za-z0-9_-]', '_', 'g') AS s FROM pages), t AS (SELECT *, trim(s, '_') AS c FROM n)
-SELECT page_id, lpad(page_id::VARCHAR, 6, '0') || '_' || CASE WHEN length(c) >= 4 AND length(c) - length(replace(c, '_', '')) < length(c) / 2.0 THEN c ELSE left(sha1(html), 10) END AS name FROM t""")
+@query(r"""WITH n AS (SELECT page_id, html, trim(regexp_extract(trim(coalesce(url, '')), '([^/]*)/*$', 1)) AS base FROM pages), s AS (SELECT *, CASE WHEN regexp_full_match(base, '.+\.[^.]+') THEN regexp_replace(base, '\.[^.]+$', '') ELSE base END AS stem FROM n),
+t AS (SELECT *, trim(regexp_replace(stem, '[^\p{L}\p{N}\-_.]', '_', 'g'), '_') AS c FROM s)
+SELECT page_id, lpad(page_id::VARCHAR, 6, '0') || '_' || CASE WHEN length(c) >= 4 AND length(c) - length(replace(c, '_', '')) < length(c) / 2.0 THEN left(c, 60) ELSE left(sha1(html), 10) END AS name FROM t""")
 def name_of(spark, d):
-    clean = F.trim(F.regexp_replace(F.regexp_extract("url", "[^/]*$", 0), "[^A-Za-z0-9_-]", "_"), F.lit("_"))
-    fits = (F.length(clean) >= 4) & (F.length(clean) - F.length(F.replace(clean, F.lit("_"), F.lit(""))) < F.length(clean) / 2)
-    name = F.when(fits, clean).otherwise(F.left(F.sha1(F.col("html").cast("binary")), F.lit(10)))
-    return src.read(spark, d, "pages").select("page_id", F.concat(F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit("_"), name).alias("name"))
-
-
-@query()
-def response_json(spark, d):
-    widths = inst.width_summary(src.width_samples(spark, d))
-    return rounded(widths, "width_mean_px", "width_p95_px", "width_max_mm").select("instance_id", F.to_json(F.struct(*[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("width_max_px", "width_mean_px", "width_p95_px", "width_max_mm", "length_px")], "severity")).alias("body"))
+    return src.read(spark, d, "pages").select("page_id", images.name_of(F.col("url"), F.col("html"), F.col("page_id")).alias("name"))
 
 
 @query()

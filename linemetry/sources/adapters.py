@@ -36,6 +36,12 @@ def width_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.col("l_linenumber").alias("sample_id"), F.col("l_quantity").alias("width_px"), scale.alias("mm_per_px"), (F.col("l_returnflag") == "R").alias("at_junction"))
 
 
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance_id, path_id, length, length_mm, orientation, tortuosity) from order lines; -1: no scale."""
+    price = F.col("l_extendedprice")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.col("l_linenumber").alias("path_id"), price.alias("length"), F.when(F.col("l_tax") == 0, -1.0).otherwise(price * F.col("l_tax")).alias("length_mm"), (F.col("l_quantity") - 25).alias("orientation"), (1 + F.col("l_discount") + 0.0).alias("tortuosity"))
+
+
 def scale_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, explicit, depth, focal, tilt, marker_px): offers of each source, null if none."""
     o, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
@@ -44,6 +50,6 @@ def scale_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, F.col("o_totalprice") / 1e6).alias("explicit"),
         F.when(key % 2 == 0, F.col("o_totalprice") / 100).alias("depth"),
         F.lit(1000.0).alias("focal"),
-        F.when(key % 5 == 0, -1.0).otherwise((F.col("o_custkey") % 90).cast("double")).alias("tilt"),
+        F.when(key % 10 == 0, None).when(key % 5 == 0, -1.0).otherwise((F.col("o_custkey") % 90).cast("double")).alias("tilt"),
         F.when(key % 7 == 0, 5.0 + F.col("o_custkey") % 100).alias("marker_px"),
     )

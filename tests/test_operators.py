@@ -1,9 +1,12 @@
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from linemetry.functions import classify
-from linemetry.operators import polyline, raster
+from linemetry.operators import instances, polyline, raster, skeleton, width
+from linemetry.sources import images
 
 
 def pixels(spark, cells):
@@ -59,3 +62,112 @@ def test_widths_of_bars(spark):
     assert raster.annotation_widths(pixels(spark, [(0, x) for x in range(39)])).first().width_px == 0.0
     assert 1.7 < raster.width_bias(bar(6), bar(3)).first().width_bias < 2.3
     assert math.isnan(raster.width_bias(bar(3), bar(3).where("y < 0")).first().width_bias)
+
+
+def band(spark, thickness, soft=False):
+    """A horizontal band in the middle of an image of 64 x 64: hard, or with a slope of one pixel."""
+    p = [(0, y, x, float(min(1.0, max(0.0, thickness / 2 + 0.5 - abs(y - 32)))) if soft else float(abs(y - 32) * 2 < thickness)) for y in range(64) for x in range(64)]
+    return spark.createDataFrame(p, "image_id long, y long, x long, p double")
+
+
+@pytest.mark.parametrize("thickness", [2.0, 3.0, 4.5, 7.0, 11.0])
+def test_perpendicular_widths_of_soft_bands(spark, thickness):
+    pixels = band(spark, thickness, soft=True)
+    distances = width.distance_transform(raster.threshold_mask(pixels, 0.5), 64, 64)
+    points = spark.createDataFrame([(0, 1, i, 32.0, 10.0 + 4 * i) for i in range(11)], "image_id long, path_id long, i long, y double, x double")
+    found = width.widths_perpendicular(points, pixels, distances, 0.5, 64, 64).collect()
+    assert len(found) == 11 and all(abs(r.width_px - thickness) < 0.4 for r in found)
+
+
+@pytest.mark.parametrize("thickness", [3, 5, 9, 15])
+def test_distance_widths_of_bands(spark, thickness):
+    distances = width.distance_transform(raster.threshold_mask(band(spark, thickness), 0.5), 64, 64)
+    points = spark.createDataFrame([(0, 32.0, 30.0)], "image_id long, y double, x double")
+    assert abs(width.widths_from_distance(points, distances, 64, 64).first().width_px - thickness) <= 1.0
+
+
+def test_edge_distance_by_force():
+    rng = np.random.default_rng(1)
+    for fill in (0.0, 0.3, 0.9, 1.0):
+        mask = rng.random((13, 17)) < fill
+        out = np.argwhere(~mask)
+        for y, x in np.ndindex(mask.shape):
+            exact = min((math.hypot(y - a, x - b) for a, b in out), default=math.hypot(13, 17)) if mask[y, x] else 0.0
+            assert abs(width.edge_distance(mask)[y, x] - min(exact, math.hypot(13, 17))) < 1e-9
+
+
+def test_edge_offset():
+    offsets = np.array([0.25, 0.5, 0.75])
+    assert width.edge_offset(np.array([[0.9, 0.6, 0.2]]), offsets, 0.5, np.array([3.0]))[0] == pytest.approx(0.5 + 0.25 * 0.25)
+    assert width.edge_offset(np.array([[0.9, 0.9, 0.9]]), offsets, 0.5, np.array([3.0]))[0] == 3.0
+    assert width.edge_offset(np.array([[0.9, 0.9, 0.9]]), offsets, 0.5, np.array([0.6]))[0] == 0.5  # flat: the offset before
+    assert width.edge_offset(np.array([[0.0, 0.0, 0.0]]), offsets, 0.5, np.array([3.0]))[0] == pytest.approx(0.125)
+
+
+def test_branches_of_shapes(spark):
+    cross = {(20, x) for x in range(5, 36)} | {(y, 20) for y in range(21, 40)}
+    paths = skeleton.walked(cross)
+    assert len(paths) == 3 and sum(len(p) for p in paths) >= len(cross) - 4
+    for p in paths:
+        assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(p, p[1:], strict=False))
+    ring = {(y, x) for y in range(10, 21) for x in (10, 20)} | {(y, x) for y in (10, 20) for x in range(10, 21)}
+    corners = {(10, 10), (10, 20), (20, 10), (20, 20)}
+    (closed,) = skeleton.walked(ring - corners)
+    assert closed[0] == closed[-1] and set(closed) == ring - corners and len(closed) == len(ring - corners) + 1
+    assert skeleton.walked({(3, 3)}) == [] and skeleton.walked({(3, 3), (3, 4)}) == []
+    df = spark.createDataFrame([(0, y, x) for y, x in cross], "image_id long, y long, x long")
+    assert skeleton.branches(df).select("branch").distinct().count() == 3
+    found = skeleton.nodes(df).collect()
+    assert sum(r.junction for r in found) == 1 and len(found) == 4
+    assert skeleton.branches(df.limit(0)).count() == 0
+
+
+def test_tangents_of_short_paths(spark):
+    df = spark.createDataFrame([(1, 0, 5.0, 5.0), (2, 0, 0.0, 0.0), (2, 1, 0.0, 2.0), (3, 0, 0.0, 0.0), (3, 1, 0.0, 1.0), (3, 2, 1.0, 1.0), (4, 0, 1.0, 1.0), (4, 1, 1.0, 1.0)], "path_id long, i long, y double, x double")
+    out = {(r.path_id, r.i): (round(r.ty, 6), round(r.tx, 6)) for r in polyline.tangents(df).collect()}
+    half = round(math.sqrt(0.5), 6)
+    assert out[1, 0] == (0.0, 1.0) and out[2, 0] == out[2, 1] == (0.0, 1.0) and out[4, 0] == (0.0, 0.0)
+    assert (out[3, 0], out[3, 1], out[3, 2]) == ((0.0, 1.0), (half, half), (1.0, 0.0))
+
+
+def test_rdp():
+    keep = polyline.simplified(np.array([[0, 0], [0.1, 1], [0, 2], [5, 3], [0, 4]], dtype=float), 1.0)
+    assert keep.tolist() == [True, False, True, True, True]
+    assert polyline.simplified(np.array([[0, 0], [3, 0], [0, 0]], dtype=float), 1.0).tolist() == [True, True, True]  # radial where the chord is a point
+
+
+def test_scales(spark):
+    df = spark.createDataFrame([(1, None, None, 500.0, 1000.0, None), (2, 120.0, 0.6, None, None, None), (3, 6.0, None, 500.0, 1000.0, 80.0), (4, None, -1.0, None, None, None)], "image_id long, marker_px double, explicit double, depth double, focal double, tilt double")
+    out = {r.image_id: r for r in instances.resolve_scale(df).collect()}
+    assert (out[1].source, out[1].mm_per_px, out[1].confidence, out[1].warnings) == ("lidar", 0.5, 0.6, [])
+    assert (out[2].source, out[2].mm_per_px, out[2].disagree, len(out[2].warnings)) == ("aruco", 0.5, True, 2)
+    assert (out[3].source, len(out[3].warnings), out[4].source) == ("none", 2, "none")
+
+
+def test_marker_map_of_a_square(spark):
+    square = [(100.0, 50.0), (220.0, 50.0), (220.0, 170.0), (100.0, 170.0)]
+    df = spark.createDataFrame([(1, 7, square), (1, 8, [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0)])], "image_id long, marker_id long, corners array<struct<x:double,y:double>>")
+    (m,) = instances.marker_scale(instances.pick_marker(df), 60.0).collect()
+    assert (m.marker_id, m.side_px, m.mm_per_px, m.confidence, m.note) == (7, 120.0, 0.5, 1.0, "frontal")
+    x, y, w = (m.h[0] * 220 + m.h[1] * 170 + m.h[2], m.h[3] * 220 + m.h[4] * 170 + m.h[5], m.h[6] * 220 + m.h[7] * 170 + m.h[8])
+    assert (round(x / w, 9), round(y / w, 9)) == (60.0, 60.0)
+    assert instances.pick_marker(df, 8).first().marker_id == 8 and instances.pick_marker(df, 9).count() == 0
+
+
+def test_reports_and_requests(spark, tmp_path):
+    images.write_report(spark.createDataFrame([(1.5, float("nan"), "x")], "a double, b double, c string"), str(tmp_path / "report"))
+    assert [r.asDict() for r in spark.read.json(str(tmp_path / "report")).collect()] == [{"a": 1.5, "c": "x"}]
+    df = spark.createDataFrame([(None, 0.0), (0.0, 0.7), (-1.0, 0.7)], "asked double, model double")
+    assert [r[0] for r in df.select(classify.threshold_of(F.col("asked"), F.col("model"))).collect()] == [0.5, 0.0, 0.7]
+
+
+def test_stream_of_files(spark, tmp_path):
+    from linemetry import streaming
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(b"")
+    (tmp_path / "in" / "b.png").write_bytes(b"x" * 100)
+    (tmp_path / "in" / "c.png").write_bytes(b"x")
+    stream = streaming.dropped_files(spark, str(tmp_path / "in"), max_bytes=50).writeStream.format("memory").queryName("files").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    stream.awaitTermination(60)
+    assert sorted((r.length, r.reject_reason) for r in spark.table("files").collect()) == [(1, None), (100, "too large")]  # the source itself skips empty files

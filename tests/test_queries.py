@@ -4,18 +4,22 @@ import duckdb
 import pandas as pd
 import pytest
 
-from linemetry.plans import queries as q
+from linemetry.plans import measuring, queries as q
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def canonical(df: pd.DataFrame) -> list:
-    cell = lambda v: None if v is None or v != v else (round(float(v), 5) if isinstance(v, float) else str(v))
+    cell = lambda v: None if v is None or v is pd.NA or v != v else (round(float(v), 5) if isinstance(v, float) else str(v))
     columns = sorted(df.columns)
     return sorted(([cell(v) for v in row] for row in df[columns].itertuples(index=False)), key=str)
 
 
+def test_all_are_registered():
+    assert measuring.perpendicular_widths in q.QUERIES.values()
+
+
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_query(spark, name):
     found = q.QUERIES[name](spark, DATA).toPandas()
