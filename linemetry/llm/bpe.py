@@ -304,12 +304,22 @@ class Tokenizer:
                 continue
             if piece.isascii():
                 piece = piece.lower()
-                parts = (piece,) if piece.isalpha() else (m[0] for m in self._ascii.finditer(piece))
+                body = piece.rstrip(_MARKS)
+                if body.isalpha():  # a word, with marks after it or without
+                    parts = (body, piece[len(body) :]) if len(body) < len(piece) else (piece,)
+                else:
+                    parts = (m[0] for m in self._ascii.finditer(piece))
             else:  # characters are lowered one by one: no final sigma
-                self._words = self._words or word_pattern()
-                piece = "".join([x if x in LATER_MARKS else unicodedata.normalize("NFC", x) for x in _LATER.split(piece)])
+                if not piece.isalpha():
+                    piece = "".join([x if x in LATER_MARKS else unicodedata.normalize("NFC", x) for x in _LATER.split(piece)])
+                elif not unicodedata.is_normalized("NFC", piece):
+                    piece = unicodedata.normalize("NFC", piece)
                 piece = piece.replace("Σ", "σ").lower().translate(LOWER_16)
-                parts = (m[0] for m in self._words.finditer(piece))
+                if piece.isalpha():
+                    parts = (piece,)
+                else:
+                    self._words = self._words or word_pattern()
+                    parts = (m[0] for m in self._words.finditer(piece))
             for part in parts:
                 found = self._parts.get(part)
                 if found is not None:
@@ -364,8 +374,8 @@ class Tokenizer:
                 self.encode(part.decode(), take)
                 put(held)
                 continue
-            chunk = self.chunk
-            put(list(itertools.chain.from_iterable([chunk(c) for c in part.split()])))
+            known, chunk = self.kept.get, self.chunk
+            put(list(itertools.chain.from_iterable([known(c) or chunk(c) for c in part.split()])))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Plain text of ids, piece by piece."""
@@ -375,6 +385,8 @@ class Tokenizer:
             yield rest
 
 
+#: ASCII marks: all that is printed but letters and digits.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 _SPACES = re.compile(rb"[\x09-\x0d\x20]")
 
 
