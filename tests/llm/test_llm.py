@@ -612,4 +612,17 @@ def test_pipeline(spark, tmp_path):
     before, after = ([(r.doc_id, r.text) for r in d.collect()] for d in kept[:2])
     group = components_by_force(before, 5, 80)
     assert sorted(i for i, _ in after) == sorted(i for i, (_, c) in group.items() if i == c)
-    assert kept[4].count() == kept[3].count()
+    cut = {i: len(words(t)) for i, t in ((r.doc_id, r.text) for r in kept[2].collect())}
+    removed = removed_by_force(after, 50)
+    assert cut == {i: len(words(t)) - removed[i] for i, t in after}
+    taken = {r.doc_id: r.taken for r in mixing.mix(kept[2]).collect()}
+    mixed = Counter()
+    for r in kept[3].collect():
+        mixed[r.doc_id] += len(words(r.text))
+    assert mixed == Counter({i: n for i, n in taken.items() if n})
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(queries.vocabulary_path())
+    expected = sorted((r.doc_id, library.encode(r.text, add_special_tokens=False).ids) for r in kept[3].collect())
+    assert sorted((r.doc_id, r.ids) for r in kept[4].collect()) == expected
+
