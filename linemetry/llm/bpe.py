@@ -30,7 +30,7 @@ from ._memory import tidied
 
 #: Chunks between white space whose tokens a worker keeps, in each of two generations; pairs of
 #: tokens whose fit it keeps.
-CACHE, PAIRS = 250_000, 1 << 18
+CACHE, PAIRS = 150_000, 1 << 18
 #: Rows that are put out together.
 ROWS = 1000
 #: Longer chunks aren't kept.
@@ -228,7 +228,7 @@ class Merger:
 
 
 class Decoder:
-    """Ids to text, piece by piece. The machine's state is whether a token has come before, and
+    """Ids to text in UTF-8, piece by piece. The machine's state is whether a token has come before, and
     the bytes of an unfinished character; so its memory is constant.
 
     feed gives what the library's decode adds for ids: the tokens' names, each after a space if it
@@ -239,20 +239,20 @@ class Decoder:
         self.of, self.begun, self.open = tokenizer, False, False
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
-        names = self.of.names
-        piece = " ".join([names[i] for i in ids])
+    def feed(self, ids: list[int]) -> bytes:
+        names = self.of.spelt
+        piece = b" ".join([names[i] for i in ids])
         if self.begun and ids:
-            piece = " " + piece
+            piece = b" " + piece
         self.begun = self.begun or bool(ids)
         return piece
 
-    def plain(self, ids: list[int]) -> str:
+    def plain(self, ids: list[int]) -> bytes:
         if not self.open:
             of = self.of.whole  # of tokens that hold whole characters only
             parts = [of[i] for i in ids]
             if None not in parts:
-                return "".join(parts)
+                return b"".join(parts)
         bytes_of, decode, found, held = self.of.bytes_of, self.machine.decode, [], []
         for i in ids:
             part, ends = bytes_of[i]
@@ -264,11 +264,11 @@ class Decoder:
         if held:
             found.append(decode(b"".join(held)))
         self.open = bool(self.machine.getstate()[0])
-        return "".join(found)
+        return "".join(found).encode()
 
-    def rest(self) -> str:
+    def rest(self) -> bytes:
         """What an unfinished character at the end gives."""
-        return self.machine.decode(b"", True)
+        return self.machine.decode(b"", True).encode()
 
 
 class Tokenizer:
@@ -282,14 +282,16 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.numbers = [str(i) for i in range(max(self.names) + 1)]
+        self.numbers = [b"%d" % i for i in range(max(self.names) + 1)]
+        self.spelt = [self.names.get(i, "").encode() for i in range(max(self.names) + 1)]
         suffix = self.merger.suffix
         self.bytes_of = {i: (bytes([byte_of[c] for c in t.removesuffix(suffix)]), t.endswith(suffix)) for t, i in self.vocab.items()}
         self.bytes_of |= {i: (b"", True) for i in self.special.values()}
-        self.whole: list[str | None] = [None] * (max(self.names) + 1)
+        self.whole: list[bytes | None] = [None] * (max(self.names) + 1)
         for i, (part, ends) in self.bytes_of.items():
             with contextlib.suppress(UnicodeDecodeError):
-                self.whole[i] = part.decode() + (" " if ends else "") if part else self.names[i]
+                part.decode()
+                self.whole[i] = part + (b" " if ends else b"") if part else self.names[i].encode()
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._ascii, self._words = re.compile(PATTERN.format(letters="a-z", numbers="0-9", spaces=r"\x09-\x0d\x20")), None
         self.kept: dict[bytes, tuple[int, ...]] = {}
@@ -380,9 +382,9 @@ class Tokenizer:
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Plain text of ids, piece by piece."""
         machine = Decoder(self)
-        yield from filter(None, (machine.plain([i]) for i in ids))
+        yield from filter(None, (machine.plain([i]).decode() for i in ids))
         if rest := machine.rest():
-            yield rest
+            yield rest.decode()
 
 
 #: ASCII marks: all that is printed but letters and digits.
@@ -424,17 +426,17 @@ def _digests(definition: _Definition, with_ids: bool):
                 decoder, of, own, sizes = Decoder(tokenizer), [hashlib.sha256() for _ in digests], [np.zeros(0, np.int32)], []
 
                 def put(ids: list[int], decoder=decoder, of=of, own=own, sizes=sizes) -> None:
-                    line = " ".join([numbers[i] for i in ids])
-                    of[0].update(f" {line}".encode() if sizes and ids else line.encode())
-                    of[1].update(decoder.feed(ids).encode())
-                    of[2].update(decoder.plain(ids).encode())
+                    line = b" ".join([numbers[i] for i in ids])
+                    of[0].update(b" " + line if sizes and ids else line)
+                    of[1].update(decoder.feed(ids))
+                    of[2].update(decoder.plain(ids))
                     if with_ids:
                         own.append(np.array(ids, dtype=np.int32))
                     if ids:
                         sizes.append(len(ids))
 
                 tokenizer.pieces((text.as_py() or "").encode(), put)
-                of[2].update(decoder.rest().encode())
+                of[2].update(decoder.rest())
                 counts.append(sum(sizes))
                 for to, digest in zip(digests, of, strict=True):
                     to.append(digest.hexdigest())

@@ -252,7 +252,7 @@ def test_bpe_pieces_change_nothing(tokenizer, monkeypatch):
     tokenizer.pieces(text.encode(), held.append)
     assert [i for ids in held for i in ids] == whole and len(held) > 100
     machine = bpe.Decoder(tokenizer)
-    assert "".join(machine.plain([i]) for i in whole) + machine.rest() == bpe.Decoder(tokenizer).plain(whole)
+    assert b"".join(machine.plain([i]) for i in whole) + machine.rest() == bpe.Decoder(tokenizer).plain(whole)
 
 
 def test_vectors(spark):
