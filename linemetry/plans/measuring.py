@@ -217,8 +217,8 @@ def choose_threshold(spark, d):
 def measure(spark, d):
     """Clean, components, branches of 12 pixels or more, simplified, their widths: figures of each image."""
     r = src.raster(spark, d)
-    clean = ras.clean_mask(ras.threshold_mask(r, 0.6), r, 40).select("image_id", "y", "x")
-    labelled = ras.label_components(clean.withColumn("p", F.lit(1.0)))
+    clean = ras.clean_mask(ras.threshold_mask(r, 0.6), r, 40).select("image_id", "y", "x").cache()
+    labelled = ras.label_components(clean.withColumn("p", F.lit(1.0))).cache()  # read three times
     comps = ras.components(labelled, 40)
     key = F.col("image_id") * F.lit(2**32) + F.col("comp_id")
     of = labelled.join(comps.select("image_id", "comp_id"), ["image_id", "comp_id"], "left_semi").withColumn("instance", key)
@@ -226,7 +226,7 @@ def measure(spark, d):
     points = skeleton.branches(thin, "instance").withColumn("path_id", F.col("instance") * 64 + F.col("branch"))
     points = points.select(F.shiftright("instance", 32).alias("image_id"), "path_id", "i", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
     long_enough = line.shapes(points).where("length >= 12").select("path_id")
-    kept = line.simplify_rdp(points.join(long_enough, "path_id", "left_semi"), 1.0)
+    kept = line.simplify_rdp(points.join(long_enough, "path_id", "left_semi"), 1.0).cache()
     distances = width.distance_transform(clean, SIDE, SIDE)
     widths = width.widths_perpendicular(kept, r, distances, 0.6, SIDE, SIDE)
     lengths = line.shapes(kept).join(kept.select("path_id", "image_id").distinct(), "path_id")
