@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import stored
+from ._tables import discard, stored
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -31,4 +31,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        after = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(pairs)
+        pairs = after

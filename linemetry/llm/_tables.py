@@ -38,17 +38,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/linemetry/{name}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that nothing reads any more: what was made of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        _written[spark.sparkContext.applicationId].remove(df._stored_at)
+        _delete(spark, df._stored_at)
 
 
 def drop_stored(spark: SparkSession) -> int:
     """Delete all tables that `stored` has written in this application; results that were made from
     them must have been read or written by then. Returns their number."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(spark, path)
     return len(paths)
 
 

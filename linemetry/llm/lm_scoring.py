@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._memory import tidied
-from ._tables import stored
+from ._tables import discard, stored
 
 #: Sizes of the model: words with own vectors (at most), of these with own classes, clusters, dimensions.
 TOP_WORDS, CLASS_WORDS, CLUSTERS, DIMENSIONS = 16_384, 128, 128, 16
@@ -302,8 +302,11 @@ def _averaged(models: DataFrame) -> bytes | None:
     """The models' average by tokens, MODELS at a time, so neither a task nor the driver gets all."""
     models = stored(models, "lm-models")
     while models.count() > 1:
-        models = stored(models.groupBy(F.floor(F.col("part") / MODELS)).applyInArrow(_average, "part long, n long, model binary"), "lm-models")
+        fewer = stored(models.groupBy(F.floor(F.col("part") / MODELS)).applyInArrow(_average, "part long, n long, model binary"), "lm-models")
+        discard(models)
+        models = fewer
     found = models.first()
+    discard(models)
     return bytes(found.model) if found else None
 
 

@@ -34,7 +34,7 @@ from . import _words
 from ._graph import components
 from ._memory import tidied
 from ._skew import join_hot
-from ._tables import stored
+from ._tables import discard, stored
 
 #: Shingles that are packed together before they are dealt to column blocks.
 FLUSH = 1 << 20
@@ -345,7 +345,7 @@ def _cells(percent: int):
 
 
 def _clusters(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (doc_id, n, grams): those that may have a partner, with exact shared columns, and
+    """Of the stored table (doc_id, n, grams), which is discarded: those that may have a partner, with exact shared columns, and
     the cluster of each."""
     entries = rows.select("doc_id", F.explode("grams").alias("gram"))
     often = stored(entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "ngram-columns")
@@ -353,11 +353,14 @@ def _clusters(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     by_df = F.sort_array(F.collect_list(F.struct("df", "gram")))
     kept = join_hot(entries, often, ["gram"], "df").groupBy("doc_id").agg(by_df["gram"].alias("grams"))
     kept = stored(kept.join(rows.select("doc_id", "n"), "doc_id").where(F.size("grams") >= need), "ngram-rows")
+    discard(often, rows)
     # the columns that a row has alone come first in the order, so they use up the prefix first
     prefix = kept.select("doc_id", F.explode(F.slice("grams", F.lit(1), F.size("grams") - need + 1)).alias("gram"))
     pivot = stored(prefix.groupBy("gram").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows")), "ngram-pivots")
     edges = join_hot(prefix, pivot, ["gram"], "rows").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    return kept, components(edges, "ngram-clusters")
+    clusters = components(edges, "ngram-clusters")
+    discard(pivot)
+    return kept, clusters
 
 
 def _members(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
-from ._memory import tidied
+from ._memory import release, tidied
 
 #: Word buckets, dimensions, and labelled rows to learn from at most (the smallest hashes).
 BUCKETS, DIMENSIONS, SAMPLE_ROWS = 1 << 13, 8, 8192
@@ -186,7 +186,10 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", folds
     lists = zip(*(found.column(c).to_pylist() for c in ("buckets", "amounts", "statistics")), strict=True)
     rows = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64), np.frombuffer(s, "<f8")) for b, v, s in lists]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i][0]), rows[i][1].sum() if len(rows[i][1]) else 0.0, rows[i][2].sum()))  # whatever order tasks end in
-    return fit([rows[i] for i in order], np.array(found.column("label").to_pylist(), dtype=np.float64)[order] if rows else np.zeros(0))
+    machine = fit([rows[i] for i in order], np.array(found.column("label").to_pylist(), dtype=np.float64)[order] if rows else np.zeros(0))
+    del found, lists, rows
+    release()  # the driver goes on
+    return machine
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
