@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from ._memory import tidied
 from ._tables import discard, stored
+from ._words import mix
 
 #: Sizes of the model: words with own vectors (at most), of these with own classes, clusters, dimensions.
-TOP_WORDS, CLASS_WORDS, CLUSTERS, DIMENSIONS = 16_384, 128, 128, 16
+TOP_WORDS, CLASS_WORDS, CLUSTERS, DIMENSIONS = 16_384, 128, 128, 12
 #: Training: tokens of a step, noise classes of a step, noise words of a token, step size, seed.
-STEP, NOISE, INNER_NOISE, RATE, SEED = 8192, 32, 2, 0.15, 20240607
+STEP, NOISE, INNER_NOISE, RATE, SEED = 8192, 16, 2, 0.15, 20240607
 #: Tokens of a part on average, and models averaged together.
 PART_TOKENS, MODELS = 1 << 21, 16
 #: Tokens that are counted or scored together, and rare (document, word) pairs of a block.
@@ -212,11 +213,14 @@ def log10_probabilities(lex: Lexicon, model: dict[str, np.ndarray], code: np.nda
 
 def _log_sums(model: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the sum over q's rows of exp(score), by batched matrix products."""
-    out, qt = np.empty(len(one), dtype=np.float64), np.ascontiguousarray(q.T)
+    out, qt, ones = np.empty(len(one), dtype=np.float64), np.ascontiguousarray(q.T), np.ones(len(q), dtype=np.float32)
     for a in range(0, len(one), 1024):
-        s = (model["r1"][one[a : a + 1024]] + model["r2"][two[a : a + 1024]]) @ qt + b
+        s = (model["r1"][one[a : a + 1024]] + model["r2"][two[a : a + 1024]]) @ qt
+        s += b
         top = s.max(axis=1)
-        out[a : a + 1024] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        s -= top[:, None]
+        np.exp(s, out=s)
+        out[a : a + 1024] = top + np.log(s @ ones)
     return out
 
 
@@ -372,31 +376,59 @@ def _score(lexicon, trained, blocks: int):
     return run
 
 
+_PACKED = "bucket int, rows binary, ids binary, flags binary, counts binary, logs binary"
 _SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, log_model double"
 
 
-def _rare(table: pa.Table) -> pa.Table:
-    """Of a block of words without vectors: their training counts, and what they add to each row."""
-    docs, out = [], []
-    number: dict[bytes, int] = {}
-    for ids, train, counts, names, words, times, sums in zip(*(table.column(c).to_pylist() for c in ("docs", "train", "counts", "names", "words", "times", "sums")), strict=True):
-        if sums:
-            x = np.frombuffer(sums, np.float64).reshape(7, -1)
-            flags = x[6].astype(np.int64)
-            doc_id = pa.array(x[1].view(np.int64), mask=flags % 2 == 0)
-            out.append((pa.array(x[0].view(np.int64)), doc_id, pa.array(flags > 1), pa.array(x[2].astype(np.int64)), pa.array(x[3].astype(np.int64)), pa.array(x[4]), pa.array(x[5])))
-            continue
-        n = np.frombuffer(counts, "<u4")
-        wide = np.array([number.setdefault(w, len(number)) for w in names.split(b" ")])
-        docs.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(np.frombuffer(train, np.uint8), n), wide[np.frombuffer(words, "<u4")], np.frombuffer(times, "<u4").astype(np.float64)))
-    if docs:
-        doc, train, word, times = (np.concatenate(x) for x in zip(*docs, strict=True))
-        count = np.bincount(word, weights=times * train, minlength=len(number))
-        rows, at = np.unique(doc, return_inverse=True)
-        known = np.bincount(at, weights=times * (count[word] > 0)).astype(np.int64)
-        logs = np.bincount(at, weights=times * np.log10(count[word] + 0.1))
-        out.append((pa.array(rows), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.bool_()), pa.array(np.zeros(len(rows), np.int64)), pa.array(known), pa.array(logs), pa.array(logs)))
-    return pa.table([pa.concat_arrays(x) for x in zip(*out, strict=True)], [x.split()[0] for x in _SUMS.split(", ")])
+def _rare(blocks: int):
+    """Of a block of words without vectors: their training counts, and what they add to each row; and
+    the rows' own sums. Both packed by bucket of rows, so that there aren't many small rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, parts, number = [], [], {}
+        for ids, train, counts, names, words, times, sums in zip(*(table.column(c).to_pylist() for c in ("docs", "train", "counts", "names", "words", "times", "sums")), strict=True):
+            if sums:
+                x = np.frombuffer(sums, np.float64).reshape(7, -1)
+                # flags: named, held out, and that these are a row's own sums
+                parts.append((x[0].view(np.int64), x[1].view(np.int64), x[6].astype(np.uint8) | 4, x[2:4].astype(np.int64), x[4:6]))
+                continue
+            n = np.frombuffer(counts, "<u4")
+            wide = np.array([number.setdefault(w, len(number)) for w in names.split(b" ")])
+            docs.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(np.frombuffer(train, np.uint8), n), wide[np.frombuffer(words, "<u4")], np.frombuffer(times, "<u4").astype(np.float64)))
+        if docs:
+            doc, train, word, times = (np.concatenate(x) for x in zip(*docs, strict=True))
+            count = np.bincount(word, weights=times * train, minlength=len(number))
+            rows, at = np.unique(doc, return_inverse=True)
+            known = np.bincount(at, weights=times * (count[word] > 0)).astype(np.int64)
+            logs = np.bincount(at, weights=times * np.log10(count[word] + 0.1))
+            parts.append((rows, np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint8), np.stack([np.zeros(len(rows), np.int64), known]), np.stack([logs, logs])))
+        rows, ids, flags = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        counts, logs = (np.concatenate([p[i] for p in parts], axis=1) for i in (3, 4))
+        bucket = (mix(rows.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(blocks + 1))
+        out = []
+        for b in np.unique(bucket):
+            own = order[cuts[b] : cuts[b + 1]]
+            out.append((int(b), rows[own].tobytes(), ids[own].tobytes(), flags[own].tobytes(), counts[:, own].tobytes(), logs[:, own].tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], [x.split()[0] for x in _PACKED.split(", ")])
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Of one bucket: the sums of each row."""
+    read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+    rows, ids, flags = (np.concatenate(read(c, t)) for c, t in (("rows", "<i8"), ("ids", "<i8"), ("flags", np.uint8)))
+    counts = np.concatenate([x.reshape(2, -1) for x in read("counts", "<i8")], axis=1)
+    logs = np.concatenate([x.reshape(2, -1) for x in read("logs", "<f8")], axis=1)
+    found, at = np.unique(rows, return_inverse=True)
+    own = flags >= 4  # one for each row
+    doc_id, named, held_out = np.zeros(len(found), np.int64), np.zeros(len(found), bool), np.zeros(len(found), bool)
+    doc_id[at[own]], named[at[own]], held_out[at[own]] = ids[own], flags[own] & 1 > 0, flags[own] & 2 > 0
+    of = lambda x: np.bincount(at, weights=x, minlength=len(found))
+    columns = [pa.array(found), pa.array(doc_id, mask=~named), pa.array(held_out), *[pa.array(of(x).astype(np.int64)) for x in counts], *[pa.array(of(x)) for x in logs]]
+    return pa.table(columns, [x.split()[0] for x in _SUMS.split(", ")])
 
 
 def _top(vocabulary: DataFrame) -> tuple[list[tuple[bytes, int]], DataFrame]:
@@ -451,8 +483,8 @@ def score_documents(documents: DataFrame, folds: int = 10) -> DataFrame:
         model = _averaged(made) or model
     blocks = max(16, math.ceil(total / 2 / BLOCK_PAIRS))
     scored = numbered.mapInArrow(tidied(_score(shared, spark.sparkContext.broadcast(model), blocks)), _DEALT)
-    sums = scored.groupBy("block").applyInArrow(_rare, _SUMS)
-    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log_counts", "log_model")])
+    packed = scored.groupBy("block").applyInArrow(_rare(blocks), _PACKED)
+    out = packed.groupBy("bucket").applyInArrow(_summed, _SUMS)
     return out.select(
         "doc_id",
         "held_out",
