@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ._memory import tidied
 
-#: Chunks between white space whose tokens a worker keeps, in each of two generations; pairs of
-#: tokens whose fit it keeps.
-CACHE, PAIRS = 150_000, 1 << 18
+#: Chunks between white space whose tokens a worker keeps, in each of two generations; pre-tokens,
+#: and pairs of tokens whose fit it keeps.
+CACHE, PARTS, PAIRS = 300_000, 100_000, 1 << 18
 #: Rows that are put out together.
 ROWS = 1000
 #: Longer chunks aren't kept.
@@ -334,7 +334,7 @@ class Tokenizer:
                 ids: list[int] = []
                 self.merger.tokens(data, ids.extend)
                 found = tuple(ids)  # which the garbage collector needn't visit
-                if len(self._parts) >= CACHE:
+                if len(self._parts) >= PARTS:
                     self._parts.clear()
                 self._parts[part] = found
                 emit(found)
