@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ._tables import table
 from .bpe import encode_documents
 from .collision_ann import approximate_neighbours
+from .collocations import collocations
 from .exact_topk import exact_top_k
+from .language_id import identify_languages
+from .lexical_search import lexical_search
 from .lm_scoring import score_documents
 from .mixing import mix
 from .ngram_join import ngram_join
@@ -73,6 +76,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,12 +101,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_bpe,
         op10_substring_dedup,
+        op11_language_id,
+        op12_collocations,
+        op13_lexical_search,
     )
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
 ORACLE: dict[str, str] = {
     "op3_ngram_jaccard_join": rf"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_WORDS}) AS w FROM documents),
@@ -126,4 +146,28 @@ kept AS (
   FROM tokens t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.p = t.p GROUP BY t.doc_id)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op12_collocations": rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS text FROM documents),
+words AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(text, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+phrases AS (SELECT lang, k, w[i:i+k-1] AS p FROM words, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) WHERE len(w) >= k),
+counted AS (SELECT lang, k, p, count(*) AS f FROM phrases GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT c.lang, c.p, c.f AS a, c.k, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f + r.f))::BIGINT AS score FROM counted c, LATERAL (SELECT unnest(range(1, c.k)) AS j)
+  JOIN counted l ON l.lang = c.lang AND l.p = c.p[1:j] JOIN counted r ON r.lang = c.lang AND r.p = c.p[j+1:] WHERE c.k > 1),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS place FROM cuts) WHERE place = 1),
+inside AS (SELECT lang, p[i:i+m-1] AS p, max(f) AS over FROM counted, (SELECT unnest([2, 3]) AS m), LATERAL (SELECT unnest(range(1, k - m + 2)) AS i) WHERE k > m GROUP BY ALL),
+kept AS (SELECT o.* FROM lowest o LEFT JOIN inside s ON s.lang = o.lang AND s.p = o.p WHERE s.over IS NULL OR 100 * s.over < 80 * o.a),
+ranked AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_lexical_search": rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all({_LOWERED}, {_TERMS}) AS t FROM documents),
+sizes AS (SELECT doc_id, row_id, len(t)::HUGEINT AS n FROM docs WHERE len(t) > 0),
+whole AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS length FROM sizes),
+asked AS (SELECT item_id, term, count(*) AS often FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, {_TERMS})) AS term FROM benchmark) GROUP BY ALL),
+postings AS (SELECT row_id, term, count(*)::HUGEINT AS tf FROM (SELECT row_id, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::HUGEINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), whole),
+adds AS (SELECT row_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))) AS s FROM postings JOIN weights USING (term) JOIN sizes USING (row_id), whole),
+scored AS (SELECT item_id, row_id, sum(often * s)::BIGINT AS score FROM asked JOIN adds USING (term) GROUP BY ALL HAVING sum(often * s) > 0),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored JOIN sizes USING (row_id))
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
