@@ -30,6 +30,14 @@ def instance_totals(paths: DataFrame) -> DataFrame:
     return out.select("instance_id", "paths", "length_px", "length_mm", F.col("trunk.orientation").alias("orientation"), F.col("trunk.tortuosity").alias("tortuosity"))
 
 
+def largest(components: DataFrame, min_area: int = 40, max_instances: int | None = None) -> DataFrame:
+    """Components of `min_area` or more with their rank by area in the image, the largest first; at most
+    `max_instances` of each."""
+    out = components.where(F.col("area") >= min_area)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "comp_id")))
+    return out.where(F.col("rank") <= max_instances) if max_instances is not None else out
+
+
 def ranked(instances: DataFrame, group: str) -> DataFrame:
     """Numbers from 0 by greatest width, then length."""
     order = Window.partitionBy(group).orderBy(F.desc("width_max_px"), F.desc("length_px"), "instance_id")

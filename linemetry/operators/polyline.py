@@ -32,17 +32,21 @@ def shapes(points: DataFrame) -> DataFrame:
 
 
 def resample_uniform(points: DataFrame, step: float) -> DataFrame:
-    """Points at equal distances near `step` along the path, ends kept, by linear interpolation."""
+    """(path_id, j, x, y): points at equal distances near `step` along the path, ends kept, by linear interpolation.
+    Single points, and all if step isn't positive, stay as they are; a path without length has its ends twice."""
+    if step <= 0:
+        return points.select("path_id", F.col("i").cast("long").alias("j"), "x", "y")
     s = segments(points).withColumns({"s0": F.coalesce(F.lag("s").over(by_path()), F.lit(0.0)), "x0": F.lag("x").over(by_path()), "y0": F.lag("y").over(by_path())})
     total = F.max("s").over(Window.partitionBy("path_id"))
     s = s.withColumn("total", total).withColumn("n", F.greatest(F.lit(2), F.rint(F.col("total") / step) + 1).cast("int"))
     # targets j with s0 < j * total / (n - 1) <= s; the first point has target 0
     unit = F.col("total") / (F.col("n") - 1)
-    a, b = F.floor(F.col("s0") / unit + 1e-9) + 1, F.floor(F.col("s") / unit + 1e-9)
+    a, b = F.floor(F.try_divide("s0", unit) + 1e-9) + 1, F.floor(F.try_divide("s", unit) + 1e-9)
     first = s.where("i = 0").select("path_id", F.lit(0).cast("long").alias("j"), "x", "y")
     inner = s.where((F.col("i") > 0) & (F.col("total") > 0)).where(a <= b).withColumn("j", F.explode(F.sequence(a, b))).withColumn("f", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("j") * unit - F.col("s0")) / F.col("seg"))))
     lerp = lambda c: F.col(f"{c}0") + (F.col(c) - F.col(f"{c}0")) * F.col("f")
-    return first.union(inner.select("path_id", "j", lerp("x"), lerp("y")))
+    still = s.where("i = 1 and total = 0").select("path_id", F.lit(1).cast("long").alias("j"), "x", "y")
+    return first.union(inner.select("path_id", "j", lerp("x"), lerp("y"))).union(still)
 
 
 def tangents(points: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import thinned
+
 KEY = ("image_id", "y", "x")
 
 
@@ -21,28 +23,12 @@ def shifted(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
 
 
 RING = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
-#: A disc of radius 2, as rows of the structuring element.
-DISC2 = [(-2, 0), (2, 0)] + [(a, b) for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2)]
-
-
 def neighbour_count(mask: DataFrame) -> DataFrame:
     """Set pixels among the 8 neighbours of each set pixel."""
     near = shifted(mask.select(*KEY), RING).groupBy(*KEY).agg(F.count("*").alias("neighbours"))
     return mask.select(*KEY).join(near, list(KEY), "left").select(*KEY, F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
-def dilate(mask: DataFrame, offsets: list[tuple[int, int]] = DISC2) -> DataFrame:
-    return shifted(mask.select(*KEY), offsets).distinct()
-
-
-def close3x3(mask: DataFrame, extent: DataFrame) -> DataFrame:
-    """Dilation, then erosion by 3x3; pixels outside `extent` (all pixels) are ignored."""
-    square = [*RING, (0, 0)]
-    grown = dilate(mask, square).join(extent.select(*KEY), list(KEY), "left_semi")
-    holes = extent.select(*KEY).join(grown, list(KEY), "left_anti")
-    return grown.join(dilate(holes, square), list(KEY), "left_anti")
-
-
 #: Steps to half of a pixel's neighbours, for 8- and 4-connected components.
 HALF = {8: ((0, 1), (1, -1), (1, 0), (1, 1)), 4: ((0, 1), (1, 0))}
 
@@ -80,28 +66,6 @@ def label_components(mask: DataFrame, connected: int = 8) -> DataFrame:
     return mask.groupBy("image_id").applyInArrow(label, f"{schema}, comp_id long")
 
 
-def components(labelled: DataFrame, min_area: int = 40, max_instances: int | None = None) -> DataFrame:
-    """Area, half-open box, score and rank (largest area first) of each component."""
-    out = labelled.groupBy("image_id", "comp_id").agg(
-        F.count("*").alias("area"), F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") + 1).alias("y1"), (F.max("x") + 1).alias("x1"), F.avg("p").alias("score")
-    ).where(F.col("area") >= min_area)
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "comp_id")))
-    return out.where(F.col("rank") <= max_instances) if max_instances is not None else out
-
-
-def fill_holes(mask: DataFrame, extent: DataFrame, most: int) -> DataFrame:
-    """`mask` with the 4-connected holes of at most `most` pixels filled; extent has all pixels."""
-    outside = label_components(extent.select(*KEY).join(mask.select(*KEY), list(KEY), "left_anti"), 4)
-    small = outside.groupBy("image_id", "comp_id").agg(F.count("*").alias("size")).where(F.col("size") <= most)
-    return mask.select(*KEY).unionByName(outside.join(small, ["image_id", "comp_id"], "left_semi").select(*KEY))
-
-
-def clean_mask(mask: DataFrame, extent: DataFrame, min_area: int = 40) -> DataFrame:
-    """Small holes filled (if min_area is above 1), then closed by 3x3. Specks stay: `components` drops them."""
-    filled = fill_holes(mask, extent, max(4, min_area // 4)) if min_area > 1 else mask
-    return close3x3(filled, extent)
-
-
 def tile_starts(place: Column, length: int, tile: int, overlap: int) -> Column:
     """The starts of the tiles that cover a place on an axis. Tiles follow each other by tile -
     overlap as long as they fit; if they don't reach the end, one more is set there."""
@@ -162,37 +126,13 @@ def confusion(pixels: DataFrame, truth: float, thresholds: tuple[float, ...]) ->
     return n.withColumn("iou", tp / (tp + fp + fn + 1e-7)).withColumn("f1", 2 * tp / (2 * tp + fp + fn + 1e-7))
 
 
-def tolerant_f1(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per image: precision and recall with a tolerance of two pixels, and their f1."""
-    key = list(KEY)
-    near_truth = pred.select(*KEY).join(dilate(truth), key, "left_semi").groupBy("image_id").agg(F.count("*").alias("pred_hit"))
-    near_pred = truth.select(*KEY).join(dilate(pred), key, "left_semi").groupBy("image_id").agg(F.count("*").alias("truth_hit"))
-    n = pred.groupBy("image_id").agg(F.count("*").alias("pred_n")).join(truth.groupBy("image_id").agg(F.count("*").alias("truth_n")), "image_id", "full")
-    n = n.join(near_truth, "image_id", "left").join(near_pred, "image_id", "left").na.fill(0)
-    p, r = F.col("pred_hit") / (F.col("pred_n") + 1e-7), F.col("truth_hit") / (F.col("truth_n") + 1e-7)
-    return n.select("image_id", p.alias("precision"), r.alias("recall"), F.when(p + r < 1e-7, 0.0).otherwise(2 * p * r / (p + r)).alias("tolerant_f1"))
-
-
 def skeletonise(mask: DataFrame) -> DataFrame:
     """Thinning to centre lines (Zhang and Suen 1984), one image a group."""
-
     def thin(table: pa.Table) -> pa.Table:
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        grid = np.zeros((y.max() + 3, x.max() + 3), dtype=bool)
-        grid[y + 1, x + 1] = True
-        changed = True
-        while changed:
-            changed = False
-            for first in (True, False):
-                n = [np.roll(grid, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]
-                total = sum(v.astype(np.int8) for v in n)
-                turns = sum((~a & b).astype(np.int8) for a, b in zip(n, n[1:] + n[:1], strict=True))
-                up, right, down, left = n[0], n[2], n[4], n[6]
-                free = ~(up & right & down) & ~(right & down & left) if first else ~(up & right & left) & ~(up & down & left)
-                drop = grid & (total >= 2) & (total <= 6) & (turns == 1) & free
-                changed |= bool(drop.any())
-                grid &= ~drop
-        return table.filter(pa.array(grid[y + 1, x + 1]))
+        grid = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), dtype=bool)
+        grid[y - y.min(), x - x.min()] = True
+        return table.filter(pa.array(thinned(grid)[y - y.min(), x - x.min()]))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mask.schema.fields)
     return mask.groupBy("image_id").applyInArrow(thin, schema)

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from ..operators import analysis
+from ..operators import blocks as blk
 from ..operators import instances as inst
 from ..operators import polyline as line
 from ..operators import raster as ras
 from ..operators import response, skeleton, width
 from ..sources import adapters as src
 from ..sources import images
-from .queries import MASK, POINTS, RASTER, SAMPLES, TANGENTS, TOTALS, instances, mask, query, rounded
+from .queries import INSTANCES, MASK, POINTS, RASTER, SAMPLES, SEVERITY, TANGENTS, TOTALS, instances, mask, pieces, query, rounded
 
 SIDE = src.SIDE
 #: A curve of 13 points in every image.
@@ -28,6 +30,19 @@ def corners(rows: str, pixels: str, value: str, name: str) -> str:
     return f"{name} AS (SELECT r.*, ({of[0]} * (1 - {right}) + {of[1]} * {right}) * (1 - {down}) + ({of[2]} * (1 - {right}) + {of[3]} * {right}) * {down} AS v FROM {rows} r {joins})"
 
 
+def squares(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the rasters, all as high as wide: rows that are missing are 0."""
+    return src.sizes(spark, d).withColumn("height", F.lit(SIDE))
+
+
+def square_pieces(spark: SparkSession, d: str, halo: int) -> DataFrame:
+    return blk.strips_to_pieces(src.strips(spark, d), squares(spark, d), halo=halo)
+
+
+def edge_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return blk.with_halo(width.distances(blk.masks(square_pieces(spark, d, 0), 0.7)), blk.SIDE, 1)
+
+
 def curve(spark: SparkSession, d: str) -> DataFrame:
     each = src.raster(spark, d).select("image_id").distinct()
     points = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumn("i", F.col("i").cast("long"))
@@ -36,22 +51,22 @@ def curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MASK}, {DISTANCES} SELECT image_id, y, x, round(distance, 6) AS distance FROM distances")
 def distance_transform(spark, d):
-    return rounded(width.distance_transform(mask(spark, d), SIDE, SIDE), "distance")
+    found = blk.pixels_of(width.distances(blk.masks(pieces(spark, d), 0.7)))
+    return rounded(found.where("value > 0").select("image_id", "y", "x", F.col("value").alias("distance")), "distance")
 
 
 @query(f"""WITH {RASTER}, r AS (SELECT image_id, i, (i * 0.37) % 66 - 1 AS sy, (i * 0.73) % 66 - 1 AS sx FROM (SELECT DISTINCT image_id FROM raster), (SELECT unnest(range(300)) AS i)), {corners('r', 'raster', 'p', 'found')}
 SELECT image_id, i, round(CASE WHEN sy < 0 OR sx < 0 OR sy > 63 OR sx > 63 THEN 0 ELSE v END, 6) AS sampled FROM found""")
 def bilinear_sample(spark, d):
-    pixels = src.raster(spark, d)
-    points = pixels.select("image_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(299))))
+    sizes = squares(spark, d)
+    points = sizes.select("image_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(299))))
     points = points.select("image_id", F.col("i").cast("long").alias("i"), (F.col("i") * 0.37 % 66 - 1).alias("y"), (F.col("i") * 0.73 % 66 - 1).alias("x"))
-    return rounded(width.sampled(points, pixels, "p", SIDE, SIDE), "sampled").select("image_id", "i", "sampled")
+    return rounded(width.sampled(points, square_pieces(spark, d, 1), sizes), "sampled").select("image_id", "i", "sampled")
 
 
 @query(f"WITH {MASK}, {DISTANCES}, {CURVE}, r AS (SELECT *, least(greatest(y, 0), 63) AS sy, least(greatest(x, 0), 63) AS sx FROM points), {corners('r', 'distances', 'distance', 'found')} SELECT image_id, i, round(2 * v, 6) AS width_px FROM found")
 def distance_widths(spark, d):
-    distances = width.distance_transform(mask(spark, d), SIDE, SIDE)
-    return rounded(width.widths_from_distance(curve(spark, d), distances, SIDE, SIDE), "width_px").select("image_id", "i", "width_px")
+    return rounded(width.widths_from_distance(curve(spark, d), edge_pieces(spark, d), squares(spark, d)), "width_px").select("image_id", "i", "width_px")
 
 
 @query(f"""WITH {MASK}, {DISTANCES}, {CURVE}, {TANGENTS}, r AS (SELECT *, y AS sy, x AS sx FROM points), {corners('r', 'distances', 'distance', 'coarse')},
@@ -64,9 +79,10 @@ f AS (SELECT image_id, i, s, max(radius) AS radius, min(k) FILTER (WHERE ends) A
 side AS (SELECT f.image_id, f.i, f.s, CASE WHEN f.k IS NULL THEN f.radius ELSE greatest(po + least(1, greatest(0, CASE WHEN abs(pv - v) > 1e-9 THEN (pv - 0.7) / (pv - v) ELSE 0 END)) * (o - po), 0) END AS c FROM f LEFT JOIN g ON g.image_id = f.image_id AND g.i = f.i AND g.s = f.s AND g.k = f.k)
 SELECT image_id, i, round(sum(c), 6) AS width_px FROM side GROUP BY 1, 2""")
 def perpendicular_widths(spark, d):
-    pixels = src.raster(spark, d)
-    distances = width.distance_transform(mask(spark, d), SIDE, SIDE)
-    return rounded(width.widths_perpendicular(curve(spark, d), pixels, distances, 0.7, SIDE, SIDE), "width_px").select("image_id", "i", "width_px")
+    sizes = squares(spark, d)
+    coarse = width.widths_from_distance(curve(spark, d), edge_pieces(spark, d), sizes)
+    points = coarse.withColumnRenamed("width_px", "coarse").withColumn("threshold", F.lit(0.7))
+    return rounded(width.widths_perpendicular(points, square_pieces(spark, d, width.REACH), sizes), "width_px").select("image_id", "i", "width_px")
 
 
 @query(f"""WITH RECURSIVE {MASK}, nb AS (SELECT a.image_id, a.y, a.x, (SELECT count(*) FROM mask b WHERE b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1) - 1 AS n FROM mask a),
@@ -89,8 +105,7 @@ small AS (SELECT image_id, c FROM l GROUP BY 1, 2 HAVING count(*) <= 10), filled
 o AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)), grown AS (SELECT DISTINCT r.image_id, r.y, r.x FROM raster r, o, filled f WHERE f.image_id = r.image_id AND f.y = r.y + a AND f.x = r.x + b),
 holes AS (SELECT image_id, y, x FROM raster EXCEPT SELECT * FROM grown), eaten AS (SELECT DISTINCT image_id, y + a AS y, x + b AS x FROM holes, o) SELECT * FROM grown EXCEPT SELECT * FROM eaten""")
 def clean_mask(spark, d):
-    r = src.raster(spark, d)
-    return ras.clean_mask(ras.threshold_mask(r, 0.3), r, 40).select("image_id", "y", "x")
+    return blk.clean_mask(pieces(spark, d, blk.clean_halo(40)), 0.3, 40)
 
 
 @query(f"""WITH {RASTER}, q AS (SELECT image_id, y, x, p, 20 + image_id % 7 AS cy, 25.0 AS cx FROM raster), d AS (SELECT *, 1.15 * 10 AS r, y - cy AS dy, x - cx AS dx FROM q)
@@ -187,19 +202,9 @@ i AS (SELECT n.*, coalesce(ph, 0) / (tp + fp + 1e-7) AS pr, coalesce(th, 0) / (t
 f AS (SELECT *, CASE WHEN pr + re < 1e-7 THEN 0 ELSE 2 * pr * re / (pr + re) END AS tf FROM i)
 SELECT threshold, round(sum(tp) / (sum(tp) + sum(fp) + sum(fn) + 1e-7), 6) AS iou, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn) + 1e-7), 6) AS f1, round(sum(tp) / (sum(tp) + sum(fp) + 1e-7), 6) AS precision, round(sum(tp) / (sum(tp) + sum(fn) + 1e-7), 6) AS recall, round(coalesce(avg(tf) FILTER (WHERE tp + fn > 0), 0), 6) AS tolerant_f1, round(median(bias) FILTER (WHERE tp + fn > 0), 6) AS width_bias FROM f GROUP BY 1""")
 def running(spark, d):
-    r = src.raster(spark, d)
-    truth = ras.threshold_mask(r, 0.75)
-    parts = []
-    for t in (0.6, 0.7, 0.75, 0.8, 0.9):
-        hit, real = F.col("p") >= t, F.col("p") >= 0.75
-        counts = r.groupBy("image_id").agg(F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"), F.count_if(~hit & real).alias("fn"))
-        tolerant = ras.tolerant_f1(ras.threshold_mask(r, t), truth).select("image_id", "tolerant_f1")
-        bias = F.try_divide(F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))  # of areas; `width_bias` has it of widths
-        parts.append(counts.join(tolerant, "image_id", "left").select(F.lit(t).alias("threshold"), "image_id", "tp", "fp", "fn", F.coalesce("tolerant_f1", F.lit(0.0)).alias("tolerant_f1"), bias.alias("width_bias")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return rounded(inst.running(whole), "iou", "f1", "precision", "recall", "tolerant_f1", "width_bias")
+    counts = blk.tolerant(blk.mask_counts(pieces(spark, d, 2), (0.6, 0.7, 0.75, 0.8, 0.9), 0.75))
+    bias = F.try_divide(F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn"))  # of areas; `evaluation` has it of widths
+    return rounded(inst.running(counts.withColumn("width_bias", bias)), "iou", "f1", "precision", "recall", "tolerant_f1", "width_bias")
 
 
 SWEEP = "sweep AS (SELECT l_linenumber / 10 AS threshold, round(avg(l_tax), 2) AS tolerant_f1, CASE WHEN l_linenumber <> 3 THEN round(avg(l_quantity) / 25, 4) END AS width_bias FROM lineitem GROUP BY l_linenumber)"
@@ -213,24 +218,73 @@ def choose_threshold(spark, d):
     return inst.choose_threshold(sweep).withColumn("shortlist", F.array_join(F.transform("shortlist", lambda t: t.cast("string")), ","))
 
 
+def work_images(spark: SparkSession, d: str, threshold: float) -> DataFrame:
+    """The rasters as images that were brought down by half, with what a request and a model say."""
+    options = {"threshold": F.lit(threshold), "factor": F.lit(2.0), "method": F.when(F.col("image_id") % 4 == 3, "distance_transform").otherwise("perpendicular"), "trained": F.col("image_id") % 2 == 0}
+    return src.sizes(spark, d).withColumns(options)
+
+
+def work_scales(spark: SparkSession, d: str) -> DataFrame:
+    """A scale for two of three images; every fifth has a marker, in the original's pixels."""
+    i = F.col("image_id")
+    corner = lambda y, x: F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"))
+    corners = F.when(i % 5 == 0, F.array(corner(10.0, 10.0), corner(10.0, 40.0), corner(40.0, 40.0), corner(40.0, 10.0)))
+    return src.sizes(spark, d).where("image_id % 3 < 2").select("image_id", F.lit(0.05).alias("mm_per_px"), F.lit(None).cast("array<double>").alias("h"), corners.alias("corners"), F.array().cast("array<string>").alias("warnings"))
+
+
+def analysed(spark: SparkSession, d: str) -> analysis.Analysis:
+    return analysis.analyse(src.strips(spark, d), work_images(spark, d, 0.6), work_scales(spark, d))
+
+
+@query()
+def analysis_instances(spark, d):
+    """Every instance of every image, with all its figures."""
+    found = analysed(spark, d).instances.drop("instance_id", "path_id")
+    figures = [c for c, kind in found.dtypes if kind == "double"]
+    return rounded(found, *figures).withColumn("bbox_yxyx", F.array_join(F.transform("bbox_yxyx", lambda v: F.round(v, 3).cast("string")), " "))
+
+
+@query()
+def analysis_points(spark, d):
+    """Every sample point: place, width and whether it lies at a junction."""
+    return rounded(analysed(spark, d).points.select("image_id", "comp_id", "branch", "i", "y", "x", "width_px", "width_mm", "at_junction"), "y", "x", "width_px", "width_mm")
+
+
+@query()
+def analysis_response(spark, d):
+    """The response to every image, from probabilities to JSON."""
+    a = analysed(spark, d)
+    i = F.col("image_id")
+    images_ = work_images(spark, d, 0.6).join(work_scales(spark, d).select("image_id", "mm_per_px"), "image_id", "left")
+    images_ = images_.select("image_id", F.concat(F.lit("request-"), i).alias("request_id"), (F.col("width") * 2).alias("width"), (F.col("height") * 2).alias("height"), F.lit("unet").alias("model_name"), F.lit("onnx").alias("model_kind"), "trained", F.when(F.col("mm_per_px") > 0, "explicit").otherwise("none").alias("source"), "mm_per_px", F.when(F.col("mm_per_px") > 0, 1.0).alias("confidence"), F.lit("").alias("note"), F.lit(None).cast("double").alias("duration_ms"))
+    paths = a.paths.withColumnRenamed("length", "length_px")
+    items = response.path_items(a.points.select(F.col("path_id").alias("path"), "i", "y", "x", "width_px", "width_mm", "at_junction"), paths.select("instance_id", "path_id", "path", "length_px", "length_mm", "is_loop"), "path")
+    return response.responses(images_, a.summaries, response.instance_items(a.instances, items), a.notes)
+
+
+@query(f"""WITH RECURSIVE {RASTER}, m AS (SELECT image_id, y, x FROM raster WHERE p >= 0.75), k AS (SELECT image_id, y, x, y * 65536 + x AS a FROM raster WHERE p < 0.75),
+e AS (SELECT s.image_id, s.a, t.a AS b FROM k s JOIN (SELECT unnest([-65536, -1, 1, 65536]) AS o) ON true JOIN k t ON t.image_id = s.image_id AND t.a = s.a + o),
+near AS (SELECT image_id, a, a AS b, 0 AS steps FROM k UNION SELECT r.image_id, r.a, e.b, steps + 1 FROM near r JOIN e ON e.image_id = r.image_id AND e.a = r.b WHERE steps < 4),
+small AS (SELECT image_id, a FROM near GROUP BY 1, 2 HAVING count(DISTINCT b) <= 4), filled AS (SELECT * FROM m UNION ALL SELECT k.image_id, k.y, k.x FROM k SEMI JOIN small s ON s.image_id = k.image_id AND s.a = k.a),
+o AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)), grown AS (SELECT DISTINCT r.image_id, r.y, r.x FROM raster r, o, filled f WHERE f.image_id = r.image_id AND f.y = r.y + a AND f.x = r.x + b),
+holes AS (SELECT image_id, y, x FROM raster EXCEPT SELECT * FROM grown), eaten AS (SELECT DISTINCT image_id, y + a AS y, x + b AS x FROM holes, o), clean AS (SELECT * FROM grown EXCEPT SELECT * FROM eaten),
+c AS (SELECT image_id, y * 65536 + x AS a FROM clean), l AS (SELECT a.image_id, a.a, b.a AS b FROM c a JOIN (SELECT unnest([-65537, -65536, -65535, -1, 0, 1, 65535, 65536, 65537]) AS o) ON true JOIN c b ON b.image_id = a.image_id AND b.a = a.a + o),
+reach AS (SELECT image_id, a, b FROM l UNION SELECT r.image_id, r.a, l.b FROM reach r JOIN l ON l.image_id = r.image_id AND l.a = r.b), labels AS (SELECT image_id, a, min(b) AS comp_id FROM reach GROUP BY 1, 2),
+sizes AS (SELECT image_id, max(y) + 1 AS height FROM raster GROUP BY 1)
+SELECT m.image_id, comp_id, count(*) AS area, min(m.y) AS y0, min(m.x) AS x0, max(m.y) + 1 AS y1, max(m.x) + 1 AS x1, round(avg(p), 6) AS score, min(m.y) = 0 OR min(m.x) = 0 OR max(m.y) + 1 >= any_value(height) OR max(m.x) + 1 >= 64 AS touches_border
+FROM clean m JOIN raster r ON r.image_id = m.image_id AND r.y = m.y AND r.x = m.x JOIN labels l ON l.image_id = m.image_id AND l.a = m.y * 65536 + m.x JOIN sizes z ON z.image_id = m.image_id GROUP BY 1, 2 HAVING count(*) >= 16""")
+def clean_components(spark, d):
+    images_ = work_images(spark, d, 0.75)
+    found = analysis.block_components(analysis.cleaned_blocks(src.strips(spark, d), images_, 16)).where("area >= 16").join(images_.select("image_id", "height", "width"), "image_id")
+    border = classify.touches_border(*[F.col(c) for c in ("y0", "x0", "y1", "x1", "height", "width")])
+    return rounded(found.withColumn("touches_border", border), "score").drop("height", "width")
+
+
 @query()
 def measure(spark, d):
     """Clean, components, branches of 12 pixels or more, simplified, their widths: figures of each image."""
-    r = src.raster(spark, d)
-    clean = ras.clean_mask(ras.threshold_mask(r, 0.6), r, 40).select("image_id", "y", "x").cache()
-    labelled = ras.label_components(clean.withColumn("p", F.lit(1.0))).cache()  # read three times
-    comps = ras.components(labelled, 40)
-    key = F.col("image_id") * F.lit(2**32) + F.col("comp_id")
-    of = labelled.join(comps.select("image_id", "comp_id"), ["image_id", "comp_id"], "left_semi").withColumn("instance", key)
-    thin = ras.skeletonise(of.select("instance", "y", "x", "p").withColumnRenamed("instance", "image_id")).withColumnRenamed("image_id", "instance")
-    points = skeleton.branches(thin, "instance").withColumn("path_id", F.col("instance") * 64 + F.col("branch"))
-    points = points.select(F.shiftright("instance", 32).alias("image_id"), "path_id", "i", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
-    long_enough = line.shapes(points).where("length >= 12").select("path_id")
-    kept = line.simplify_rdp(points.join(long_enough, "path_id", "left_semi"), 1.0).cache()
-    distances = width.distance_transform(clean, SIDE, SIDE)
-    widths = width.widths_perpendicular(kept, r, distances, 0.6, SIDE, SIDE)
-    lengths = line.shapes(kept).join(kept.select("path_id", "image_id").distinct(), "path_id")
-    return rounded(inst.measured(widths, lengths, comps), "width_max", "width_mean", "width_p95", "length")
+    found = analysis.measure(src.strips(spark, d), work_images(spark, d, 0.6))
+    return rounded(found, "width_max", "width_mean", "width_p95", "length")
 
 
 @query(f"WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY width_px DESC, sample_id) AS place FROM samples) SELECT instance_id, sample_id, width_px FROM r WHERE place = 1")
@@ -325,13 +379,57 @@ def path_items(spark, d):
     return items.select("path_id", i.point_count.alias("point_count"), F.size(i.path_yx).alias("flat"), F.round(total(i.path_yx), 2).alias("coordinates"), F.round(total(i.width_px), 3).alias("widths"), F.size(F.filter(i.width_at_junction, lambda x: x)).alias("at_junction"))
 
 
-@query()
-def response_json(spark, d):
-    """Whole responses: every customer is an image, every order an instance, without points."""
-    found = instances(spark, d)
+def wire(value: str, decimals: int) -> str:
+    """SQL: a number as the response has it."""
+    return f"round_even(({value}) * 1e{decimals}::DOUBLE, 0) / 1e{decimals}::DOUBLE"
+
+
+def responded(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, body): every customer is an image, every order an instance, its lines are paths of three points."""
+    key, c = F.col("instance_id"), F.col("image_id")
+    found = instances(spark, d).withColumns({
+        "score": key % 1000 / 1000, "nodes": key % 9, "area_px": key / 7, "pattern": F.when(key % 9 > 5, "map").otherwise("linear"), "orientation_class": classify.orientation_class(F.col("orientation")),
+        "bbox_yxyx": F.array(*[(key % 8 + n) / 3 for n in range(4)]), "length_mm": F.rint("length_mm"),
+    })
+    lines = src.paths(spark, d).select("instance_id", "path_id", F.struct("instance_id", "path_id", "length", "length_mm").alias("path"), F.col("length").alias("length_px"), "length_mm", (F.col("path_id") % 2 == 0).alias("is_loop"))
+    points = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("path", "i", (F.col("length_px") / 7 + F.col("i")).alias("y"), (F.col("i") / 3).alias("x"), (F.col("path_id") / 9).alias("width_px"), F.when(F.col("length_mm") >= 0, F.col("path_id") / 11).alias("width_mm"), (F.col("i") == 1).alias("at_junction"))
     images_ = src.read(spark, d, "customer").select(F.col("c_custkey").alias("image_id"))
-    items = response.instance_items(inst.ranked(found, "image_id"))
-    return response.responses(inst.image_summary(images_, found), items, notes(spark, d))
+    summary = inst.image_summary(images_, found)
+    asked = images_.select("image_id", F.concat(F.lit("r"), c).alias("request_id"), (c % 4000 + 32).alias("width"), (c % 3000 + 32).alias("height"), F.lit("unet").alias("model_name"), F.lit("onnx").alias("model_kind"), (c % 2 == 0).alias("trained"), F.when(c % 4 > 0, "explicit").alias("source"), F.when(c % 4 > 0, c / 7e4).alias("mm_per_px"), F.when(c % 4 > 0, c % 10 / 9).alias("confidence"), F.lit(None).cast("string").alias("note"), (c / 7).alias("duration_ms"))
+    items = response.instance_items(inst.ranked(found, "image_id"), response.path_items(points, lines, "path"))
+    return response.responses(asked, summary, items, notes(spark, d))
+
+
+NUMBERS = {"score": ("o_orderkey % 1000 / 1000", 4), "orientation_deg": ("orientation", 2), "tortuosity": ("tortuosity", 4), "length_px": ("length_px", 2), "length_mm": ("round_even(length_mm, 0)", 3), "area_px": ("o_orderkey / 7", 1)} | {f"width_{n}_{u}": (f"width_{n}_{u}", 3 if u == "px" else 4) for n in ("max", "mean", "p95") for u in ("px", "mm")}
+
+
+@query(f"""WITH {INSTANCES}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY width_max_px DESC, length_px DESC, instance_id) - 1 AS rank FROM instances),
+p AS (SELECT instance_id, count(*) AS paths, 3 * count(*) AS points, sum({wire('length / 7', 2)} + {wire('length / 7 + 1', 2)} + {wire('length / 7 + 2', 2)} + 0.33 + 0.67) AS places, sum(3 * {wire('path_id / 9', 3)}) AS px, sum(3 * CASE WHEN length_mm >= 0 THEN {wire('path_id / 11', 4)} ELSE -1 END) AS mm, sum({wire('length', 2)}) AS lengths, count(*) FILTER (WHERE path_id % 2 = 0) AS loops FROM paths GROUP BY 1)
+SELECT image_id, 'r' || image_id AS request_id, rank::INT AS instance_id, {', '.join(f'{wire(v, n)} AS {c}' for c, (v, n) in NUMBERS.items())}, CASE WHEN o_orderkey % 9 > 5 THEN 'map' ELSE 'linear' END AS pattern, {wire('(o_orderkey % 8 + 1) / 3', 2)} AS box_x0, (o_orderkey % 9)::INT AS branch_count, touches_border, excluded::INT AS excluded, {SEVERITY.format('width_max_mm')} AS severity,
+  p.paths::INT AS paths, points::INT AS points, p.points::INT AS at_junction_of_3, round(places, 2) AS places, round(px, 3) AS px, round(mm, 4) + 0.0 AS mm, round(lengths, 2) AS lengths, loops::INT AS loops FROM r JOIN p USING (instance_id)""")
+def response_instances(spark, d):
+    """What a response says of instances and their paths, read back from its JSON."""
+    r = response.parsed(responded(spark, d)).select("image_id", "r.request_id", F.explode("r.instances.items").alias("n"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    paths = F.col("n.paths.items")
+    return r.select(
+        "image_id", "request_id", "n.instance_id", *[f"n.{c}" for c in NUMBERS], "n.pattern", F.col("n.bbox_yxyx")[1].alias("box_x0"), "n.branch_count", "n.touches_border", F.col("n.width_samples_excluded").alias("excluded"), "n.severity",
+        F.size(paths).alias("paths"), total(F.transform(paths, lambda p: p.point_count.cast("double"))).cast("int").alias("points"), (3 * F.size(F.filter(F.flatten(F.transform(paths, lambda p: p.width_at_junction)), lambda x: x))).alias("at_junction_of_3"),
+        F.round(total(F.flatten(F.transform(paths, lambda p: p.path_yx))), 2).alias("places"), F.round(total(F.flatten(F.transform(paths, lambda p: p.width_px))), 3).alias("px"), (F.round(total(F.flatten(F.transform(paths, lambda p: p.width_mm))), 4) + 0.0).alias("mm"), F.round(total(F.transform(paths, lambda p: p.length_px)), 2).alias("lengths"), F.size(F.filter(paths, lambda p: p.is_loop)).alias("loops"),
+    )
+
+
+@query(f"""WITH {INSTANCES}, n AS (SELECT image_id, count(*) AS count, max(width_max_px) AS px, max(width_max_mm) FILTER (WHERE width_max_mm >= 0) AS mm, sum(length_px) AS total, CASE WHEN min(length_mm) >= 0 THEN sum(round_even(length_mm, 0)) ELSE -1 END AS total_mm FROM instances GROUP BY 1)
+SELECT c_custkey AS image_id, '1.1' AS contract_version, 'crack' AS task, (c_custkey % 4000 + 32)::INT AS width, (c_custkey % 3000 + 32)::INT AS height, c_custkey % 2 = 0 AS trained, CASE WHEN c_custkey % 4 > 0 THEN 'explicit' ELSE 'none' END AS source, c_custkey % 4 > 0 AS known, CASE WHEN c_custkey % 4 > 0 THEN {wire('c_custkey / 7e4', 6)} ELSE -1 END AS mm_per_px, CASE WHEN c_custkey % 4 > 0 THEN {wire('c_custkey % 10 / 9', 3)} ELSE 0 END AS confidence,
+  coalesce(count, 0)::INT AS instance_count, CASE WHEN count IS NULL THEN 'none' ELSE {SEVERITY.format('mm')} END AS severity, {wire('coalesce(px, -1)', 3)} AS max_width_px, {wire('coalesce(mm, -1)', 4)} AS max_width_mm, round(coalesce(total, 0), 2) AS total_length_px, round(coalesce(total_mm, -1), 2) AS total_length_mm, {wire('c_custkey / 7', 1)} AS duration_ms, true AS whole
+FROM customer LEFT JOIN n ON image_id = c_custkey""")
+def response_json(spark, d):
+    """Whole responses, read back; `whole`: they have no null, and reading lost nothing."""
+    bodies = responded(spark, d)
+    r = response.parsed(bodies).join(bodies, "image_id")
+    whole = ~F.contains("body", F.lit("null")) & (F.to_json("r") == F.col("body"))
+    one = r.select("image_id", "r.contract_version", "r.task", "r.image.width", "r.image.height", "r.model.trained", "r.scale.source", "r.scale.known", "r.scale.mm_per_px", "r.scale.confidence", *[f"r.summary.{c}" for c in ("instance_count", "severity", "max_width_px", "max_width_mm", "total_length_px", "total_length_mm")], "r.duration_ms", whole.alias("whole"))
+    return one.withColumns({c: F.round(c, 2) for c in ("total_length_px", "total_length_mm")})
 
 
 @query("""SELECT task, CASE WHEN model_name IN ('unet', 'deep') THEN model_name ELSE 'classic-ridge' END AS model_name, coalesce(model_name = 'unet', false) AS trained, model_name IN ('unet', 'deep') AS weights_present, true AS ready, CASE WHEN model_name NOT IN ('unet', 'deep') THEN 'deep,unet' END AS others

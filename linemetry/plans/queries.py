@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from ..operators import blocks as blk
 from ..operators import instances as inst
 from ..operators import polyline as line
 from ..operators import raster as ras
@@ -45,6 +46,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def pieces(spark: SparkSession, d: str, halo: int = 0) -> DataFrame:
+    return blk.strips_to_pieces(src.strips(spark, d), src.sizes(spark, d), halo=halo)
+
+
 def mask(spark: SparkSession, d: str) -> DataFrame:
     return ras.threshold_mask(src.raster(spark, d), 0.7)
 
@@ -68,12 +73,12 @@ comps AS (SELECT m.image_id, comp_id, count(*) AS area, min(y) AS y0, min(x) AS
 ranks AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, comp_id)::INT AS rank FROM comps)
 SELECT * FROM ranks WHERE rank <= 200""")
 def components(spark, d):
-    return rounded(ras.components(ras.label_components(mask(spark, d)), min_area=8, max_instances=200), "score")
+    return rounded(inst.largest(blk.components(pieces(spark, d), 0.7), min_area=8, max_instances=200), "score")
 
 
 @query(f"WITH {MASK} SELECT a.image_id, a.y, a.x, (SELECT count(*) FROM mask b WHERE b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1) - 1 AS neighbours FROM mask a")
 def neighbours(spark, d):
-    return ras.neighbour_count(mask(spark, d))
+    return blk.neighbour_count(pieces(spark, d, 1), 0.7)
 
 
 @query(f"""WITH {MASK}, o AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
@@ -82,7 +87,7 @@ holes AS (SELECT image_id, y, x FROM raster EXCEPT SELECT * FROM grown),
 eaten AS (SELECT DISTINCT image_id, y + a AS y, x + b AS x FROM holes, o)
 SELECT * FROM grown EXCEPT SELECT * FROM eaten""")
 def close3x3(spark, d):
-    return ras.close3x3(mask(spark, d), src.raster(spark, d)).select("image_id", "y", "x")
+    return blk.close3x3(pieces(spark, d, 2), 0.7)
 
 
 @query(f"""WITH {RASTER}, t AS (SELECT ty, tx FROM (SELECT unnest([0, 16, 32]) AS ty), (SELECT unnest([0, 16, 32]) AS tx)),
@@ -105,8 +110,8 @@ th AS (SELECT t.image_id, count(*) AS n FROM truth t WHERE EXISTS (SELECT 1 FROM
 r AS (SELECT i.image_id, coalesce(ph.n, 0) / (coalesce(pn, 0) + 1e-7) AS p, coalesce(th.n, 0) / (coalesce(tn, 0) + 1e-7) AS r FROM (SELECT image_id, count(*) AS pn FROM pred GROUP BY 1) i LEFT JOIN (SELECT image_id, count(*) AS tn FROM truth GROUP BY 1) USING (image_id) LEFT JOIN ph USING (image_id) LEFT JOIN th USING (image_id))
 SELECT image_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r < 1e-7 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS tolerant_f1 FROM r""")
 def tolerant_f1(spark, d):
-    r = src.raster(spark, d)
-    return rounded(ras.tolerant_f1(ras.threshold_mask(r, 0.7), ras.threshold_mask(r, 0.8)), "precision", "recall", "tolerant_f1")
+    scores = blk.tolerant(blk.mask_counts(pieces(spark, d, 2), (0.7,), 0.8))
+    return rounded(scores, "precision", "recall", "tolerant_f1").select("image_id", "precision", "recall", "tolerant_f1")
 
 
 @query()

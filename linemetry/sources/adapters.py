@@ -20,6 +20,18 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.select(F.floor(F.col("vec_id") / SIDE).alias("image_id"), (F.col("vec_id") % SIDE).alias("y"), F.col("x").cast("long").alias("x"), sigmoid(F.col("v").cast("double") * 8).alias("p"))
 
 
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, y, x, values): the same rasters by rows, a vector each."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / SIDE).alias("image_id"), (F.col("vec_id") % SIDE).cast("int").alias("y"), F.lit(0).alias("x"), F.transform("embedding", lambda v: sigmoid(v.cast("double") * 8)).alias("values"))
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, height, width) of the rasters; the last image may be lower than the others."""
+    e = read(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / SIDE).alias("image_id"))
+    return e.agg((F.max(F.col("vec_id") % SIDE) + 1).cast("int").alias("height"), F.max(F.size("embedding")).alias("width"))
+
+
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path_id, i, x, y): a user's events in order of time; x in hours, y the value."""
     from pyspark.sql import Window

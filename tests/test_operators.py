@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linemetry.functions import classify
-from linemetry.operators import instances, polyline, raster, skeleton, width
+from linemetry.operators import blocks, instances, polyline, raster, skeleton, width
 from linemetry.sources import images
 
 
@@ -13,11 +13,6 @@ def pixels(spark, cells):
     return spark.createDataFrame([(0, y, x, 1.0) for y, x in cells], "image_id long, y long, x long, p double")
 
 
-def test_components_touch_at_corners(spark):
-    out = raster.components(raster.label_components(pixels(spark, [(0, 0), (1, 1), (5, 5), (5, 6), (9, 0)])), min_area=2)
-    assert sorted((r.area, r.y0, r.x1) for r in out.collect()) == [(2, 0, 2), (2, 5, 7)]
-
-
 def test_skeleton_of_a_bar_is_thin(spark):
     bar = pixels(spark, [(y, x) for y in range(10, 15) for x in range(5, 45)])
     found = raster.skeletonise(bar).collect()
@@ -25,12 +20,6 @@ def test_skeleton_of_a_bar_is_thin(spark):
     assert max(abs(r.y - 12) for r in found) <= 2
 
 
-def test_close_fills_a_hole(spark):
-    ring = pixels(spark, [(y, x) for y in range(3, 6) for x in range(3, 6) if (y, x) != (4, 4)])
-    extent = pixels(spark, [(y, x) for y in range(9) for x in range(9)])
-    assert {(r.y, r.x) for r in raster.close3x3(ring, extent).collect()} == {(y, x) for y in range(3, 6) for x in range(3, 6)}
-
-
 def test_tiles_cover_every_pixel_exactly(spark):
     flat = spark.createDataFrame([(0, y, x, 0.7) for y in range(40) for x in range(33)], "image_id long, y long, x long, p double")
     out = raster.tile_blend(flat, 16, 4, 40, 33).collect()
@@ -65,25 +54,31 @@ def test_widths_of_bars(spark):
 
 
 def band(spark, thickness, soft=False):
-    """A horizontal band in the middle of an image of 64 x 64: hard, or with a slope of one pixel."""
-    p = [(0, y, x, float(min(1.0, max(0.0, thickness / 2 + 0.5 - abs(y - 32)))) if soft else float(abs(y - 32) * 2 < thickness)) for y in range(64) for x in range(64)]
-    return spark.createDataFrame(p, "image_id long, y long, x long, p double")
+    """Strips and size of a horizontal band in the middle of an image of 64 x 64: hard, or with a slope of one pixel."""
+    value = lambda y: min(1.0, max(0.0, thickness / 2 + 0.5 - abs(y - 32))) if soft else float(abs(y - 32) * 2 < thickness)
+    strips = spark.createDataFrame([(0, y, 0, [value(y)] * 64) for y in range(64)], "image_id long, y int, x int, values array<double>")
+    return strips, spark.createDataFrame([(0, 64, 64)], "image_id long, height int, width int")
+
+
+def edges(strips, size, side):
+    return blocks.with_halo(width.distances(blocks.masks(blocks.strips_to_pieces(strips, size, side), 0.5, side), side), side, 1)
 
 
 @pytest.mark.parametrize("thickness", [2.0, 3.0, 4.5, 7.0, 11.0])
 def test_perpendicular_widths_of_soft_bands(spark, thickness):
-    pixels = band(spark, thickness, soft=True)
-    distances = width.distance_transform(raster.threshold_mask(pixels, 0.5), 64, 64)
+    strips, size = band(spark, thickness, soft=True)
     points = spark.createDataFrame([(0, 1, i, 32.0, 10.0 + 4 * i) for i in range(11)], "image_id long, path_id long, i long, y double, x double")
-    found = width.widths_perpendicular(points, pixels, distances, 0.5, 64, 64).collect()
-    assert len(found) == 11 and all(abs(r.width_px - thickness) < 0.4 for r in found)
+    for side in (16, 512):
+        coarse = width.widths_from_distance(points, edges(strips, size, side), size, side).withColumnRenamed("width_px", "coarse").withColumn("threshold", F.lit(0.5))
+        found = width.widths_perpendicular(coarse, blocks.strips_to_pieces(strips, size, side, width.REACH), size, side).collect()
+        assert len(found) == 11 and all(abs(r.width_px - thickness) < 0.4 for r in found)
 
 
 @pytest.mark.parametrize("thickness", [3, 5, 9, 15])
 def test_distance_widths_of_bands(spark, thickness):
-    distances = width.distance_transform(raster.threshold_mask(band(spark, thickness), 0.5), 64, 64)
+    strips, size = band(spark, thickness)
     points = spark.createDataFrame([(0, 32.0, 30.0)], "image_id long, y double, x double")
-    assert abs(width.widths_from_distance(points, distances, 64, 64).first().width_px - thickness) <= 1.0
+    assert abs(width.widths_from_distance(points, edges(strips, size, 16), size, 16).first().width_px - thickness) <= 1.0
 
 
 def test_edge_distance_by_force():
@@ -97,24 +92,31 @@ def test_edge_distance_by_force():
 
 
 def test_edge_offset():
-    offsets = np.array([0.25, 0.5, 0.75])
-    assert width.edge_offset(np.array([[0.9, 0.6, 0.2]]), offsets, 0.5, np.array([3.0]))[0] == pytest.approx(0.5 + 0.25 * 0.25)
-    assert width.edge_offset(np.array([[0.9, 0.9, 0.9]]), offsets, 0.5, np.array([3.0]))[0] == 3.0
-    assert width.edge_offset(np.array([[0.9, 0.9, 0.9]]), offsets, 0.5, np.array([0.6]))[0] == 0.5  # flat: the offset before
-    assert width.edge_offset(np.array([[0.0, 0.0, 0.0]]), offsets, 0.5, np.array([3.0]))[0] == pytest.approx(0.125)
+    offsets, three = np.array([0.25, 0.5, 0.75]), np.array([0.75])
+    found = lambda values, radius: width.edge_offset(np.array([values]), offsets, np.array([0.5]), np.array([radius]), three)[0]
+    assert found([0.9, 0.6, 0.2], 3.0) == pytest.approx(0.5 + 0.25 * 0.25)
+    assert found([0.9, 0.9, 0.9], 3.0) == 3.0
+    assert found([0.9, 0.9, 0.9], 0.6) == 0.5  # flat: the offset before
+    assert found([0.0, 0.0, 0.0], 3.0) == pytest.approx(0.125)
+    assert width.edge_offset(np.array([[0.9, 0.6, 0.2]]), offsets, np.array([0.5]), np.array([3.0]), np.array([0.5]))[0] == 3.0  # no deeper than its path
+
+
+def walk(cells):
+    y, x = np.array(sorted(cells)).T
+    return [list(zip(y[p].tolist(), x[p].tolist(), strict=True)) for p in skeleton.walked(y, x)]
 
 
 def test_branches_of_shapes(spark):
     cross = {(20, x) for x in range(5, 36)} | {(y, 20) for y in range(21, 40)}
-    paths = skeleton.walked(cross)
+    paths = walk(cross)
     assert len(paths) == 3 and sum(len(p) for p in paths) >= len(cross) - 4
     for p in paths:
         assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(p, p[1:], strict=False))
     ring = {(y, x) for y in range(10, 21) for x in (10, 20)} | {(y, x) for y in (10, 20) for x in range(10, 21)}
     corners = {(10, 10), (10, 20), (20, 10), (20, 20)}
-    (closed,) = skeleton.walked(ring - corners)
+    (closed,) = walk(ring - corners)
     assert closed[0] == closed[-1] and set(closed) == ring - corners and len(closed) == len(ring - corners) + 1
-    assert skeleton.walked({(3, 3)}) == [] and skeleton.walked({(3, 3), (3, 4)}) == []
+    assert walk({(3, 3)}) == [] and walk({(3, 3), (3, 4)}) == []
     df = spark.createDataFrame([(0, y, x) for y, x in cross], "image_id long, y long, x long")
     assert skeleton.branches(df).select("branch").distinct().count() == 3
     found = skeleton.nodes(df).collect()
@@ -122,6 +124,13 @@ def test_branches_of_shapes(spark):
     assert skeleton.branches(df.limit(0)).count() == 0
 
 
+def test_uniform_steps_of_short_paths(spark):
+    p = spark.createDataFrame([("a", 0, 1.0, 1.0), ("b", 0, 2.0, 2.0), ("b", 1, 2.0, 2.0), ("c", 0, 0.0, 0.0), ("c", 1, 0.0, 1.0)], "path_id string, i long, y double, x double")
+    found = sorted(tuple(r) for r in polyline.resample_uniform(p, 3.0).select("path_id", "j", "y", "x").collect())
+    assert found == [("a", 0, 1.0, 1.0), ("b", 0, 2.0, 2.0), ("b", 1, 2.0, 2.0), ("c", 0, 0.0, 0.0), ("c", 1, 0.0, 1.0)]
+    assert polyline.resample_uniform(p, 0.0).count() == 5
+
+
 def test_tangents_of_short_paths(spark):
     df = spark.createDataFrame([(1, 0, 5.0, 5.0), (2, 0, 0.0, 0.0), (2, 1, 0.0, 2.0), (3, 0, 0.0, 0.0), (3, 1, 0.0, 1.0), (3, 2, 1.0, 1.0), (4, 0, 1.0, 1.0), (4, 1, 1.0, 1.0)], "path_id long, i long, y double, x double")
     out = {(r.path_id, r.i): (round(r.ty, 6), round(r.tx, 6)) for r in polyline.tangents(df).collect()}
