@@ -126,11 +126,54 @@ class Merger:
         self.steps = {number[t[:-1]] << 8 | t[-1]: n for t, n in number.items() if t}
         self.inner, self.final = [inner.get(t, -1) for t in number], [final.get(t, -1) for t in number]
         self.words = final
+        # where a byte leads that no node goes on with: to the longest end of it all that is a node
+        self.depth, self.up = [0] * len(number), [0] * len(number)
+        by_depth = sorted(number, key=len)
+        for t in by_depth:
+            n = number[t]
+            self.depth[n] = len(t)
+            if len(t) > 1:
+                self.up[n] = self._turn(self.up[number[t[:-1]]], t[-1])
+        self._turns = dict(self.steps)  # and what else has been met
+        self._inner: list[tuple | None] = [None] * len(number)
+        self._final: list[tuple | None] = [None] * len(number)
+        self._going: list[tuple | None] = [None] * len(number)
+        self.length = [0] * size
+        for t in out:
+            self.length[vocab[t]] = len(t.removesuffix(suffix))
+        self.start = 1 << 23  # stands for the token before a pre-token, which all tokens fit
         symbols = lambda s: s.removesuffix(suffix) + ("\0" if s.endswith(suffix) else "")  # noqa: E731  the suffix counts as a symbol
         self.lookahead = sufficient_lookahead([symbols(a + b) for a, b in merges])
         self._fits: dict[int, bool] = {}
         self.early, self.most_held = 0, 0  # times that tokens were emitted before their pre-token was read; bytes held at most
 
+    def _turn(self, node: int, byte: int) -> int:
+        """The node that a byte leads to from one that doesn't go on with it."""
+        steps = self.steps
+        while True:
+            to = steps.get(node << 8 | byte)
+            if to is not None:
+                return to
+            if not node:
+                return 0
+            node = self.up[node]
+
+    def _ending(self, node: int) -> tuple:
+        """Of the ends of what has been read that are nodes, longest first: tokens and their sizes; and, kept beside
+        them, those that end a word, and the lengths of those that a token may go on from."""
+        inner, final, going = [], [], []
+        at = node
+        while at:
+            if self.inner[at] >= 0:
+                inner.append((self.inner[at], self.depth[at]))
+            if self.final[at] >= 0:
+                final.append((self.final[at], self.depth[at]))
+            if at < self.going:
+                going.append(self.depth[at])
+            at = self.up[at]
+        self._inner[node], self._final[node], self._going[node] = tuple(inner), tuple(final), tuple(going)
+        return self._inner[node]
+
     def _meet(self, a: int, b: int) -> int | None:
         """The rank of the first merge across the border of two tokens, None without any.
 
@@ -157,73 +200,74 @@ class Merger:
         if found is None:
             if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            found = self._fits[left << 24 | right] = self._meet(left, right) is None
+            found = self._fits[left << 24 | right] = left == self.start or self._meet(left, right) is None
         return found
 
     def tokens(self, data: bytes, emit: Callable[[Iterable[int]], None]) -> None:
         """Give `emit` the ids of the tokens of one pre-token (at least one byte), once stable.
 
         For the places from `start`, up to which tokens have been emitted, last has the token that
-        ends there and size its bytes; live are the places from which a token may go on, with the
-        node that the bytes from there have reached."""
+        ends there (every byte is one, so some token does). One automaton over all tokens (Aho and Corasick 1975) knows at
+        each place which tokens end there, and from where one may go on: the live places."""
         whole = self.words.get(data)
         if whole is not None:  # a token merges back into itself
             emit((whole,))
             return
-        step, inner, known, fits, going = self.steps.get, self.inner, self._fits.get, self.fits, self.going
-        start, last, size, live, end, stop = 0, [-1], [0], [], 0, len(data) - 1
-        for byte in data[:stop]:
-            live.append((end, 0))
+        turns, ends, known, fits, length = self._turns, self._inner, self._fits.get, self.fits, self.length
+        turn, start, last, end, node, stop = turns.get, 0, [self.start], 0, 0, len(data) - 1
+        for byte in data:
+            to = turn(node << 8 | byte)
+            if to is None:
+                if len(turns) > len(self.steps) + PAIRS:
+                    turns.clear()
+                    turns.update(self.steps)
+                to = turns[node << 8 | byte] = self._turn(node, byte)
+            node = to
+            found = ends[node]
+            if found is None:
+                found = self._ending(node)
+            if end == stop:
+                break
             end += 1
-            token, on = -1, []
-            for i, node in live:
-                node = step(node << 8 | byte)
-                if node is not None:
-                    if node < going:
-                        on.append((i, node))
-                    if token < 0:
-                        found = inner[node]
-                        if found >= 0:
-                            before = last[i - start]
-                            if before < 0 or (fit := known(before << 24 | found)) or (fit is None and fits(before, found)):
-                                token, begin = found, i
-            live = on
+            at = end - start
+            for token, n in found:
+                pair = last[at - n] << 24 | token
+                fit = known(pair)
+                if fit is None:
+                    fit = fits(pair >> 24, token)
+                if fit:
+                    break
             last.append(token)
-            size.append(end - begin)
-            if end - start >= STRIDE:
-                paths = [i for i, _ in live]
-                paths.append(end)
+            if at >= STRIDE:
+                paths = [at - n for n in self._going[node]]
+                paths.append(at)
                 while len(paths) > 1:  # the deepest goes back by its last token until all have met
                     deepest = paths.pop()
-                    to = deepest - size[deepest - start]
+                    to = deepest - length[last[deepest]]
                     if to not in paths:
                         paths.append(to)
                         if to < paths[-2]:
                             paths.sort()
-                if end - start > self.most_held:
-                    self.most_held = end - start
-                shared = paths[0] - start
+                if at > self.most_held:
+                    self.most_held = at
+                shared = paths[0]
                 if shared:
                     self.early += 1
-                    emit(self._path(last, size, shared))
-                    start, last, size = paths[0], last[shared:], size[shared:]
-        live.append((stop, 0))
-        for i, node in live:
-            node = step(node << 8 | data[stop])
-            if node is not None:
-                token, before = self.final[node], last[i - start]
-                if token >= 0 and (before < 0 or fits(before, token)):
-                    emit([*self._path(last, size, i - start), token])
-                    return
+                    emit(self._path(last, shared))
+                    start, last = start + shared, last[shared:]
+        for token, n in self._final[node]:
+            to = stop + 1 - n - start
+            if fits(last[to], token):
+                emit([*self._path(last, to), token])
+                return
         raise ValueError(f"no token ends {data!r}")
 
-    @staticmethod
-    def _path(last: list[int], size: list[int], end: int) -> list[int]:
+    def _path(self, last: list[int], end: int) -> list[int]:
         """Tokens that end at `end` places after the start, but for the one emitted before."""
-        found = []
+        found, length = [], self.length
         while end:
             found.append(last[end])
-            end -= size[end]
+            end -= length[last[end]]
         return found[::-1]
 
 
@@ -271,6 +315,10 @@ class Decoder:
         return self.machine.decode(b"", True).encode()
 
 
+#: Ids of a chunk, these in decimal, the tokens' names, and plain text.
+Entry = tuple[tuple[int, ...], bytes, bytes, bytes]
+
+
 class Tokenizer:
     """Text to ids and back for a vocabulary file of word-end BPE (JSON)."""
 
@@ -294,9 +342,12 @@ class Tokenizer:
                 self.whole[i] = part + (b" " if ends else b"") if part else self.names[i].encode()
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._ascii, self._words = re.compile(PATTERN.format(letters="a-z", numbers="0-9", spaces=r"\x09-\x0d\x20")), None
-        self.kept: dict[bytes, tuple[int, ...]] = {}
-        self._old: dict[bytes, tuple[int, ...]] = {}
+        self.kept: dict[bytes, Entry] = {}
+        self._old: dict[bytes, Entry] = {}
+        self.machine = Decoder(self)
+        self.empties = False  # whether a chunk without tokens has been met
         self._parts: dict[str, tuple[int, ...]] = {}
+        self._made: dict[bytes, Entry] = {}
 
     def encode(self, text: str, emit: Callable[[Iterable[int]], None]) -> None:
         """Give `emit` the ids of a text; specials are matched before it is normalised (NFC, lower case)."""
@@ -339,23 +390,50 @@ class Tokenizer:
                 self._parts[part] = found
                 emit(found)
 
-    def chunk(self, data: bytes) -> tuple[int, ...]:
-        """Ids of a text without ASCII white space."""
+    def _entry(self, ids: list[int]) -> Entry:
+        machine, numbers = self.machine, self.numbers
+        machine.begun = False
+        self.empties |= not ids
+        return tuple(ids), b" ".join([numbers[i] for i in ids]), machine.feed(ids), machine.plain(ids)
+
+    def _part(self, data: bytes) -> Entry:
+        """Of a pre-token that needs no normalising."""
+        found = self._made.get(data)
+        if found is None:
+            ids: list[int] = []
+            self.merger.tokens(data, ids.extend)
+            found = self._entry(ids)
+            if len(data) <= CACHED_BYTES:
+                if len(self._made) >= PARTS:
+                    self._made.clear()
+                self._made[data] = found
+        return found
+
+    def chunk(self, data: bytes) -> Entry:
+        """Of a text without ASCII white space: its ids, and what the digests get of them. A word ends with it, so
+        the decoder's state does too, and chunks can be put one after the other."""
         found = self.kept.get(data)
         if found is None:
             found = self._old.pop(data, None)
             if found is None:
-                ids: list[int] = []
-                self.encode(data.decode(), ids.extend)
-                found = tuple(ids)
+                body = data.rstrip(_MARK_BYTES)
+                if body.isalpha() and len(body) <= CACHED_BYTES and b"<" not in data:  # an ASCII word, with marks after it or without
+                    found = self._part(body.lower())
+                    if len(body) < len(data):
+                        ids, line, names, plain = self._part(data[len(body) :])
+                        found = (found[0] + ids, found[1] + b" " + line, found[2] + b" " + names, found[3] + plain)
+                else:
+                    ids = []
+                    self.encode(data.decode(), ids.extend)
+                    found = self._entry(ids)
             if len(data) <= CACHED_BYTES:
                 if len(self.kept) >= CACHE:
                     self._old, self.kept = self.kept, {}
                 self.kept[data] = found
         return found
 
-    def pieces(self, data: bytes, put: Callable[[list[int]], None]) -> None:
-        """Give `put` the ids of a text, piece by piece."""
+    def walk(self, data: bytes, put: Callable[[list[Entry]], None], stream: Callable[[list[int]], None]) -> None:
+        """Give `put` the chunks of a text, piece by piece; `stream` the ids of chunks that are longer than a piece."""
         begin = 0
         while begin < len(data):
             end = len(data)
@@ -370,14 +448,19 @@ class Tokenizer:
                 def take(ids: Iterable[int], held: list[int] = held) -> None:
                     held.extend(ids)
                     if len(held) >= PIECE_IDS:
-                        put(held[:])
+                        stream(held[:])
                         held.clear()
 
                 self.encode(part.decode(), take)
-                put(held)
+                stream(held)
                 continue
             known, chunk = self.kept.get, self.chunk
-            put(list(itertools.chain.from_iterable([known(c) or chunk(c) for c in part.split()])))
+            found = [known(c) or chunk(c) for c in part.split()]
+            put([e for e in found if e[0]] if self.empties else found)
+
+    def pieces(self, data: bytes, put: Callable[[list[int]], None]) -> None:
+        """Give `put` the ids of a text, piece by piece."""
+        self.walk(data, lambda entries: put(list(itertools.chain.from_iterable([e[0] for e in entries]))), put)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Plain text of ids, piece by piece."""
@@ -389,6 +472,7 @@ class Tokenizer:
 
 #: ASCII marks: all that is printed but letters and digits.
 _MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+_MARK_BYTES = _MARKS.encode()
 _SPACES = re.compile(rb"[\x09-\x0d\x20]")
 
 
@@ -425,17 +509,26 @@ def _digests(definition: _Definition, with_ids: bool):
             for text in b.column(1):
                 decoder, of, own, sizes = Decoder(tokenizer), [hashlib.sha256() for _ in digests], [np.zeros(0, np.int32)], []
 
-                def put(ids: list[int], decoder=decoder, of=of, own=own, sizes=sizes) -> None:
-                    line = b" ".join([numbers[i] for i in ids])
-                    of[0].update(b" " + line if sizes and ids else line)
-                    of[1].update(decoder.feed(ids))
-                    of[2].update(decoder.plain(ids))
-                    if with_ids:
-                        own.append(np.array(ids, dtype=np.int32))
+                def told(n: int, parts: tuple[bytes, bytes, bytes], of=of, sizes=sizes) -> None:
+                    for digest, part, gap in zip(of, parts, (b" ", b" ", b""), strict=True):
+                        digest.update(gap + part if sizes else part)
+                    sizes.append(n)
+
+                def put(entries: list[Entry], own=own, told=told) -> None:
+                    if entries:
+                        ids, *parts = zip(*entries, strict=True)
+                        told(sum(map(len, ids)), (b" ".join(parts[0]), b" ".join(parts[1]), b"".join(parts[2])))
+                        if with_ids:
+                            own.append(np.fromiter(itertools.chain.from_iterable(ids), np.int32))
+
+                def stream(ids: list[int], decoder=decoder, own=own, told=told) -> None:
                     if ids:
-                        sizes.append(len(ids))
+                        decoder.begun = False  # told puts the gap
+                        told(len(ids), (b" ".join([numbers[i] for i in ids]), decoder.feed(ids), decoder.plain(ids)))
+                        if with_ids:
+                            own.append(np.array(ids, dtype=np.int32))
 
-                tokenizer.pieces((text.as_py() or "").encode(), put)
+                tokenizer.walk((text.as_py() or "").encode(), put, stream)
                 of[2].update(decoder.rest())
                 counts.append(sum(sizes))
                 for to, digest in zip(digests, of, strict=True):
