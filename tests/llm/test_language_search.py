@@ -279,3 +279,30 @@ def test_sql(spark, name):
     expected = con.sql(queries.ORACLE[name]).fetchall()
     assert found.columns == con.sql(queries.ORACLE[name]).columns and expected
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
+# large scores of the exact search
+
+
+@pytest.mark.parametrize("bits", [20, 51, 51.9, 52.4, 60, 70])
+def test_large_scores(spark, bits):
+    """Ranks are whole and in order at any size; scores are exact below 2**53."""
+    from linemetry.llm.exact_topk import exact_top_k
+
+    rng = np.random.default_rng(int(bits * 10))
+    size = 2.0 ** (bits / 2) / 64
+    rows = [(i, [float(x) for x in rng.integers(-8, 9, 3) / 8 * size]) for i in range(400)] + [(400, [size] * 3), (401, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in exact_top_k(df, df.where("vec_id % 100 = 0"), k=402).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ints = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    for q, ranks in found.items():
+        exact = {i: sum(a * b for a, b in zip(ints[q], v, strict=True)) for i, v in ints.items() if i != q}
+        assert sorted(r[0] for r in ranks) == list(range(1, 402)) and {r[1] for r in ranks} == set(exact)
+        if bits < 51.4:  # three products
+            assert [r[1:] for r in sorted(ranks)] == sorted(exact.items(), key=lambda x: (-x[1], x[0]))
+        else:
+            near = [min(2**63 - 1, max(-(2**63), exact[r[1]])) for r in sorted(ranks)]
+            assert all(a >= b - 2 * abs(b) * 2**-50 - 1 for a, b in zip(near, near[1:], strict=False))
+            assert all(abs(r[2] - x) <= abs(x) * 2**-50 for r, x in zip(sorted(ranks), near, strict=True))
