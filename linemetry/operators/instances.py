@@ -117,6 +117,16 @@ def running(per_image: DataFrame) -> DataFrame:
     return n.select("threshold", (tp / (tp + fp + fn + 1e-7)).alias("iou"), (2 * tp / (2 * tp + fp + fn + 1e-7)).alias("f1"), (tp / (tp + fp + 1e-7)).alias("precision"), (tp / (tp + fn + 1e-7)).alias("recall"), "tolerant_f1", "width_bias")
 
 
+def with_width_bias(counts: DataFrame, areas: DataFrame, truth: float) -> DataFrame:
+    """`counts` (image_id, threshold, ..) with width_bias: cells per centre-line cell of the mask at the threshold over that
+    of the true mask, from areas (image_id, threshold, area, length), NaN where one of them is empty."""
+    real = areas.where(F.col("threshold") == truth).select("image_id", F.col("area").alias("true_area"), F.col("length").alias("true_length")).distinct()
+    j = counts.join(areas.distinct(), ["image_id", "threshold"], "left").join(real, "image_id", "left")
+    some = (F.col("area") >= 1) & (F.col("length") >= 1) & (F.col("true_area") >= 1) & (F.col("true_length") >= 1)
+    bias = F.try_divide(F.col("area") * F.col("true_length"), F.col("length") * F.col("true_area"))
+    return j.withColumn("width_bias", F.when(some, bias).otherwise(F.lit(float("nan")))).drop("area", "length", "true_area", "true_length")
+
+
 def choose_threshold(sweep: DataFrame) -> DataFrame:
     """Of (threshold, tolerant_f1, width_bias), a short grid: one row with the threshold whose bias is nearest
     to 1 (missing, 0 and not finite: 9.9 away) among those within 0.02 of the best tolerant F1, ties to

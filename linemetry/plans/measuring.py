@@ -11,7 +11,7 @@ from ..operators import blocks as blk
 from ..operators import instances as inst
 from ..operators import polyline as line
 from ..operators import raster as ras
-from ..operators import response, skeleton, width
+from ..operators import response, segment, skeleton, width
 from ..sources import adapters as src
 from ..sources import images
 from .queries import INSTANCES, MASK, POINTS, RASTER, SAMPLES, SEVERITY, TANGENTS, TOTALS, instances, mask, pieces, query, rounded
@@ -218,6 +218,51 @@ def choose_threshold(spark, d):
     return inst.choose_threshold(sweep).withColumn("shortlist", F.array_join(F.transform("shortlist", lambda t: t.cast("string")), ","))
 
 
+def half_and_mean(tile):
+    """A linear predictor that sees its whole tile."""
+    return 0.5 * tile + 0.5 * tile.mean()
+
+
+@query(f"""WITH {RASTER}, sizes AS (SELECT image_id, max(y) + 1 AS height FROM raster GROUP BY 1),
+ty AS (SELECT DISTINCT image_id, t AS ty FROM (SELECT image_id, height, unnest([k * 16 for k in range(3) if k * 16 <= height - 32] || [greatest(0, height - 32)]) AS t FROM sizes)),
+t AS (SELECT image_id, ty, tx FROM ty, (SELECT unnest([0, 16, 32]) AS tx)),
+c AS (SELECT r.image_id, y, x, p, ty, tx, avg(p) OVER (PARTITION BY r.image_id, ty, tx) AS mean, greatest(1e-3, (0.5 - 0.5 * cos(2 * pi() * (y - ty + 1) / 33)) * (0.5 - 0.5 * cos(2 * pi() * (x - tx + 1) / 33))) AS w FROM raster r JOIN t ON t.image_id = r.image_id AND y >= ty AND y < ty + 32 AND x >= tx AND x < tx + 32)
+SELECT image_id, y, x, round(sum((0.5 * p + 0.5 * mean) * w) / sum(w), 6) AS p FROM c GROUP BY ALL""")
+def tiled_prediction(spark, d):
+    model = segment.Segmenter("half", "linear", True, half_and_mean, tile=32, overlap=16)
+    found = blk.pixels_of(segment.predicted(src.strips(spark, d), src.sizes(spark, d), model, side=48))
+    return rounded(found.withColumnRenamed("value", "p"), "p")
+
+
+@query()
+def ridge_segments(spark, d):
+    """The rasters as gray images, segmented without learned weights."""
+    gray = src.strips(spark, d).withColumn("values", F.transform("values", lambda p: F.rint(p * 255)))
+    return rounded(blk.pixels_of(segment.predicted(gray, src.sizes(spark, d), segment.CLASSIC)).withColumnRenamed("value", "p"), "p")
+
+
+#: A grid of thresholds for evaluation.
+GRID = tuple(round(0.5 + 0.03 * k, 2) for k in range(13))
+
+
+def sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Figures at each threshold of GRID against masks at 0.75: all from one pass over blocks, and one of thinning."""
+    counts = blk.tolerant(blk.mask_counts(pieces(spark, d, 2), GRID, 0.75))
+    areas = blk.skeleton_lengths(pieces(spark, d), (*GRID, 0.75))
+    return inst.running(inst.with_width_bias(counts, areas, 0.75))
+
+
+@query()
+def evaluation(spark, d):
+    return rounded(sweep(spark, d), "iou", "f1", "precision", "recall", "tolerant_f1", "width_bias")
+
+
+@query()
+def evaluated_threshold(spark, d):
+    """The threshold that an evaluation of these images chooses."""
+    return inst.choose_threshold(sweep(spark, d)).withColumn("shortlist", F.array_join(F.transform("shortlist", lambda t: t.cast("string")), ","))
+
+
 def work_images(spark: SparkSession, d: str, threshold: float) -> DataFrame:
     """The rasters as images that were brought down by half, with what a request and a model say."""
     options = {"threshold": F.lit(threshold), "factor": F.lit(2.0), "method": F.when(F.col("image_id") % 4 == 3, "distance_transform").otherwise("perpendicular"), "trained": F.col("image_id") % 2 == 0}
