@@ -396,14 +396,14 @@ class Tokenizer:
         self.empties |= not ids
         return tuple(ids), b" ".join([numbers[i] for i in ids]), machine.feed(ids), machine.plain(ids)
 
-    def _part(self, data: bytes) -> Entry:
-        """Of a pre-token that needs no normalising."""
+    def _part(self, data: bytes, keep: bool = True) -> Entry:
+        """Of a pre-token that needs no normalising; kept if its chunk isn't just this."""
         found = self._made.get(data)
         if found is None:
             ids: list[int] = []
             self.merger.tokens(data, ids.extend)
             found = self._entry(ids)
-            if len(data) <= CACHED_BYTES:
+            if keep and len(data) <= CACHED_BYTES:
                 if len(self._made) >= PARTS:
                     self._made.clear()
                 self._made[data] = found
@@ -418,7 +418,7 @@ class Tokenizer:
             if found is None:
                 body = data.rstrip(_MARK_BYTES)
                 if body.isalpha() and len(body) <= CACHED_BYTES and b"<" not in data:  # an ASCII word, with marks after it or without
-                    found = self._part(body.lower())
+                    found = self._part(body.lower(), len(body) < len(data))
                     if len(body) < len(data):
                         ids, line, names, plain = self._part(data[len(body) :])
                         found = (found[0] + ids, found[1] + b" " + line, found[2] + b" " + names, found[3] + plain)
@@ -442,6 +442,8 @@ class Tokenizer:
                 end = cut.start() if cut else end
             part = data[begin:end].strip()
             begin = end
+            if b"<" not in part:  # no special token
+                part = _BORDER.sub(b" ", part.lower())
             if len(part) > PIECE_BYTES and not _SPACES.search(part):  # one chunk
                 held: list[int] = []
 
@@ -473,6 +475,10 @@ class Tokenizer:
 #: ASCII marks: all that is printed but letters and digits.
 _MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 _MARK_BYTES = _MARKS.encode()
+#: Between a letter and a mark pre-tokens always end, so words and marks can be chunks of their own: after ASCII letters
+#: and those of U+00C0-00FF, and before ASCII letters. The apostrophe, which begins contractions, is left alone.
+_MARK = rb"[!-&(-/:-;=-@\[-`{-~]"
+_BORDER = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=" + _MARK + rb")|(?<=" + _MARK + rb")(?=[a-z])")
 _SPACES = re.compile(rb"[\x09-\x0d\x20]")
 
 
