@@ -160,9 +160,10 @@ def _unpacked(docs: bytes, counts: bytes, windows: bytes, places: bytes) -> tupl
 
 def _reduced(doc: np.ndarray, place: np.ndarray, h: np.ndarray, code: np.ndarray, part: np.ndarray, buckets: int) -> pa.RecordBatch:
     """kind 0: suffixes to be looked up in the tree; 1: windows that are known to repeat, since a
-    smaller document of the same flush has them, dealt by their documents."""
+    smaller document of the same flush has them, dealt by their documents. Windows are the same if
+    all bits of their hashes and codes are; where equal hashes with other codes stand between, it is left to the tree."""
     order = np.argsort(h, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(code[order]) != 0)]))
     least = np.minimum.reduceat(doc[order], heads)
     known = np.zeros(len(h), dtype=bool)
     known[order] = doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))
