@@ -64,9 +64,9 @@ SOURCES = ("aruco", "explicit", "lidar")
 
 def resolve_scale(offers: DataFrame, marker_mm: float = 60.0) -> DataFrame:
     """Of (image_id, marker_px, explicit, depth, focal, tilt): the scale by rank of its source, its
-    confidence (a marker is taken as seen from the front), how many offers hold, whether another one
+    confidence (of a marker its `marker_confidence`, if offers have it; else it is taken as seen from the front), how many offers hold, whether another one
     differs (chosen / other above 1.15 or below 0.87), and the warnings in order: offers that don't hold,
-    several offers, each that differs. Offers that are null or not positive aren't made."""
+    several offers, each that differs. A marker's map `h` stays, if offers have it and the marker is used. Offers that are null or not positive aren't made."""
     lidar, sure = lidar_scale(F.col("depth"), F.col("focal"), F.col("tilt"))
     made = {"aruco": F.col("marker_px") > 0, "lidar": (F.col("depth") > 0) & (F.col("focal") > 0)}
     o = offers.select("*", F.when(F.col("marker_px") >= 12, marker_mm / F.col("marker_px")).alias("aruco_mm"), F.when(F.col("explicit") > 0, F.col("explicit")).alias("explicit_mm"), lidar.alias("lidar_mm"), sure.alias("sure"))
@@ -83,8 +83,10 @@ def resolve_scale(offers: DataFrame, marker_mm: float = 60.0) -> DataFrame:
         F.when(offered > 1, F.format_string("several scales offered (%s); %s is used", names, source)),
         *[F.when(off[s], F.format_string(f"{s} differs by %.0f percent", F.abs(1 - ratio[s]) * 100)) for s in SOURCES],
     ]
-    confidence = F.when(source == "lidar", F.col("sure")).when(source == "none", 0.0).otherwise(1.0)
-    return o.select("image_id", source.alias("source"), F.coalesce(chosen, F.lit(-1.0)).alias("mm_per_px"), confidence.alias("confidence"), offered.alias("offers"), (off["aruco"] | off["explicit"] | off["lidar"]).alias("disagree"), F.filter(F.array(*warnings), lambda w: w.isNotNull()).alias("warnings"))
+    seen = F.coalesce("marker_confidence", F.lit(1.0)) if "marker_confidence" in offers.columns else F.lit(1.0)
+    confidence = F.when(source == "lidar", F.col("sure")).when(source == "none", 0.0).when(source == "aruco", seen).otherwise(1.0)
+    maps = [F.when(source == "aruco", F.col("h")).alias("h")] if "h" in offers.columns else []
+    return o.select("image_id", *maps, source.alias("source"), F.coalesce(chosen, F.lit(-1.0)).alias("mm_per_px"), confidence.alias("confidence"), offered.alias("offers"), (off["aruco"] | off["explicit"] | off["lidar"]).alias("disagree"), F.filter(F.array(*warnings), lambda w: w.isNotNull()).alias("warnings"))
 
 
 def match_outcome(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
@@ -164,7 +166,7 @@ def labelled(instances: DataFrame, most: int) -> DataFrame:
 def train_split(names: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """`names` (name) with `training`: false for the last int(n * share) of a seeded order, counted by
     a rank within hash ranges, so no task orders all names."""
-    drawn = names.withColumn("draw", F.xxhash64("name", F.lit(seed))).withColumn("range", F.shiftright("draw", 48))
+    drawn = names.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}/"), "name"))).withColumn("range", F.conv(F.left("draw", F.lit(4)), 16, 10).cast("int"))
     sizes = drawn.groupBy("range").agg(F.count("*").alias("n"))  # at most 65,536 ranges
     before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("range", before.alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))

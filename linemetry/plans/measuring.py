@@ -11,7 +11,7 @@ from ..operators import blocks as blk
 from ..operators import instances as inst
 from ..operators import polyline as line
 from ..operators import raster as ras
-from ..operators import response, segment, skeleton, width
+from ..operators import resample, response, segment, skeleton, width
 from ..sources import adapters as src
 from ..sources import images
 from .queries import INSTANCES, MASK, POINTS, RASTER, SAMPLES, SEVERITY, TANGENTS, TOTALS, instances, mask, pieces, query, rounded
@@ -346,10 +346,10 @@ def labels_shown(spark, d):
     return inst.labelled(ranked, 3).select("image_id", "o_orderkey", "shown", "hidden")
 
 
-@query("SELECT floor(count(*) * 0.85)::BIGINT AS training, count(*) - floor(count(*) * 0.85)::BIGINT AS validation FROM part")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY md5('42/' || p_partkey), p_partkey::VARCHAR) <= floor(count(*) OVER () * 0.85) AS training FROM part")
 def train_split(spark, d):
     split = inst.train_split(src.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("name")), 0.15)
-    return split.agg(F.count_if("training").alias("training"), F.count_if(~F.col("training")).alias("validation"))
+    return split.select(F.col("name").cast("long").alias("p_partkey"), "training")
 
 
 @query("SELECT p_name AS name, p_partkey FROM (SELECT p_name, p_partkey, row_number() OVER (ORDER BY lpad(p_partkey::VARCHAR, 9, '0')) AS k FROM part) WHERE k <= 25")
@@ -388,6 +388,28 @@ def marker_scale(spark, d):
     return rounded(m.select("image_id", "marker_id", "side_px", "mm_per_px", "confidence", "note", "off"), "side_px", "mm_per_px", "confidence")
 
 
+@query(f"""WITH {MARKERS}, k AS (SELECT image_id, list_sum(sides) / 4 AS side, greatest(0.2, least(1, 1 - (list_max(sides) - list_min(sides)) / (list_sum(sides) / 4))) AS sure FROM s)
+SELECT c_custkey AS image_id, CASE WHEN side >= 12 THEN 'aruco' WHEN c_custkey % 3 = 0 THEN 'explicit' ELSE 'none' END AS source, round(CASE WHEN side >= 12 THEN 60 / side WHEN c_custkey % 3 = 0 THEN 0.5 ELSE -1 END, 6) AS mm_per_px, round(CASE WHEN side >= 12 THEN sure WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END, 6) AS confidence,
+  CASE WHEN side >= 12 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS offers, coalesce(side >= 12, false) AS mapped FROM customer LEFT JOIN k ON k.image_id = c_custkey""")
+def marker_resolution(spark, d):
+    """Markers picked, measured and offered beside what a request says: a marker's confidence is that of its shape."""
+    found = inst.marker_scale(inst.pick_marker(markers(spark, d)), 60.0).select("image_id", F.col("side_px").alias("marker_px"), F.col("confidence").alias("marker_confidence"), "h")
+    none = F.lit(None).cast("double")
+    offers = src.read(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), F.when(F.col("c_custkey") % 3 == 0, 0.5).alias("explicit"), none.alias("depth"), none.alias("focal"), none.alias("tilt")).join(found, "image_id", "left")
+    return rounded(inst.resolve_scale(offers), "mm_per_px", "confidence").select("image_id", "source", "mm_per_px", "confidence", "offers", F.col("h").isNotNull().alias("mapped"))
+
+
+@query(f"""WITH {RASTER}, s AS (SELECT image_id, max(y) + 1 AS height, (max(y) + 1) * 3 // 7 AS th FROM raster GROUP BY 1),
+c AS (SELECT r.image_id, y, x, p, height, th, unnest(range(y * th // height, ((y + 1) * th - 1) // height + 1)) AS oy FROM raster r JOIN s ON s.image_id = r.image_id),
+e AS (SELECT *, unnest(range(x * 27 // 64, ((x + 1) * 27 - 1) // 64 + 1)) AS ox FROM c)
+SELECT image_id, oy AS y, ox AS x, round(sum(p * (least((y + 1) * th, (oy + 1) * height) - greatest(y * th, oy * height)) / height * (least((x + 1) * 27, (ox + 1) * 64) - greatest(x * 27, ox * 64)) / 64), 6) AS p FROM e GROUP BY 1, 2, 3""")
+def area_resample(spark, d):
+    """Rasters of any height brought to 3/7 of it, and to 27 of 64 columns."""
+    images_ = src.sizes(spark, d).withColumns({"to_height": F.floor(F.col("height") * 3 / 7), "to_width": F.lit(27)})
+    found = resample.area_resampled(src.strips(spark, d), images_).select("image_id", F.col("y").cast("long").alias("y"), F.posexplode("values").alias("x", "p"))
+    return rounded(found.withColumn("x", F.col("x").cast("long")), "p")
+
+
 @query(f"""WITH {POINTS} SELECT path_id, i, round(CASE path_id % 3 WHEN 0 THEN -1 WHEN 1 THEN 0.25 ELSE sqrt(abs(1 / (1 + 0.001 * x) ** 3)) END, 6) AS mm_per_px FROM points""")
 def local_scale(spark, d):
     # the map (x, y) -> (x / w, y / w) with w = 1 + 0.001 x has the determinant w^-3
@@ -477,20 +499,25 @@ def response_json(spark, d):
     return one.withColumns({c: F.round(c, 2) for c in ("total_length_px", "total_length_mm")})
 
 
-@query("""SELECT task, CASE WHEN model_name IN ('unet', 'deep') THEN model_name ELSE 'classic-ridge' END AS model_name, coalesce(model_name = 'unet', false) AS trained, model_name IN ('unet', 'deep') AS weights_present, true AS ready, CASE WHEN model_name NOT IN ('unet', 'deep') THEN 'deep,unet' END AS others
-FROM (VALUES ('crack', 'unet'), ('bolt', 'deep'), ('rust', 'none')) t(task, model_name)""")
+MODELS = """tasks AS (SELECT p_brand AS task, min(p_type) AS model_name FROM part GROUP BY 1), models AS (SELECT p_type AS model_name, max(p_size) > 40 AS trained FROM part WHERE p_partkey % 50 = 0 GROUP BY 1),
+registry AS (SELECT task, CASE WHEN m.model_name IS NULL THEN 'classic-ridge' ELSE t.model_name END AS model_name, coalesce(trained, false) AS trained, m.model_name IS NOT NULL AS weights_present, true AS ready, CASE WHEN m.model_name IS NULL THEN (SELECT string_agg(model_name, ',' ORDER BY model_name) FROM models) END AS others FROM tasks t LEFT JOIN models m USING (model_name))"""
+
+
+@query(f"WITH {MODELS} SELECT * FROM registry")
 def model_registry(spark, d):
-    return registered(spark).withColumn("others", F.array_join("others", ","))
+    return registered(spark, d).withColumn("others", F.array_join("others", ","))
 
 
-def registered(spark: SparkSession) -> DataFrame:
-    tasks = spark.createDataFrame([("crack", "unet"), ("bolt", "deep"), ("rust", "none")], "task string, model_name string")
-    return response.registry(tasks, spark.createDataFrame([("unet", True), ("deep", False)], "model_name string, trained boolean"))
+def registered(spark: SparkSession, d: str) -> DataFrame:
+    """Brands of parts are tasks, which ask for a model by their first type; types of some parts can be loaded."""
+    part = src.read(spark, d, "part")
+    tasks = part.groupBy(F.col("p_brand").alias("task")).agg(F.min("p_type").alias("model_name"))
+    return response.registry(tasks, part.where("p_partkey % 50 = 0").groupBy(F.col("p_type").alias("model_name")).agg((F.max("p_size") > 40).alias("trained")))
 
 
-@query("SELECT 'degraded' AS status, 3::BIGINT AS tasks, 3::BIGINT AS ready")
+@query(f"WITH {MODELS} SELECT CASE WHEN bool_and(trained) THEN 'ok' ELSE 'degraded' END AS status, count(*) AS tasks, count(*) FILTER (WHERE ready) AS ready FROM registry")
 def health(spark, d):
-    return response.health(registered(spark))
+    return response.health(registered(spark, d))
 
 
 @query("SELECT p_partkey, CASE WHEN a <= 22.5 THEN 'horizontal' WHEN a >= 67.5 THEN 'vertical' ELSE 'diagonal' END AS orientation_class FROM (SELECT p_partkey, abs(((p_partkey * 7.5 - 400 + 90) % 180 + 180) % 180 - 90) AS a FROM part)")
