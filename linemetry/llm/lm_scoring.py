@@ -21,15 +21,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._memory import tidied
+from ._runs import kinds as byte_kinds
+from ._runs import runs
 from ._tables import discard, stored
 from ._words import mix
 
@@ -43,6 +45,11 @@ PART_TOKENS, MODELS = 1 << 21, 16
 FLUSH, BLOCK_PAIRS = 1 << 21, 1 << 20
 #: Frequencies are told apart in steps of 1 / LOG_STEPS of their natural logarithm to find the most frequent words.
 LOG_STEPS = 32
+_KIND = byte_kinds(b" \t\n\v\f\r")
+#: Bytes of text that are split at once, and counted words that a task holds before it sends them on.
+SLICE_BYTES, HELD = 1 << 20, 1 << 20
+#: Contexts of a matrix product, whose scores stay in the cache.
+BATCH = 256
 LN10 = math.log(10)
 
 
@@ -50,28 +57,24 @@ def cluster(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLUSTERS
 
 
-def _words(text: pa.Scalar) -> list[bytes]:
-    # bytes.lower() changes A-Z only; bytes.split() splits at 0x20 and 0x09-0x0D only
-    return (text.as_py() or "").encode().lower().split()
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    held, rows = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            whole = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            yield from whole.combine_chunks().to_batches(1 << 16)
 
-    seen: Counter[bytes] = Counter()
-    size = 0
     for b in batches:
-        for text in b.column(0):
-            words = _words(text)
-            seen.update(words)
-            size += len(words)
-            if size >= FLUSH:
-                yield rows()
-                seen.clear()
-                size = 0
-    if seen:
-        yield rows()
+        for r in runs(b.column(0), _KIND, SLICE_BYTES):
+            coded = r.words.dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+            held.append(pa.table([coded.dictionary.cast(pa.binary()), pa.array(n, pa.int64())], ["word", "n"]))
+            rows += len(n)
+            if rows >= HELD:
+                yield from flush()
+                held, rows = [], 0
+    yield from flush()
 
 
 class Lexicon:
@@ -79,7 +82,7 @@ class Lexicon:
     text's begin is one more, as context only."""
 
     def __init__(self, top: list[tuple[bytes, int]], ends: int, rest_tokens: np.ndarray, rest_words: np.ndarray) -> None:
-        self.code = {w: i for i, (w, _) in enumerate(top)}
+        self.words = pa.array([w.decode() for w, _ in top], pa.large_string())
         self.end, self.first_rest = len(top), len(top) + 1
         self.begin = self.first_rest + CLUSTERS
         own = min(CLASS_WORDS, len(top))
@@ -194,7 +197,8 @@ def log10_probabilities(lex: Lexicon, model: dict[str, np.ndarray], code: np.nda
     """log10 of the model's probability of each token after two others; a cluster's rest as one token."""
     pair, back = np.unique(one.astype(np.int64) * (lex.begin + 1) + two, return_inverse=True)
     of_class = lex.class_of[code]
-    lp = -_log_sums(model, pair // (lex.begin + 1), pair % (lex.begin + 1), model["q"], model["b"])[back]
+    first, second = pair // (lex.begin + 1), pair % (lex.begin + 1)
+    lp = -_log_sums(model, first, second, model["q"], model["b"])[back]
     for a in range(0, len(code), 1 << 16):
         s = slice(a, a + (1 << 16))
         lp[s] += np.einsum("ij,ij->i", model["r1"][one[s]] + model["r2"][two[s]], model["q"][of_class[s]]) + model["b"][of_class[s]]
@@ -206,21 +210,30 @@ def log10_probabilities(lex: Lexicon, model: dict[str, np.ndarray], code: np.nda
         at = inside[cuts[c] : cuts[c + 1]]
         own = slice(lex.bounds[c], lex.bounds[c + 1])
         word = lex.inner[code[at]]
-        lp[at] -= _log_sums(model, one[at], two[at], model["qi"][own], model["bi"][own])
+        pairs, same = np.unique(back[at], return_inverse=True)  # a context's sum is the same for all its words
+        lp[at] -= _log_sums(model, first[pairs], second[pairs], model["qi"][own], model["bi"][own])[same]
         lp[at] += np.einsum("ij,ij->i", model["r1"][one[at]] + model["r2"][two[at]], model["qi"][word]) + model["bi"][word]
     return lp / LN10
 
 
 def _log_sums(model: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """log of the sum over q's rows of exp(score), by batched matrix products."""
-    out, qt, ones = np.empty(len(one), dtype=np.float64), np.ascontiguousarray(q.T), np.ones(len(q), dtype=np.float32)
-    for a in range(0, len(one), 1024):
-        s = (model["r1"][one[a : a + 1024]] + model["r2"][two[a : a + 1024]]) @ qt
-        s += b
-        top = s.max(axis=1)
-        s -= top[:, None]
-        np.exp(s, out=s)
-        out[a : a + 1024] = top + np.log(s @ ones)
+    """log of the sum over q's rows of exp(score), by batched matrix products. The bias is a dimension of its own;
+    only where the sum leaves the range of the numbers, the greatest score is taken out first."""
+    out, qt, ones = np.empty(len(one), dtype=np.float64), np.ascontiguousarray(np.concatenate([q.T, b[None]])), np.ones(len(q), dtype=np.float32)
+    context, scores = np.ones((BATCH, DIMENSIONS + 1), dtype=np.float32), np.empty((BATCH, len(q)), dtype=np.float32)
+    for a in range(0, len(one), BATCH):
+        n = min(BATCH, len(one) - a)
+        np.add(model["r1"][one[a : a + n]], model["r2"][two[a : a + n]], out=context[:n, :-1])
+        s = np.matmul(context[:n], qt, out=scores[:n])
+        with np.errstate(over="ignore"):
+            total = np.exp(s, out=s) @ ones
+        far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[a : a + n] = np.log(total)
+        if len(far):
+            s = context[far].astype(np.float64) @ qt
+            top = s.max(axis=1)
+            out[a + far] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
     return out
 
 
@@ -233,31 +246,24 @@ def _numbered(lexicon):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
-        get, first, end, group_of = lex.code.get, lex.first_rest, lex.end, {}
-
-        def rest(w: bytes) -> int:
-            found = group_of.get(w[-2:])
-            if found is None:
-                found = group_of[w[-2:]] = first + cluster(w)
-            return found
-
-        for b in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
-            n, codes, rare = [], [], []
-            for text in b.column(4):
-                words = _words(text)
-                code = [get(w) for w in words]
-                without = []
-                if None in code:
-                    for i, c in enumerate(code):
-                        if c is None:
-                            without.append(words[i])
-                            code[i] = rest(words[i])
-                code.append(end)
-                n.append(len(code))
-                codes.append(np.array(code, dtype="<u2").tobytes())
-                rare.append(b" ".join(without))
-            columns = [*b.columns[:4], pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _NUMBERED.split(", ")])
+        # the rest's number by the last two bytes, after those of single bytes
+        rest = lex.first_rest + np.array([*(cluster(bytes([x])) for x in range(256)), *(cluster(bytes([x, y])) for x in range(256) for y in range(256))])
+        for b in batches:
+            for r in runs(b.column(4), _KIND, SLICE_BYTES):
+                ends, data = np.frombuffer(r.words.buffers()[1], dtype=np.int64), np.frombuffer(r.words.buffers()[2] or b"", dtype=np.uint8).astype(np.int64)
+                last, size = ends[1:] - 1, np.diff(ends)
+                tail = np.where(size > 1, 256 + 256 * data[np.maximum(last - 1, 0)] + data[last], data[last]) if len(last) else last
+                code = pc.fill_null(pc.index_in(r.words, lex.words), -1).to_numpy(zero_copy_only=False)
+                without = code < 0
+                counts = np.bincount(r.doc, minlength=r.size)
+                whole = np.full(len(code) + r.size, lex.end, dtype="<u2")
+                whole[np.arange(len(code)) + r.doc] = np.where(without, rest[tail], code)
+                cuts = np.concatenate([[0], np.cumsum(2 * (counts + 1))]).astype(np.int32)
+                codes = pa.BinaryArray.from_buffers(pa.binary(), r.size, [None, pa.py_buffer(cuts), pa.py_buffer(whole)])
+                of = np.concatenate([[0], np.cumsum(np.bincount(r.doc[without], minlength=r.size))])
+                rare = pc.binary_join(pa.ListArray.from_arrays(pa.array(of, pa.int32()), r.words.filter(pa.array(without)).cast(pa.binary())), b" ")
+                columns = [*[b.column(i).slice(r.first, r.size) for i in range(4)], pa.array(counts + 1), codes, rare]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _NUMBERED.split(", ")])
 
     return run
 
