@@ -30,7 +30,7 @@ from ._memory import tidied
 
 #: Chunks between white space whose tokens a worker keeps, in each of two generations; pre-tokens,
 #: and pairs of tokens whose fit it keeps.
-CACHE, PARTS, PAIRS = 300_000, 100_000, 1 << 18
+CACHE, PARTS, PAIRS = 200_000, 50_000, 1 << 18
 #: Rows that are put out together.
 ROWS = 1000
 #: Longer chunks aren't kept.
@@ -390,6 +390,11 @@ class Tokenizer:
                 self._parts[part] = found
                 emit(found)
 
+    def forget(self) -> None:
+        """Give back all that is kept but the newest chunks: a worker may go on with other work."""
+        for cache in (self._old, self._parts, self._made):
+            cache.clear()
+
     def _entry(self, ids: list[int]) -> Entry:
         machine, numbers = self.machine, self.numbers
         machine.begun = False
@@ -547,6 +552,7 @@ def _digests(definition: _Definition, with_ids: bool):
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        tokenizer.forget()
 
     return run
 
