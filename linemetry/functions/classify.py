@@ -94,3 +94,9 @@ def wire(value: Column, kind: str) -> Column:
     """A number as the response has it: scaled to the decimals of its kind, half to even."""
     scale = float(10 ** DECIMALS[kind])
     return F.rint(value.cast("double") * scale) / scale
+
+
+def whole(total: Column) -> Column:
+    """A sum to whole numbers, half to even. Sums of decimals are off by their last bits, as the order of adding has it,
+    so what is within half a millionth of a tie is the tie."""
+    return F.rint(F.round(total, 6))
