@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import lidar_scale, severity, to_mm
@@ -30,6 +30,38 @@ def instance_totals(paths: DataFrame) -> DataFrame:
     return out.select("instance_id", "paths", "length_px", "length_mm", F.col("trunk.orientation").alias("orientation"), F.col("trunk.tortuosity").alias("tortuosity"))
 
 
+def with_width_figures(rows: DataFrame) -> DataFrame:
+    """`rows` (.., samples: array of width_px, mm_per_px, at_junction) with the columns of `width_summary` in place of
+    the samples, for an instance a row: nothing is shuffled, and sums go in the order of the samples."""
+    away = F.filter("samples", lambda s: ~s.at_junction)
+    r = rows.withColumn("away", away).withColumn("used", F.when(F.size("away") == 0, F.col("samples")).otherwise(F.col("away")))
+    known = {"px": F.transform("used", lambda s: s.width_px), "mm": F.transform("used", lambda s: to_mm(s.width_px, s.mm_per_px))}
+    r = r.withColumns({u: F.filter(v, lambda w: w >= 0) for u, v in known.items()})
+    stats = {}
+    for u in known:
+        ordered, place = F.sort_array(u), 0.95 * (F.size(u) - 1)
+        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+        between = F.when(low == high, F.get(ordered, low)).otherwise((high - place) * F.get(ordered, low) + (place - low) * F.get(ordered, high))
+        mean = F.try_divide(F.aggregate(u, F.lit(0.0), lambda a, w: a + w), F.size(u))
+        stats |= {f"width_{n}_{u}": F.coalesce(F.when(F.size(u) > 0, x), F.lit(-1.0)) for n, x in (("max", F.array_max(u)), ("mean", mean), ("p95", between))}
+    r = r.withColumns(stats).withColumn("excluded", F.size(F.filter("samples", lambda s: s.at_junction)).cast("long"))
+    return r.withColumn("severity", severity(F.col("width_max_mm"))).drop("samples", "away", "used", *known)
+
+
+def with_totals(rows: DataFrame) -> DataFrame:
+    """`rows` (.., path_rows: array of path_id, length, length_mm, orientation, tortuosity) with the columns of `instance_totals`,
+    for an instance a row: nothing is shuffled, and sums go in the order of the paths."""
+
+    def total(c: str) -> Column:
+        some = F.filter(F.transform("path_rows", lambda p: p[c]), lambda v: v.isNotNull())
+        return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, v: a + v))
+
+    trunk = F.array_max(F.transform("path_rows", lambda p: F.struct(p.length.alias("length"), (-p.path_id).alias("first"), p.orientation.alias("orientation"), p.tortuosity.alias("tortuosity"))))
+    unknown = F.exists("path_rows", lambda p: F.coalesce(p.length_mm < 0, F.lit(True)))
+    r = rows.withColumns({"paths": F.size("path_rows").cast("long"), "length_px": total("length"), "length_mm": F.when(unknown, -1.0).otherwise(total("length_mm")), "trunk": trunk})
+    return r.withColumns({c: F.col(f"trunk.{c}") for c in ("orientation", "tortuosity")}).drop("trunk")
+
+
 def largest(components: DataFrame, min_area: int = 40, max_instances: int | None = None) -> DataFrame:
     """Components of `min_area` or more with their rank by area in the image, the largest first; at most
     `max_instances` of each."""
@@ -44,18 +76,19 @@ def ranked(instances: DataFrame, group: str) -> DataFrame:
     return instances.withColumn("rank", F.row_number().over(order) - 1)
 
 
-def image_summary(images: DataFrame, instances: DataFrame) -> DataFrame:
+def image_summary(images: DataFrame, instances: DataFrame, **more: Column) -> DataFrame:
     """Per image: instances, greatest widths, total lengths (in mm -1 if one is unknown), instances at the
-    border and severity; images without any stay, with severity none."""
+    border and severity; images without any stay, with severity none. more: further aggregates of the same grouping, by name."""
     mm = F.when(F.col("width_max_mm") >= 0, F.col("width_max_mm"))
     unknown = F.bool_or(F.coalesce(F.col("length_mm") < 0, F.lit(True)))
     n = instances.groupBy("image_id").agg(
         F.count("*").alias("count"), F.max("width_max_px").alias("width_max_px"), F.max(mm).alias("width_max_mm"), F.sum("length_px").alias("total_px"),
         F.when(~unknown, F.sum("length_mm")).alias("total_mm"), F.count_if("touches_border").alias("at_border"),
+        *[v.alias(c) for c, v in more.items()],
     )
     out = images.select("image_id").distinct().join(n, "image_id", "left")
     or_ = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
-    return out.select("image_id", or_("count", 0), or_("width_max_px", -1.0), or_("width_max_mm", -1.0), or_("total_px", 0.0), F.when(F.col("count").isNull(), 0.0).otherwise(F.coalesce("total_mm", F.lit(-1.0))).alias("total_mm"), or_("at_border", 0), F.when(F.col("count").isNull(), "none").otherwise(severity(F.col("width_max_mm"))).alias("severity"))
+    return out.select("image_id", or_("count", 0), or_("width_max_px", -1.0), or_("width_max_mm", -1.0), or_("total_px", 0.0), F.when(F.col("count").isNull(), 0.0).otherwise(F.coalesce("total_mm", F.lit(-1.0))).alias("total_mm"), or_("at_border", 0), F.when(F.col("count").isNull(), "none").otherwise(severity(F.col("width_max_mm"))).alias("severity"), *more)
 
 
 #: Sources of a scale, by rank.

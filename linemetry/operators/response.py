@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,25 +27,46 @@ RESPONSE = (
 NO_PATHS = f"struct<items array<struct<{PATH}>>>"
 
 
-def _unless(c: str, kind: str, missing: float = -1.0) -> Column:
+def _unless(c: str | Column, kind: str, missing: float = -1.0) -> Column:
     """A number as the response has it; unknown ones are -1, for there is no null in a response."""
-    return F.coalesce(wire(F.col(c), kind), F.lit(missing))
+    return F.coalesce(wire(F.col(c) if isinstance(c, str) else c, kind), F.lit(missing))
+
+
+def point_row(i: Column, y: Column, x: Column, width_px: Column, width_mm: Column, at_junction: Column) -> Column:
+    """A point as `path_item` takes it, rounded for the wire. A null at_junction counts as away from junctions."""
+    return F.struct(i.alias("i"), wire(y, "coordinate").alias("y"), wire(x, "coordinate").alias("x"), _unless(width_px, "width_px").alias("px"), _unless(width_mm, "width_mm").alias("mm"), F.coalesce(at_junction, F.lit(False)).alias("at"))
+
+
+def path_item(rows: Column, length_px: Column, length_mm: Column, is_loop: Column) -> Column:
+    """The item of a path whose points are an array of `point_row` in order."""
+    of = lambda f: F.transform(rows, lambda r: r[f])
+    return F.struct(
+        F.size(rows).alias("point_count"), F.flatten(F.transform(rows, lambda r: F.array(r.y, r.x))).alias("path_yx"), of("px").alias("width_px"), of("mm").alias("width_mm"), of("at").alias("width_at_junction"),
+        _unless(length_px, "length_px", 0.0).alias("length_px"), _unless(length_mm, "length_mm").alias("length_mm"), F.coalesce(is_loop, F.lit(False)).alias("is_loop"),
+    )
 
 
 def path_items(points: DataFrame, paths: DataFrame, by: str = "path_id") -> DataFrame:
     """(instance_id, path_id, item) of points (`by`, i, y, x, width_px, width_mm, at_junction) and paths
     (instance_id, path_id, `by`, length_px, length_mm, is_loop): flat arrays in order, rounded for the wire.
     Points without at_junction count as away from junctions."""
-    row = F.struct("i", wire(F.col("y"), "coordinate").alias("y"), wire(F.col("x"), "coordinate").alias("x"), _unless("width_px", "width_px").alias("px"), _unless("width_mm", "width_mm").alias("mm"), F.coalesce("at_junction", F.lit(False)).alias("at"))
+    row = point_row(*(F.col(c) for c in ("i", "y", "x", "width_px", "width_mm", "at_junction")))
     p = points.groupBy(by).agg(F.sort_array(F.collect_list(row)).alias("rows")).join(paths, by)
-    of = lambda f: F.transform("rows", lambda r: r[f])
-    item = F.struct(
-        F.size("rows").alias("point_count"), F.flatten(F.transform("rows", lambda r: F.array(r.y, r.x))).alias("path_yx"), of("px").alias("width_px"), of("mm").alias("width_mm"), of("at").alias("width_at_junction"),
-        _unless("length_px", "length_px", 0.0).alias("length_px"), _unless("length_mm", "length_mm").alias("length_mm"), F.coalesce("is_loop", F.lit(False)).alias("is_loop"),
-    )
+    item = path_item(*(F.col(c) for c in ("rows", "length_px", "length_mm", "is_loop")))
     return p.select("instance_id", "path_id", item.alias("item"))
 
 
+def instance_item(of: Callable[[str], Column]) -> Column:
+    """INSTANCE of what `of` gives for the names in `instance_items`, and for paths: a struct of items."""
+    widths = [_unless(of(f"width_{n}_{u}"), f"width_{u}").alias(f"width_{n}_{u}") for u in ("px", "mm") for n in ("max", "mean", "p95")]
+    return F.struct(
+        of("rank").cast("int").alias("instance_id"), F.lit("crack").alias("label"), _unless(of("score"), "score", 0.0).alias("score"), F.transform(of("bbox_yxyx"), lambda v: wire(v, "coordinate")).alias("bbox_yxyx"), of("pattern").alias("pattern"),
+        _unless(of("orientation"), "orientation", 0.0).alias("orientation_deg"), of("orientation_class").alias("orientation_class"), _unless(of("tortuosity"), "tortuosity", 1.0).alias("tortuosity"), of("nodes").cast("int").alias("branch_count"), of("touches_border").alias("touches_border"), of("excluded").cast("int").alias("width_samples_excluded"), of("severity").alias("severity"),
+        *widths, _unless(of("length_px"), "length_px", 0.0).alias("length_px"), _unless(of("length_mm"), "length_mm").alias("length_mm"), _unless(of("area_px"), "area", 0.0).alias("area_px"),
+        F.coalesce(of("paths"), F.struct(F.array().cast(f"array<struct<{PATH}>>").alias("items"))).alias("paths"),
+    )
+
+
 def instance_items(instances: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(image_id, rank, item) of instances; with `items` of `path_items`, paths in order of path_id, else none.
 
@@ -56,14 +79,7 @@ def instance_items(instances: DataFrame, items: DataFrame | None = None) -> Data
     else:
         grouped = items.groupBy("instance_id").agg(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("path_id", "item"))), lambda p: p["item"]).alias("items")).cast(NO_PATHS).alias("paths"))
         named = instances.join(grouped, "instance_id", "left")
-    widths = [_unless(f"width_{n}_{u}", f"width_{u}").alias(f"width_{n}_{u}") for u in ("px", "mm") for n in ("max", "mean", "p95")]
-    item = F.struct(
-        F.col("rank").cast("int").alias("instance_id"), F.lit("crack").alias("label"), _unless("score", "score", 0.0).alias("score"), F.transform("bbox_yxyx", lambda v: wire(v, "coordinate")).alias("bbox_yxyx"), "pattern",
-        _unless("orientation", "orientation", 0.0).alias("orientation_deg"), "orientation_class", _unless("tortuosity", "tortuosity", 1.0).alias("tortuosity"), F.col("nodes").cast("int").alias("branch_count"), "touches_border", F.col("excluded").cast("int").alias("width_samples_excluded"), "severity",
-        *widths, _unless("length_px", "length_px", 0.0).alias("length_px"), _unless("length_mm", "length_mm").alias("length_mm"), _unless("area_px", "area", 0.0).alias("area_px"),
-        F.coalesce("paths", F.struct(F.array().cast(f"array<struct<{PATH}>>").alias("items"))).alias("paths"),
-    )
-    return named.select("image_id", "rank", item.alias("item"))
+    return named.select("image_id", "rank", instance_item(F.col).alias("item"))
 
 
 def warnings(images: DataFrame) -> DataFrame:
@@ -83,13 +99,17 @@ def warnings(images: DataFrame) -> DataFrame:
     return images.select("image_id", F.concat(F.coalesce("scale_warnings", F.array().cast("array<string>")), F.filter(F.array(*parts), lambda w: w.isNotNull())).alias("warnings"))
 
 
-def responses(images: DataFrame, summaries: DataFrame, items: DataFrame, notes: DataFrame, task: str = "crack") -> DataFrame:
+def responses(images: DataFrame, summaries: DataFrame, items: DataFrame | None, notes: DataFrame, task: str = "crack") -> DataFrame:
     """(image_id, body): the response to each image as JSON of RESPONSE, without nulls; instances in order of rank.
 
     images: (image_id, request_id, width, height, model_name, model_kind, trained, source, mm_per_px, confidence,
-    note, duration_ms). summaries: of `image_summary`; items: of `instance_items`; notes: of `warnings`."""
-    grouped = items.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("items"))
-    j = images.join(summaries.drop("width", "height"), "image_id").join(grouped, "image_id", "left").join(notes, "image_id", "left")
+    note, duration_ms). summaries: of `image_summary`; items: of `instance_items`, or None
+    if summaries have them in order of rank; notes: of `warnings`."""
+    j = images.join(summaries.drop("width", "height"), "image_id")
+    if items is not None:
+        grouped = items.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("items"))
+        j = j.join(grouped, "image_id", "left")
+    j = j.join(notes, "image_id", "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     body = F.struct(
         F.lit(CONTRACT).alias("contract_version"), F.lit(task).alias("task"), text("request_id").alias("request_id"),
@@ -109,7 +129,12 @@ def responses(images: DataFrame, summaries: DataFrame, items: DataFrame, notes:
 
 def parsed(bodies: DataFrame) -> DataFrame:
     """(image_id, r) of bodies (image_id, body): RESPONSE read back."""
-    return bodies.select("image_id", F.from_json("body", RESPONSE).alias("r"))
+    return read_back(bodies).drop("body")
+
+
+def read_back(bodies: DataFrame) -> DataFrame:
+    """`bodies` (image_id, body) with r, what a reader makes of the body."""
+    return bodies.select("image_id", "body", F.from_json("body", RESPONSE).alias("r"))
 
 
 def registry(tasks: DataFrame, models: DataFrame, fallback: str = "classic-ridge") -> DataFrame:

@@ -176,7 +176,7 @@ def instances(spark: SparkSession, d: str) -> DataFrame:
     key, y0, x0 = F.col("o_orderkey"), F.col("o_orderkey") % 8, F.col("o_orderkey") % 9 + 1
     box = classify.touches_border(y0, x0, y0 + 50 + F.col("o_custkey") % 10, x0 + 40, 64, 64)
     named = o.select(key.alias("instance_id"), F.col("o_custkey").alias("image_id"), box.alias("touches_border"))
-    return inst.width_summary(src.width_samples(spark, d)).join(inst.instance_totals(src.paths(spark, d)), "instance_id").join(named, "instance_id")
+    return inst.with_totals(inst.with_width_figures(src.lines(spark, d).join(named, "instance_id")))
 
 
 INSTANCES = f"{WIDTHS}, {TOTALS}, instances AS (SELECT *, o_custkey AS image_id, o_orderkey % 8 = 0 OR o_orderkey % 8 + 50 + o_custkey % 10 >= 64 OR o_orderkey % 9 + 1 + 40 >= 64 AS touches_border FROM summary JOIN totals USING (instance_id) JOIN orders ON o_orderkey = instance_id)"

@@ -54,6 +54,16 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.col("l_linenumber").alias("path_id"), price.alias("length"), F.when(F.col("l_tax") == 0, -1.0).otherwise(price * F.col("l_tax")).alias("length_mm"), (F.col("l_quantity") - 25).alias("orientation"), (1 + F.col("l_discount") + 0.0).alias("tortuosity"))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance_id, samples, path_rows): both of the above as arrays, from one shuffle of the order lines. They are in the
+    order of the table's rows, so sums over them have the same last bit whatever the partitions."""
+    table = read(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("row"), F.col("l_orderkey").alias("instance_id"), F.col("l_linenumber").alias("number"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), (F.col("l_returnflag") == "R").alias("returned"))
+    of = table.repartition("instance_id").groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("row", "number", "quantity", "price", "discount", "tax", "returned"))).alias("rows"))
+    sample = lambda r: F.struct(r.number.alias("sample_id"), r.quantity.alias("width_px"), ((r.discount + 0.0) * 0.2).alias("mm_per_px"), r.returned.alias("at_junction"))
+    path = lambda r: F.struct(r.number.alias("path_id"), r.price.alias("length"), F.when(r.tax == 0, -1.0).otherwise(r.price * r.tax).alias("length_mm"), (r.quantity - 25).alias("orientation"), (1 + r.discount + 0.0).alias("tortuosity"))
+    return of.select("instance_id", F.transform("rows", sample).alias("samples"), F.transform("rows", path).alias("path_rows"))
+
+
 def scale_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, explicit, depth, focal, tilt, marker_px): offers of each source, null if none."""
     o, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
