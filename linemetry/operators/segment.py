@@ -139,6 +139,10 @@ def gaussian(sigma: float, order: int = 0, reach: float = 4.0) -> np.ndarray:
     return g if order == 0 else -x / sigma**2 * g if order == 1 else (x * x / sigma**4 - 1 / sigma**2) * g
 
 
+#: Rows or columns that are filtered by one product.
+STRIP = 64
+
+
 def filtered(image: np.ndarray, down: np.ndarray, along: np.ndarray) -> np.ndarray:
     """Convolution with taps down the columns and along the rows; beyond its edges the image is mirrored."""
     out = image
@@ -150,9 +154,20 @@ def filtered(image: np.ndarray, down: np.ndarray, along: np.ndarray) -> np.ndarr
             at = np.where(at >= length, 2 * length - 2 - at, at)
         else:
             at = np.zeros_like(at)
-        wide, total = np.take(out, at, axis=axis), 0.0
-        for i, t in enumerate(taps[::-1]):
-            total = total + t * (wide[i : i + length] if axis == 0 else wide[:, i : i + length])
+        wide, total = np.take(out, at, axis=axis), np.zeros(out.shape)
+        if np.isfinite(out).all():  # a strip is a product with the taps as a band; its zeros would spread what isn't finite
+            for a in range(0, length, STRIP):
+                n = min(STRIP, length - a)
+                band = np.zeros((n, n + len(taps) - 1))
+                for i in range(n):
+                    band[i, i : i + len(taps)] = taps[::-1]
+                if axis == 0:
+                    total[a : a + n] = band @ wide[a : a + band.shape[1]]
+                else:
+                    total[:, a : a + n] = wide[:, a : a + band.shape[1]] @ band.T
+        else:
+            for i, t in enumerate(taps[::-1]):
+                total = total + t * (wide[i : i + length] if axis == 0 else wide[:, i : i + length])
         out = total
     return out
 
