@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._memory import tidied
+from ._memory import hold, tidied
 
 #: Chunks between white space whose tokens a worker keeps, in each of two generations; pre-tokens,
 #: and pairs of tokens whose fit it keeps.
@@ -491,7 +491,8 @@ _tokenizers: dict[int, Tokenizer] = {}
 
 
 def _shared_tokenizer(definition) -> Tokenizer:
-    """One for each Python worker, however many tasks it runs."""
+    """One for each Python worker, however many tasks it runs, until it goes on with another operator."""
+    hold("bpe", _tokenizers.clear)
     if definition.id not in _tokenizers:
         _tokenizers.clear()
         _tokenizers[definition.id] = Tokenizer(definition.text.value)
@@ -570,4 +571,4 @@ def encode_documents(documents: DataFrame, path: str, with_ids: bool = False) ->
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string" + (", ids array<int>" if with_ids else "")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(tidied(_digests(_Definition(documents.sparkSession, path), with_ids)), schema)
+    return docs.mapInArrow(tidied(_digests(_Definition(documents.sparkSession, path), with_ids), "bpe"), schema)
