@@ -81,40 +81,71 @@ def _prefixes(hashes: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return _words.mix(h, 50 + depth)
 
 
-def _frequent_prefixes(words: int, share: float):
-    """(depth, prefix, n) where a prefix has at least `share` of a flush's suffixes; depth 0: all."""
+def _known(doc: np.ndarray, h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which windows a smaller document of the same flush has too. Windows are the same if all bits of their
+    hashes and codes are; where equal hashes with other codes stand between, it is left to the tree."""
+    order = np.argsort(h, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(code[order]) != 0)]))
+    least = np.minimum.reduceat(doc[order], heads)
+    known = np.zeros(len(h), dtype=bool)
+    known[order] = doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))
+    return known
 
-    def rows(depth: int, prefix: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), depth, np.int32)), pa.array(prefix.view(np.int64)), pa.array(n.astype(np.int64))], ["depth", "prefix", "n"])
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        hashes, parts = zip(*held, strict=True)
+def _frequent_prefixes(words: int, share: float):
+    """(depth, prefix, n) where a prefix has about `share` of a task's suffixes; depth 0: all. Only suffixes
+    that are dealt to the tree count, so the copies of a passage count once a flush and make no rows of their own.
+    What a flush and then the task leave out is below half the share each, so counts lack less than the share."""
+
+    def summed(found: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        depth = np.concatenate([np.full(len(n), d, np.int32) for d, _, n in found])
+        prefix, n = np.concatenate([p for _, p, _ in found]), np.concatenate([n for *_, n in found])
+        order = np.lexsort((prefix, depth))
+        depth, prefix = depth[order], prefix[order]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(depth) != 0) | (prefix[1:] != prefix[:-1])]))
+        return depth[heads], prefix[heads], np.add.reduceat(n[order], heads)
+
+    def rows(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        depth, prefix, n = summed(found)
+        keep = n >= share / 2 * n[0]  # the first row is that of depth 0
+        return pa.RecordBatch.from_arrays([pa.array(depth[keep]), pa.array(prefix[keep].view(np.int64)), pa.array(n[keep])], ["depth", "prefix", "n"])
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        hashes, parts, *windows = zip(*held, strict=True)
         before = np.cumsum([0, *map(len, hashes)])[:-1]
         hashes, at = np.concatenate(hashes), np.concatenate([x + y for x, y in zip(parts, before, strict=True)])
+        at = at[~_known(*[np.concatenate(x) for x in windows])]
         size = len(at)
-        yield rows(0, np.zeros(1, np.uint64), np.array([size]))
+        yield 0, np.zeros(1, np.uint64), np.array([size])
         for depth in range(1, words):
             prefix = _prefixes(hashes, at, depth)
             found, n = np.unique(prefix, return_counts=True)
-            keep = n >= share * size
+            keep = n >= share / 2 * size
             if not keep.any():
                 break
-            yield rows(depth, found[keep], n[keep])
+            yield depth, found[keep], n[keep]
             at = at[np.isin(prefix, found[keep])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, found = [], 0, []
         for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for w in _words.slices(b.column(1), lower=False):
-                m = len(w.hash) - words + 1
-                at = np.flatnonzero(w.doc[:m] == w.doc[words - 1 :]) if m > 0 else np.zeros(0, np.int64)
-                held.append((w.hash, at))
+                h, code, at = keys(w, words)
+                if not len(at):
+                    continue
+                held.append((w.hash, at, ids[w.first + w.doc[at]], h, code))
                 size += len(at)
                 if size >= FLUSH:
-                    yield from flush(held)
+                    found += flush(held)
                     held, size = [], 0
+                    if sum(len(n) for *_, n in found) >= 2 * FLUSH:  # what follows is a task of its own
+                        yield rows(found)
+                        found = []
         if size:
-            yield from flush(held)
+            found += flush(held)
+        if found:
+            yield rows(found)
 
     return run
 
@@ -160,14 +191,8 @@ def _unpacked(docs: bytes, counts: bytes, windows: bytes, places: bytes) -> tupl
 
 def _reduced(doc: np.ndarray, place: np.ndarray, h: np.ndarray, code: np.ndarray, part: np.ndarray, buckets: int) -> pa.RecordBatch:
     """kind 0: suffixes to be looked up in the tree; 1: windows that are known to repeat, since a
-    smaller document of the same flush has them, dealt by their documents. Windows are the same if
-    all bits of their hashes and codes are; where equal hashes with other codes stand between, it is left to the tree."""
-    order = np.argsort(h, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(code[order]) != 0)]))
-    least = np.minimum.reduceat(doc[order], heads)
-    known = np.zeros(len(h), dtype=bool)
-    known[order] = doc[order] > np.repeat(least, np.diff(np.concatenate([heads, [len(h)]])))
-    del order, heads, least
+    smaller document of the same flush has them, dealt by their documents."""
+    known = _known(doc, h, code)
     by = np.lexsort((place, doc))  # rows of a document may stand apart
     doc, place, h, code, part, known = doc[by], place[by], h[by], code[by], part[by], known[by]
     out = [*_rows(0, part[~known], doc[~known], place[~known], h[~known], code[~known])]
@@ -318,8 +343,11 @@ def repeated_windows(documents: DataFrame, words: int = 13) -> DataFrame:
     """(doc_id, places): word numbers, packed as little-endian uint32, at which a window of `words`
     words starts that also starts in a document with a smaller doc_id; no row without any."""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # reported counts are too small by at most a quarter of a part's share
-    counts = stored(docs.mapInArrow(tidied(_frequent_prefixes(words, 1 / (4 * GROUPS))), "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n")), "substring-prefixes")
+    # n bytes hold (n + 1) / 2 words at most, so there are no more parts than `most`, and reported counts are
+    # too small by at most a quarter of a part's share
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    most = min(GROUPS, max(16, math.ceil(size / 2 / GROUP_SUFFIXES)))
+    counts = stored(docs.mapInArrow(tidied(_frequent_prefixes(words, 1 / (4 * most))), "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n")), "substring-prefixes")
     whole = counts.where("depth = 0").first()
     total = whole.n if whole else 0
     groups = max(16, math.ceil(total / GROUP_SUFFIXES))

@@ -153,6 +153,25 @@ def test_substring_dedup_splits_a_hot_prefix(spark, monkeypatch):
     assert sizes[1] < sizes[0] / 2 and sizes[1] < total / 10
 
 
+def test_frequent_prefixes_of_copies(spark, monkeypatch):
+    """Copies make no rows of their own, small tasks report no more than the parts need, and the total is what is dealt."""
+    rng = random.Random(5)
+    copy = " ".join(f"c{i}" for i in range(200))
+    rows = [(i, copy) for i in range(400)] + [(400 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    original, shares = substring._frequent_prefixes, []
+    for flush in (1 << 19, 2000):
+        monkeypatch.setattr(substring, "FLUSH", flush)
+        counts = df.mapInArrow(original(13, 1 / 256), "depth int, prefix long, n long").collect()
+        dealt = df.mapInArrow(substring._deal(13, 16, 16, [np.zeros(0, np.uint64)] * 12), substring._DEALT).where("kind = 0").collect()
+        assert sum(r.n for r in counts if r.depth == 0) == sum(int(np.frombuffer(r.counts, np.uint32).sum()) for r in dealt)
+        if flush > 2000:
+            assert len(counts) < 60  # 188 places by 12 depths by 3 tasks before
+    monkeypatch.setattr(substring, "_frequent_prefixes", lambda words, share: shares.append(share) or original(words, share))
+    assert {r.doc_id: r.n_removed for r in substring.substring_dedup(df.repartition(20)).collect()} == removed_by_force(rows, 13)
+    assert shares == [1 / 64]
+
+
 def test_suffix_order():
     """Neighbours share the words that the depths say: at least those of the level, and fewer than the next."""
     import pyarrow as pa
