@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linemetry.llm._tables import shared_dir, table
+from linemetry.llm._tables import shared_dir, table, write
 from linemetry.llm.bpe import encode_documents
 from linemetry.llm.mixing import mixed_documents
 from linemetry.llm.ngram_join import ngram_join
@@ -74,6 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/linemetry/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        write(stage(spark, docs, sf_dir), f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

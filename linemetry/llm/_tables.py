@@ -31,13 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Write a DataFrame as Parquet; the files of its shuffles go as soon as it is written, not when the
+    driver happens to collect garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to a new table in the shared folder and read it again: cuts the lineage,
-    and what was written survives the loss of an executor. `drop_stored` deletes such tables."""
+    and what was written survives the loss of an executor; its shuffles leave the disk. `drop_stored`
+    deletes such tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/linemetry/{name}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -165,6 +165,15 @@ def unpack_places(data: bytes, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[heads] - step[heads], counts)
 
 
+def pack_docs(doc: np.ndarray) -> bytes:
+    """Ids, ascending, as byte planes of their differences: most bytes are zero, so a shuffle compresses them."""
+    return np.ascontiguousarray(np.diff(doc.astype("<i8").view("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_docs(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()).view(np.int64)
+
+
 def _rows(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None, code: np.ndarray | None) -> Iterator[tuple]:
     """Suffixes in order of document and place, packed by part."""
     order = np.argsort(part, kind="stable")
@@ -178,7 +187,7 @@ def _rows(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np
         if b > a:
             heads = np.concatenate([[0], np.flatnonzero(np.diff(doc[a:b])) + 1])
             n = np.diff(np.concatenate([heads, [b - a]])).astype(np.uint32)
-            yield int(part[a]), kind, doc[a:b][heads].tobytes(), n.tobytes(), wide[a:b].tobytes() if h is not None else b"", pack_places(doc[a:b], place[a:b])
+            yield int(part[a]), kind, pack_docs(doc[a:b][heads]), n.tobytes(), wide[a:b].tobytes() if h is not None else b"", pack_places(doc[a:b], place[a:b])
 
 
 def _unpacked(docs: bytes, counts: bytes, windows: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +195,7 @@ def _unpacked(docs: bytes, counts: bytes, windows: bytes, places: bytes) -> tupl
     wide = np.frombuffer(windows, np.uint8).reshape(-1, 11)
     h = np.zeros((len(wide), 8), dtype=np.uint8)
     h[:, :7] = wide[:, :7]
-    return np.repeat(np.frombuffer(docs, np.int64), n), unpack_places(places, n), h.view("<u8").ravel(), np.ascontiguousarray(wide[:, 7:]).view("<u4").ravel()
+    return np.repeat(unpack_docs(docs), n), unpack_places(places, n), h.view("<u8").ravel(), np.ascontiguousarray(wide[:, 7:]).view("<u4").ravel()
 
 
 def _reduced(doc: np.ndarray, place: np.ndarray, h: np.ndarray, code: np.ndarray, part: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -267,7 +276,7 @@ def _subtree(words: int, buckets: int):
         for kind, d, c, h, p in zip(*(table.column(x).to_pylist() for x in ("kind", "docs", "counts", "windows", "places")), strict=True):
             if kind:
                 n = np.frombuffer(c, np.uint32)
-                out_doc.append(np.repeat(np.frombuffer(d, np.int64), n))
+                out_doc.append(np.repeat(unpack_docs(d), n))
                 out_place.append(unpack_places(p, n))
             else:
                 held.append(_unpacked(d, c, h, p))

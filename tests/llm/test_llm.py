@@ -172,6 +172,17 @@ def test_frequent_prefixes_of_copies(spark, monkeypatch):
     assert shares == [1 / 64]
 
 
+def test_packed_docs():
+    """Ids of any sign and distance come back; those of neighbouring documents take few bytes once compressed."""
+    import pyarrow as pa
+
+    for ids in ([], [5], [-(2**63), -7, 0, 2**63 - 1]):
+        assert substring.unpack_docs(substring.pack_docs(np.array(ids, dtype=np.int64))).tolist() == ids
+    near = np.cumsum(np.random.default_rng(1).integers(1, 40, 5000))
+    size = [len(pa.Codec("lz4_raw").compress(x)) for x in (near.tobytes(), substring.pack_docs(near))]
+    assert size[1] < size[0] / 2
+
+
 def test_suffix_order():
     """Neighbours share the words that the depths say: at least those of the level, and fewer than the next."""
     import pyarrow as pa
@@ -608,6 +619,24 @@ def test_stages_on_awkward_tables(spark):
         assert stage(spark, odd.limit(0), DATA).count() == 0
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from linemetry.llm import _tables
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    df = _tables.stored(spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count(), "sevenths")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:  # they go in the background
+        time.sleep(0.1)
+    assert not shuffles() - before and df.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_stored_tables_can_be_dropped(spark):
     import os
 
